@@ -29,7 +29,7 @@ SMALLEST = 4
 SIGNATURE = 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Ids that are sorted together, and rows compared together.
-BLOCK = 4096
+BLOCK = 1024
 TOGETHER = 1024
 #: Bytes up to which the first rows of blocks (two numbers each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20

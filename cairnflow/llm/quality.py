@@ -24,7 +24,7 @@ from .common import crc32_of_id, split_batch, unit_hash, utf8
 
 PER_LABEL = 1500
 TRAIN_BYTES = 32 << 20
-DICTIONARY_BYTES = 16384
+DICTIONARY_BYTES = 32768
 #: Bytes of the pieces that a dictionary is built from.
 PIECE = 400
 LEVEL = 3

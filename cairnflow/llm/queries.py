@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, media, mixing, pii, quality
+from . import bpe, fingerprints, media, mixing, neardup, pii, quality
 from .common import crc32_of_id, documents, load
 
 
@@ -18,6 +18,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(documents(spark, sf_dir))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), width=4)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op3_media_columns, op5_pii, op8_bpe, op9_quality_classifier, op10_mixing)
+    f.__name__: f for f in (op2_document_fingerprints, op3_media_columns, op4_minhash_near_dedup, op5_pii, op8_bpe, op9_quality_classifier, op10_mixing)
 }
 
 OP10_SQL = f"""
