@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, media, mixing, neardup, pii, quality
+from . import bpe, fingerprints, licenses, lm, media, mixing, neardup, pii, quality
 from .common import crc32_of_id, documents, load
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(spark, load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
@@ -26,6 +30,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
@@ -41,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op3_media_columns, op4_minhash_near_dedup, op5_pii, op8_bpe, op9_quality_classifier, op10_mixing)
+    f.__name__: f for f in (op1_license_scans, op2_document_fingerprints, op3_media_columns, op4_minhash_near_dedup, op5_pii, op7_lm_scoring, op8_bpe, op9_quality_classifier, op10_mixing)
 }
 
 OP10_SQL = f"""
@@ -84,4 +92,4 @@ SELECT d.doc_id, d.size, m.source_size, m.target, CAST(d.size * (m.whole + CASE
 FROM drawn d JOIN missing m ON d.source IS NOT DISTINCT FROM m.source
 """
 
-ORACLES: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_license_scans": licenses.scan_sql(), "op10_mixing": OP10_SQL}
