@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, licenses, lm, media, mixing, neardup, pii, quality
+from . import bpe, fingerprints, licenses, lm, media, mixing, neardup, pii, quality, suffixes
 from .common import crc32_of_id, documents, load
 
 
@@ -30,6 +30,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(documents(spark, sf_dir))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scans, op2_document_fingerprints, op3_media_columns, op4_minhash_near_dedup, op5_pii, op7_lm_scoring, op8_bpe, op9_quality_classifier, op10_mixing)
+    f.__name__: f for f in (op1_license_scans, op2_document_fingerprints, op3_media_columns, op4_minhash_near_dedup, op5_pii, op6_suffix_array_dedup, op7_lm_scoring, op8_bpe, op9_quality_classifier, op10_mixing)
 }
 
 OP10_SQL = f"""
