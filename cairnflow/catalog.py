@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .operators import relational  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "V4_rrf_hybrid"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
