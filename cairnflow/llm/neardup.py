@@ -7,7 +7,8 @@ them, and exact Jaccard similarity over the whole sets confirms them. Links beco
 Pairs are never all emitted. First every list links its nodes to its smallest node (a star); what is confirmed joins
 components. Then only pairs across components are proposed: directly in lists of at most ``SHORT`` nodes; nodes in longer lists
 are listed again under all values of their sketch, and short lists among those propose the rest. Nodes most of whose sketch lies in
-long lists (``MOSTLY`` values or more) are compared inside their long lists in blocks, and only pairs that pass the estimate leave a block.
+long lists (``MOSTLY`` values or more) are compared by their whole sets inside their long lists, in blocks, and only
+links that join components (at most one fewer than the rows) leave a block.
 
 Two sets of similarity 0.8 or more share none of the listed values with a chance of at most 0.2 ** 12 = 4e-9, and fail the
 estimate (six standard deviations) with a chance of the order of 1e-8; sets of at most ``SKETCH`` shingles are compared exactly throughout.
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import split_batch, staged, utf8
+from .common import drop_staged, split_batch, staged, utf8
 from .components import connected_components
 from .shingles import LOWER, shingle_sets
 
@@ -86,8 +87,17 @@ def _similar_sizes(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
+def _only(frame: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``frame`` whose key is in ``ids`` (one column of that name, staged): by broadcast while it is small."""
+    return frame.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, key, "left_semi")
+
+
+def _ids(pairs: DataFrame, name: str) -> DataFrame:
+    return staged(pairs.select(F.col("a").alias(name)).union(pairs.select("b")).distinct(), "pair-ids")
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose union sketch passes."""
+    """The pairs (a, b) of a staged table whose union sketch passes."""
 
     def run(batches):
         for batch in batches:
@@ -97,16 +107,14 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    nodes = _only(nodes, "node", _ids(pairs, "node"))
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     return pairs.join(a, "a").join(b, "b").where(_similar_sizes(percent)).select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union. ``pairs`` is a staged table."""
-    needed = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "confirm-ids")
-    ids = F.broadcast(needed) if needed.count() * 16 <= BROADCAST_BYTES else needed
-
     def pack(batches):
         import zstandard
 
@@ -115,7 +123,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
             for batch in split_batch(big):
                 yield batch.set_column(1, "text", pa.array([tool.compress(utf8(t)) for t in batch.column(1).to_pylist()], pa.binary()))
 
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(ids, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, text binary")
+    texts = _only(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "doc_id", _ids(pairs, "doc_id")).mapInArrow(pack, "doc_id long, text binary")
     texts = staged(texts, "confirm-texts")
 
     def compare(batches):
@@ -143,61 +151,91 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
     return pairs.join(a, "a").join(b, "b").select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
 
 
+def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """node, whole: 48 bits of every shingle hash of the documents in ``ids``."""
+
+    def run(batches):
+        for big in batches:
+            for batch in split_batch(big):
+                sets = shingle_sets([utf8(t) for t in batch.column(1).to_pylist()], width)
+                data = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["node", "whole"])
+
+    texts = docs.selectExpr("cast(doc_id as long) node", "cast(text as string) text")
+    return _only(texts, "node", ids).mapInArrow(run, "node long, whole binary")
+
+
 def _blocked(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components within long lists: rows (value, refs, node, n, comp, sketch) are dealt into pairs of blocks."""
+    """Links (a, b) across components within long lists: rows (value, refs, node, n, comp, whole) are dealt into pairs of
+    blocks, and each pair of blocks gives a spanning forest of its links."""
     blocks = F.ceil(F.col("refs") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(F.col("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "sketch")
+    dealt = dealt.select(F.col("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "whole")
 
     def run(table: pa.Table) -> pa.Table:
-        i, j, own, node, n, comp = (table.column(c).to_pylist() for c in ("i", "j", "own", "node", "n", "comp"))
-        sketch = [np.frombuffer(x, "<u8") for x in table.column("sketch").to_pylist()]
-        value = np.uint64(table.column("value")[0].as_py() & (2**64 - 1))
-        # a pair belongs to its smallest shared value
-        order = np.concatenate(sketch)
-        owner = np.repeat(np.arange(len(sketch)), [len(s) for s in sketch])
-        by = np.argsort(order, kind="stable")
-        order, owner = order[by], owner[by]
-        shared = np.zeros((len(sketch), len(sketch)), np.int16)
-        early = np.zeros((len(sketch), len(sketch)), bool)
-        for at in np.split(np.arange(len(order)), np.flatnonzero(np.diff(order)) + 1):
+        i, j, own, node, n, comp = (np.asarray(table.column(c).to_pylist()) for c in ("i", "j", "own", "node", "n", "comp"))
+        data = table.column("whole").to_pylist()
+        sets = []
+        for x in data:
+            wide = np.zeros((len(x) // 6, 8), np.uint8)
+            wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+            sets.append(wide.view("<u8").ravel())
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        by = np.argsort(every, kind="stable")
+        every, owner = every[by], owner[by]
+        # rows of the largest component are never compared with each other
+        kinds, sizes = np.unique(comp, return_counts=True)
+        rest = comp != kinds[np.argmax(sizes)]
+        shared = np.zeros((len(sets), len(sets)), np.int32)
+        for at in np.split(owner, np.flatnonzero(np.diff(every)) + 1):
             if len(at) > 1:
-                rows_ = owner[at]
-                shared[np.ix_(rows_, rows_)] += 1
-                if order[at[0]] < value:
-                    early[np.ix_(rows_, rows_)] = True
-        sizes, comps, blocks_ = np.asarray(n), np.asarray(comp), np.asarray(own)
-        fit = (100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)) & (comps[:, None] != comps[None, :]) & ~early
-        fit &= shared >= np.minimum(MOSTLY, np.minimum.outer(sizes, sizes) // 2)
-        fit &= (blocks_[:, None] != blocks_[None, :]) | (i[0] == j[0])
-        left, right = np.nonzero(np.triu(fit, 1))
-        nodes = np.asarray(node, np.int64)
-        keep = [passes(sketch[p], sizes[p], sketch[q], sizes[q], percent) for p, q in zip(left, right)]
-        a, b = nodes[left][keep] if len(left) else nodes[:0], nodes[right][keep] if len(left) else nodes[:0]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                shared[np.ix_(at[rest[at]], at)] += 1
+        shared[~rest] = shared[:, ~rest].T
+        link = (100 * shared.astype(np.int64) >= percent * (n[:, None] + n[None, :] - shared)) & (comp[:, None] != comp[None, :])
+        link &= (own[:, None] != own[None, :]) | (i[0] == j[0])
+        parent = {c: c for c in comp.tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out = []
+        for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(link, 1)))):
+            x, y = root(int(comp[p])), root(int(comp[q]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(min(node[p], node[q])), int(max(node[p], node[q]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return dealt.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components in short lists (value, node, n, comp)."""
-    x = lists.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"))
-    y = lists.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"))
-    return x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _similar_sizes(percent)).select("a", "b").distinct()
+def _across(lists: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+    """Pairs (a, b) across components in short lists (value, node, n, comp); ``apart``: not both of them c_busy."""
+    more = ["c_busy"] if apart else []
+    x = lists.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"), *[F.col(c).alias("x_busy") for c in more])
+    y = lists.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"), *[F.col(c).alias("y_busy") for c in more])
+    fit = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _similar_sizes(percent)
+    return x.join(y, "value").where(fit & ~(F.col("x_busy") & F.col("y_busy")) if apart else fit).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches by row, nodes by set, components by node)."""
-    rows = staged(sketched(docs, width), "sketches")
-    sets = rows.where("doc_id is not null and set_key is not null")
+    wide = staged(sketched(docs, width), "sketches")
+    sets = wide.where("doc_id is not null and set_key is not null")
     nodes = staged(sets.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    rows = staged(wide.drop("sketch"), "set-keys")
+    drop_staged(wide)
     index = staged(listed(nodes, 0, LISTED), "lists")
     counted = index.groupBy("value").agg(F.count(F.lit(1)).alias("refs"), F.min(F.struct("node", "n")).alias("hub")).where("refs > 1")
     counted = staged(counted, "list-sizes")
     stars = index.join(counted, "value").where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-    stars = staged(estimated(stars.where(_similar_sizes(percent)).select("a", "b").distinct(), nodes, percent), "stars")
-    found = staged(confirmed(stars, docs, nodes, width, percent), "star-links")
+    stars = staged(stars.where(_similar_sizes(percent)).select("a", "b").distinct(), "star-pairs")
+    stars = staged(estimated(stars, nodes, percent), "stars")
+    found = staged(confirmed(stars, docs, width, percent), "star-links")
     comps = staged(connected_components(found), "star-components").select(F.col("node").alias("c_node"), F.col("component").alias("comp"))
 
     def with_comp(frame: DataFrame) -> DataFrame:
@@ -208,18 +246,27 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     split = staged(labelled.join(mixed, "value"), "mixed-lists")
     pairs = _across(split.where(F.col("refs") <= SHORT), percent)
     hot = split.where(F.col("refs") > SHORT)
+    dense = None
     if hot.limit(1).count():
-        busy = staged(nodes.join(hot.select("node").distinct(), "node"), "busy-nodes")
+        busy = staged(_only(nodes, "node", staged(hot.select("node").distinct(), "busy-ids")), "busy-nodes")
         every = staged(listed(busy, 0, SKETCH), "busy-lists")
         sizes = staged(every.groupBy("value").agg(F.count(F.lit(1)).alias("refs")).where("refs > 1"), "busy-sizes")
-        pairs = pairs.union(_across(with_comp(every.join(sizes.where(F.col("refs") <= SHORT), "value")), percent))
         crowded = every.join(sizes.where(F.col("refs") > SHORT), "value")
         mostly = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("crowd"), F.first("n").alias("m")).where(F.col("crowd") >= F.least(F.lit(MOSTLY), F.floor(F.col("m") / 2))).select("node")
-        rest = with_comp(hot.select("value", "node").join(mostly, "node").join(busy, "node"))
+        mostly = staged(mostly, "mostly-busy")
+        # pairs among the mostly busy come from the blocks below
+        few = mostly.select(F.col("node").alias("m_node"))
+        loose = with_comp(every.join(sizes.where(F.col("refs") <= SHORT), "value")).join(few, F.col("node") == F.col("m_node"), "left").withColumn("c_busy", F.col("m_node").isNotNull())
+        pairs = pairs.union(_across(loose, percent, apart=True))
+        rest = with_comp(_only(hot.select("value", "node", "n"), "node", mostly))
         spread = rest.groupBy("value").agg(F.count(F.lit(1)).alias("refs"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("value", "refs")
-        pairs = pairs.union(_blocked(rest.join(spread, "value"), percent))
-    pairs = staged(estimated(pairs.distinct(), nodes, percent), "cross-pairs")
-    more = confirmed(pairs, docs, nodes, width, percent)
+        rest = rest.join(spread, "value").join(_whole(docs, mostly, width), "node")
+        dense = staged(_blocked(rest, percent).distinct(), "dense-links")
+    pairs = staged(pairs.distinct(), "cross-pairs")
+    pairs = staged(estimated(pairs, nodes, percent), "cross-estimates")
+    if dense is not None:
+        pairs = staged(pairs.union(dense).distinct(), "cross-links")
+    more = confirmed(pairs, docs, width, percent)
     return rows, nodes, staged(connected_components(found.union(more)), "components")
 
 
