@@ -34,9 +34,12 @@ LEAST, MOST, CUT_BITS = 1024, 16384, 12
 REACH = 32
 ZSTD_LEVEL = 9
 REFERENCES = 256
+#: The place of a key's readers after all of its chunks.
+READER = 2**31 - 1
 #: Bytes up to which the table of often listed digests is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 MAGIC = b"CDC1"
+SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4 << 20, 32768
 
 _GEAR = np.random.Generator(np.random.PCG64(20260101)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -84,13 +87,30 @@ def features(payload: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};zcr={crossings};bands={'/'.join(map(str, bands))}"
 
 
-def chunked(docs: DataFrame, frames: bool = True) -> DataFrame:
-    """One row per chunk of each distinct payload of a task: key (the payload's digest), seq, digest, n, and the frame if asked for."""
+def trained(docs: DataFrame) -> bytes:
+    """The dictionary of the store; empty where there is too little text to train one."""
+    import zstandard
+
+    pieces, size = [], 0
+    rows = docs.select(F.col("text").cast("string").alias("text")).limit(SAMPLE_ROWS).toArrow().column(0)
+    for text in rows:
+        data = utf8(text.as_py())
+        if size + len(data) <= SAMPLE_BYTES:
+            pieces += [data[i : i + 1024] for i in range(0, len(data), 1024)]
+            size += len(data)
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def chunked(docs: DataFrame, dictionary: bytes | None) -> DataFrame:
+    """One row per chunk of each distinct payload of a task: key (the payload's digest), seq, chunk, n, and the frame unless the dictionary is None."""
 
     def run(batches):
         import zstandard
 
-        pack, seen = zstandard.ZstdCompressor(level=ZSTD_LEVEL), set()
+        pack, seen = zstandard.ZstdCompressor(level=ZSTD_LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary or b"")), set()
         rows, size = [], 0
         names = ["key", "seq", "chunk", "n", "frame"]
         kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
@@ -104,7 +124,7 @@ def chunked(docs: DataFrame, frames: bool = True) -> DataFrame:
                 at = 0
                 for seq, end in enumerate(cuts(payload)):
                     part = payload[at:end]
-                    rows.append((key, seq, digest(part), len(part), pack.compress(part) if frames else None))
+                    rows.append((key, seq, digest(part), len(part), None if dictionary is None else pack.compress(part)))
                     size += len(part)
                     at = end
                 if size > 4 << 20:
@@ -122,21 +142,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(utf8(t)) for t in texts], pa.int64()), pa.array([digest(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "doc_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(utf8(t)) for t in texts], pa.int64()), pa.array([digest(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "key"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, doc_key binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, key binary")
 
 
-def rebuilt(lists: DataFrame) -> DataFrame:
-    """One row per payload from its chunks (key, seq, chunk, n, frame) in any order: what the read bytes give."""
+def rebuilt(lists: DataFrame, readers: DataFrame, dictionary: bytes) -> DataFrame:
+    """One row for each of ``readers`` (doc_id, n_bytes, key): what the bytes read from the chunks ``lists`` (key, seq, chunk, n, frame) give."""
 
     def run(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
-        key, parts = None, []
-        names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+        key, parts, found = None, [], None
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         out = []
 
         def done():
@@ -151,42 +171,46 @@ def rebuilt(lists: DataFrame) -> DataFrame:
                 raise ValueError(f"payload {key.hex()} does not match its digest")
             head = MAGIC + struct.pack("<QI", len(payload), len(parts)) + b"".join(c + struct.pack("<II", n, len(f)) for _, c, n, f in parts)
             media = head + b"".join(f for *_, f in parts)
-            return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(parts)
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(parts)
 
         def table():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(5))):
-                k, *part = (x.as_py() for x in row)
-                if k != key and parts:
-                    out.append(done())
-                    parts = []
-                    if len(out) >= 1000:
-                        yield table()
-                        out = []
-                key = k
-                parts.append(part)
-        if parts:
-            out.append(done())
+            for row in zip(*(batch.column(i) for i in range(7))):
+                k, seq, chunk, n, frame, doc_id, n_bytes = (x.as_py() for x in row)
+                if k != key:
+                    key, parts, found = k, [], None
+                if seq < READER:
+                    parts.append((seq, chunk, n, frame))
+                    continue
+                found = found or done()  # a key's chunks come before its readers
+                out.append((doc_id, n_bytes, *found))
+                if len(out) >= 1000:
+                    yield table()
+                    out = []
         if out:
             yield table()
 
-    ordered = lists.select("key", "seq", "chunk", "n", "frame").repartition("key").sortWithinPartitions("key", "seq")
-    return ordered.mapInArrow(run, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
+    none = F.lit(None)
+    asking = readers.select("key", F.lit(READER).alias("seq"), none.cast("binary").alias("chunk"), none.cast("int").alias("n"), none.cast("binary").alias("frame"), "doc_id", "n_bytes")
+    both = lists.select("key", "seq", "chunk", "n", "frame", none.cast("long").alias("doc_id"), none.cast("long").alias("n_bytes")).unionByName(asking)
+    return both.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(
+        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
+    )
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and, from the bytes read back, payload, medium and feature values for each row of ``docs``."""
-    lists = staged(chunked(docs, frames=False).select("key", "seq", "chunk", "n").dropDuplicates(["key", "seq"]), "chunk-lists")
+    dictionary = trained(docs)
+    lists = staged(chunked(docs, None).select("key", "seq", "chunk", "n").dropDuplicates(["key", "seq"]), "chunk-lists")
     hot = staged(lists.groupBy("chunk").agg(F.count(F.lit(1)).alias("refs")).where(F.col("refs") > REFERENCES).select(F.col("chunk").alias("h_chunk"), (F.col("refs") / REFERENCES).cast("int").alias("salts")), "hot-chunks")
     few = F.broadcast(hot) if hot.count() * 40 <= BROADCAST_BYTES else hot
     lists = lists.join(few, F.col("chunk") == F.col("h_chunk"), "left").drop("h_chunk")
-    store = chunked(docs).groupBy(F.col("chunk").alias("s_chunk")).agg(F.first("frame").alias("frame"))
+    store = chunked(docs, dictionary).groupBy(F.col("chunk").alias("s_chunk")).agg(F.first("frame").alias("frame"))
     cold = lists.where(F.col("salts").isNull()).join(store, F.col("chunk") == F.col("s_chunk"))
     copies = store.join(few, F.col("s_chunk") == F.col("h_chunk")).select("s_chunk", "frame", F.explode(F.sequence(F.lit(0), "salts")).alias("s_salt"))
     dealt = lists.where(F.col("salts").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("key", "seq"), F.col("salts") + 1).cast("int"))
     warm = dealt.join(copies, (F.col("chunk") == F.col("s_chunk")) & (F.col("salt") == F.col("s_salt")))
     names = ["key", "seq", "chunk", "n", "frame"]
-    payloads = rebuilt(cold.select(*names).unionByName(warm.select(*names)))
-    return keyed(docs).join(payloads, F.col("doc_key") == F.col("key"), "left").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks")
+    return rebuilt(cold.select(*names).unionByName(warm.select(*names)), keyed(docs), dictionary)
