@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import relational, retrieval  # noqa: F401  they register their queries
+from .operators import documents, relational, retrieval, scoring  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "V4_rrf_hybrid"
