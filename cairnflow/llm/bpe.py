@@ -36,7 +36,7 @@ BATCH_ROWS = 8192
 BATCH_CHARS = 24_000_000
 #: The cache of folded words: documents it is gathered from and words it holds at most.
 CACHE_DOCS = 16384
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 DEFAULT_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -82,8 +82,8 @@ def encode_word(word: Column, table: Column) -> Column:
         return F.element_at(F.get(table, (F.crc32(piece.cast("binary")) % MAPS).cast("int")), piece)
 
     # null on either side stands for the word's ends: no pair with it has a rank
-    nothing = F.lit(None).cast("string")
-    pieces = F.concat(F.array(nothing), F.split(word, ""), F.array(nothing))
+    nothing = F.array(F.lit(None).cast("string"))
+    pieces = F.concat(nothing, F.split(word, ""), nothing)
     start = F.transform(
         F.array(pieces),
         lambda p: F.struct(p.alias("p"), F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1)))).alias("r")),
@@ -99,7 +99,8 @@ def encode_word(word: Column, table: Column) -> Column:
                 F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.concat(F.get(p, at - 2), one)), rank(F.concat(one, F.get(p, at + 1)))), F.slice(r, at + 2, F.size(r))).alias("r"),
             )
 
-        return F.when(F.array_min(r).isNull(), acc).otherwise(F.get(F.transform(F.array(F.array_position(r, F.array_min(r)).cast("int")), merged), F.lit(0)))
+        least = F.array_min(r)
+        return F.when(least.isNull(), acc).otherwise(F.get(F.transform(F.array(F.array_position(r, least).cast("int")), merged), F.lit(0)))
 
     folded = F.aggregate(F.sequence(F.lit(2), F.length(word)), F.get(start, F.lit(0)), step, lambda acc: F.transform(F.slice(acc["p"], F.lit(2), F.size(acc["p"]) - 2), rank))
     whole = rank(word)
@@ -113,9 +114,19 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
 
 def _folded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``rows`` with word_ids and word_bytes, one element for each of ``words``, in their place."""
-    table, pieces = rank_map(ranks), piece_array(ranks)
-    rows = rows.withColumn("word_ids", F.transform("words", lambda w: encode_word(w, table))).drop("words")
-    return rows.withColumn("word_bytes", F.transform("word_ids", lambda ids: decode_ids(ids, pieces)))
+    # each literal is bound to a lambda variable, so that the plan holds it once
+    ids = F.transform(F.array(rank_map(ranks)), lambda table: F.transform("words", lambda w: encode_word(w, table)))
+    rows = rows.withColumn("word_ids", F.get(ids, F.lit(0))).drop("words")
+    decoded = F.transform(F.array(piece_array(ranks)), lambda pieces: F.transform("word_ids", lambda x: decode_ids(x, pieces)))
+    return rows.withColumn("word_bytes", F.get(decoded, F.lit(0)))
+
+
+class _Positions(dict):
+    """Words by position; a new word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def _byte_chars(word: str) -> str:
@@ -171,31 +182,26 @@ def encoded_batches(docs: DataFrame, path: str | None = None, pattern: str | Non
 
         match = regex.compile(pattern).findall
         known = cache.value[0]
-        common, base = known.get, len(known)
-        ids, ends, found, seen, chars = [], [0], [], {}, 0
+        ids, ends, found, seen, chars = [], [0], [], _Positions(known), 0
 
         def row():
+            new = list(seen)[len(known) :]
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([np.asarray(ends, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(found or [np.zeros(0, "<i4")]).tobytes()], pa.binary()), pa.array([[_byte_chars(w) for w in seen]], pa.list_(pa.string()))],
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([np.asarray(ends, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(found or [np.zeros(0, "<i4")]).tobytes()], pa.binary()), pa.array([[_byte_chars(w) for w in new]], pa.list_(pa.string()))],
                 ["doc_ids", "ends", "found", "words"],
             )
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                at = []
-                for w in match(text):
-                    n = common(w)
-                    if n is None:
-                        n = seen.setdefault(w, base + len(seen))
-                    at.append(n)
+                at = np.fromiter(map(seen.__getitem__, match(text)), "<i4")
                 ids.append(doc_id)
                 ends.append(ends[-1] + len(at))
-                found.append(np.asarray(at, "<i4"))
+                found.append(at)
                 chars += len(text)
                 if len(ids) >= BATCH_ROWS or chars >= BATCH_CHARS:
                     yield row()
-                    ids, ends, found, seen, chars = [], [0], [], {}, 0
+                    ids, ends, found, seen, chars = [], [0], [], _Positions(known), 0
         if ids:
             yield row()
 
@@ -237,13 +243,24 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (string) for each row of ``docs``."""
-
+    """doc_id, n_tokens, ids (array of int) and decoded_sha256 for each row of ``docs``."""
     encoded, cache = encoded_batches(docs, path, pattern)
 
+    def table(rows):
+        doc_ids, lists, digests_ = zip(*rows)
+        ends = np.cumsum([0, *map(len, lists)])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(ends), pa.int64()), ids, pa.array(digests_, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
     def run(batches):
+        rows = []
         for batch in batches:
-            for i, ids, decoded in _documents_of(batch, cache):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), pa.array([decoded.decode("utf-8", "replace")], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+            for doc_id, ids, decoded in _documents_of(batch, cache):
+                rows.append((doc_id, ids, hashlib.sha256(decoded).hexdigest()))
+                if len(rows) >= 500:
+                    yield table(rows)
+                    rows = []
+        if rows:
+            yield table(rows)
+
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
