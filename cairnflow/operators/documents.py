@@ -239,11 +239,11 @@ def weighted_fit(must: Column, may: Column, a: float = 0.7, b: float = 0.3) -> C
     return F.when(must.isNull(), may).when(may.isNull(), must).otherwise(F.round(a * must + b * may, 6))
 
 
-@query("M6_weighted_fit", "WITH x AS (SELECT user_id, round(avg(CASE WHEN event_type = 'purchase' THEN value / 100 END), 4) AS must, round(avg(CASE WHEN event_type = 'signup' THEN value / 100 END), 4) AS may FROM events GROUP BY user_id) SELECT user_id, CASE WHEN must IS NULL THEN may WHEN may IS NULL THEN must ELSE round(round(0.7::DOUBLE * must + 0.3::DOUBLE * may, 6), 4) END AS fit FROM x")
+@query("M6_weighted_fit", "WITH x AS (SELECT user_id, round(sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) END) / 10000.0::DOUBLE, 4) AS must, round(sum(CASE WHEN event_type = 'signup' THEN CAST(round(value * 100) AS BIGINT) END) / 10000.0::DOUBLE, 4) AS may FROM events GROUP BY user_id) SELECT user_id, CASE WHEN must IS NULL THEN may WHEN may IS NULL THEN must ELSE round(0.7::DOUBLE * must + 0.3::DOUBLE * may, 6) END AS fit FROM x")
 def _(t):
-    share = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value") / 100)), 4)
+    share = lambda kind: F.round(F.sum(F.when(F.col("event_type") == kind, F.round(F.col("value") * 100).cast("long"))) / F.lit(10000.0), 4)
     x = t.events.groupBy("user_id").agg(share("purchase").alias("must"), share("signup").alias("may"))
-    return x.select("user_id", F.round(weighted_fit(F.col("must"), F.col("may")), 4).alias("fit"))
+    return x.select("user_id", weighted_fit(F.col("must"), F.col("may")).alias("fit"))
 
 
 plain("M7_coverage_score", "SELECT o_custkey, round(CAST(0.7 AS DOUBLE) * avg(CASE WHEN o_orderstatus = 'F' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) + CAST(0.3 AS DOUBLE) * avg(CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS score FROM {orders} GROUP BY o_custkey")

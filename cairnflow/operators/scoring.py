@@ -192,7 +192,7 @@ def _(t):
     return named.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("c")), ",").alias("canonical"))
 
 
-plain("G3_gap_candidates", "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS phrase, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean, max(ts) AS last_at FROM {events} GROUP BY 1, 2")
+plain("G3_gap_candidates", "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS phrase, count(*) AS n, count(DISTINCT user_id) AS users, sum(CAST(round(value * 100) AS BIGINT)) AS cents, max(ts) AS last_at FROM {events} GROUP BY 1, 2")
 plain("G5_transfer_groups", "SELECT p_brand, count(DISTINCT p_name) AS members, min(p_type) AS basis FROM {part} GROUP BY p_brand")
 plain("G6_category_groups", "SELECT p_type, p_brand, count(*) AS n FROM {part} WHERE p_size > 10 GROUP BY p_type, p_brand HAVING count(*) >= 2")
 plain("G7_succession", "SELECT a.n_name AS predecessor, b.n_name AS successor FROM {nation} a JOIN {nation} b ON b.n_nationkey = a.n_nationkey + 1 AND a.n_regionkey <> b.n_regionkey")
@@ -233,7 +233,7 @@ plain("D2_evidence_quality", "SELECT l_suppkey, count(*) AS retrieved, count(*)
 plain("D3_skill_ledger", "SELECT p_name, status FROM (SELECT p_name, status, row_number() OVER (PARTITION BY p_name ORDER BY CASE status WHEN 'verified' THEN 0 WHEN 'gap' THEN 1 WHEN 'group' THEN 2 ELSE 3 END) AS rn FROM (SELECT DISTINCT p_name, CASE WHEN p_size > 47 THEN 'verified' WHEN p_size < 3 THEN 'gap' WHEN p_type = 'PROMO' THEN 'group' ELSE 'partial' END AS status FROM {part}) y) x WHERE rn = 1")
 plain("D4_gap_classes", "SELECT p_partkey, CASE WHEN d.l_partkey IS NOT NULL THEN 'direct_evidence' WHEN p_brand IN (SELECT p_brand FROM {part} WHERE p_size = 50) THEN 'transfer_convertible' ELSE 'honest_gap' END AS class FROM {part} LEFT JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_quantity >= 48) d ON p_partkey = d.l_partkey")
 plain("D5_concept_coverage", "SELECT v.c AS concept, CASE WHEN a.event_type IS NULL THEN 'unknown' WHEN b.event_type IS NULL THEN 'uncovered' ELSE 'covered' END AS state FROM (SELECT * FROM (VALUES ('click'), ('refund'), ('signup'), ('error')) AS x(c)) v LEFT JOIN (SELECT DISTINCT event_type FROM {events}) a ON v.c = a.event_type LEFT JOIN (SELECT DISTINCT event_type FROM {events} WHERE value > 50 AND event_type <> 'error') b ON v.c = b.event_type")
-plain("D6_contradictions", "SELECT a.l_suppkey, a.p_name FROM (SELECT DISTINCT l_suppkey, p_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity > 49) a WHERE EXISTS (SELECT 1 FROM {lineitem} s WHERE s.l_suppkey = a.l_suppkey AND s.l_returnflag = 'R' AND s.l_quantity < 2) AND NOT EXISTS (SELECT 1 FROM {lineitem} c WHERE c.l_suppkey = a.l_suppkey AND c.l_quantity = 49)")
+plain("D6_contradictions", "SELECT a.l_suppkey, a.p_name FROM (SELECT DISTINCT l_suppkey, p_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity > 49) a WHERE EXISTS (SELECT 1 FROM {lineitem} s WHERE s.l_suppkey = a.l_suppkey AND s.l_returnflag = 'R' AND s.l_quantity < 2) AND NOT EXISTS (SELECT 1 FROM {lineitem} c WHERE c.l_suppkey = a.l_suppkey AND c.l_quantity = 49 AND c.l_linenumber = 7)")
 plain("D8_source_lanes", "SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 'repo' WHEN url LIKE '%/fr/%' THEN 'project' WHEN url LIKE '%?%' THEN 'career' ELSE 'none' END AS lane FROM {pages}")
 plain("D10_best_row", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_size NULLS LAST, p_partkey) AS rn FROM {part}) x WHERE rn = 1")
 plain("D11_token_budget", "SELECT conv_id, turn, used FROM (SELECT conv_id, turn, sum(CAST(ceil(length(text) / CAST(4 AS DOUBLE)) AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {conversations}) x WHERE used <= 400")
