@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from .operators import documents, relational, retrieval, scoring  # noqa: F401  they register their queries
+from .operators import documents, procedural, relational, retrieval, scoring  # noqa: F401  they register their queries
+from .plans import flows  # noqa: F401
 from .registry import ORACLES, QUERIES
+from .sources import readers  # noqa: F401
+from .streaming import state  # noqa: F401
 
 FLAGSHIP = "V4_rrf_hybrid"
 
