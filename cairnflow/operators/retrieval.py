@@ -147,11 +147,11 @@ def _(t):
     return t.documents.select("doc_id", (F.col("n_chars") * role_weight(F.col("lang"))).alias("weighted"))
 
 
-@query("V7_profile_layer", f"SELECT e.vec_id, round({_VECTOR} * 1.5 * (1 + 0.1 * ((e.label % 2) + CASE WHEN e.vec_id % 3 = 0 THEN 1 ELSE 0 END)), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 AND e.label < 5")
+@query("V7_profile_layer", f"SELECT e.vec_id, round({_VECTOR} * 1.5 * (1 + 0.1 * ((e.label % 2) + CASE WHEN e.vec_id % 3 = 0 THEN 1 ELSE 0 END)), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 AND e.label < 5")
 def _(t):
     q = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("q"))
     signals = (F.col("label") % 2) + F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0)
-    return t.embeddings.where("label < 5").join(F.broadcast(q), F.size("embedding") == F.size("q")).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")) * 1.5 * (1 + 0.1 * signals), 5).alias("score"))
+    return t.embeddings.where("label < 5").join(F.broadcast(q), F.size("embedding") == F.size("q")).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")) * 1.5 * (1 + 0.1 * signals), 9).alias("score"))
 
 
 @query(
