@@ -62,7 +62,7 @@ def _drawn(rows: DataFrame, quota: DataFrame) -> DataFrame:
     bins = bins.join(quota, bins["source"].eqNullSafe(quota["q_source"])).drop("q_source")
     bins = bins.withColumnRenamed("source", "b_source").withColumnRenamed("bin", "b_bin")
     rows = rows.join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin"))).drop("b_source", "b_bin")
-    p = F.col("quota") / F.col("total")
+    p = F.try_divide(F.col("quota"), F.col("total"))
     odds = (F.col("u") / (1 - F.col("u"))) / F.when((p > 0) & (p < 1), p / (1 - p)).otherwise(F.lit(1.0))
     inside = W.partitionBy("source", "bin").orderBy("odds", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, most: int = MOS
     long = sized.where(F.col("size") >= LONG)
     short = sized.where(F.col("size") < LONG)
     long_size = long.groupBy("source").agg(F.sum("size").alias("total")).withColumnRenamed("source", "q_source")
-    long_quota = long_size.join(goal, F.col("q_source").eqNullSafe(goal["source"])).select("q_source", (F.col("missing") * F.col("total") / F.col("source_size")).alias("quota"), "total")
+    long_quota = long_size.join(goal, F.col("q_source").eqNullSafe(goal["source"])).select("q_source", F.coalesce(F.try_divide(F.col("missing") * F.col("total"), F.col("source_size")), F.lit(0.0)).alias("quota"), "total")
     long_drawn = staged(_drawn(long, long_quota), "mix-long")
     taken = long_drawn.groupBy("source").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("got")).withColumnRenamed("source", "g_source")
     short_size = short.groupBy("source").agg(F.sum("size").alias("total")).withColumnRenamed("source", "q_source")
