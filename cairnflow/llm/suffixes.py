@@ -31,6 +31,9 @@ LENGTH = 50
 GRAM = 22
 _U = np.uint64
 NOBODY = 2**63 - 1
+#: Bytes of runs whose suffixes are sorted together; a bucket is cut into parts of about this size by further bits of the anchor.
+SORTED_BYTES = 1 << 19
+PART_BITS = 16
 
 
 def _smallest(h: np.ndarray, width: int) -> np.ndarray:
@@ -286,7 +289,7 @@ def _distinct(runs: Runs, buckets: int):
     return first, of, np.searchsorted(bucket[new], np.arange(buckets + 1).astype(_U))
 
 
-def smallest_owners(table: DataFrame, anchors: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
+def smallest_owners(table: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
     """(unit, bucket, said): for each string of each distinct run of a unit, the smallest doc_id that it starts in."""
 
     def ask(batches):
@@ -294,19 +297,21 @@ def smallest_owners(table: DataFrame, anchors: DataFrame, anchor_buckets: int, b
 
         pack = zstandard.ZstdCompressor(level=3)
         for unit, held in _grouped_rows(batches):
-            ids, _, texts, runs, _ = _candidates(held, anchor_buckets)
+            ids, _, texts, runs, _ = _candidates(held, buckets)
             if not len(runs.anchor):
                 continue
             first, of, cuts = _distinct(runs, buckets)
             least = np.full(len(first), NOBODY)
             np.minimum.at(least, of, ids[runs.text])
             strings = [texts[t][s : s + m + LENGTH - 1] for t, s, m in zip(runs.text[first].tolist(), runs.start[first].tolist(), runs.many[first].tolist())]
+            low = _U(64 - (buckets.bit_length() - 1) - PART_BITS)
+            part = (runs.anchor[first] >> low & _U((1 << PART_BITS) - 1)).astype("<u2")
             rows = [
-                (k, unit, _packed(runs.many[first[a:b]].astype("<u4")), pack.compress(b"".join(strings[a:b])), _packed(least[a:b].astype("<i8")), runs.content[first[a:b]].tobytes())
+                (k, unit, _packed(runs.many[first[a:b]].astype("<u4")), pack.compress(b"".join(strings[a:b])), _packed(least[a:b].astype("<i8")), runs.content[first[a:b]].tobytes(), part[a:b].tobytes())
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
                 if a < b
             ]
-            yield _table(rows, ["bucket", "unit", "many", "strings", "least", "content"], [pa.int32(), pa.int64()] + [pa.binary()] * 4)
+            yield _table(rows, ["bucket", "unit", "many", "strings", "least", "content", "part"], [pa.int32(), pa.int64()] + [pa.binary()] * 5)
 
     def answer(batches):
         import zstandard
@@ -319,20 +324,28 @@ def smallest_owners(table: DataFrame, anchors: DataFrame, anchor_buckets: int, b
             _, first, of = np.unique(content, return_index=True, return_inverse=True)
             owner = np.full(len(first), NOBODY)
             np.minimum.at(owner, of, least)
+            part = np.concatenate([np.frombuffer(r[6], "<u2") for r in held])[first].astype(np.int64)
             raw = [unpack.decompress(r[3]) for r in held]
             ends = [np.cumsum(m + LENGTH - 1) for m in many]
             base = np.cumsum([0, *map(len, many)])
             row = np.searchsorted(base, first, "right") - 1
-            strings = []
-            for f, r in zip(first.tolist(), row.tolist()):
-                i = f - base[r]
-                strings.append(raw[r][ends[r][i - 1] if i else 0 : ends[r][i]])
-            found = repeated(strings, owner)
+            # equal strings have equal anchors, so parts by anchor are sorted one after the other
+            parts = int(np.concatenate(many)[first].sum() + len(first) * (LENGTH - 1)) // SORTED_BYTES + 1
+            part = part * parts >> PART_BITS
+            found: list[np.ndarray] = [None] * len(first)
+            for mine in np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))[:-1]):
+                strings = []
+                for f, r in zip(first[mine].tolist(), row[mine].tolist()):
+                    i = f - base[r]
+                    strings.append(raw[r][ends[r][i - 1] if i else 0 : ends[r][i]])
+                if strings:
+                    for at, x in zip(mine.tolist(), repeated(strings, owner[mine])):
+                        found[at] = x
             for k, r in enumerate(held):
                 mine = [found[c] for c in of[base[k] : base[k + 1]]]
                 yield _table([(r[1], bucket, _packed(np.concatenate(mine).astype("<i8")))], ["unit", "bucket", "said"], [pa.int64(), pa.int32(), pa.binary()])
 
-    asked = _with_replies(table, anchors).mapInArrow(ask, "bucket int, unit long, many binary, strings binary, least binary, content binary")
+    asked = _with_replies(table, anchors).mapInArrow(ask, "bucket int, unit long, many binary, strings binary, least binary, content binary, part binary")
     return asked.repartition("bucket").sortWithinPartitions("bucket", "unit").mapInArrow(answer, "unit long, bucket int, said binary")
 
 
@@ -340,9 +353,8 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes) for each row of ``docs``."""
     table = staged(units(docs), "suffix-units")
     buckets = 1 << int(np.clip(table.select("unit").count(), LEAST_BUCKETS, MOST_BUCKETS) - 1).bit_length()
-    run_buckets = min(2 * buckets, MOST_BUCKETS)
     anchors = staged(shared_anchors(table, buckets), "suffix-anchors")
-    owners = staged(smallest_owners(table, anchors, buckets, run_buckets), "suffix-owners")
+    owners = staged(smallest_owners(table, anchors, buckets), "suffix-owners")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
 
@@ -351,7 +363,7 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             ids, known, texts, runs, said = _candidates(held, buckets)
             spans: dict[int, list[tuple[int, int]]] = {}
             if len(runs.anchor):
-                first, of, cuts = _distinct(runs, run_buckets)
+                first, of, cuts = _distinct(runs, buckets)
                 replies = {r[1]: r[7] for r in said}
                 owner = np.concatenate([_unpacked(replies[k], "<i8") for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
                 at = np.cumsum(runs.many[first]) - runs.many[first]
