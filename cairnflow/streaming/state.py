@@ -105,7 +105,7 @@ def stream_windows(stream: DataFrame, ts: str, width: str, keys: list[str], late
 
 
 def stream_cooldown(stream: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """X5 on a stream: (key, ts) of rows more than ``minutes`` after the key's row before; state expires after that time."""
+    """X5 on a stream: (key, ts) of rows more than ``minutes`` after the key's row before; state expires when the watermark has passed that time."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -119,8 +119,8 @@ def stream_cooldown(stream: DataFrame, key: str, ts: str, minutes: int) -> DataF
                 out.append(now)
             last = now
         state.update((last.to_pydatetime(),))
-        state.setTimeoutDuration(minutes * 60_000)
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", f"last timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark(ts, f"{minutes} minutes").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
