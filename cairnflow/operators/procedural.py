@@ -150,10 +150,12 @@ def code_chunks(text: str, python: bool = False) -> list[tuple[int, int, int, li
         cut.append(part)
     packed: list[list[int]] = []
     for u in cut:
-        if packed and size(packed[-1]) + size(u) <= CODE_CHARS or packed and size(u) < CODE_TAIL:
+        if packed and size(packed[-1]) + size(u) <= CODE_CHARS:
             packed[-1] = packed[-1] + u
         else:
             packed.append(list(u))
+    if len(packed) > 1 and size(packed[-1]) < CODE_TAIL:
+        packed[-2:] = [packed[-2] + packed[-1]]
     out = []
     for u in packed:
         code = "\n".join(lines[i] for i in u)
