@@ -126,8 +126,8 @@ def suffix_ranks(text: np.ndarray, span: int) -> np.ndarray:
     zero = np.arange(0, n, 3)
     # the remaining suffixes by their first symbol and the rank behind it
     zero_key = t[zero] * top + rank[zero + 1]
-    zero_order = np.argsort(zero_key, kind="stable")
-    sample_order = np.argsort(ranks, kind="stable")
+    zero_order = np.argsort(zero_key)
+    sample_order = np.argsort(ranks)
     place = np.zeros(n, np.int64)
     place[sample[sample_order]] = np.arange(len(sample))
     place[zero[zero_order]] = np.arange(len(zero))
@@ -136,12 +136,14 @@ def suffix_ranks(text: np.ndarray, span: int) -> np.ndarray:
     one_key = t[one] * top + rank[one + 1]
     pair = _named(np.r_[t[two] * width + t[two + 1], t[zero] * width + t[zero + 1]])
     two_key, zero_two_key = pair[: len(two)] * top + rank[two + 2], pair[len(two) :] * top + rank[zero + 2]
+    # both sides are searched in their order, which keeps to the cache
     for keys, zeros, members in ((one_key, zero_key, one), (two_key, zero_two_key, two)):
-        by = np.sort(keys)
-        place[zero] += np.searchsorted(by, zeros, "left")
-        place[members] += np.searchsorted(np.sort(zeros), keys, "right")
+        by_key, by_zero = np.argsort(keys), np.argsort(zeros)
+        sorted_keys, sorted_zeros = keys[by_key], zeros[by_zero]
+        place[zero[by_zero]] += np.searchsorted(sorted_keys, sorted_zeros, "left")
+        place[members[by_key]] += np.searchsorted(sorted_zeros, sorted_keys, "right")
     out = np.empty(n, np.int64)
-    out[np.argsort(place, kind="stable")] = np.arange(n)
+    out[np.argsort(place)] = np.arange(n)
     return out
 
 
