@@ -34,9 +34,11 @@ from .common import utf8
 MAPS = 16384
 BATCH_ROWS = 8192
 BATCH_CHARS = 24_000_000
+#: The same where ids are returned and not only digested: smaller batches leave a worker more memory and fold more words.
+IDS_CHARS = 3_000_000
 #: The cache of folded words: documents it is gathered from and words it holds at most.
 CACHE_DOCS = 16384
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 DEFAULT_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -170,7 +172,7 @@ def cached_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str):
     return docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(raw)}, np.concatenate(lengths or none), np.concatenate(ids or none).astype("<u4"), decoded))
 
 
-def encoded_batches(docs: DataFrame, path: str | None = None, pattern: str | None = None):
+def encoded_batches(docs: DataFrame, path: str | None = None, pattern: str | None = None, most_chars: int = BATCH_CHARS):
     """One row per batch (doc_ids, the words of each document as positions, ids and decoded bytes by word), and the cache
     whose words hold the first positions."""
     pattern = pattern or default_pattern()
@@ -180,6 +182,7 @@ def encoded_batches(docs: DataFrame, path: str | None = None, pattern: str | Non
     def cut(batches):
         import regex
 
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
         match = regex.compile(pattern).findall
         known = cache.value[0]
         ids, ends, found, seen, chars = [], [0], [], _Positions(known), 0
@@ -199,7 +202,7 @@ def encoded_batches(docs: DataFrame, path: str | None = None, pattern: str | Non
                 ends.append(ends[-1] + len(at))
                 found.append(at)
                 chars += len(text)
-                if len(ids) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                if len(ids) >= BATCH_ROWS or chars >= most_chars:
                     yield row()
                     ids, ends, found, seen, chars = [], [0], [], _Positions(known), 0
         if ids:
@@ -244,7 +247,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decoded_sha256 for each row of ``docs``."""
-    encoded, cache = encoded_batches(docs, path, pattern)
+    encoded, cache = encoded_batches(docs, path, pattern, IDS_CHARS)
 
     def table(rows):
         doc_ids, lists, digests_ = zip(*rows)
@@ -253,11 +256,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(ends), pa.int64()), ids, pa.array(digests_, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         rows = []
         for batch in batches:
             for doc_id, ids, decoded in _documents_of(batch, cache):
                 rows.append((doc_id, ids, hashlib.sha256(decoded).hexdigest()))
-                if len(rows) >= 500:
+                if len(rows) >= 200:
                     yield table(rows)
                     rows = []
         if rows:
