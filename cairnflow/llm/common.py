@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -33,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, partitions_hint: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; later uses do not recompute it and survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
@@ -72,8 +71,3 @@ def split_batch(batch, rows: int = BATCH_ROWS):
     """Slices of an Arrow batch of at most ``rows`` rows."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
-
-
-def importable() -> str:
-    """The folder that holds this package, for workers that are started elsewhere."""
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
