@@ -15,6 +15,7 @@ and only the bins are sorted.
 
 Defined results: a null text has size 0 and takes 0 words; an empty table gives an empty mix; equal rows have equal
 random numbers, and any order among them gives the same set of results; u depends on doc_id and seed alone, so reruns agree.
+With a ``key`` (a column that tells rows apart) it comes with every row, and u of a row without a doc_id depends on its text instead.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
     return per.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(water * F.col("weight")).alias("target"))
 
 
-def _drawn(rows: DataFrame, quota: DataFrame) -> DataFrame:
-    """Marks with ``drawn`` the rows (source, u, odds order, size) that fill each source's ``quota`` words of ``total``."""
+def _drawn(rows: DataFrame, quota: DataFrame, key: list[str]) -> DataFrame:
+    """Marks with ``drawn`` the rows (source, u, odds order, size, key) that fill each source's ``quota`` words of ``total``."""
     rows = rows.withColumn("bin", F.floor(F.col("u") * BINS))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
@@ -64,15 +65,18 @@ def _drawn(rows: DataFrame, quota: DataFrame) -> DataFrame:
     rows = rows.join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin"))).drop("b_source", "b_bin")
     p = F.try_divide(F.col("quota"), F.col("total"))
     odds = (F.col("u") / (1 - F.col("u"))) / F.when((p > 0) & (p < 1), p / (1 - p)).otherwise(F.lit(1.0))
-    inside = W.partitionBy("source", "bin").orderBy("odds", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bin").orderBy("odds", "size", "doc_id", *key).rowsBetween(W.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     return rows.withColumn("odds", odds).withColumn("drawn", (F.col("quota") > 0) & (ahead + F.col("size") / 2.0 <= F.col("quota"))).drop("bin", "before", "quota", "total", "odds")
 
 
-def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source)."""
+def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and any ``key`` for every row of ``docs`` (doc_id, text, source, key)."""
+    keys = [key] if key else []
+    said = F.col("doc_id").cast("long").cast("string")
+    said = F.coalesce(said, F.md5(F.col("text").cast("string"))) if key else said
     sized = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")).withColumn("u", unit_hash("doc_id", seed=seed)),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), unit_hash(said, seed=seed).alias("u"), *keys),
         "mix-sizes",
     )
     goal = staged(targets(sized, share, most, weights), "mix-targets")
@@ -83,7 +87,7 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, most: int = MOS
     short = sized.where(F.col("size") < LONG)
     long_size = long.groupBy("source").agg(F.sum("size").alias("total")).withColumnRenamed("source", "q_source")
     long_quota = long_size.join(goal, F.col("q_source").eqNullSafe(goal["source"])).select("q_source", F.coalesce(F.try_divide(F.col("missing") * F.col("total"), F.col("source_size")), F.lit(0.0)).alias("quota"), "total")
-    long_drawn = staged(_drawn(long, long_quota), "mix-long")
+    long_drawn = staged(_drawn(long, long_quota, keys), "mix-long")
     taken = long_drawn.groupBy("source").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("got")).withColumnRenamed("source", "g_source")
     short_size = short.groupBy("source").agg(F.sum("size").alias("total")).withColumnRenamed("source", "q_source")
     short_quota = (
@@ -91,9 +95,9 @@ def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, most: int = MOS
         .join(taken, F.col("q_source").eqNullSafe(F.col("g_source")), "left")
         .select("q_source", F.greatest(F.col("missing") - F.coalesce(F.col("got"), F.lit(0)), F.lit(0.0)).alias("quota"), "total")
     )
-    drawn = long_drawn.unionByName(_drawn(short, short_quota))
+    drawn = long_drawn.unionByName(_drawn(short, short_quota, keys))
     goal = goal.withColumnRenamed("source", "t_source")
     copies = F.col("whole") + F.col("drawn").cast("long")
     return drawn.join(goal, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *keys
     )

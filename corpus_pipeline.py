@@ -48,9 +48,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that share a doc_id are taken equally often."""
-    copies = mixing.mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("mixed_id_")).agg(F.min("copies").cast("int").alias("copies_"))
-    taken = docs.join(copies.where("copies_ > 0"), F.col("doc_id").eqNullSafe(F.col("mixed_id_")))
+    """Each row as often as the mix takes it, by a key written with the rows; a doc_id may be null or shared."""
+    keyed = staged(docs.withColumn("row_", F.monotonically_increasing_id()), "mix-rows")
+    copies = mixing.mix(keyed.select("row_", "doc_id", "text", "source"), key="row_").select("row_", F.col("copies").cast("int").alias("copies_"))
+    taken = keyed.join(copies.where("copies_ > 0"), "row_")
     return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
 
 

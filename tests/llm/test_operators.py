@@ -284,6 +284,24 @@ def test_mixing(docs, rows):
     assert sorted(str((r.doc_id, r.taken)) for r in again) == sorted(str((r.doc_id, r.taken)) for r in found)
 
 
+def test_mix_keeps_rows_without_ids(spark, data):
+    r = random.Random(11)
+    rows = [(i if i % 3 else None, " ".join(f"w{i}x{j}" for j in range(r.randint(5, 60))), "en", f"s{i % 4}", 0) for i in range(1200)]
+    mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), data).collect()
+    size, taken, bare = Counter(), Counter(), Counter()
+    for _, text, _, source, _ in rows:
+        size[source] += len(text.split())
+    for m in mixed:
+        taken[m.source] += len(m.text.split())
+        bare[m.source] += m.doc_id is None
+    goal = {g.source: g.target for g in mixing.targets(spark.createDataFrame(list(size.items()), "source string, size long")).collect()}
+    assert any(goal[s] < size[s] for s in goal)
+    for s in goal:
+        assert abs(taken[s] - goal[s]) <= 60
+        assert 0.2 < bare[s] / sum(m.source == s for m in mixed) < 0.47
+    assert max(Counter(m.text for m in mixed).values()) <= mixing.MOST
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, data, name):
     con = duckdb.connect()
