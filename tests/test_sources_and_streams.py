@@ -1,3 +1,4 @@
+import random
 import io
 import tarfile
 import zipfile
@@ -64,6 +65,14 @@ def test_components(spark):
     assert found[5] == 3 and found[9] == 8 and found[7] == 7 and found[60] == 20
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    ids = list(range(1000, 2000))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    found = connected_components(edges, "a", "b").collect()
+    assert {r.node for r in found} == set(ids) and {r.component for r in found} == {1000}
+
+
 @pytest.fixture()
 def events(spark, data, tmp_path):
     rows = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
