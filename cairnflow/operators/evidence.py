@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import stem, tokens
+from ..llm.common import staged
 from ..registry import plain, query
 from . import procedural as P
 
@@ -35,13 +36,33 @@ def _(t):
 plain("V13_prefilter", "SELECT DISTINCT b.p_name AS term FROM (SELECT DISTINCT p_brand FROM {part} WHERE p_size = 50) a JOIN {part} b ON a.p_brand = b.p_brand WHERE b.p_size > 40")
 
 
+def merged_pairs(pairs: DataFrame, curated: set[int], auto: float, floor: float) -> DataFrame:
+    """(i, j, kept, other, verdict) of similar pairs (i, j, similarity) in the order of i, j, as ``procedural.greedy_merge`` has them.
+
+    Pairs at ``auto`` pass through the driver one by one, which holds the merged ids alone; reviews are joined with them."""
+    spark = pairs.sparkSession
+    pairs = staged(pairs.where(F.col("similarity") >= floor).select("i", "j", (F.col("similarity") >= auto).alias("sure")), "similar-pairs")
+    gone: set[int] = set()
+    merges = []
+    for r in pairs.where("sure").select("i", "j").orderBy("i", "j").toLocalIterator():
+        if r.i not in gone and r.j not in gone:
+            keep, drop = (r.j, r.i) if r.j in curated and r.i not in curated else (r.i, r.j)
+            gone.add(drop)
+            merges.append((r.i, r.j, keep, drop))
+    merged = spark.createDataFrame(merges, "i long, j long, kept long, other long")
+    at = lambda k: merged.select(F.col("other").alias(k), F.struct("i", "j").alias(f"{k}_gone"))
+    left = pairs.where("not sure").select("i", "j").join(at("i"), "i", "left").join(at("j"), "j", "left")
+    here = F.struct("i", "j")
+    left = left.where((F.col("i_gone").isNull() | (here < F.col("i_gone"))) & (F.col("j_gone").isNull() | (here < F.col("j_gone"))))
+    return merged.withColumn("verdict", F.lit("merge")).unionByName(left.select("i", "j", F.col("i").alias("kept"), F.col("j").alias("other"), F.lit("review").alias("verdict")))
+
+
 @query("V19_greedy_merge")
 def _(t):
-    from .retrieval import corpora, similar_pairs
+    from .retrieval import corpora, pairs_at_least
 
-    pairs = similar_pairs(corpora(t)[0].where("id < 120"), 0.2, 64)  # at most 64 rows
-    merges, reviews = P.greedy_merge([(f"{r.i:04d}", f"{r.j:04d}", r.similarity) for r in pairs.collect()], {"0007"}, 0.3, 0.2)
-    return t.spark.createDataFrame([(a, b, "merge") for a, b in merges] + [(a, b, "review") for a, b in reviews], "kept string, other string, verdict string")
+    name = lambda k: F.format_string("%04d", k)
+    return merged_pairs(pairs_at_least(corpora(t)[0], 0.2), {7}, 0.3, 0.2).select(name("kept").alias("kept"), name("other").alias("other"), "verdict")
 
 
 @query(

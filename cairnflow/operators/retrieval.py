@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import escaped, tokens
 from ..functions.vector import cosine
+from ..llm.common import staged
 from ..registry import plain, query
 
 RRF_K = 60
@@ -257,6 +258,62 @@ def _(t):
     return nearest(corpora(t)[0], canon, 0.2)
 
 
+#: Vectors in one block of an all-pairs comparison, of which a task multiplies a strip at a time, and block pairs in one task.
+PAIR_BLOCK, STRIP, PAIRS_A_TASK = 4096, 512, 4
+#: How far a matrix product may be off before the cosine summed in the order of ``cosine`` decides.
+MARGIN = 1e-5
+
+
+def _close_blocks(least: float):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def summed(x, y):
+            total = np.zeros(len(x))
+            for k in range(x.shape[1]):
+                total += x[:, k] * y[:, k]
+            return total
+
+        def read(vectors, size):
+            m = vectors.values.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size)
+            n = np.sqrt(summed(m, m))
+            return m, n, m / np.where(n == 0, 1.0, n)[:, None]
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                size, same = batch["size"][r].as_py(), batch["same"][r].as_py()
+                a, b = (batch[k][r].values.to_numpy() for k in ("a_ids", "b_ids"))
+                (m, m_norm, m_unit), (v, v_norm, v_unit) = (read(batch[k][r], size) for k in ("a_vectors", "b_vectors"))
+                for at in range(0, len(a), STRIP):
+                    x, y = np.nonzero(~(m_unit[at : at + STRIP] @ v_unit.T < least - MARGIN))
+                    x += at
+                    keep = (a[x] < b[y]) if same else (a[x] != b[y])
+                    x, y = x[keep], y[keep]
+                    ratio = summed(m[x], v[y]) / (m_norm[x] * v_norm[y])
+                    yield pa.record_batch({"i": np.minimum(a[x], b[y]), "j": np.maximum(a[x], b[y]), "ratio": ratio})
+
+    return run
+
+
+def pairs_at_least(rows: DataFrame, least: float) -> DataFrame:
+    """i < j, similarity of every pair of (id: long, embedding), ids being unique, whose cosine is at least ``least`` (above 0).
+
+    Blocks of vectors are compared by matrix products; the cosine in its own order of sums decides on the pairs these propose."""
+    if least <= MARGIN:
+        raise ValueError("least must be above 0")
+    rows = rows.where("id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)").select(F.col("id").cast("long").alias("id"), "embedding")
+    number = max(1, -(-rows.count() // PAIR_BLOCK))
+    held = rows.groupBy(F.size("embedding").alias("size"), F.pmod(F.xxhash64("id"), F.lit(number)).alias("block")).agg(F.collect_list(F.struct("id", "embedding")).alias("r"))
+    held = staged(held.select("size", "block", F.transform("r", lambda v: v["id"]).alias("ids"), F.flatten(F.transform("r", lambda v: v["embedding"])).alias("vectors")), "pair-blocks")
+    named = lambda k: held.select("size", F.col("block").alias(k), F.col("ids").alias(f"{k}_ids"), F.col("vectors").alias(f"{k}_vectors"))
+    keys = held.select("size", F.col("block").alias("a")).join(held.select("size", F.col("block").alias("b")), "size").where("a <= b")
+    tasks = max(1, number * (number + 1) // 2 // PAIRS_A_TASK)
+    both = keys.join(named("a"), ["size", "a"]).join(named("b"), ["size", "b"]).withColumn("same", F.col("a") == F.col("b")).repartition(tasks, "a", "b")
+    near = both.select("size", "same", "a_ids", "a_vectors", "b_ids", "b_vectors").mapInArrow(_close_blocks(least), "i long, j long, ratio double")
+    return near.select("i", "j", F.round("ratio", 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def similar_pairs(rows: DataFrame, least: float, most: int) -> DataFrame:
     """The ``most`` most similar pairs i < j at ``least`` of a small table (id, embedding), such as a user's repositories."""
     a, b = rows.select(F.col("id").alias("i"), F.col("embedding").alias("x")), rows.select(F.col("id").alias("j"), F.col("embedding").alias("y"))
