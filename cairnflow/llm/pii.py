@@ -101,7 +101,7 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         yield from (("secret", m.start(1), m.end(1)) for m in SECRET.finditer(text))
         return
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
             yield "ip", m.start(), m.end()
     for m in CARD.finditer(text):
         digits = NOT_DIGITS.sub("", m[0])
@@ -154,12 +154,12 @@ def mask(text: str | None, least: float = 0.5) -> str | None:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, counts by base kind, a digest of the base spans, all spans and their scores."""
+    """One row per row of ``docs``: the id, counts by base kind, a digest of the base spans, all spans, their scores and their number."""
 
     def run(batches):
         for big in batches:
             for batch in split_batch(big):
-                out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores")}
+                out: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores", "n_spans")}
                 for text in batch.column(1).to_pylist():
                     spans = find(text)
                     said = [f"{s.kind}:{s.start}:{s.end}" for s in spans]
@@ -169,10 +169,11 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                     out["base_sha256"].append(hashlib.sha256(",".join(base).encode()).hexdigest())
                     out["spans"].append(",".join(said))
                     out["scores"].append(",".join(f"{s.score:.2f}" for s in spans))
+                    out["n_spans"].append(len(spans))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if k[:2] == "n_" else pa.string()) for k, v in out.items())], ["doc_id", *out])
 
     return docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"cast(`{text_column}` as string) text").mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string, n_spans long"
     )
 
 
