@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import stem, tokens
-from ..llm.common import staged
 from ..registry import plain, query
+from ..staging import staged
 from . import procedural as P
 
 # -- joins and retrieval ----------------------------------------------------------

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import escaped, tokens
 from ..functions.vector import cosine
-from ..llm.common import staged
 from ..registry import plain, query
+from ..staging import staged
 
 RRF_K = 60
 FLOOR = 0.2
