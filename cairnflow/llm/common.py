@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..staging import drop_staged, shared_dir, staged  # noqa: F401
+
 #: Rows in one Arrow batch that an operator takes at a time, which bounds a Python worker's memory.
 BATCH_ROWS = 1000
 
@@ -23,34 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset (as in tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cairnflow-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; later uses do not recompute it and survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cairnflow_path = path
-    return out
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    path = getattr(df, "_cairnflow_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def utf8(text: str | None) -> bytes:
     """A text's UTF-8 bytes; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.graphs import connected_components
 from .common import drop_staged, split_batch, staged, utf8
-from .components import connected_components
 from .shingles import LOWER, shingle_sets
 
 WIDTH = 5

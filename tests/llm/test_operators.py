@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cairnflow.llm import bpe, components, fingerprints, licenses, lm, media, mixing, neardup, pii, quality, queries, suffixes
+from cairnflow.llm import bpe, fingerprints, licenses, lm, media, mixing, neardup, pii, quality, queries, suffixes
 from cairnflow.llm.eliasfano import EliasFano, Trie
+from cairnflow.operators.graphs import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -193,7 +194,7 @@ def test_near_duplicates(docs, rows, monkeypatch, short):
 
 def test_star_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(3, 3), (5, 4), (4, 5)], "a long, b long")
-    found = {r.node: r.component for r in components.connected_components(edges).collect()}
+    found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found[3] == 3 and found[5] == 4 and {found[i] for i in range(10, 41)} == {10}
 
 
