@@ -4,18 +4,21 @@ A document's size is its number of words. Sources in code-point order (null last
 They share ``share`` (150 %) of all sizes by weight; no target passes ``most`` (2) times its source's size, and what
 is cut is shared again by weight among the rest (in closed form: sources in the order of cap over weight).
 
-A source whose target is r times its size takes floor(r) whole copies of each document for certain. The rest is
-a sample of fixed size in words without replacement: documents in the order of (u / (1 - u)) / (p / (1 - p)), u their
-random number and p their inclusion probability, are taken as long as the middle of the next one lies below what is
-missing. Long documents are drawn first and short ones then fill what is missing with their own probability, so that a
-source ends within half a short document of its target where it has enough of them.
-
-The order never needs a source in one task: a histogram of u by source and class gives each bin the words before it,
-and only the bins are sorted.
+Within a source the copies that a document is expected to have grow with the fourth root of its size, and are at most
+``most``: longer documents repeat somewhat more often, short ones rather not. The factor, one for each source, is the one whose
+expected words are the source's target; it is solved on the words by measure, of which a source has a few thousand.
+The whole part of that number is taken for certain. Its fraction is the document's inclusion probability p, and a sample of
+fixed size in words without replacement takes documents in the order of (u / (1 - u)) / (p / (1 - p)), u their random
+number, as long as the middle of the next one lies below what is expected. Documents of ``LONG`` words or more are drawn
+first, to the words their probabilities sum to, and shorter ones then to all that is missing, so that a source ends
+within half a short document of its target where it has enough of them.
+
+The order needs no sort of a source: a histogram of the odds ratio over (1 + ratio), of more bins the more
+documents there are, tells the one bin in which the sample ends, and only the documents in that bin are sorted.
 
 Defined results: a null text has size 0 and takes 0 words; an empty table gives an empty mix; equal rows have equal
-random numbers, and any order among them gives the same set of results; u depends on doc_id and seed alone, so reruns agree.
-With a ``key`` (a column that tells rows apart) it comes with every row, and u of a row without a doc_id depends on its text instead.
+random numbers, and any order among them gives the same set of results; u depends on the seed and doc_id alone (on the text where
+doc_id is null), so reruns agree; other columns are not read. With a ``key`` (a column that tells rows apart) it comes with every row.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ SHARE = 1.5
 MOST = 2
 #: Words from which a document counts as long.
 LONG = 256
-BINS = 1024
+#: Steps of the measure (the fourth root of a size), and of a copy in the numbers of copies expected; both are whole numbers, so that sums are exact.
+MEASURE, COPY = 64, 65536
+#: Documents for which the histogram has one more bin, and its least number of bins.
+BIN_DOCS, BINS = 4096, 1024
 SEED = "mix"
 
 
@@ -54,50 +60,62 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
     return per.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(water * F.col("weight")).alias("target"))
 
 
+def measure(size: Column) -> Column:
+    return F.floor(F.sqrt(F.sqrt(size.cast("double"))) * MEASURE).cast("long")
+
+
+def rates(sized: DataFrame, goal: DataFrame, most: int) -> DataFrame:
+    """r_source, rate: expected copies by measure, of sources where not every document has ``most`` copies."""
+    levels = sized.where("size > 0").groupBy("source", measure(F.col("size")).alias("m")).agg(F.sum("size").alias("words"))
+    down = W.partitionBy("source").orderBy(F.desc("m"))
+    capped = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("m")).over(down.rowsBetween(0, W.unboundedFollowing))
+    levels = levels.withColumn("capped", capped).withColumn("rest", rest).withColumnRenamed("source", "r_source")
+    levels = levels.join(goal.select("source", "target"), F.col("r_source").eqNullSafe(F.col("source")))
+    levels = levels.withColumn("rate", (F.col("target") - F.lit(float(most)) * F.col("capped")) / F.col("rest"))
+    return levels.where(F.col("rate") * F.col("m") <= most).groupBy("r_source").agg(F.max_by("rate", "m").alias("rate"))
+
+
 def _drawn(rows: DataFrame, quota: DataFrame, key: list[str]) -> DataFrame:
-    """Marks with ``drawn`` the rows (source, u, odds order, size, key) that fill each source's ``quota`` words of ``total``."""
-    rows = rows.withColumn("bin", F.floor(F.col("u") * BINS))
+    """Marks with ``drawn`` the rows (source, odds, bin, size, key) that fill each source's words of ``quota`` (q_source, quota)."""
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    before = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
-    bins = bins.join(quota, bins["source"].eqNullSafe(quota["q_source"])).drop("q_source")
-    bins = bins.withColumnRenamed("source", "b_source").withColumnRenamed("bin", "b_bin")
-    rows = rows.join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin"))).drop("b_source", "b_bin")
-    p = F.try_divide(F.col("quota"), F.col("total"))
-    odds = (F.col("u") / (1 - F.col("u"))) / F.when((p > 0) & (p < 1), p / (1 - p)).otherwise(F.lit(1.0))
-    inside = W.partitionBy("source", "bin").orderBy("odds", "size", "doc_id", *key).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("before", before).join(quota, F.col("source").eqNullSafe(F.col("q_source")))
+    ends = bins.where(F.col("before") + F.col("words") > F.col("quota")).groupBy("source").agg(F.min_by(F.struct("bin", "before", "quota"), "bin").alias("e"))
+    ends = staged(ends.select(F.col("source").alias("e_source"), F.col("e.bin").alias("end"), F.col("e.before").alias("before"), F.col("e.quota").alias("quota")), "mix-ends")
+    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
+    inside = W.partitionBy("source").orderBy("odds", "size", "doc_id", *key).rowsBetween(W.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    return rows.withColumn("odds", odds).withColumn("drawn", (F.col("quota") > 0) & (ahead + F.col("size") / 2.0 <= F.col("quota"))).drop("bin", "before", "quota", "total", "odds")
+    last = rows.where("bin = end").withColumn("drawn", ahead + F.col("size") / 2.0 <= F.col("quota"))
+    rest = rows.where("end is null or bin <> end").withColumn("drawn", F.col("end").isNull() | (F.col("bin") < F.col("end")))
+    return rest.unionByName(last).drop("end", "before", "quota")
 
 
 def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, key: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and any ``key`` for every row of ``docs`` (doc_id, text, source, key)."""
     keys = [key] if key else []
-    said = F.col("doc_id").cast("long").cast("string")
-    said = F.coalesce(said, F.md5(F.col("text").cast("string"))) if key else said
-    sized = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), unit_hash(said, seed=seed).alias("u"), *keys),
-        "mix-sizes",
-    )
+    text = F.col("text").cast("string")
+    said = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(text))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), unit_hash(said, seed=seed).alias("u"), *keys)
+    sized = staged(sized, "mix-sizes")
+    bins = max(BINS, -(-sized.count() // BIN_DOCS))
     goal = staged(targets(sized, share, most, weights), "mix-targets")
-    ratio = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
-    goal = goal.withColumn("whole", F.coalesce(F.least(F.floor(ratio), F.lit(most)), F.lit(0)).cast("long"))
-    goal = goal.withColumn("missing", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    long = sized.where(F.col("size") >= LONG)
-    short = sized.where(F.col("size") < LONG)
-    long_size = long.groupBy("source").agg(F.sum("size").alias("total")).withColumnRenamed("source", "q_source")
-    long_quota = long_size.join(goal, F.col("q_source").eqNullSafe(goal["source"])).select("q_source", F.coalesce(F.try_divide(F.col("missing") * F.col("total"), F.col("source_size")), F.lit(0.0)).alias("quota"), "total")
-    long_drawn = staged(_drawn(long, long_quota, keys), "mix-long")
-    taken = long_drawn.groupBy("source").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("got")).withColumnRenamed("source", "g_source")
-    short_size = short.groupBy("source").agg(F.sum("size").alias("total")).withColumnRenamed("source", "q_source")
-    short_quota = (
-        short_size.join(goal, F.col("q_source").eqNullSafe(goal["source"]))
-        .join(taken, F.col("q_source").eqNullSafe(F.col("g_source")), "left")
-        .select("q_source", F.greatest(F.col("missing") - F.coalesce(F.col("got"), F.lit(0)), F.lit(0.0)).alias("quota"), "total")
-    )
-    drawn = long_drawn.unionByName(_drawn(short, short_quota, keys))
-    goal = goal.withColumnRenamed("source", "t_source")
+    goal = goal.join(rates(sized, goal, most), F.col("source").eqNullSafe(F.col("r_source")), "left").drop("r_source")
+    goal = staged(goal.withColumnRenamed("source", "t_source"), "mix-rates")
+    copies = F.least(F.lit(most * COPY), F.coalesce(F.floor(F.col("rate") * measure(F.col("size")) * COPY).cast("long"), F.lit(most * COPY)))
+    rows = sized.join(goal, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("expected", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)))
+    rows = rows.drop("t_source", "rate").withColumn("whole", F.floor(F.col("expected") / COPY).cast("long")).withColumn("part", F.col("expected") % COPY).drop("expected")
+    p = F.col("part") / F.lit(float(COPY))
+    open_ = rows.where("part > 0").withColumn("odds", F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(p, 1 - p))).drop("u", "part")
+    open_ = open_.withColumn("bin", F.floor(F.col("odds") / (1 + F.col("odds")) * bins).cast("long"))
+    closed = rows.where("part = 0").drop("u", "part").withColumn("drawn", F.lit(False))
+    long_words = F.sum(F.when(F.col("size") >= LONG, F.col("part") * F.col("size")).otherwise(0)) / F.lit(float(COPY))
+    quotas = rows.groupBy(F.col("source").alias("q_source")).agg(long_words.alias("long"), (F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("missing"))
+    quotas = staged(quotas, "mix-quotas")
+    long_drawn = _drawn(open_.where(F.col("size") >= LONG), quotas.select("q_source", F.col("long").alias("quota")), keys)
+    taken = long_drawn.where("drawn").groupBy(F.col("source").alias("g_source")).agg(F.sum("size").alias("got"))
+    left = quotas.join(taken, F.col("q_source").eqNullSafe(F.col("g_source")), "left").select("q_source", F.greatest(F.col("missing") - F.coalesce("got", F.lit(0)), F.lit(0.0)).alias("quota"))
+    short_drawn = _drawn(open_.where(F.col("size") < LONG), staged(left, "mix-left"), keys)
+    drawn = long_drawn.unionByName(short_drawn).drop("odds", "bin").unionByName(closed)
     copies = F.col("whole") + F.col("drawn").cast("long")
-    return drawn.join(goal, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *keys
-    )
+    return drawn.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *keys)

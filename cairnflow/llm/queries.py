@@ -59,7 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 OP10_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         (CAST(('0x' || substr(md5('{mixing.SEED}:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (CAST(('0x' || substr(md5('{mixing.SEED}:' || COALESCE(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -73,27 +73,38 @@ WITH sized AS (
   FROM weighed
 ), goal AS (
   SELECT source, source_size, CASE WHEN cap / weight <= level THEN cap ELSE max(CASE WHEN cap / weight > level THEN level END) OVER () * weight END AS target FROM filled
-), missing AS (
-  SELECT *, CAST(COALESCE(least(floor(target / NULLIF(source_size, 0)), {mixing.MOST}), 0) AS BIGINT) AS whole FROM goal
+), measured AS (
+  SELECT source, CAST(floor(sqrt(sqrt(size::DOUBLE)) * {mixing.MEASURE}) AS BIGINT) AS m, CAST(sum(size) AS BIGINT) AS words FROM sized WHERE size > 0 GROUP BY 1, 2
+), levels AS (
+  SELECT source, m, CAST(COALESCE(sum(words) OVER (PARTITION BY source ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS capped,
+         CAST(sum(words * m) OVER (PARTITION BY source ORDER BY m DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest FROM measured
+), solved AS (
+  SELECT l.source, m, (g.target - {float(mixing.MOST)}::DOUBLE * capped) / rest AS rate FROM levels l JOIN goal g ON l.source IS NOT DISTINCT FROM g.source
+), rates AS (
+  SELECT source, arg_max(rate, m) AS rate FROM solved WHERE rate * m <= {mixing.MOST} GROUP BY source
+), expected AS (
+  SELECT s.*, g.source_size, g.target, CASE WHEN s.size > 0 THEN least({mixing.MOST * mixing.COPY},
+           COALESCE(CAST(floor(r.rate * CAST(floor(sqrt(sqrt(s.size::DOUBLE)) * {mixing.MEASURE}) AS BIGINT) * {mixing.COPY}) AS BIGINT), {mixing.MOST * mixing.COPY})) ELSE 0 END AS e
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+), split AS (
+  SELECT *, e // {mixing.COPY} AS whole, e % {mixing.COPY} AS part, (e % {mixing.COPY}) / {float(mixing.COPY)}::DOUBLE AS p FROM expected
+), odds AS (
+  SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM split
 ), quota AS (
-  SELECT *, greatest(target - whole * source_size, 0.0::DOUBLE) AS words FROM missing
-), long_docs AS (
-  SELECT s.*, q.words * (sum(s.size) OVER (PARTITION BY s.source))::BIGINT / q.source_size AS quota,
-         COALESCE(sum(s.size) OVER (PARTITION BY s.source ORDER BY u, s.size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM sized s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source WHERE s.size >= {mixing.LONG}
+  SELECT source, CAST(sum(CASE WHEN size >= {mixing.LONG} THEN part * size ELSE 0 END) AS BIGINT) / {float(mixing.COPY)}::DOUBLE AS long_words, any_value(target) - CAST(sum(whole * size) AS BIGINT) AS missing FROM odds GROUP BY source
 ), long_drawn AS (
-  SELECT doc_id, source, size, quota > 0 AND ahead + size / 2.0::DOUBLE <= quota AS drawn FROM long_docs
+  SELECT o.*, COALESCE(sum(o.size) OVER (PARTITION BY o.source ORDER BY o.odds, o.size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + o.size / 2.0::DOUBLE <= q.long_words AS drawn
+  FROM odds o JOIN quota q ON o.source IS NOT DISTINCT FROM q.source WHERE o.part > 0 AND o.size >= {mixing.LONG}
 ), got AS (
-  SELECT source, sum(CASE WHEN drawn THEN size ELSE 0 END) AS got FROM long_drawn GROUP BY source
-), short_docs AS (
-  SELECT s.*, greatest(q.words - COALESCE(g.got, 0), 0.0::DOUBLE) AS quota,
-         COALESCE(sum(s.size) OVER (PARTITION BY s.source ORDER BY u, s.size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM sized s JOIN quota q ON s.source IS NOT DISTINCT FROM q.source LEFT JOIN got g ON s.source IS NOT DISTINCT FROM g.source WHERE s.size < {mixing.LONG}
+  SELECT source, sum(size) AS got FROM long_drawn WHERE drawn GROUP BY source
+), short_drawn AS (
+  SELECT o.*, COALESCE(sum(o.size) OVER (PARTITION BY o.source ORDER BY o.odds, o.size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + o.size / 2.0::DOUBLE
+         <= greatest(q.missing - COALESCE(g.got, 0), 0.0::DOUBLE) AS drawn
+  FROM odds o JOIN quota q ON o.source IS NOT DISTINCT FROM q.source LEFT JOIN got g ON o.source IS NOT DISTINCT FROM g.source WHERE o.part > 0 AND o.size < {mixing.LONG}
 ), drawn AS (
-  SELECT * FROM long_drawn UNION ALL SELECT doc_id, source, size, quota > 0 AND ahead + size / 2.0::DOUBLE <= quota AS drawn FROM short_docs
+  SELECT * FROM long_drawn UNION ALL SELECT * FROM short_drawn UNION ALL SELECT *, FALSE FROM odds WHERE part = 0
 )
-SELECT d.doc_id, d.size, m.source_size, m.target, CAST(d.size * (m.whole + CASE WHEN d.drawn THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM drawn d JOIN missing m ON d.source IS NOT DISTINCT FROM m.source
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN drawn THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM drawn
 """
 
 ORACLES: dict[str, str] = {"op1_license_scans": licenses.scan_sql(), "op10_mixing": OP10_SQL}

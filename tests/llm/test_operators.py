@@ -307,6 +307,70 @@ def test_mixing(docs, rows):
     assert sorted(str((r.doc_id, r.taken)) for r in again) == sorted(str((r.doc_id, r.taken)) for r in found)
 
 
+def mixed_brute(rows):
+    """(doc_id, taken) by the definition: every source sorted whole by its odds ratios."""
+    size = lambda t: len(WORD.findall(t or ""))
+    number = lambda i, t: (int(hashlib.md5(f"{mixing.SEED}:{hashlib.md5((t or '').encode()).hexdigest() if i is None and t is not None else '' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    sources = {}
+    for i, t, _, s, *_ in rows:
+        sources.setdefault(s, []).append((i, size(t), number(i, t)))
+    order = sorted(sources, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, total = set(sources), 1.5 * sum(x[1] for part in sources.values() for x in part)
+    own = {s: sum(x[1] for x in part) for s, part in sources.items()}
+    goal = {}
+    while left:
+        level = (total - sum(goal.values())) / sum(weight[s] for s in left)
+        over = {s for s in left if level * weight[s] >= 2 * own[s]}
+        goal.update({s: 2 * own[s] for s in over} if over else {s: level * weight[s] for s in left})
+        left -= over or left
+    out, orders = Counter(), []
+    for s, part in sources.items():
+        m = lambda n: math.floor(math.sqrt(math.sqrt(n)) * mixing.MEASURE)
+        rate = None
+        for top in sorted({m(n) for _, n, _ in part if n}, reverse=True):
+            rate = (goal[s] - 2 * sum(n for _, n, _ in part if m(n) > top)) / sum(n * m(n) for _, n, _ in part if m(n) <= top)
+            if rate * top <= 2:
+                break
+            rate = None
+        copies = {}
+        for x in part:
+            e = (2 * mixing.COPY if rate is None else min(2 * mixing.COPY, math.floor(rate * m(x[1]) * mixing.COPY))) if x[1] else 0
+            copies[x] = [e // mixing.COPY, e % mixing.COPY / mixing.COPY]
+        missing = goal[s] - sum(copies[x][0] * x[1] for x in part)
+        odds = lambda x: (x[2] / (1 - x[2])) / (copies[x][1] / (1 - copies[x][1]))
+        drawn = []
+        for long in (True, False):
+            group = [x for x in part if copies[x][1] and (x[1] >= mixing.LONG) == long]
+            quota = sum(copies[x][1] * x[1] for x in group) if long else max(0.0, missing)
+            ahead = 0
+            for x in sorted(group, key=lambda x: (odds(x), x[1], x[0] is not None, x[0])):
+                if ahead + x[1] / 2 <= quota:
+                    drawn.append(x)
+                ahead += x[1]
+            missing -= sum(x[1] for x in drawn if (x[1] >= mixing.LONG) == long)
+            by = sorted(group, key=lambda x: x[2])
+            orders.append((by, sorted(group, key=odds)))
+        chosen = Counter(drawn)
+        for x in part:
+            out[x[0], x[1] * (copies[x][0] + (1 if chosen[x] > 0 else 0))] += 1
+            chosen[x] -= 1
+    return out, orders
+
+
+def test_mixing_equals_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BINS", 16)
+    monkeypatch.setattr(mixing, "LONG", 60)
+    r = random.Random(12)
+    rows = [(i, " ".join("w" * r.randint(1, 3) for _ in range(int(r.paretovariate(0.7) * 4) % 900)), "en", f"s{r.choice([0, 0, 0, 1, 2])}" if i % 11 else None, 0) for i in range(900)]
+    rows += [(None, f"no id {i}", "en", "s0", 0) for i in range(40)] + [(5000, None, "en", "s0", 0), (5001, "", None, None, None)]
+    want, orders = mixed_brute(rows)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "size").repartition(4)
+    assert Counter((x.doc_id, x.taken) for x in mixing.mix(docs).collect()) == want
+    # inclusion probabilities are unequal, so that the order is not that of the random numbers alone
+    assert any(a != b for a, b in orders)
+
+
 def test_mix_keeps_rows_without_ids(spark, data):
     r = random.Random(11)
     rows = [(i if i % 3 else None, " ".join(f"w{i}x{j}" for j in range(r.randint(5, 60))), "en", f"s{i % 4}", 0) for i in range(1200)]
