@@ -6,14 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..staging import drop_staged, shared_dir, staged  # noqa: F401
 
-#: Rows in one Arrow batch that an operator takes at a time, which bounds a Python worker's memory.
+#: Rows and bytes in one Arrow batch that an operator takes at a time, which bound a Python worker's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
+#: Settings of Python workers' allocators: large arrays go back to the system as soon as they are free, also in idle workers.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+
+
+def settle(spark: SparkSession) -> None:
+    """From now on the session hands Python at most BATCH_ROWS rows and about BATCH_BYTES bytes at once, as texts are long. The
+    plans that operators return run after they return, so this holds for the session; smaller settings of its own stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder; from then on the session hands Python at most BATCH_ROWS rows at once, as texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A table of the folder, in a settled session."""
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -10,7 +10,8 @@ and word pairs, sorted by hash, with their training counts; requests meet in buc
 bucket builds its trie from the counts of all units: contexts, monotone pointers to their successors, successors as one
 Elias-Fano sequence, 8-bit probabilities and back-off weights, in a file that is mapped into memory. It answers each
 unit's requests in their order by context-relative successor search, one byte each, and a unit scores its texts with
-the answers. The number of buckets follows the input, so a bucket stays small; words are 64-bit hashes, successors 48-bit ones.
+the answers. The number of buckets follows the input, so a bucket stays small; words are
+64-bit hashes that mix their bytes (see ``shingles``).
 
 Defined results: a null or empty text is one end token; without training texts every score is 0 and base_score too; rows that
 repeat count and are scored each; a null doc_id has the crc32 of the empty text. Texts are whole; one longer than a unit is its own.
@@ -35,7 +36,6 @@ DISCOUNT, WORD_DISCOUNT, MU = 0.75, 0.5, 0.2
 LEAST_BUCKETS, MOST_BUCKETS = 8, 8192
 _U = np.uint64
 END, START = mix(np.array([0xE0D], _U))[0], mix(np.array([0x57A], _U))[0]
-SUCCESSOR = _U(0xFFFFFFFFFFFF)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -105,16 +105,6 @@ class Tokens:
         self.pair_train = np.bincount(self.pair_at[train], minlength=len(pairs))
 
 
-def _six(words: np.ndarray) -> bytes:
-    return np.ascontiguousarray((words & SUCCESSOR).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unsix(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
-
-
 def _packed(x: np.ndarray) -> bytes:
     import zstandard
 
@@ -148,7 +138,7 @@ def requests(table: DataFrame, buckets: int) -> DataFrame:
                     if a == b and c == d:
                         continue
                     contexts, runs = np.unique(t.pair_context[c:d], return_counts=True)
-                    rows.append((k, unit, t.words[a:b].tobytes(), _packed(t.word_train[a:b].astype("<u4")), contexts.tobytes(), _packed(runs.astype("<u4")), _six(t.pair_word[c:d]), _packed(t.pair_train[c:d].astype("<u4"))))
+                    rows.append((k, unit, t.words[a:b].tobytes(), _packed(t.word_train[a:b].astype("<u4")), contexts.tobytes(), _packed(runs.astype("<u4")), t.pair_word[c:d].tobytes(), _packed(t.pair_train[c:d].astype("<u4"))))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i == 1 else pa.int32() if not i else pa.binary()) for i, x in enumerate(zip(*rows))], names)
 
     return table.select("unit", "held", "lengths", "texts").mapInArrow(run, "bucket int, unit long, words binary, word_train binary, contexts binary, runs binary, successors binary, pair_train binary")
@@ -166,7 +156,7 @@ def answers(asked: DataFrame) -> DataFrame:
         total = np.bincount(at, np.concatenate(train), minlength=len(every)).astype("<i8")
         counts = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
         contexts = [np.repeat(np.frombuffer(r[3], "<u8"), _unpacked(r[4], "<u4")) for r in held]
-        followers = [_unsix(r[5]) for r in held]
+        followers = [np.frombuffer(r[5], "<u8") for r in held]
         n = [_unpacked(r[6], "<u4").astype(np.int64) for r in held]
         c, w, k = np.concatenate(contexts), np.concatenate(followers), np.concatenate(n)
         live = np.flatnonzero(k > 0)

@@ -1,14 +1,16 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-A text's set is its distinct word shingles (64-bit hashes); its sketch is the ``SKETCH`` smallest. Equal sets are one node,
-named by its smallest doc_id. Inverted lists of the ``LISTED`` smallest values propose pairs, union sketches estimate
-them, and exact Jaccard similarity over the whole sets confirms them. Links become components.
+A text's set is its distinct word shingles (hashes of two 64-bit lanes); its sketch is the ``SKETCH`` smallest of one lane. Equal sets
+are one node, named by its smallest doc_id. Inverted lists of the ``LISTED`` smallest values propose pairs, union sketches estimate
+them, and exact Jaccard similarity over both lanes of the whole sets confirms them. Links become components.
 
 Pairs are never all emitted. First every list links its nodes to its smallest node (a star); what is confirmed joins
-components. Then only pairs across components are proposed: directly in lists of at most ``SHORT`` nodes; nodes in longer lists
-are listed again under all values of their sketch, and short lists among those propose the rest. Nodes most of whose sketch lies in
-long lists (``MOSTLY`` values or more) are compared by their whole sets inside their long lists, in blocks, and only
-links that join components (at most one fewer than the rows) leave a block.
+components. In lists of over ``SHORT`` nodes that several components share, the nodes outside the largest of them (strays) are then
+linked to a random node of it, another in each list, up to ``TURNS`` times. After that only pairs across components are proposed:
+directly in lists of at most ``SHORT`` nodes; nodes in longer lists are listed again under all values of their sketch, and short lists
+among those propose the rest. Nodes most of whose sketch lies in long lists (``MOSTLY`` values or more) are compared by their whole sets
+inside their long lists: blocks of the strays that are left meet blocks of all nodes, both of bounded size, and only links
+that join components (fewer than the rows) leave a pair of blocks.
 
 Two sets of similarity 0.8 or more share none of the listed values with a chance of at most 0.2 ** 12 = 4e-9, and fail the
 estimate (six standard deviations) with a chance of the order of 1e-8; sets of at most ``SKETCH`` shingles are compared exactly throughout.
@@ -28,16 +30,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graphs import connected_components
 from .common import drop_staged, split_batch, staged, utf8
-from .shingles import LOWER, shingle_sets
+from .shingles import shared, shingle_sets
 
 WIDTH = 5
 PERCENT = 80
+_U = np.uint64
 SKETCH = 64
 LISTED = 12
 SHORT = 64
 #: Values shared by two sketches of a pair of similarity 0.8, less six standard deviations: 0.8 k - 6 sqrt(0.16 k).
 MOSTLY = 32
-BLOCK = 512
+TURNS = 3
+#: Nodes, and shingles of their sets, in a block of strays; a block of nodes may have four times as many.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 16
 #: Bytes of node ids that are broadcast to pick texts for confirmation; beyond it the texts are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -49,9 +54,9 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
         for big in batches:
             for batch in split_batch(big):
                 sets = shingle_sets([utf8(t) for t in batch.column(1).to_pylist()], width)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
+                    [batch.column(0), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([s[0][:SKETCH].tobytes() for s in sets], pa.binary())],
                     ["doc_id", "n", "set_key", "sketch"],
                 )
 
@@ -87,9 +92,14 @@ def _similar_sizes(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
+def _few(table: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """A staged table, broadcast in joins while it is small."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def _only(frame: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``frame`` whose key is in ``ids`` (one column of that name, staged): by broadcast while it is small."""
-    return frame.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, key, "left_semi")
+    """The rows of ``frame`` whose key is in ``ids`` (one column of that name, staged)."""
+    return frame.join(_few(ids), key, "left_semi")
 
 
 def _ids(pairs: DataFrame, name: str) -> DataFrame:
@@ -143,8 +153,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 y, x = set_of(y), set_of(x)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+                n = shared(x, y)
+                keep.append(n > 0 and 100 * n >= percent * (len(x[0]) + len(y[0]) - n))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b"))
@@ -158,7 +168,7 @@ def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for big in batches:
             for batch in split_batch(big):
                 sets = shingle_sets([utf8(t) for t in batch.column(1).to_pylist()], width)
-                data = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for x in sets]
+                data = [np.ascontiguousarray(x[0].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["node", "whole"])
 
     texts = docs.selectExpr("cast(doc_id as long) node", "cast(text as string) text")
@@ -166,34 +176,22 @@ def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 
 def _blocked(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components within long lists: rows (value, refs, node, n, comp, whole) are dealt into pairs of
-    blocks, and each pair of blocks gives a spanning forest of its links."""
-    blocks = F.ceil(F.col("refs") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(F.col("value"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "comp", "whole")
+    """Links (a, b) across components within long lists: of rows (value, node, n, comp, stray, whole), each block of a list's strays
+    meets each block of its nodes, and gives a spanning forest of their links. ``whole`` is added to both by the join after the dealing."""
 
     def run(table: pa.Table) -> pa.Table:
-        i, j, own, node, n, comp = (np.asarray(table.column(c).to_pylist()) for c in ("i", "j", "own", "node", "n", "comp"))
-        data = table.column("whole").to_pylist()
+        stray, node, comp = (np.array(table.column(c).to_pylist()) for c in ("stray", "node", "comp"))
         sets = []
-        for x in data:
-            wide = np.zeros((len(x) // 6, 8), np.uint8)
-            wide[:, 2:] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+        for x in table.column("whole"):
+            data = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(data), 8), np.uint8)
+            wide[:, 2:] = data
             sets.append(wide.view("<u8").ravel())
-        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        by = np.argsort(every, kind="stable")
+        sizes = np.array([len(x) for x in sets])
+        of = np.flatnonzero(~stray)
+        every, owner = np.concatenate([np.zeros(0, _U), *(sets[i] for i in of)]), np.repeat(of, sizes[of])
+        by = np.argsort(every)
         every, owner = every[by], owner[by]
-        # rows of the largest component are never compared with each other
-        kinds, sizes = np.unique(comp, return_counts=True)
-        rest = comp != kinds[np.argmax(sizes)]
-        shared = np.zeros((len(sets), len(sets)), np.int32)
-        for at in np.split(owner, np.flatnonzero(np.diff(every)) + 1):
-            if len(at) > 1:
-                shared[np.ix_(at[rest[at]], at)] += 1
-        shared[~rest] = shared[:, ~rest].T
-        link = (100 * shared.astype(np.int64) >= percent * (n[:, None] + n[None, :] - shared)) & (comp[:, None] != comp[None, :])
-        link &= (own[:, None] != own[None, :]) | (i[0] == j[0])
         parent = {c: c for c in comp.tolist()}
 
         def root(c):
@@ -203,14 +201,32 @@ def _blocked(rows: DataFrame, percent: int) -> DataFrame:
             return c
 
         out = []
-        for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(link, 1)))):
-            x, y = root(int(comp[p])), root(int(comp[q]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(min(node[p], node[q])), int(max(node[p], node[q]))))
+        for i in np.flatnonzero(stray).tolist():
+            low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+            many = high - low
+            at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[i] + sizes - both)) & (comp != comp[i])).tolist():
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(value, i, j, stray, node, n, comp): rows (value, node, n, comp, stray) of long lists dealt to the pairs of a block of strays and a block of nodes."""
+    sizes = rows.groupBy("value").agg(F.count(F.when(F.col("stray"), 1)).alias("strays"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("stray_n"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("nodes_n"))
+    blocks = lambda many, shingles, k: F.greatest(F.ceil(F.col(many) / (k * BLOCK)), F.ceil(F.col(shingles) / (k * BLOCK_SHINGLES))).cast("int")
+    sizes = staged(sizes.where("strays > 0").select("value", blocks("strays", "stray_n", 1).alias("is"), blocks("nodes", "nodes_n", 4).alias("js")), "dense-sizes")
+    rows = rows.join(_few(sizes), "value")
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    nodes = rows.select("value", every("is").alias("i"), own("js").alias("j"), F.lit(False).alias("stray"), "node", "n", "comp")
+    strays = rows.where("stray").select("value", own("is").alias("i"), every("js").alias("j"), F.lit(True).alias("stray"), "node", "n", "comp")
+    return nodes.unionByName(strays)
 
 
 def _across(lists: DataFrame, percent: int, apart: bool = False) -> DataFrame:
@@ -222,6 +238,15 @@ def _across(lists: DataFrame, percent: int, apart: bool = False) -> DataFrame:
     return x.join(y, "value").where(fit & ~(F.col("x_busy") & F.col("y_busy")) if apart else fit).select("a", "b").distinct()
 
 
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """The links among proposed pairs (a, b), staged."""
+    proposed = staged(pairs, f"{name}-pairs")
+    likely = staged(estimated(proposed, nodes, percent), f"{name}-estimates")
+    found = staged(confirmed(likely, docs, width, percent), f"{name}-links")
+    drop_staged(proposed, likely)
+    return found
+
+
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches by row, nodes by set, components by node)."""
     wide = staged(sketched(docs, width), "sketches")
@@ -231,37 +256,60 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     drop_staged(wide)
     index = staged(listed(nodes, 0, LISTED), "lists")
     counted = index.groupBy("value").agg(F.count(F.lit(1)).alias("refs"), F.min(F.struct("node", "n")).alias("hub")).where("refs > 1")
-    counted = staged(counted, "list-sizes")
-    stars = index.join(counted, "value").where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-    stars = staged(stars.where(_similar_sizes(percent)).select("a", "b").distinct(), "star-pairs")
-    stars = staged(estimated(stars, nodes, percent), "stars")
-    found = staged(confirmed(stars, docs, width, percent), "star-links")
-    comps = staged(connected_components(found), "star-components").select(F.col("node").alias("c_node"), F.col("component").alias("comp"))
+    counted = staged(counted.select("value", "refs", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "list-sizes")
+    # long lists are few and meet their sizes by broadcast, so that no task gets all rows of one
+    long = _few(staged(counted.where(F.col("refs") > SHORT), "long-lists"), 32)
+    hot = staged(index.join(long, "value"), "long-rows")
+    cold = staged(index.join(long.select("value"), "value", "left_anti").join(counted, "value"), "short-rows")
+    drop_staged(index, counted)
+    stars = hot.unionByName(cold).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
+    found = _confirmed(stars.where(_similar_sizes(percent)).select("a", "b").distinct(), nodes, docs, width, percent, "star")
+
+    def joined(found):
+        return staged(connected_components(found), "star-components").select(F.col("node").alias("c_node"), F.col("component").alias("comp"))
+
+    comps = joined(found)
 
     def with_comp(frame: DataFrame) -> DataFrame:
         return frame.join(comps, F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("c_node")
 
-    labelled = staged(with_comp(index.join(counted.select("value", "refs"), "value")), "labelled")
-    mixed = labelled.groupBy("value").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("value")
-    split = staged(labelled.join(mixed, "value"), "mixed-lists")
-    pairs = _across(split.where(F.col("refs") <= SHORT), percent)
-    hot = split.where(F.col("refs") > SHORT)
+    def mixed(lists: DataFrame) -> DataFrame:
+        """The rows (value, node, n, comp) of lists that several components share, and whether they lie outside the largest."""
+        sizes = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("many"))
+        main = staged(sizes.groupBy("value").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "main-components")
+        return lists.join(_few(main, 24), "value").withColumn("stray", F.col("comp") != F.col("main")).drop("main")
+
+    for turn in range(TURNS):
+        lists = staged(mixed(with_comp(hot.select("value", "node", "n"))), "mixed-long")
+        if not lists.limit(1).count():
+            break
+        turned = F.xxhash64("value", "node", F.lit(turn))
+        hubs = lists.where("not stray").groupBy("value").agg(F.min_by(F.struct("node", "n"), turned).alias("h")).select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+        pairs = lists.where("stray").join(_few(staged(hubs, "hubs"), 24), "value").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b"))
+        more = _confirmed(pairs.where(_similar_sizes(percent)).select("a", "b").distinct(), nodes, docs, width, percent, "turn")
+        drop_staged(lists)
+        if not more.limit(1).count():
+            break
+        found = found.unionByName(more)
+        comps = joined(found)
+    pairs = _across(mixed(with_comp(cold.select("value", "node", "n"))), percent)
+    lists = staged(mixed(with_comp(hot.select("value", "node", "n"))), "mixed-long")
     dense = None
-    if hot.limit(1).count():
-        busy = staged(_only(nodes, "node", staged(hot.select("node").distinct(), "busy-ids")), "busy-nodes")
+    if lists.limit(1).count():
+        busy = staged(_only(nodes, "node", staged(lists.select("node").distinct(), "busy-ids")), "busy-nodes")
         every = staged(listed(busy, 0, SKETCH), "busy-lists")
         sizes = staged(every.groupBy("value").agg(F.count(F.lit(1)).alias("refs")).where("refs > 1"), "busy-sizes")
-        crowded = every.join(sizes.where(F.col("refs") > SHORT), "value")
+        long = _few(staged(sizes.where(F.col("refs") > SHORT).select("value"), "busy-long"))
+        crowded = every.join(long, "value", "left_semi")
         mostly = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("crowd"), F.first("n").alias("m")).where(F.col("crowd") >= F.least(F.lit(MOSTLY), F.floor(F.col("m") / 2))).select("node")
         mostly = staged(mostly, "mostly-busy")
         # pairs among the mostly busy come from the blocks below
         few = mostly.select(F.col("node").alias("m_node"))
-        loose = with_comp(every.join(sizes.where(F.col("refs") <= SHORT), "value")).join(few, F.col("node") == F.col("m_node"), "left").withColumn("c_busy", F.col("m_node").isNotNull())
+        loose = every.join(long, "value", "left_anti").join(sizes.select("value"), "value", "left_semi")
+        loose = with_comp(loose).join(few, F.col("node") == F.col("m_node"), "left").withColumn("c_busy", F.col("m_node").isNotNull())
         pairs = pairs.union(_across(loose, percent, apart=True))
-        rest = with_comp(_only(hot.select("value", "node", "n"), "node", mostly))
-        spread = rest.groupBy("value").agg(F.count(F.lit(1)).alias("refs"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("value", "refs")
-        rest = rest.join(spread, "value").join(_whole(docs, mostly, width), "node")
-        dense = staged(_blocked(rest, percent).distinct(), "dense-links")
+        rest = staged(mixed(_only(lists.select("value", "node", "n", "comp"), "node", mostly)), "dense-rows")
+        dense = staged(_blocked(_dealt(rest).join(_whole(docs, mostly, width), "node"), percent).distinct(), "dense-links")
     pairs = staged(pairs.distinct(), "cross-pairs")
     pairs = staged(estimated(pairs, nodes, percent), "cross-estimates")
     if dense is not None:

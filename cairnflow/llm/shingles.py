@@ -1,22 +1,32 @@
-"""Word shingles as 64-bit hashes, computed for many texts at once with numpy."""
+"""Word shingles as hashes of two 64-bit lanes, computed for many texts at once with numpy.
+
+A word is read eight bytes at a time; each step mixes them into both lanes, so that (unlike in a sum of powers) no structure of a
+word can cancel out, and words of at most eight bytes never meet. A word of over ``LONG_WORD`` bytes gets a BLAKE2b digest instead.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
+_KEY = b"cairnflow words"
+#: Start values and odd multipliers of the lanes, for the bytes of a word and for a word's place in a shingle.
+_STARTS = (_U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A47))
+_BYTES = ((_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)), (_U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)))
+_LANES = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
 _STEP = _U(0x9E3779B97F4A7C15)
-_BASE = 0x2545F4914F6CDD1D | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SHINGLE = _U(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Bytes of text that are hashed together.
 TOGETHER = 1 << 20
+#: Bytes of a word from which it is hashed on its own.
+LONG_WORD = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,35 +38,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=_U) * _STEP)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, mod 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, TOGETHER + (1 << 16))
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.r_[_U(1), np.full(m - 1, _U(b))]) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of all texts in order, and the number of words of each text."""
+def word_lanes(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both lanes of the words of all texts in order, A-Z as a-z, and the number of words of each text."""
     if not texts:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        return [np.zeros(0, _U)] * 2, np.zeros(0, np.int64)
+    joined = b"\n".join([*texts, b""]).translate(LOWER)
     bounds = np.cumsum([len(t) + 1 for t in texts])
-    space = SPACE[data]
-    before = np.r_[True, space[:-1]]
-    starts = np.flatnonzero(~space & before)
-    ends = np.flatnonzero(space & ~before)
-    power, inverse = powers(len(data) + 1)
+    space = SPACE[np.frombuffer(joined, np.uint8)]
+    edges = np.flatnonzero(np.r_[True, space[:-1]] != space)
+    starts, ends = edges[::2], edges[1::2]  # by turns, as the last byte is a space
+    eights = np.frombuffer(joined + bytes(16 - len(joined) % 8), "<u8")
+    left = ends - starts
+    lanes = [s + left.astype(_U) * _STEP for s in _STARTS]
+    live, at = np.flatnonzero(left <= LONG_WORD), starts
+    if len(live) < len(left):
+        for i in np.flatnonzero(left > LONG_WORD).tolist():
+            digest = np.frombuffer(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=16, key=_KEY).digest(), "<u8")
+            lanes[0][i], lanes[1][i] = digest
+        at, left = at[live], left[live]
     with np.errstate(over="ignore"):
-        total = np.r_[_U(0), np.cumsum(_BYTES[LOWER[data]] * power[: len(data)])]
-        h = (total[ends] - total[starts]) * inverse[starts]
-        h = mix(h + (ends - starts).astype(_U) * _STEP)
-    return h, np.diff(np.r_[0, np.searchsorted(starts, bounds)])
+        while len(live):
+            shift = (at & 7).astype(_U) << _U(3)
+            chunk = eights[at >> 3] >> shift | eights[(at >> 3) + 1] << (_U(63) - shift) << _U(1)
+            chunk &= _MASKS[np.minimum(left, 8)]
+            for lane, (one, two) in zip(lanes, _BYTES):
+                x = (lane[live] ^ chunk) * one
+                x ^= x >> _U(32)
+                x *= two
+                x ^= x >> _U(29)
+                lane[live] = x
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    return lanes, np.diff(np.r_[0, np.searchsorted(starts, bounds)])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One lane of the words' digests, and the number of words of each text."""
+    lanes, counts = word_lanes(texts)
+    return lanes[0], counts
 
 
 def grouped(texts: list[bytes]):
@@ -71,26 +90,48 @@ def grouped(texts: list[bytes]):
         yield at, len(texts)
 
 
+def _distinct(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distinct (low, high) as rows sorted by low, then high."""
+    order = np.argsort(low)
+    low, high = low[order], high[order]
+    same = low[1:] == low[:-1]
+    if (same & (high[1:] != high[:-1])).any():
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        same = low[1:] == low[:-1]
+    new = np.r_[True, ~same | (high[1:] != high[:-1])][: len(low)]
+    return np.stack([low[new], high[new]])
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """For each text its distinct shingles' hashes, sorted; a text of fewer words has one of all its words, none without words."""
+    """For each text its distinct shingles' lanes as two rows, sorted by the first; a text of fewer words has one of all its words, none without words."""
     out = []
     for a, b in grouped(texts):
-        h, counts = word_hashes(texts[a:b])
+        lanes, counts = word_lanes(texts[a:b])
         with np.errstate(over="ignore"):
-            s = h[: max(0, len(h) - width + 1)].copy()
-            for i in range(1, width):
-                s = s * _SHINGLE + h[i : i + len(s)]
-            s = mix(s)
+            joined = []
+            for h, step in zip(lanes, _LANES):
+                s = h[: max(0, len(h) - width + 1)].copy()
+                for i in range(1, width):
+                    s *= step
+                    s += h[i : i + len(s)]
+                joined.append(mix(s))
             at = 0
             for n in counts.tolist():
                 if n >= width:
-                    out.append(np.unique(s[at : at + n - width + 1]))
+                    out.append(_distinct(joined[0][at : at + n - width + 1], joined[1][at : at + n - width + 1]))
                 elif n:
-                    whole = _U(n)
-                    for x in h[at : at + n]:
-                        whole = whole * _SHINGLE + x
-                    out.append(mix(np.array([whole], _U)))
+                    whole = [_U(n)] * 2
+                    for i in range(at, at + n):
+                        whole = [w * step + h[i] for w, step, h in zip(whole, _LANES, lanes)]
+                    out.append(np.stack([mix(np.array([w], _U)) for w in whole]))
                 else:
-                    out.append(np.zeros(0, _U))
+                    out.append(np.zeros((2, 0), _U))
                 at += n
     return out
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two sets have in common, by both lanes."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    return int(np.count_nonzero(x[1][i] == y[1][j]))

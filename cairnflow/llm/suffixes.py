@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import staged
 from .lm import LEAST_BUCKETS, MOST_BUCKETS, _cuts, _packed, _texts, _unpacked, units
-from .shingles import _BYTES, grouped, mix, powers
+from .shingles import TOGETHER, grouped, mix
 
 LENGTH = 50
 GRAM = 22
@@ -36,6 +36,21 @@ SORTED_BYTES = 1 << 19
 PART_BITS = 16
 
 
+_BASE = 0x2545F4914F6CDD1D | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, mod 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        m = max(n, TOGETHER + (1 << 16))
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.cumprod(np.r_[_U(1), np.full(m - 1, _U(b))]) for b in (_BASE, _INVERSE)]
+    return _powers[0], _powers[1]
+
+
 def _smallest(h: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each window of ``width`` values."""
     span, m = 1, h

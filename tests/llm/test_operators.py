@@ -181,10 +181,11 @@ def near_brute(rows, width):
     return {i: (len(sets[i]), root(i) if i is not None else None) for i in sets}
 
 
-@pytest.mark.parametrize("short", [64, 2])
-def test_near_duplicates(docs, rows, monkeypatch, short):
+@pytest.mark.parametrize("short, turns", [(64, 3), (2, 0), (2, 3)])
+def test_near_duplicates(docs, rows, monkeypatch, short, turns):
     monkeypatch.setattr(neardup, "SHORT", short)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "TURNS", turns)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
     want = near_brute(rows, 4)
     found = neardup.near_duplicates(docs.withColumnRenamed("lang", "component"), width=4).collect()
     assert len(found) == len(rows)
@@ -192,6 +193,26 @@ def test_near_duplicates(docs, rows, monkeypatch, short):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id is None or r.doc_id == r.component_id)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_do_not_meet(spark):
+    rows = [(2 * k + j, w, "en", "s", 0) for k, n in enumerate((512, 1024, 2048, 4096)) for j, w in enumerate(thue_morse(n))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in found)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(40)}
+    train, other = (i for i in held if not held[i]), (i for i in held if held[i])
+    a, b = thue_morse(1024)
+    said = [(next(train), a), (next(train), a), (next(train), a), (next(train), b), (next(other), b), (next(other), a)]
+    for r in lm.scored(spark.createDataFrame(said, "doc_id long, text string")).collect():
+        count = {a: 3, b: 1}[dict(said)[r.doc_id]]
+        assert abs(r.base_score - math.log10((count + 0.5) / (8 + 0.5 * 4)) - math.log10(4.5 / 10)) < 1e-9 and r.n_known == 2
+
+
 def test_star_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(3, 3), (5, 4), (4, 5)], "a long, b long")
     found = {r.node: r.component for r in connected_components(edges).collect()}
