@@ -27,6 +27,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def staged_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """As ``staged``, in ``parts`` buckets of ``key``: a join or an aggregation by the key reads them without another exchange."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/staged-{name}-{mark}", f"staged_{mark}"
+    df.repartition(parts, key).write.option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    out._cairnflow_path = path
+    spark.sql(f"DROP TABLE {table}")  # the files stay, and the frame knows them
+    return out
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete the files of staged tables that no later plan reads."""
     for df in tables:
