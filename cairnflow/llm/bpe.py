@@ -1,19 +1,19 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A batch of documents is cut into matches of the split pattern, and its distinct matches (words) become one array.
-Higher-order functions fold the merges over each distinct word: the word is an array of its bytes, and ``aggregate``
+Documents are cut into matches of the split pattern. A unit of documents keeps, for each match, its place among the unit's distinct
+matches (words), and asks for those once: words meet in buckets by hash, so that a word of many units is folded once. Higher-order
+functions fold the merges over each distinct word of a bucket: the word is an array of its bytes, and ``aggregate``
 merges the adjacent pair of lowest rank, leftmost first, until no pair has a rank. Ranks come from a literal map,
 split by CRC-32 into an array of small maps, because Spark searches a map from its start. A word that is itself in the
-vocabulary keeps its own rank. Decoding looks each id up in a literal array of byte pieces and concatenates them.
+vocabulary keeps its own rank. Decoding looks each id up in a literal array of byte pieces and concatenates them. The units then
+put the ids and bytes of their words in the order of their matches.
 
 Bytes are written as the characters U+0000 to U+00FF of a string (ISO 8859-1), which Spark's map keys and ``concat``
-take directly. No document is shuffled: each batch carries its own words. Words that the first ``CACHE_DOCS`` documents
-hold most often, at most ``CACHE_WORDS``, are folded once, the same way, and broadcast; that bounded cache only saves
-time, as every other word is folded in its batch.
+take directly. Units are written once, in buckets by their number, and only the words and their ids travel after that.
 
 Defined results: a null text encodes as the empty text (no ids); white space, digits and any other characters are
 encoded without loss; ids come in text order; repeated rows give repeated results. Texts of any length are whole; a
-batch ends after ``BATCH_ROWS`` documents or ``BATCH_CHARS`` characters, and a longer document is a batch of its own.
+unit ends after ``UNIT_ROWS`` documents or ``UNIT_CHARS`` characters, and a longer document is a unit of its own.
 """
 
 from __future__ import annotations
@@ -23,22 +23,25 @@ import hashlib
 import json
 import zlib
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import utf8
+from ..staging import staged_by
+from .common import staged
 
 #: Small maps that the rank map is split into.
 MAPS = 16384
-BATCH_ROWS = 8192
-BATCH_CHARS = 24_000_000
-#: The same where ids are returned and not only digested: smaller batches leave a worker more memory and fold more words.
-IDS_CHARS = 3_000_000
-#: The cache of folded words: documents it is gathered from and words it holds at most.
-CACHE_DOCS = 16384
-CACHE_WORDS = 100_000
+UNIT_ROWS = 8192
+UNIT_CHARS = 16_000_000
+#: Texts that are cut together: characters.
+CUT_CHARS = 1 << 20
+#: Documents to a bucket of words, and the least and most buckets; a bucket's words are in one task.
+BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 512, 8, 1 << 17
+#: Documents in one batch of results.
+TOGETHER = 200
 DEFAULT_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -123,6 +126,81 @@ def _folded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return rows.withColumn("word_bytes", F.get(decoded, F.lit(0)))
 
 
+SPACE, LETTER, NUMBER, OTHER, END = range(5)
+#: The pattern that ``_cut`` follows; another one goes through the regular expression engine.
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of each code point, as the regular expression engine has it."""
+    import regex
+
+    out = np.full(0x110000, OTHER, np.uint8)
+    for a, b in ((0, 0xD800), (0xE000, 0x110000)):
+        chars = "".join(map(chr, range(a, b)))
+        for kind, rule in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(rule, chars):
+                out[a + m.start() : a + m.end()] = kind
+    return out
+
+
+def _cut(texts: list[str]) -> tuple[list[str], list[int]]:
+    """The matches of KNOWN_PATTERN in all texts in order, and how many each text has, by runs of one class of characters.
+
+    A run of letters, digits or others is a match, with a blank just before it. A run of white space before another run leaves its last
+    character out, which is a match of its own unless it is a blank. An apostrophe alone, with no blank before it, takes
+    the letters of a contraction from the run behind it."""
+    joined = "\n".join([*texts, ""])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = _classes()[points]
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    kind[ends] = END
+    first = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == END)])
+    of, last = kind[first], np.r_[first[1:], len(kind)] - 1
+    mark = np.zeros(len(kind) + 1, bool)
+    blank = points == 32
+    white = of == SPACE
+    closed = of[np.minimum(np.arange(len(of)) + 1, len(of) - 1)] == END
+    mark[first] = True
+    mark[last[white & ~closed]] = True  # the last of a run of white space, by itself or with what follows
+    joins = np.flatnonzero(white & ~closed & blank[last])
+    mark[first[joins + 1]] = False
+    alone = np.flatnonzero((of == OTHER) & (first == last) & (points[first] == 39))
+    alone = alone[(of[np.minimum(alone + 1, len(of) - 1)] == LETTER) & (first[alone] > 0)]
+    starts = mark[first[alone]]
+    alone = alone[starts]
+    if len(of) > 1 and of[0] == OTHER and first[0] == last[0] and points[0] == 39 and of[1] == LETTER:
+        alone = np.r_[0, alone]
+    padded = np.r_[points, np.zeros(3, points.dtype)]
+    one, two = padded[first[alone] + 1], padded[first[alone] + 2]
+    takes = np.where(np.isin(one, [ord(c) for c in "stmd"]), 1, np.where(((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")), 2, 0))
+    alone, takes = alone[takes > 0], takes[takes > 0]
+    mark[first[alone] + 1] = False
+    mark[first[alone] + 1 + takes] = True
+    at = np.flatnonzero(mark[:-1])
+    at = at[kind[at] != END]
+    stop = np.r_[np.flatnonzero(mark[:-1]), len(kind)]
+    stop = stop[np.searchsorted(stop, at, "right")]
+    counts = np.diff(np.r_[0, np.searchsorted(at, ends)])
+    return [joined[a:b] for a, b in zip(at.tolist(), stop.tolist())], counts.tolist()
+
+
+def cutter(pattern: str):
+    """A function from texts to (all their matches in order, the number of each text's)."""
+    if pattern == KNOWN_PATTERN:
+        return _cut
+    import regex
+
+    find = regex.compile(pattern).findall
+
+    def cut(texts):
+        found = [find(t) for t in texts]
+        return [w for ws in found for w in ws], [len(ws) for ws in found]
+
+    return cut
+
+
 class _Positions(dict):
     """Words by position; a new word gets the next one."""
 
@@ -135,6 +213,19 @@ def _byte_chars(word: str) -> str:
     return word.encode("utf-8", "surrogatepass").decode("latin-1")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit values, byte plane by byte plane, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and values of an Arrow list array of ids."""
     offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -142,129 +233,178 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(offsets), values[offsets[0] : offsets[-1]] if len(lists) else values[:0]
 
 
-def cached_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str):
-    """Broadcast of ({word: position}, lengths, ids, bytes by word) for the common words of the first documents."""
-
-    def count(batches):
-        from collections import Counter
+def units(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """Rows (unit, bucket -1, doc_ids, ends, found, place) of units, and (unit, bucket, words) of the words that each asks for.
 
-        import regex
+    ``found`` has the number of each match's word by first appearance, ``place`` each word's place among the words in the order of buckets."""
+    names = ["unit", "bucket", "doc_ids", "known", "ends", "found", "place", "words"]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.string())]
 
-        match, seen = regex.compile(pattern).findall, Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(match(text.as_py() or ""))
-        words = sorted(sorted(seen), key=seen.__getitem__, reverse=True)[:CACHE_WORDS]
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part], pa.list_(pa.string())), pa.array([[_byte_chars(w) for w in part]], pa.list_(pa.string()))], ["at", "raw", "words"])
-
-    first = docs.selectExpr("cast(text as string) text").limit(CACHE_DOCS)
-    rows = _folded(first.mapInArrow(count, "at long, raw array<string>, words array<string>").repartition(24, "at"), ranks).toArrow().sort_by("at")
-    raw, lengths, ids, decoded = [], [], [], []
-    for i in range(rows.num_rows):
-        raw += rows.column("raw")[i].as_py()
-        n, x = _flat(rows.column("word_ids")[i].values)
-        lengths.append(n)
-        ids.append(x)
-        decoded += rows.column("word_bytes")[i].as_py()
-    none = [np.zeros(0, np.int64)]
-    return docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(raw)}, np.concatenate(lengths or none), np.concatenate(ids or none).astype("<u4"), decoded))
-
-
-def encoded_batches(docs: DataFrame, path: str | None = None, pattern: str | None = None, most_chars: int = BATCH_CHARS):
-    """One row per batch (doc_ids, the words of each document as positions, ids and decoded bytes by word), and the cache
-    whose words hold the first positions."""
-    pattern = pattern or default_pattern()
-    ranks = read_ranks(path or default_path())
-    cache = cached_words(docs, ranks, pattern)
-
-    def cut(batches):
-        import regex
-
-        pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
-        match = regex.compile(pattern).findall
-        known = cache.value[0]
-        ids, ends, found, seen, chars = [], [0], [], _Positions(known), 0
-
-        def row():
-            new = list(seen)[len(known) :]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([np.asarray(ends, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(found or [np.zeros(0, "<i4")]).tobytes()], pa.binary()), pa.array([[_byte_chars(w) for w in new]], pa.list_(pa.string()))],
-                ["doc_ids", "ends", "found", "words"],
-            )
+    def run(batches):
+        from pyspark import TaskContext
+
+        cut = cutter(pattern)
+        number = TaskContext.get().partitionId() << 32
+        ids, counts, found, seen, chars = [], [], [], _Positions(), 0
+        texts, held = [], 0
+
+        def read():
+            nonlocal texts, held
+            words, many = cut(texts)
+            found.append(np.fromiter(map(seen.__getitem__, words), "<u4", len(words)))
+            counts.extend(many)
+            texts, held = [], 0
+
+        def rows():
+            read()
+            words = list(seen)
+            said = [w.encode("utf-8", "surrogatepass") for w in words]
+            bucket = np.fromiter((zlib.crc32(w) for w in said), np.int64, len(said)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            unit = [number, -1, np.asarray([i or 0 for i in ids], "<i8").tobytes(), bytes(i is not None for i in ids), np.cumsum([0, *counts]).astype("<i8").tobytes(), _packed(np.concatenate(found)), _packed(place), None]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(unit, kinds)], names)
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            for part in np.array_split(np.arange(len(cuts) + 1), max(1, len(order) // 65536)):
+                asked = [[said[i].decode("latin-1") for i in x.tolist()] for x in np.split(order, cuts)[part[0] : part[-1] + 1]] if len(part) and len(order) else []
+                if asked:
+                    at = bucket[order][np.r_[0, cuts]][part]
+                    none = pa.nulls(len(asked), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(asked), pa.int64()), pa.array(at, pa.int32()), *[none] * 5, pa.array(asked, kinds[-1])], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                at = np.fromiter(map(seen.__getitem__, match(text)), "<i4")
                 ids.append(doc_id)
-                ends.append(ends[-1] + len(at))
-                found.append(at)
+                texts.append(text)
+                held += len(text)
                 chars += len(text)
-                if len(ids) >= BATCH_ROWS or chars >= most_chars:
-                    yield row()
-                    ids, ends, found, seen, chars = [], [0], [], _Positions(known), 0
+                if held >= CUT_CHARS:
+                    read()
+                if len(ids) >= UNIT_ROWS or chars >= UNIT_CHARS:
+                    yield from rows()
+                    number += 1
+                    ids, counts, found, seen, chars = [], [], [], _Positions(), 0
         if ids:
-            yield row()
+            yield from rows()
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(cut, "doc_ids array<long>, ends binary, found binary, words array<string>")
-    return _folded(rows, ranks), cache
-
-
-def _documents_of(batch, cache):
-    """(doc_id, ids as a numpy array, decoded bytes) for each document of an encoded batch."""
-    _, known_lengths, known_ids, known_bytes = cache.value
-    for i in range(batch.num_rows):
-        doc_ids = batch.column("doc_ids")[i].values.to_pylist()
-        ends, found = np.frombuffer(batch.column("ends")[i].as_py(), "<i8"), np.frombuffer(batch.column("found")[i].as_py(), "<i4")
-        lengths, flat = _flat(batch.column("word_ids")[i].values)
-        lengths, flat = np.concatenate([known_lengths, lengths]), np.concatenate([known_ids, flat])
-        offsets = np.cumsum(lengths) - lengths
-        decoded = known_bytes + batch.column("word_bytes")[i].values.to_pylist()
-        for doc_id, a, b in zip(doc_ids, ends, ends[1:]):
-            words = found[a:b]
-            n = lengths[words]
-            into = np.cumsum(n)
-            total = int(into[-1]) if len(into) else 0
-            at = np.repeat(offsets[words] - into + n, n) + np.arange(total)
-            yield doc_id, flat[at], b"".join(map(decoded.__getitem__, words.tolist()))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
+        run, "unit long, bucket int, doc_ids binary, known binary, ends binary, found binary, place binary, words array<string>"
+    )
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``."""
+def _gathered(asked: DataFrame) -> DataFrame:
+    """One row per bucket: its units, the place of each unit's words among the bucket's distinct words, and those."""
 
-    encoded, cache = encoded_batches(docs, path, pattern)
+    def run(batches):
+        now, units_, places, seen = None, [], [], _Positions()
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([units_], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.array([list(seen)], pa.list_(pa.string()))], ["bucket", "units", "places", "words"])
+
+        for batch in batches:
+            for bucket, unit, words in zip(*(batch.column(i) for i in range(3))):
+                if bucket.as_py() != now:
+                    if units_:
+                        yield row()
+                    now, units_, places, seen = bucket.as_py(), [], [], _Positions()
+                units_.append(unit.as_py())
+                words = words.values.to_pylist()
+                places.append(_packed(np.fromiter(map(seen.__getitem__, words), "<u4", len(words))))
+        if units_:
+            yield row()
+
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "unit").select("bucket", "unit", "words")
+    return dealt.mapInArrow(run, "bucket int, units array<long>, places array<binary>, words array<string>")
+
+
+def _answers(folded: DataFrame) -> DataFrame:
+    """(unit, bucket, lengths, ids, sizes, bytes): numbers of ids and of bytes of the words a unit asked for, in its order, and those joined."""
+    names = ["unit", "bucket", "lengths", "ids", "sizes", "bytes"]
 
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            rows = [(i, len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(d).hexdigest()) for i, x, d in _documents_of(batch, cache)]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i in range(batch.num_rows):
+                bucket = batch.column("bucket")[i].as_py()
+                lengths, flat = _flat(batch.column("word_ids")[i].values)
+                offsets = np.cumsum(lengths) - lengths
+                pieces = batch.column("word_bytes")[i].values.to_pylist()
+                for unit, place in zip(batch.column("units")[i].as_py(), batch.column("places")[i].as_py()):
+                    at = _unpacked(place).astype(np.int64)
+                    n = lengths[at]
+                    mine = [pieces[k] for k in at.tolist()]
+                    ids = flat[_spans(offsets[at], n)]
+                    row = [unit, bucket, _packed(n), _packed(ids), _packed(np.fromiter(map(len, mine), np.int64, len(mine))), pack.compress(b"".join(mine))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), pa.int32(), *[pa.binary()] * 4])], names)
+
+    return folded.mapInArrow(run, "unit long, bucket int, lengths binary, ids binary, sizes binary, bytes binary")
+
+
+def _spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The positions begin, begin + 1, ... of each of several spans, one after the other."""
+    return np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+
+
+def _by_document(docs: DataFrame, path: str | None, pattern: str | None, result, schema: str) -> DataFrame:
+    """``result`` of lists of (doc_id, ids as a numpy array, decoded bytes), of at most TOGETHER documents."""
+    pattern, ranks = pattern or default_pattern(), read_ranks(path or default_path())
+    buckets = 1 << int(np.clip(docs.count() // BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS) - 1).bit_length()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = staged_by(units(docs, pattern, buckets), "bpe-units", "unit", parts)
+    asked = table.where("bucket >= 0").select("bucket", "unit", "words")
+    answers = staged(_answers(_folded(_gathered(asked), ranks)), "bpe-answers")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        doc_ids, known, ends, found, place = (left.column(c)[0].as_py() for c in ("doc_ids", "known", "ends", "found", "place"))
+        doc_ids, ends, found, place = np.frombuffer(doc_ids, "<i8").tolist(), np.frombuffer(ends, "<i8").tolist(), _unpacked(found), _unpacked(place)
+        said = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "lengths", "ids", "sizes", "bytes"))))
+        none = [np.zeros(0, "<u4")]
+        lengths, flat, sizes = (np.concatenate([_unpacked(r[i]) for r in said] or none) for i in (1, 2, 3))
+        lengths, sizes = lengths.astype(np.int64)[place], sizes.astype(np.int64)
+        stops = np.cumsum(sizes)
+        joined = b"".join(unpack.decompress(r[4]) for r in said)
+        decoded = [joined[a:b] for a, b in zip((stops - sizes)[place].tolist(), stops[place].tolist())]
+        offsets = np.empty(len(place), np.int64)
+        in_order = np.empty(len(place), np.int64)
+        in_order[place] = lengths
+        offsets[:] = (np.cumsum(in_order) - in_order)[place]
+        del said, joined
+
+        def documents():
+            for doc_id, there, a, b in zip(doc_ids, known, ends, ends[1:]):
+                words = found[a:b]
+                yield doc_id if there else None, flat[_spans(offsets[words], lengths[words])], b"".join(map(decoded.__getitem__, words.tolist()))
+
+        return pa.Table.from_batches([result(x) for x in batched(documents(), TOGETHER)])
+
+    left = table.where("bucket < 0").select("unit", "doc_ids", "known", "ends", "found", "place")
+    return left.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(run, schema)
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``."""
+
+    def table(rows):
+        ids, n, x, d = zip(*((i, len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(d).hexdigest()) for i, x, d in rows))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _by_document(docs, path, pattern, table, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (array of int) and decoded_sha256 for each row of ``docs``."""
-    encoded, cache = encoded_batches(docs, path, pattern, IDS_CHARS)
 
     def table(rows):
-        doc_ids, lists, digests_ = zip(*rows)
+        doc_ids, lists, digests_ = zip(*((i, x, hashlib.sha256(d).hexdigest()) for i, x, d in rows))
         ends = np.cumsum([0, *map(len, lists)])
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists).astype(np.int32)))
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(ends), pa.int64()), ids, pa.array(digests_, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
-    def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
-        rows = []
-        for batch in batches:
-            for doc_id, ids, decoded in _documents_of(batch, cache):
-                rows.append((doc_id, ids, hashlib.sha256(decoded).hexdigest()))
-                if len(rows) >= 200:
-                    yield table(rows)
-                    rows = []
-        if rows:
-            yield table(rows)
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return _by_document(docs, path, pattern, table, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -15,7 +15,9 @@ WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2",
 
 def settle(spark: SparkSession) -> None:
     """From now on the session hands Python at most BATCH_ROWS rows and about BATCH_BYTES bytes at once, as texts are long. The
-    plans that operators return run after they return, so this holds for the session; smaller settings of its own stay."""
+    plans that operators return run after they return, so this holds for the session; smaller settings of its own stay. Shuffle files
+    go with the query that made them, as staged tables are what later ones read."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(name, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:

@@ -2,14 +2,17 @@
 
 A payload is cut where a gear hash of its last ``REACH`` bytes has ``CUT_BITS`` zero bits, at least ``LEAST`` and at most
 ``MOST`` bytes after the last cut. A chunk is stored as a zstandard frame under the first 16 bytes of its SHA-256.
-Equal payloads become one list of chunks; a join on digests leaves one stored copy of each chunk. Reading joins the
-lists with the store, puts the chunks in order, checks every chunk's digest and length and the payload's digest, and
-computes the features from the bytes it read.
+Equal payloads become one list of chunks; grouping by digest leaves one stored copy of each chunk, and lists and store are written to
+the shared folder. Reading joins the written lists with the written store, puts the chunks in order, checks every chunk's digest and
+length and the payload's digest, and computes the features from the bytes it read, once for each distinct payload; rows get
+their payload's values by a join, which adaptive execution splits where many rows have one payload.
 
 A digest that many payloads list is read in parts: its references are dealt over salts, of which there is one more for
 each ``REFERENCES`` references, and its stored copy is sent to each salt.
 
-The stored form of a payload (its medium) is a header, the list (digest and length of each chunk) and the frames.
+The stored form of a payload (its medium) is a header, the list (digest and length of each chunk) and the frames. Frames need a dictionary,
+which is part of the store under its own digest, and which the header names. It is trained on a bounded sample: distinct texts of at most
+``SAMPLE_LONGEST`` bytes whose hash falls below a bound, about ``SAMPLE_ROWS`` of them, in the order of their hash.
 
 Defined results: null text is an empty payload, which is padded like any other; equal texts have equal values; payloads of any length
 are cut whole; an empty table stores nothing. A payload that fails a check stops the job.
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..staging import staged_by
 from .common import staged, utf8
 
 UNIT = 192
@@ -34,12 +38,10 @@ LEAST, MOST, CUT_BITS = 1024, 16384, 12
 REACH = 32
 ZSTD_LEVEL = 9
 REFERENCES = 256
-#: The place of a key's readers after all of its chunks.
-READER = 2**31 - 1
 #: Bytes up to which the table of often listed digests is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
-MAGIC = b"CDC1"
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4 << 20, 32768
+MAGIC = b"CDC2"
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_LONGEST, DICTIONARY_BYTES = 1000, 4 << 20, 16384, 32768
 
 _GEAR = np.random.Generator(np.random.PCG64(20260101)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -91,9 +93,11 @@ def trained(docs: DataFrame) -> bytes:
     """The dictionary of the store; empty where there is too little text to train one."""
     import zstandard
 
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    bound = (SAMPLE_ROWS << 40) // max(1, docs.count())
+    rows = texts.where((F.col("h") < bound) & (F.octet_length("text") <= SAMPLE_LONGEST)).groupBy("h").agg(F.min("text").alias("text")).toArrow().sort_by("h")
     pieces, size = [], 0
-    rows = docs.select(F.col("text").cast("string").alias("text")).limit(SAMPLE_ROWS).toArrow().column(0)
-    for text in rows:
+    for text in rows.column("text"):
         data = utf8(text.as_py())
         if size + len(data) <= SAMPLE_BYTES:
             pieces += [data[i : i + 1024] for i in range(0, len(data), 1024)]
@@ -147,19 +151,42 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, key binary")
 
 
-def rebuilt(lists: DataFrame, readers: DataFrame, dictionary: bytes) -> DataFrame:
-    """One row for each of ``readers`` (doc_id, n_bytes, key): what the bytes read from the chunks ``lists`` (key, seq, chunk, n, frame) give."""
+def medium(key: bytes, parts: list[tuple], dictionary: bytes) -> bytes:
+    """The stored form of a payload: header (magic, length, number of chunks, digest of the dictionary), list, frames of (seq, chunk, n, frame)."""
+    head = MAGIC + struct.pack("<QI", sum(n for _, _, n, _ in parts), len(parts)) + digest(dictionary)
+    return head + b"".join(c + struct.pack("<II", n, len(f)) for _, c, n, f in parts) + b"".join(f for *_, f in parts)
+
+
+def decoded(media: bytes, dictionary: bytes) -> bytes:
+    """The payload of a medium and the dictionary that it names."""
+    import zstandard
+
+    length, many = struct.unpack("<QI", media[4:16])
+    if media[:4] != MAGIC or media[16:32] != digest(dictionary):
+        raise ValueError("not a medium of this dictionary")
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+    at, out = 32 + 24 * many, []
+    for i in range(many):
+        n, size = struct.unpack("<II", media[48 + 24 * i : 56 + 24 * i])
+        out.append(unpack.decompress(media[at : at + size], max_output_size=n))
+        at += size
+    if sum(map(len, out)) != length:
+        raise ValueError("a medium of another length")
+    return b"".join(out)
+
+
+def rebuilt(lists: DataFrame, dictionary: bytes) -> DataFrame:
+    """One row for each payload (key): what the bytes read from the chunks ``lists`` (key, seq, chunk, n, frame) give."""
+    names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-        key, parts, found = None, [], None
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         out = []
 
-        def done():
+        def done(key, parts):
             data = []
             for seq, (at, chunk, n, frame) in enumerate(parts):
                 raw = unpack.decompress(frame, max_output_size=n)
@@ -169,48 +196,56 @@ def rebuilt(lists: DataFrame, readers: DataFrame, dictionary: bytes) -> DataFram
             payload = b"".join(data)
             if digest(payload) != key:
                 raise ValueError(f"payload {key.hex()} does not match its digest")
-            head = MAGIC + struct.pack("<QI", len(payload), len(parts)) + b"".join(c + struct.pack("<II", n, len(f)) for _, c, n, f in parts)
-            media = head + b"".join(f for *_, f in parts)
-            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(parts)
+            media = medium(key, parts, dictionary)
+            return key, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(parts)
 
         def table():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
+        key, parts = None, []
         for batch in batches:
-            for row in zip(*(batch.column(i) for i in range(7))):
-                k, seq, chunk, n, frame, doc_id, n_bytes = (x.as_py() for x in row)
+            for row in zip(*batch.columns):
+                k, *part = (x.as_py() for x in row)
                 if k != key:
-                    key, parts, found = k, [], None
-                if seq < READER:
-                    parts.append((seq, chunk, n, frame))
-                    continue
-                found = found or done()  # a key's chunks come before its readers
-                out.append((doc_id, n_bytes, *found))
+                    if parts:
+                        out.append(done(key, parts))
+                    key, parts = k, []
+                parts.append(tuple(part))
                 if len(out) >= 1000:
                     yield table()
                     out = []
+        if parts:
+            out.append(done(key, parts))
         if out:
             yield table()
 
-    none = F.lit(None)
-    asking = readers.select("key", F.lit(READER).alias("seq"), none.cast("binary").alias("chunk"), none.cast("int").alias("n"), none.cast("binary").alias("frame"), "doc_id", "n_bytes")
-    both = lists.select("key", "seq", "chunk", "n", "frame", none.cast("long").alias("doc_id"), none.cast("long").alias("n_bytes")).unionByName(asking)
-    return both.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
-    )
+    schema = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
+    return lists.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, schema)
 
 
-def stored_and_read(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and, from the bytes read back, payload, medium and feature values for each row of ``docs``."""
+def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame, bytes]:
+    """(lists, store, digest of the dictionary), written: lists (key, seq, chunk, n) of the distinct payloads, store (chunk, frame) of the distinct
+    chunks and the dictionary."""
     dictionary = trained(docs)
     lists = staged(chunked(docs, None).select("key", "seq", "chunk", "n").dropDuplicates(["key", "seq"]), "chunk-lists")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (lists.agg(F.sum("n")).first()[0] or 0) >> 28)
+    frames = chunked(docs, dictionary).select("chunk", "frame").repartition(parts, "chunk").groupBy("chunk").agg(F.first("frame").alias("frame"))
+    own = docs.sparkSession.createDataFrame([(digest(dictionary), dictionary)], "chunk binary, frame binary")
+    return lists, staged_by(frames.unionByName(own), "chunk-store", "chunk", parts), digest(dictionary)
+
+
+def stored_and_read(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and, from the bytes read back, payload, medium and feature values for each row of ``docs``."""
+    lists, store, named = stored(docs)
+    dictionary = bytes(store.where(F.col("chunk") == F.lit(named)).select("frame").first()[0])
     hot = staged(lists.groupBy("chunk").agg(F.count(F.lit(1)).alias("refs")).where(F.col("refs") > REFERENCES).select(F.col("chunk").alias("h_chunk"), (F.col("refs") / REFERENCES).cast("int").alias("salts")), "hot-chunks")
     few = F.broadcast(hot) if hot.count() * 40 <= BROADCAST_BYTES else hot
     lists = lists.join(few, F.col("chunk") == F.col("h_chunk"), "left").drop("h_chunk")
-    store = chunked(docs, dictionary).groupBy(F.col("chunk").alias("s_chunk")).agg(F.first("frame").alias("frame"))
-    cold = lists.where(F.col("salts").isNull()).join(store, F.col("chunk") == F.col("s_chunk"))
+    store = store.select(F.col("chunk").alias("s_chunk"), "frame")
+    cold = lists.where(F.col("salts").isNull()).join(store.hint("merge"), F.col("chunk") == F.col("s_chunk"))
     copies = store.join(few, F.col("s_chunk") == F.col("h_chunk")).select("s_chunk", "frame", F.explode(F.sequence(F.lit(0), "salts")).alias("s_salt"))
     dealt = lists.where(F.col("salts").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("key", "seq"), F.col("salts") + 1).cast("int"))
     warm = dealt.join(copies, (F.col("chunk") == F.col("s_chunk")) & (F.col("salt") == F.col("s_salt")))
     names = ["key", "seq", "chunk", "n", "frame"]
-    return rebuilt(cold.select(*names).unionByName(warm.select(*names)), keyed(docs), dictionary)
+    read = staged(rebuilt(cold.select(*names).unionByName(warm.select(*names)), dictionary).withColumnRenamed("key", "r_key"), "payloads")
+    return keyed(docs).join(read, F.col("key") == F.col("r_key")).drop("key", "r_key")

@@ -146,17 +146,57 @@ def test_edit_distance():
     assert fingerprints._myers(a, la, b, lb).tolist() == [distance(x, y) for x, y in zip(words[::2], words[1::2])]
 
 
+def reference_medium(payload, dictionary):
+    """A payload's medium by a loop over its bytes."""
+    import struct
+
+    import zstandard
+
+    gear = np.random.Generator(np.random.PCG64(20260101)).integers(0, 2**32, 256, dtype=np.uint32).tolist()
+    h, ends, at = 0, [], 0
+    for i, c in enumerate(payload, 1):
+        h = (2 * h + gear[c]) % 2**32
+        if i - at >= 1024 and h < 2**20 or i - at == 16384:
+            ends.append(i)
+            at = i
+    ends += [len(payload)] if not ends or ends[-1] < len(payload) else []
+    pack = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    parts = [payload[a:b] for a, b in zip([0, *ends], ends)]
+    frames = [pack.compress(p) for p in parts]
+    head = b"CDC2" + struct.pack("<QI", len(payload), len(parts)) + hashlib.sha256(dictionary).digest()[:16]
+    return head + b"".join(hashlib.sha256(p).digest()[:16] + struct.pack("<II", len(p), len(f)) for p, f in zip(parts, frames)) + b"".join(frames), len(parts)
+
+
+def reference_feature(payload):
+    x = list(payload)
+    mean = sum(x) / len(x)
+    spread = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+    turns = sum((a < 128) != (b < 128) for a, b in zip(x, x[1:]))
+    return f"mean={mean:.4f};std={spread:.4f};zcr={turns};bands=" + "/".join(str(sum(v >> 5 == k for v in x) * 1000 // len(x)) for k in range(8))
+
+
 @pytest.mark.parametrize("references", [media.REFERENCES, 2])
 def test_media_round_trip(docs, rows, monkeypatch, references):
     monkeypatch.setattr(media, "REFERENCES", references)
-    found = media.stored_and_read(docs).collect()
-    assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
-    texts = {r[0]: r[1] for r in rows}
-    by_text = {}
+    more = [(10_000 + i, t, "en", "s", 0) for i, t in enumerate([None] * 20 + [""] * 20 + ["copy " * 900] * 20)]
+    table = docs.unionByName(docs.sparkSession.createDataFrame(more, SCHEMA)).withColumnRenamed("lang", "key")
+    found = media.stored_and_read(table).collect()
+    texts = {r[0]: r[1] for r in rows + more}
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows + more)
+    _, store, named = media.stored(table)
+    held = {bytes(r.chunk): bytes(r.frame) for r in store.collect()}
+    assert store.count() == len(held)  # one copy of each chunk
+    dictionary = held[named]
+    want = {}
     for r in found:
-        payload = media.payload_of(texts[r.doc_id])
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((texts[r.doc_id] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert by_text.setdefault(texts[r.doc_id], (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+        t = texts[r.doc_id]
+        payload = media.payload_of(t)
+        if payload not in want:
+            stored, chunks = reference_medium(payload, dictionary)
+            assert media.decoded(stored, dictionary) == payload
+            want[payload] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), reference_feature(payload), chunks)
+        assert r.n_bytes == len((t or "").encode()) and len(payload) % 192 == 0 and payload[: r.n_bytes] == (t or "").encode()
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, r.n_chunks) == want[payload]
 
 
 def near_brute(rows, width):
@@ -440,3 +480,25 @@ def test_pipeline_stages(spark, data, rows):
     assert not [r for r in docs.collect() if re.search(r"[A-Za-z0-9]@[a-z]+\.example", r.text or "")]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert last.count() == docs.count() and all(len(r.ids) == r.n_tokens for r in last.collect())
+
+
+def test_bpe_cuts_as_the_pattern():
+    import regex
+
+    assert bpe.default_pattern() == bpe.KNOWN_PATTERN
+    find, r = regex.compile(bpe.KNOWN_PATTERN).findall, random.Random(1)
+    for _ in range(1500):
+        texts = ["".join(r.choice("'''  \n\t　 stmdrevlaé1٣.!\U0001f600Zx") for _ in range(r.randint(0, 25))) for _ in range(r.randint(1, 6))]
+        want = [find(t) for t in texts]
+        assert bpe._cut(texts) == ([w for x in want for w in x], list(map(len, want)))
+
+
+@pytest.mark.parametrize("rows_in_unit", [7, bpe.UNIT_ROWS])
+def test_bpe_returns_ids_in_units_of_any_size(docs, rows, monkeypatch, rows_in_unit):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "UNIT_ROWS", rows_in_unit)
+    library = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.read_ranks(bpe.default_path()), special_tokens={})
+    found = bpe.encode(docs.withColumnRenamed("lang", "unit")).collect()
+    want = Counter((i, tuple(library.encode_ordinary(t or ""))) for i, t, *_ in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in found) == want
