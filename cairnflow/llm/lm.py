@@ -33,7 +33,7 @@ UNIT_BYTES = 4 << 20
 UNIT_DOCS = 4096
 FOLD, HELD = 5, 1
 DISCOUNT, WORD_DISCOUNT, MU = 0.75, 0.5, 0.2
-LEAST_BUCKETS, MOST_BUCKETS = 8, 8192
+LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 17
 _U = np.uint64
 END, START = mix(np.array([0xE0D], _U))[0], mix(np.array([0x57A], _U))[0]
 
@@ -133,10 +133,8 @@ def requests(table: DataFrame, buckets: int) -> DataFrame:
                 t = Tokens(_texts(lengths, texts), held)
                 by_word, by_pair = _cuts(t.words, buckets), _cuts(t.pair_context, buckets)
                 rows = []
-                for k in range(buckets):
+                for k in np.flatnonzero((np.diff(by_word) > 0) | (np.diff(by_pair) > 0)).tolist():
                     a, b, c, d = by_word[k], by_word[k + 1], by_pair[k], by_pair[k + 1]
-                    if a == b and c == d:
-                        continue
                     contexts, runs = np.unique(t.pair_context[c:d], return_counts=True)
                     rows.append((k, unit, t.words[a:b].tobytes(), _packed(t.word_train[a:b].astype("<u4")), contexts.tobytes(), _packed(runs.astype("<u4")), t.pair_word[c:d].tobytes(), _packed(t.pair_train[c:d].astype("<u4"))))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i == 1 else pa.int32() if not i else pa.binary()) for i, x in enumerate(zip(*rows))], names)

@@ -6,7 +6,8 @@ Equal strings are brought together by their content: a string belongs to the sma
 pieces (its anchor), and consecutive strings of one anchor form a run. A first exchange of anchors (5 bytes each) tells which
 of them lie in more than one document; the others hold no repeated string. In a second one, the runs of the rest meet in buckets
 by anchor: each unit of documents sends a run once, with its smallest doc_id, so that copies and common passages
-are gathered before the shuffle. A bucket sorts the suffixes of its distinct runs with the difference cover {1, 2} mod 3:
+are gathered before the shuffle. Runs are told apart by their bytes. A run whose anchor no other distinct run of its bucket has holds
+all its strings alone. Of the others a bucket sorts the suffixes with the difference cover {1, 2} mod 3:
 it names the sampled triples, recurses on the names until they span ``LENGTH`` bytes, places the remaining suffixes by their first
 byte and the rank behind it, merges, and compares adjacent suffixes. For each string it gives the smallest doc_id it starts
 in, and a unit removes what starts in a smaller one.
@@ -33,7 +34,7 @@ _U = np.uint64
 NOBODY = 2**63 - 1
 #: Bytes of runs whose suffixes are sorted together; a bucket is cut into parts of about this size by further bits of the anchor.
 SORTED_BYTES = 1 << 19
-PART_BITS = 16
+PART_BITS = 32
 
 
 _BASE = 0x2545F4914F6CDD1D | 1
@@ -62,11 +63,11 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """The runs of a unit's texts: anchor, content hash, text, start within the text, strings that start in the run."""
+    """The runs of a unit's texts: anchor, text, start within the text, strings that start in the run."""
 
     def __init__(self, texts: list[bytes]):
         parts = [self._of(texts[a:b], a) for a, b in grouped(texts)]
-        self.anchor, self.content, self.text, self.start, self.many = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate((_U, _U, np.int64, np.int64, np.int64)))
+        self.anchor, self.text, self.start, self.many = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate((_U, np.int64, np.int64, np.int64)))
 
     @staticmethod
     def _of(texts: list[bytes], first: int):
@@ -74,7 +75,7 @@ class Runs:
         data = np.frombuffer(b"".join(texts), np.uint8)
         if len(data) < LENGTH:
             none = np.zeros(0, np.int64)
-            return none.astype(_U), none.astype(_U), none, none, none
+            return none.astype(_U), none, none, none
         power, inverse = powers(len(data) + 1)
         bounds = np.r_[0, np.cumsum(sizes)]
         with np.errstate(over="ignore"):
@@ -93,19 +94,16 @@ class Runs:
         at = np.flatnonzero(whole)
         if not len(at):
             none = np.zeros(0, np.int64)
-            return none.astype(_U), none.astype(_U), none, none, none
+            return none.astype(_U), none, none, none
         value = anchors[at]
         begins = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)])
         start, many = at[begins], np.diff(np.r_[begins, len(at)])
         text = np.searchsorted(bounds, start, "right") - 1
         # texts that lie end to end may share an anchor: the gap between whole strings parts them, LENGTH > 1
-        with np.errstate(over="ignore"):
-            end = start + many + LENGTH - 1
-            content = mix((total[end] - total[start]) * inverse[start] + many.astype(_U) * _U(0x9E3779B97F4A7C15))
-        return value[begins], content, text + first, start - bounds[text], many
+        return value[begins], text + first, start - bounds[text], many
 
     def pick(self, keep: np.ndarray) -> None:
-        for name in ("anchor", "content", "text", "start", "many"):
+        for name in ("anchor", "text", "start", "many"):
             setattr(self, name, getattr(self, name)[keep])
 
 
@@ -294,16 +292,19 @@ def _candidates(held: list[tuple], buckets: int):
     return ids, known, texts, runs, [r for r in held[1:] if r[6] == 1]
 
 
-def _distinct(runs: Runs, buckets: int):
-    """A unit's distinct runs in the order of (bucket, content): the first of each, the run of each occurrence, and the buckets' cuts."""
+def _distinct(runs: Runs, texts: list[bytes], buckets: int):
+    """A unit's distinct runs by bucket: the first of each, the run of each occurrence, the buckets' cuts, and the runs' bytes."""
     shift = _U(64 - (buckets.bit_length() - 1))
-    order = np.lexsort((runs.content, runs.anchor >> shift))
-    bucket, content = (runs.anchor >> shift)[order], runs.content[order]
-    new = np.r_[True, (bucket[1:] != bucket[:-1]) | (content[1:] != content[:-1])][: len(order)]
-    first = order[new]
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return first, of, np.searchsorted(bucket[new], np.arange(buckets + 1).astype(_U))
+    seen: dict[bytes, int] = {}
+    of = np.fromiter((seen.setdefault(texts[t][s : s + m], len(seen)) for t, s, m in zip(runs.text.tolist(), runs.start.tolist(), (runs.many + LENGTH - 1).tolist())), np.int64, len(runs.text))
+    first = np.full(len(seen), len(of))
+    np.minimum.at(first, of, np.arange(len(of)))
+    bucket = runs.anchor[first] >> shift
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    strings = list(seen)
+    return first[order], place[of] if len(of) else of, np.searchsorted(bucket[order], np.arange(buckets + 1).astype(_U)), [strings[i] for i in order.tolist()]
 
 
 def smallest_owners(table: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
@@ -317,18 +318,17 @@ def smallest_owners(table: DataFrame, anchors: DataFrame, buckets: int) -> DataF
             ids, _, texts, runs, _ = _candidates(held, buckets)
             if not len(runs.anchor):
                 continue
-            first, of, cuts = _distinct(runs, buckets)
+            first, of, cuts, strings = _distinct(runs, texts, buckets)
             least = np.full(len(first), NOBODY)
             np.minimum.at(least, of, ids[runs.text])
-            strings = [texts[t][s : s + m + LENGTH - 1] for t, s, m in zip(runs.text[first].tolist(), runs.start[first].tolist(), runs.many[first].tolist())]
             low = _U(64 - (buckets.bit_length() - 1) - PART_BITS)
-            part = (runs.anchor[first] >> low & _U((1 << PART_BITS) - 1)).astype("<u2")
+            part = (runs.anchor[first] >> low & _U((1 << PART_BITS) - 1)).astype("<u4")
             rows = [
-                (k, unit, _packed(runs.many[first[a:b]].astype("<u4")), pack.compress(b"".join(strings[a:b])), _packed(least[a:b].astype("<i8")), runs.content[first[a:b]].tobytes(), part[a:b].tobytes())
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
+                (k, unit, _packed(runs.many[first[a:b]].astype("<u4")), pack.compress(b"".join(strings[a:b])), _packed(least[a:b].astype("<i8")), part[a:b].tobytes())
+                for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()))
                 if a < b
             ]
-            yield _table(rows, ["bucket", "unit", "many", "strings", "least", "content", "part"], [pa.int32(), pa.int64()] + [pa.binary()] * 5)
+            yield _table(rows, ["bucket", "unit", "many", "strings", "least", "part"], [pa.int32(), pa.int64()] + [pa.binary()] * 4)
 
     def answer(batches):
         import zstandard
@@ -336,33 +336,39 @@ def smallest_owners(table: DataFrame, anchors: DataFrame, buckets: int) -> DataF
         unpack = zstandard.ZstdDecompressor()
         for bucket, held in _grouped_rows(batches):
             many = [_unpacked(r[2], "<u4").astype(np.int64) for r in held]
-            content = np.concatenate([np.frombuffer(r[5], "<u8") for r in held])
-            least = np.concatenate([_unpacked(r[4], "<i8") for r in held])
-            _, first, of = np.unique(content, return_index=True, return_inverse=True)
-            owner = np.full(len(first), NOBODY)
-            np.minimum.at(owner, of, least)
-            part = np.concatenate([np.frombuffer(r[6], "<u2") for r in held])[first].astype(np.int64)
-            raw = [unpack.decompress(r[3]) for r in held]
-            ends = [np.cumsum(m + LENGTH - 1) for m in many]
+            seen: dict[bytes, int] = {}
+            of = []
+            for r, m in zip(held, many):
+                raw, ends = unpack.decompress(r[3]), np.cumsum(m + LENGTH - 1).tolist()
+                of += [seen.setdefault(raw[a:b], len(seen)) for a, b in zip([0, *ends], ends)]
+            strings, of = list(seen), np.array(of)
+            del seen
+            first = np.full(len(strings), len(of))
+            np.minimum.at(first, of, np.arange(len(of)))
+            owner = np.full(len(strings), NOBODY)
+            np.minimum.at(owner, of, np.concatenate([_unpacked(r[4], "<i8") for r in held]))
             base = np.cumsum([0, *map(len, many)])
-            row = np.searchsorted(base, first, "right") - 1
+            starts = np.concatenate(many)[first]
+            part = np.concatenate([np.frombuffer(r[5], "<u4") for r in held])[first].astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            new = part[order][1:] != part[order][:-1]
+            alone = np.empty(len(order), bool)
+            alone[order] = np.r_[True, new] & np.r_[new, True]
+            found: list[np.ndarray] = [np.full(n, w) if single else None for n, w, single in zip(starts.tolist(), owner.tolist(), alone.tolist())]
             # equal strings have equal anchors, so parts by anchor are sorted one after the other
-            parts = int(np.concatenate(many)[first].sum() + len(first) * (LENGTH - 1)) // SORTED_BYTES + 1
-            part = part * parts >> PART_BITS
-            found: list[np.ndarray] = [None] * len(first)
-            for mine in np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))[:-1]):
-                strings = []
-                for f, r in zip(first[mine].tolist(), row[mine].tolist()):
-                    i = f - base[r]
-                    strings.append(raw[r][ends[r][i - 1] if i else 0 : ends[r][i]])
-                if strings:
-                    for at, x in zip(mine.tolist(), repeated(strings, owner[mine])):
+            order = order[~alone[order]]
+            size = np.cumsum(starts[order] + LENGTH - 1)
+            cut = np.flatnonzero(np.r_[False, (part[order][1:] != part[order][:-1])])
+            cut = cut[np.r_[True, np.diff(size[cut - 1] // SORTED_BYTES) > 0]] if len(cut) else cut
+            for mine in np.split(order, cut):
+                if len(mine):
+                    for at, x in zip(mine.tolist(), repeated([strings[i] for i in mine.tolist()], owner[mine])):
                         found[at] = x
             for k, r in enumerate(held):
                 mine = [found[c] for c in of[base[k] : base[k + 1]]]
                 yield _table([(r[1], bucket, _packed(np.concatenate(mine).astype("<i8")))], ["unit", "bucket", "said"], [pa.int64(), pa.int32(), pa.binary()])
 
-    asked = _with_replies(table, anchors).mapInArrow(ask, "bucket int, unit long, many binary, strings binary, least binary, content binary, part binary")
+    asked = _with_replies(table, anchors).mapInArrow(ask, "bucket int, unit long, many binary, strings binary, least binary, part binary")
     return asked.repartition("bucket").sortWithinPartitions("bucket", "unit").mapInArrow(answer, "unit long, bucket int, said binary")
 
 
@@ -380,7 +386,7 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             ids, known, texts, runs, said = _candidates(held, buckets)
             spans: dict[int, list[tuple[int, int]]] = {}
             if len(runs.anchor):
-                first, of, cuts = _distinct(runs, buckets)
+                first, of, cuts, _ = _distinct(runs, texts, buckets)
                 replies = {r[1]: r[7] for r in said}
                 owner = np.concatenate([_unpacked(replies[k], "<i8") for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
                 at = np.cumsum(runs.many[first]) - runs.many[first]
