@@ -326,8 +326,31 @@ def _(t):
     return insert_missing(store, t.supplier.select(F.col("s_nationkey").alias("k"), F.lit("s").alias("src")), ["k"])
 
 
-plain("K3_coalesce_upsert", "SELECT COALESCE(a.k, b.k) AS k, COALESCE(b.v, a.v) AS v FROM (SELECT user_id AS k, min(value) AS v FROM {events} GROUP BY 1) a FULL OUTER JOIN (SELECT user_id AS k, max(CASE WHEN event_type = 'purchase' THEN value END) AS v FROM {events} WHERE user_id % 2 = 0 GROUP BY 1) b ON a.k = b.k")
-plain("K4_update_from_join", "SELECT c.c_custkey, COALESCE(x.n, 0) AS orders, COALESCE(x.last_price, c.c_acctbal) AS stamp FROM {customer} c LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS last_price FROM {orders} GROUP BY 1) x ON c.c_custkey = x.o_custkey")
+def upsert_keeping(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """K3: the store after a keyed upsert in which a null of a new row keeps the stored value. ``rows`` has each key once."""
+    values = [c for c in store.columns if c not in keys]
+    new = rows.select(*keys, *[F.col(c).alias(f"new_{c}") for c in values])
+    return store.join(new, keys, "full").select(*keys, *[F.coalesce(f"new_{c}", c).alias(c) for c in values])
+
+
+@query("K3_coalesce_upsert", "SELECT COALESCE(a.k, b.k) AS k, COALESCE(b.v, a.v) AS v FROM (SELECT user_id AS k, min(value) AS v FROM events GROUP BY 1) a FULL OUTER JOIN (SELECT user_id AS k, max(CASE WHEN event_type = 'purchase' THEN value END) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1) b ON a.k = b.k")
+def _(t):
+    store = t.events.groupBy(F.col("user_id").alias("k")).agg(F.min("value").alias("v"))
+    rows = t.events.where("user_id % 2 = 0").groupBy(F.col("user_id").alias("k")).agg(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("v"))
+    return upsert_keeping(store, rows, ["k"])
+
+
+def update_from(store: DataFrame, changes: DataFrame, keys: list[str], defaults: dict[str, Column]) -> DataFrame:
+    """K4: every stored row, its columns of ``defaults`` taken from ``changes`` (each key once), the default where no change is given."""
+    new = changes.select(*keys, *[F.col(c).alias(f"new_{c}") for c in defaults])
+    kept = [c for c in store.columns if c not in keys and c not in defaults]
+    return store.join(new, keys, "left").select(*keys, *kept, *[F.coalesce(F.col(f"new_{c}"), d).alias(c) for c, d in defaults.items()])
+
+
+@query("K4_update_from_join", "SELECT c.c_custkey, COALESCE(x.n, 0) AS orders, COALESCE(x.last_price, c.c_acctbal) AS stamp FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS last_price FROM orders GROUP BY 1) x ON c.c_custkey = x.o_custkey")
+def _(t):
+    changes = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.max("o_totalprice").alias("stamp"))
+    return update_from(t.customer.select("c_custkey", "c_acctbal"), changes, ["c_custkey"], {"orders": F.lit(0), "stamp": F.col("c_acctbal")}).drop("c_acctbal")
 
 
 def prune(store: DataFrame, key: str, present: DataFrame, keep_prefix: str) -> DataFrame:
@@ -343,5 +366,25 @@ def _(t):
     return prune(t.part.select(path, "p_size"), "path", present, "small")
 
 
-plain("K6_replace_partition", "SELECT o_custkey, o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus <> 'P' UNION ALL SELECT o_custkey, o_orderkey, o_totalprice * 2 AS o_totalprice FROM {orders} WHERE o_orderstatus = 'P' AND o_totalprice > 200000")
-plain("K7_toggle", "SELECT user_id, count(*) AS toggles, count(*) % 2 = 1 AS liked FROM {events} WHERE event_type = 'click' GROUP BY user_id")
+def replace_partition(store: DataFrame, rows: DataFrame, part: Column) -> DataFrame:
+    """K6: the store with all rows of one part (a condition) replaced by ``rows``; where the condition is null a row stays."""
+    return store.where(~F.coalesce(part, F.lit(False))).unionByName(rows)
+
+
+@query("K6_replace_partition", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_custkey, o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000")
+def _(t):
+    names = ["o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus"]
+    rows = t.orders.select(*names).where("o_orderstatus = 'P' and o_totalprice > 200000").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return replace_partition(t.orders.select(*names), rows, F.col("o_orderstatus") == "P").drop("o_orderstatus")
+
+
+def toggled(rows: DataFrame, *key: str) -> DataFrame:
+    """K7: the state of a switch that each row flips: on after an odd number of rows."""
+    return rows.groupBy(*key).agg(F.count("*").alias("toggles")).withColumn("liked", F.col("toggles") % 2 == 1)
+
+
+@query("K7_toggle", "SELECT user_id, count(*) AS toggles, count(*) % 2 = 1 AS liked FROM events WHERE event_type = 'click' GROUP BY user_id")
+def _(t):
+    return toggled(t.events.where("event_type = 'click'"), "user_id")
+
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tokens
@@ -104,9 +106,60 @@ def _(t):
 
 
 plain("E7_diagnostic", "SELECT user_id, least(20, count(*) / 5) + least(20, CAST(sum(value) / 100 AS BIGINT)) AS score_floor FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS value FROM {events}) x GROUP BY user_id HAVING count(*) % 5 = 0 AND CAST(sum(value) AS BIGINT) % 100 = 0")
-plain("E8_completeness", "SELECT c_custkey, CAST((CASE WHEN c_acctbal > 0 THEN 25 ELSE 0 END + CASE WHEN c_mktsegment IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN c_nationkey < 15 THEN 15 ELSE 0 END + CASE WHEN c_name LIKE '%7' THEN 10 ELSE 0 END) AS DOUBLE) / 100 AS score FROM {customer}")
-plain("E9_repo_class", "SELECT o_custkey, CASE WHEN count(*) <= 4 THEN 'noise' WHEN max(o_orderdate) < TIMESTAMP '1999-01-01 00:00:00' THEN 'abandoned' WHEN count(*) FILTER (WHERE o_orderstatus = 'P') * 2 > count(*) THEN 'stale' ELSE 'project' END AS class FROM {orders} GROUP BY o_custkey")
-plain("E10_authorship", "SELECT l_suppkey, CASE WHEN share >= 0.6 THEN 'owner' WHEN share >= 0.2 THEN 'contributor' ELSE 'minor' END AS role, CASE WHEN n = 1 THEN 'solo' WHEN n <= 4 THEN 'team' ELSE 'open' END AS collaboration FROM (SELECT l_suppkey, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) / count(*) AS share, count(DISTINCT l_linenumber) AS n FROM {lineitem} GROUP BY l_suppkey) x")
+
+
+#: What completes a profile, and how much each part is worth.
+COMPLETENESS = {"readme": 0.25, "manifest": 0.20, "ci": 0.15, "changelog": 0.10, "tests": 0.10, "commits": 0.10, "confidence": 0.10}
+
+
+def completeness(**parts: Column) -> Column:
+    """The sum of the weights of the parts that hold; a part that is not given or null does not."""
+    unknown = set(parts) - set(COMPLETENESS)
+    if unknown:
+        raise ValueError(f"no such parts: {sorted(unknown)}")
+    total = F.lit(0.0)
+    for name, holds in parts.items():
+        total = total + F.when(holds, COMPLETENESS[name]).otherwise(0.0)
+    return F.round(total, 10)
+
+
+@query("E8_completeness", "SELECT c_custkey, CAST((CASE WHEN c_acctbal > 0 THEN 25 ELSE 0 END + CASE WHEN c_mktsegment IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN c_nationkey < 15 THEN 15 ELSE 0 END + CASE WHEN c_name LIKE '%7' THEN 10 ELSE 0 END) AS DOUBLE) / 100 AS score FROM customer")
+def _(t):
+    c = F.col
+    return t.customer.select("c_custkey", completeness(readme=c("c_acctbal") > 0, manifest=c("c_mktsegment").isNotNull(), ci=c("c_nationkey") < 15, commits=c("c_name").like("%7")).alias("score"))
+
+
+def repo_class(fork: Column, commits: Column, name: Column, years_since_push: Column, readme: Column, manifests: Column) -> Column:
+    """The first rule that holds: fork, abandoned, tutorial, stale (no push counts as long ago), noise, else project."""
+    years = F.coalesce(years_since_push, F.lit(float("inf")))
+    empty = ~F.coalesce(readme, F.lit(False)) & (commits < 10) & (manifests == 0)
+    rules = F.when(fork & (commits < 5), "fork").when(commits < 3, "abandoned").when(name.rlike("(?i)tutorial|hello-world|learning|playground|test-"), "tutorial")
+    return rules.when(years > 5, "stale").when(empty, "noise").otherwise("project")
+
+
+@query("E9_repo_class", "WITH r AS (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 AND n < 5 THEN 'fork' WHEN n < 3 THEN 'abandoned' WHEN o_custkey % 11 = 0 THEN 'tutorial' WHEN date_diff('day', CAST(last AS DATE), DATE '2004-01-01') / 365.0 > 5 THEN 'stale' WHEN p = 0 AND n < 10 AND o_custkey % 2 = 0 THEN 'noise' ELSE 'project' END AS class FROM r")
+def _(t):
+    r = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("last"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
+    years = F.datediff(F.lit("2004-01-01").cast("date"), F.col("last").cast("date")) / F.lit(365.0)
+    name = F.when(F.col("o_custkey") % 11 == 0, "play/test-repo").otherwise("own/repo")
+    return r.select("o_custkey", repo_class(F.col("o_custkey") % 3 == 0, F.col("n"), name, years, F.col("p") > 0, F.col("o_custkey") % 2).alias("class"))
+
+
+def authorship(commit_share: Column, contributor_share: Column) -> Column:
+    """The role by the larger of two shares; a share that is not known counts as 0."""
+    share = F.greatest(F.coalesce(commit_share, F.lit(0.0)), F.coalesce(contributor_share, F.lit(0.0)))
+    return F.when(share >= 0.6, "owner").when(share >= 0.2, "contributor").otherwise("minor")
+
+
+def collaboration(people: Column) -> Column:
+    """Solo, team (up to 4) or open."""
+    return F.when(people <= 1, "solo").when(people <= 4, "team").otherwise("open")
+
+
+@query("E10_authorship", "SELECT l_suppkey, CASE WHEN share >= 0.6 THEN 'owner' WHEN share >= 0.2 THEN 'contributor' ELSE 'minor' END AS role, CASE WHEN n = 1 THEN 'solo' WHEN n <= 4 THEN 'team' ELSE 'open' END AS collaboration FROM (SELECT l_suppkey, greatest(count(*) FILTER (WHERE l_returnflag = 'A'), count(*) FILTER (WHERE l_linestatus = 'O'))::DOUBLE / count(*) AS share, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_suppkey) x")
+def _(t):
+    x = t.lineitem.groupBy("l_suppkey").agg((F.count_if(F.col("l_returnflag") == "A") / F.count("*")).alias("a"), (F.count_if(F.col("l_linestatus") == "O") / F.count("*")).alias("b"), F.countDistinct("l_linenumber").alias("n"))
+    return x.select("l_suppkey", authorship(F.col("a"), F.col("b")).alias("role"), collaboration(F.col("n")).alias("collaboration"))
 
 
 def set_scores(rows: DataFrame, truth: str, found: str) -> DataFrame:
@@ -125,7 +178,21 @@ def _(t):
     return set_scores(t.documents.select(bag(1, 200).alias("a"), bag(100, 200).alias("b")), "a", "b")
 
 
-plain("E13_resolution_eval", "SELECT round(CAST(count(*) FILTER (WHERE p_size > 20 AND p_type = 'PROMO') AS DOUBLE) / count(*) FILTER (WHERE p_type = 'PROMO'), 6) AS recall, round(CAST(count(*) FILTER (WHERE p_size > 20 AND p_type = 'PROMO') AS DOUBLE) / count(*) FILTER (WHERE p_size > 20), 6) AS precision FROM {part}")
+def resolution_eval(rows: DataFrame, expected: str, resolved: str) -> DataFrame:
+    """Positives, negatives (nothing expected), recall, precision and the share of negatives that were merged; a rate of nothing is 0."""
+    e, r = F.col(expected), F.col(resolved)
+    rate = lambda hit, all_: F.round(F.coalesce(F.try_divide(F.count_if(hit), F.count_if(all_)), F.lit(0.0)), 6)
+    return rows.agg(
+        F.count_if(e.isNotNull()).alias("positives"), F.count_if(e.isNull()).alias("negatives"), rate(e.isNotNull() & r.eqNullSafe(e), e.isNotNull()).alias("recall"),
+        rate(r.isNotNull() & e.eqNullSafe(r), r.isNotNull()).alias("precision"), rate(e.isNull() & r.isNotNull(), e.isNull()).alias("false_merges"),
+    )
+
+
+@query("E13_resolution_eval", "WITH x AS (SELECT CASE WHEN p_size > 5 THEN p_brand END AS e, CASE p_partkey % 4 WHEN 0 THEN 'Brand#11' WHEN 1 THEN p_brand WHEN 2 THEN p_brand END AS r FROM part) SELECT count(e) AS positives, count(*) - count(e) AS negatives, round(sum(CASE WHEN e = r THEN 1.0::DOUBLE ELSE 0 END) / count(e), 6) AS recall, round(sum(CASE WHEN e = r THEN 1.0::DOUBLE ELSE 0 END) / count(r), 6) AS precision, round(sum(CASE WHEN e IS NULL AND r IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN e IS NULL THEN 1 ELSE 0 END), 6) AS false_merges FROM x")
+def _(t):
+    expected = F.when(F.col("p_size") > 5, F.col("p_brand"))
+    resolved = F.when(F.col("p_partkey") % 4 == 0, "Brand#11").when(F.col("p_partkey") % 4 < 3, F.col("p_brand"))
+    return resolution_eval(t.part.select(expected.alias("e"), resolved.alias("r")), "e", "r")
 
 
 @query("E14_rag_eval", "WITH s AS (SELECT label AS qid, list(lower('kb/' || vec_id || '/doc')) AS sources FROM embeddings WHERE vec_id < 100 GROUP BY label), e AS (SELECT label AS qid, list('KB/' || vec_id || '/') AS wanted FROM embeddings WHERE vec_id % 7 = 0 GROUP BY label) SELECT qid, round(len(list_filter(wanted, lambda w: len(list_filter(sources, lambda s: contains(s, lower(w)))) > 0)) / len(wanted), 6) AS recall FROM e JOIN s USING (qid)")
@@ -136,11 +203,84 @@ def _(t):
     return e.join(s, "qid").select("qid", F.round(hit / F.size("wanted"), 6).alias("recall"))
 
 
-plain("E15_parity", "SELECT k, CASE WHEN n_a = 0 THEN CAST(1 AS DOUBLE) ELSE round(CAST(n_both AS DOUBLE) / n_a, 6) END AS recall, n_b - n_both AS only_b FROM (SELECT COALESCE(a.l_suppkey, b.l_suppkey) % 10 AS k, count(a.l_suppkey) AS n_a, count(b.l_suppkey) AS n_b, count(CASE WHEN a.l_suppkey IS NOT NULL AND b.l_suppkey IS NOT NULL THEN 1 END) AS n_both FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem} WHERE l_returnflag = 'A') a FULL OUTER JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM {lineitem} WHERE l_returnflag = 'R') b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey GROUP BY 1) x")
-plain("E16_commit_metrics", "SELECT l_orderkey, count(*) AS files, sum(CAST(l_quantity AS BIGINT)) AS churn, sum(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END) AS loc_delta, CASE WHEN sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) = 0 THEN NULL ELSE round(CAST(100 AS DOUBLE) * (count(*) - sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END)) / sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END), 2) END AS change FROM {lineitem} GROUP BY l_orderkey")
-plain("E17_depth_markers", "SELECT l_suppkey, CASE WHEN r >= 0.5 THEN 'deep' WHEN r >= 0.2 THEN 'some' ELSE 'none' END AS tests, CAST(round(r * 20) * 5 AS BIGINT) AS mix FROM (SELECT l_suppkey, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS DOUBLE) / count(*) AS r FROM {lineitem} GROUP BY l_suppkey) x")
-plain("E18_difficulty_areas", "SELECT l_suppkey, l_returnflag, fixes FROM (SELECT l_suppkey, l_returnflag, count(*) AS fixes, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_returnflag) AS rn FROM {lineitem} GROUP BY 1, 2) x WHERE rn <= 2 ORDER BY fixes DESC, l_suppkey, l_returnflag LIMIT 8")
-plain("E19_token_cost", "SELECT event_type, round(sum(CAST(floor(value) AS BIGINT)) / CAST(1000 AS DOUBLE) * CASE event_type WHEN 'click' THEN CAST(0.25 AS DOUBLE) WHEN 'purchase' THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END, 6) AS cents FROM {events} GROUP BY event_type")
+def parity(wanted: DataFrame, found: DataFrame, group: str, item: str, most: int = 25) -> DataFrame:
+    """By group the share of distinct wanted items that are found (1 if nothing is wanted), how many are found alone, and the first
+    ``most`` of those in order."""
+    a, b = wanted.select(group, item).distinct().withColumn("a_", F.lit(True)), found.select(group, item).distinct().withColumn("b_", F.lit(True))
+    both = a.join(b, [group, item], "full")
+    n = lambda c: F.count_if(c)
+    here, there = F.col("a_").isNotNull(), F.col("b_").isNotNull()
+    rates = both.groupBy(group).agg(F.when(n(here) == 0, 1.0).otherwise(F.round(n(here & there) / F.greatest(n(here), F.lit(1)), 6)).alias("recall"), n(there & ~here).alias("only_b"))
+    alone = both.where(~here).withColumn("rn_", F.row_number().over(W.partitionBy(group).orderBy(item))).where(F.col("rn_") <= most)
+    alone = alone.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("alone"))
+    return rates.join(alone, group, "left").withColumn("alone", F.coalesce("alone", F.array().cast(f"array<{wanted.schema[item].dataType.simpleString()}>")))
+
+
+@query("E15_parity", "WITH a AS (SELECT DISTINCT l_suppkey % 10 AS k, l_suppkey * 1000000 + l_partkey AS item FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey % 10 AS k, l_suppkey * 1000000 + l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'), o AS (SELECT k, item, row_number() OVER (PARTITION BY k ORDER BY item) AS rn FROM (SELECT * FROM b EXCEPT SELECT * FROM a)), g AS (SELECT k, count(*) AS n, count(*) FILTER (WHERE (k, item) IN (SELECT (k, item) FROM b)) AS hit FROM a GROUP BY k), u AS (SELECT DISTINCT k FROM (SELECT k FROM a UNION ALL SELECT k FROM b)) SELECT u.k, COALESCE(round(g.hit / g.n, 6), 1) AS recall, (SELECT count(*) FROM o WHERE o.k = u.k) AS only_b, COALESCE((SELECT string_agg(item::VARCHAR, ',' ORDER BY item) FROM o WHERE o.k = u.k AND rn <= 25), '') AS alone FROM u LEFT JOIN g ON u.k = g.k")
+def _(t):
+    of = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select((F.col("l_suppkey") % 10).alias("k"), (F.col("l_suppkey") * 1_000_000 + F.col("l_partkey")).alias("item"))
+    return parity(of("A"), of("R"), "k", "item").select("k", "recall", "only_b", F.array_join("alone", ",").alias("alone"))
+
+
+def percent_change(before: Column, after: Column) -> Column:
+    """To two digits, null from 0."""
+    return F.when(before != 0, F.round(F.lit(100.0) * (after - before) / before, 2))
+
+
+def commit_metrics(files: DataFrame, commit: str, added: Column, removed: Column, status: str) -> DataFrame:
+    """Files, churn, line delta and files by status of each commit; counts that are not known are 0."""
+    a, r = F.coalesce(added, F.lit(0)), F.coalesce(removed, F.lit(0))
+    kinds = files.groupBy(commit, status).agg(F.count("*").alias("n"), F.sum(a + r).alias("churn"), F.sum(a - r).alias("loc_delta"))
+    return kinds.groupBy(commit).agg(F.sum("n").alias("files"), F.sum("churn").alias("churn"), F.sum("loc_delta").alias("loc_delta"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(status, "n")))).alias("by_status"))
+
+
+@query("E16_commit_metrics", "SELECT l_orderkey, count(*) AS files, sum(CAST(l_quantity AS BIGINT))::BIGINT AS churn, sum(CASE WHEN l_returnflag = 'R' THEN -CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) END)::BIGINT AS loc_delta, CASE WHEN count(*) FILTER (WHERE l_linestatus = 'F') > 0 THEN round(100.0::DOUBLE * (count(*) - count(*) FILTER (WHERE l_linestatus = 'F')) / count(*) FILTER (WHERE l_linestatus = 'F'), 2) END AS change FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    n = F.col("l_quantity").cast("long")
+    back = F.col("l_returnflag") == "R"
+    m = commit_metrics(t.lineitem, "l_orderkey", F.when(~back, n), F.when(back, n), "l_linestatus")
+    f = F.coalesce(F.try_element_at("by_status", F.lit("F")), F.lit(0))
+    return m.select("l_orderkey", "files", "churn", "loc_delta", percent_change(f, F.col("files") - f + f).alias("change"))
+
+
+def depth_of(share: Column) -> Column:
+    """How deep tests (or documents) go by their share."""
+    return F.when(share >= 0.5, "deep").when(share >= 0.2, "some").otherwise("none")
+
+
+def to_step(share: Column, step: int = 5) -> Column:
+    """A share in percent, rounded to a step."""
+    return (F.round(share * 100 / step) * step).cast("long")
+
+
+@query("E17_depth_markers", "SELECT l_suppkey, CASE WHEN r >= 0.5 THEN 'deep' WHEN r >= 0.2 THEN 'some' ELSE 'none' END AS tests, CAST(round(r * 20) * 5 AS BIGINT) AS mix FROM (SELECT l_suppkey, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS DOUBLE) / count(*) AS r FROM lineitem GROUP BY l_suppkey) x")
+def _(t):
+    x = t.lineitem.groupBy("l_suppkey").agg((F.count_if(F.col("l_linestatus") == "O") / F.count("*")).alias("r"))
+    return x.select("l_suppkey", depth_of(F.col("r")).alias("tests"), to_step(F.col("r")).alias("mix"))
+
+
+def top_areas(rows: DataFrame, repo: str, area: str, per_repo: int, most: int) -> DataFrame:
+    """The areas of most rows (fixes), ``per_repo`` of each repository and ``most`` of all."""
+    n = rows.groupBy(repo, area).agg(F.count("*").alias("fixes"))
+    ranked = n.withColumn("rn_", F.row_number().over(W.partitionBy(repo).orderBy(F.desc("fixes"), area))).where(F.col("rn_") <= per_repo)
+    return ranked.drop("rn_").orderBy(F.desc("fixes"), repo, area).limit(most)
+
+
+@query("E18_difficulty_areas", "SELECT l_suppkey, l_returnflag, fixes FROM (SELECT l_suppkey, l_returnflag, count(*) AS fixes, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_returnflag) AS rn FROM lineitem GROUP BY 1, 2) x WHERE rn <= 2 ORDER BY fixes DESC, l_suppkey, l_returnflag LIMIT 8")
+def _(t):
+    return top_areas(t.lineitem, "l_suppkey", "l_returnflag", 2, 8)
+
+
+def token_cost(tokens: Column, model: Column, prices: dict[str, float], default: float) -> Column:
+    """Cents for tokens at a price for each 1,000, to six digits; an unknown model has the default price."""
+    price = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in prices.items() for x in kv]), model), F.lit(default))
+    return F.round(tokens / F.lit(1000.0) * price, 6)
+
+
+@query("E19_token_cost", "SELECT event_type, round(sum(CAST(floor(value) AS BIGINT)) / CAST(1000 AS DOUBLE) * CASE event_type WHEN 'click' THEN CAST(0.25 AS DOUBLE) WHEN 'purchase' THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END, 6) AS cents FROM events GROUP BY event_type")
+def _(t):
+    n = t.events.groupBy("event_type").agg(F.sum(F.floor("value").cast("long")).alias("n"))
+    return n.select("event_type", token_cost(F.col("n"), F.col("event_type"), {"click": 0.25, "purchase": 1.5}, 0.8).alias("cents"))
 
 
 @query("E20_canonical_hash", "SELECT p_partkey, sha256(concat_ws('|', p_name, p_brand, 'size=' || p_size || ',type=' || p_type)) AS digest FROM part")
@@ -161,7 +301,15 @@ def _(t):
     return connected_components(e, "a", "b")
 
 
-plain("G1_alias_map", "SELECT lower(p_name) AS alias, min(p_partkey) AS canonical FROM {part} GROUP BY lower(p_name)")
+def alias_map(aliases: DataFrame, alias: str, canonical: str) -> DataFrame:
+    """G1: alias -> canonical, both case-folded, the first canonical where an alias has several."""
+    fold = lambda c: F.lower(F.col(c).cast("string")) if dict(aliases.dtypes)[c] == "string" else F.col(c)
+    return aliases.groupBy(fold(alias).alias("alias")).agg(F.min(fold(canonical)).alias("canonical"))
+
+
+@query("G1_alias_map", "SELECT lower(p_name) AS alias, min(p_partkey) AS canonical FROM part GROUP BY lower(p_name)")
+def _(t):
+    return alias_map(t.part, "p_name", "p_partkey")
 
 
 @query("G2_canonical_set", "SELECT user_id, string_agg(DISTINCT c, ',' ORDER BY c) AS canonical FROM (SELECT user_id, COALESCE(CASE event_type WHEN 'click' THEN 'interaction' WHEN 'view' THEN 'interaction' END, event_type) AS c FROM events) GROUP BY user_id")
@@ -171,12 +319,61 @@ def _(t):
     return named.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("c")), ",").alias("canonical"))
 
 
-plain("G3_gap_candidates", "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS phrase, count(*) AS n, count(DISTINCT user_id) AS users, sum(CAST(round(value * 100) AS BIGINT)) AS cents, max(ts) AS last_at FROM {events} GROUP BY 1, 2")
-plain("G5_transfer_groups", "SELECT p_brand, count(DISTINCT p_name) AS members, min(p_type) AS basis FROM {part} GROUP BY p_brand")
-plain("G6_category_groups", "SELECT p_type, p_brand, count(*) AS n FROM {part} WHERE p_size > 10 GROUP BY p_type, p_brand HAVING count(*) >= 2")
-plain("G7_succession", "SELECT a.n_name AS predecessor, b.n_name AS successor FROM {nation} a JOIN {nation} b ON b.n_nationkey = a.n_nationkey + 1 AND a.n_regionkey <> b.n_regionkey")
+def gap_candidates(gaps: DataFrame, keys: list[str], user: str, value: Column, ts: str) -> DataFrame:
+    """How often, for how many users, how strongly in all and when last each gap was met."""
+    return gaps.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(user).alias("users"), F.sum(value).alias("cents"), F.max(ts).alias("last_at"))
+
+
+@query("G3_gap_candidates", "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS phrase, count(*) AS n, count(DISTINCT user_id) AS users, sum(CAST(round(value * 100) AS BIGINT)) AS cents, max(ts) AS last_at FROM events GROUP BY 1, 2")
+def _(t):
+    e = t.events.withColumn("phrase", F.floor(F.col("value") / 10).cast("long"))
+    return gap_candidates(e, ["event_type", "phrase"], "user_id", F.round(F.col("value") * 100).cast("long"), "ts")
+
+
+def transfer_groups(edges: DataFrame, kind: str, member: str, basis: str) -> DataFrame:
+    """Members and the first known basis of each class of typed edges; untyped ones make no group."""
+    return edges.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.countDistinct(member).alias("members"), F.min(basis).alias("basis"))
+
+
+@query("G5_transfer_groups", "SELECT p_brand, count(DISTINCT p_name) AS members, min(p_type) AS basis FROM part GROUP BY p_brand")
+def _(t):
+    return transfer_groups(t.part, "p_brand", "p_name", "p_type")
+
+
+def groups_of(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """Keys that ``least`` rows or more have, with their number."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+@query("G6_category_groups", "SELECT p_type, p_brand, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_type, p_brand HAVING count(*) >= 2")
+def _(t):
+    return groups_of(t.part.where("p_size > 10"), ["p_type", "p_brand"])
+
+
+def successors(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(predecessor, successor) names of succession edges (old, new) between entries of ``names`` (id, name); an edge to nowhere falls out."""
+    old, new = names.select(F.col("id").alias("old"), F.col("name").alias("predecessor")), names.select(F.col("id").alias("new"), F.col("name").alias("successor"))
+    return edges.join(old, "old").join(new, "new").select("predecessor", "successor").distinct()
+
+
+@query("G7_succession", "SELECT a.n_name AS predecessor, b.n_name AS successor FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 AND a.n_regionkey <> b.n_regionkey")
+def _(t):
+    n = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    a, b = n.select(F.col("id").alias("old"), F.col("n_regionkey").alias("r")), n.select((F.col("id") - 1).alias("old"), F.col("id").alias("new"), F.col("n_regionkey").alias("s"))
+    return successors(a.join(b, "old").where("r <> s").select("old", "new"), n)
+
+
 plain("G8_citations", "SELECT DISTINCT p_type, CASE WHEN p_name LIKE 'small%' THEN 'ts' WHEN p_name LIKE '%ring' THEN 'py' ELSE 'other' END AS language FROM {part} UNION SELECT p_brand, 'brand' FROM {part} WHERE p_size = 50")
-plain("G9_quorum", "SELECT l_partkey FROM {lineitem} GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 35")
+
+
+def promoted(staged_values: DataFrame, value: str, user: str, quorum: int) -> DataFrame:
+    """Values that at least ``quorum`` distinct users have brought; the rest stays staged (a left anti join with these)."""
+    return staged_values.groupBy(value).agg(F.countDistinct(user).alias("n_")).where(F.col("n_") >= quorum).select(value)
+
+
+@query("G9_quorum", "SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 35")
+def _(t):
+    return promoted(t.lineitem, "l_partkey", "l_suppkey", 35)
 
 
 @query("G10_alias_variants", "SELECT n_nationkey, array_to_string(list_sort(list_distinct([lower(n_name), replace(lower(n_name), '_', ' '), replace(lower(n_name), '_', '-'), lower(n_name) || '.js'])), ',') AS variants FROM nation")
@@ -185,14 +382,110 @@ def _(t):
     return t.nation.select("n_nationkey", F.array_join(F.sort_array(F.array_distinct(F.array(n, F.replace(n, F.lit("_"), F.lit(" ")), F.replace(n, F.lit("_"), F.lit("-")), F.concat(n, F.lit(".js"))))), ",").alias("variants"))
 
 
-plain("G11_import_decisions", "SELECT decision, count(*) AS n FROM (SELECT CASE WHEN p_name LIKE 'small%' THEN 'rule' WHEN p_partkey % 17 = 0 THEN 'override' WHEN p_size > 25 THEN 'metadata' ELSE 'unresolved' END AS decision FROM {part}) x GROUP BY decision")
-plain("G12_vocabulary_split", "SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'SMALL', 'LARGE') THEN p_type ELSE 'new:' || lower(p_type) END AS tag FROM {part}")
-plain("G13_evidence_lanes", "SELECT lane, sum(n) AS n FROM (SELECT CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'tools' WHEN p_type = 'LARGE' THEN 'platforms' ELSE 'concepts' END AS lane, count(*) AS n FROM {part} GROUP BY p_type) x GROUP BY lane")
-plain("G14_stack_reconciliation", "SELECT COALESCE(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'evidence_only' WHEN b.k IS NULL THEN 'claimed_only' ELSE 'verified' END AS status FROM (SELECT DISTINCT l_partkey AS k FROM {lineitem} WHERE l_quantity > 48) a FULL OUTER JOIN (SELECT p_partkey AS k FROM {part} WHERE p_size > 40) b ON a.k = b.k")
+def import_decisions(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """How many rows each rule decides, the first that holds; the rest is unresolved."""
+    decision = F.lit("unresolved")
+    for name, holds in reversed(rules):
+        decision = F.when(holds, name).otherwise(decision)
+    return rows.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("G11_import_decisions", "SELECT decision, count(*) AS n FROM (SELECT CASE WHEN p_name LIKE 'small%' THEN 'rule' WHEN p_partkey % 17 = 0 THEN 'override' WHEN p_size > 25 THEN 'metadata' ELSE 'unresolved' END AS decision FROM part) x GROUP BY decision")
+def _(t):
+    return import_decisions(t.part, [("rule", F.col("p_name").like("small%")), ("override", F.col("p_partkey") % 17 == 0), ("metadata", F.col("p_size") > 25)])
+
+
+def vocabulary_term(value: Column, vocabulary: list[str]) -> Column:
+    """A term of the vocabulary as it is, another one marked as new."""
+    return F.when(value.isin(vocabulary), value).otherwise(F.concat(F.lit("new:"), F.lower(value)))
+
+
+@query("G12_vocabulary_split", "SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'SMALL', 'LARGE') THEN p_type ELSE 'new:' || lower(p_type) END AS tag FROM part")
+def _(t):
+    return t.part.select("p_partkey", vocabulary_term(F.col("p_type"), ["PROMO", "SMALL", "LARGE"]).alias("tag"))
+
+
+def lanes(rows: DataFrame, category: str, mapping: dict[str, str], rest: str) -> DataFrame:
+    """Rows by the lane of their category; categories without one go to ``rest``."""
+    lane = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), F.col(category)), F.lit(rest))
+    return rows.groupBy(lane.alias("lane")).agg(F.count("*").alias("n"))
+
+
+@query("G13_evidence_lanes", "SELECT lane, sum(n) AS n FROM (SELECT CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'tools' WHEN p_type = 'LARGE' THEN 'platforms' ELSE 'concepts' END AS lane, count(*) AS n FROM part GROUP BY p_type) x GROUP BY lane")
+def _(t):
+    return lanes(t.part, "p_type", {"PROMO": "tools", "ECONOMY": "tools", "LARGE": "platforms"}, "concepts")
+
+
+def plain_name(name: Column) -> Column:
+    """The form in which names of technologies are compared: lower case, versions and a trailing .js dropped, letters and digits only."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"(?:\s+v?\d[\d.]*|\.js)$", ""), "[^a-z0-9]+", "")
+
+
+def reconciled(claimed: DataFrame, evidenced: DataFrame, key: str) -> DataFrame:
+    """Every name of either side (compared as given): verified, claimed_only or evidence_only."""
+    a, b = claimed.select(key).distinct().withColumn("a_", F.lit(True)), evidenced.select(key).distinct().withColumn("b_", F.lit(True))
+    status = F.when(F.col("a_").isNull(), "evidence_only").when(F.col("b_").isNull(), "claimed_only").otherwise("verified")
+    return a.join(b, key, "full").select(key, status.alias("status"))
+
+
+@query("G14_stack_reconciliation", "SELECT COALESCE(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'evidence_only' WHEN b.k IS NULL THEN 'claimed_only' ELSE 'verified' END AS status FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 48) a FULL OUTER JOIN (SELECT p_partkey AS k FROM part WHERE p_size > 40) b ON a.k = b.k")
+def _(t):
+    return reconciled(t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("k")), t.part.where("p_size > 40").select(F.col("p_partkey").alias("k")), "k")
+
+
 plain("G15_evidence_stamp", "SELECT s_suppkey, s_acctbal < 0 AS is_fork, COALESCE(n, 0) > 550 AS authored FROM {supplier} LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM {lineitem} GROUP BY 1) x ON s_suppkey = l_suppkey")
-plain("G16_archetype_signals", "SELECT source, bool_or(text LIKE '%|%') AS has_tables, bool_or(text LIKE '%@%') AS has_mail, bool_or(text LIKE '%token%') AS has_secret FROM {documents} GROUP BY source")
-plain("G17_language_topology", "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS rn FROM {documents} GROUP BY source, lang) x WHERE rn = 1")
-plain("G18_archetype_score", "SELECT user_id, CASE WHEN greatest(a, b) <= 0 THEN 'none' WHEN a >= b THEN 'buyer' ELSE 'browser' END AS archetype, least(CAST(1 AS DOUBLE), greatest(a, b) / CAST(4 AS DOUBLE)) AS confidence FROM (SELECT user_id, 2 * max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) + max(CASE WHEN value > 90 THEN 1 ELSE 0 END) - 2 * max(CASE WHEN event_type = 'error' AND value > 60 THEN 1 ELSE 0 END) AS a, 2 * max(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) + max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) - 2 * max(CASE WHEN event_type = 'purchase' AND value > 95 THEN 1 ELSE 0 END) AS b FROM {events} GROUP BY user_id) x")
+
+
+def signals(files: DataFrame, repo: str, text: str, patterns: dict[str, str]) -> DataFrame:
+    """One boolean for each pattern: whether any of a repository's texts (or paths) matches it."""
+    return files.groupBy(repo).agg(*[F.coalesce(F.bool_or(F.col(text).rlike(rule)), F.lit(False)).alias(name) for name, rule in patterns.items()])
+
+
+@query("G16_archetype_signals", "SELECT source, bool_or(text LIKE '%|%') AS has_tables, bool_or(text LIKE '%@%') AS has_mail, bool_or(text LIKE '%token%') AS has_secret FROM documents GROUP BY source")
+def _(t):
+    return signals(t.documents, "source", "text", {"has_tables": r"\|", "has_mail": "@", "has_secret": "token"})
+
+
+def main_of(rows: DataFrame, repo: str, kind: str) -> DataFrame:
+    """The kind (language) of most rows of each repository, the first by name among equals."""
+    n = rows.groupBy(repo, kind).agg(F.count("*").alias("n_"))
+    return n.withColumn("rn_", F.row_number().over(W.partitionBy(repo).orderBy(F.desc("n_"), kind))).where("rn_ = 1").select(repo, kind)
+
+
+@query("G17_language_topology", "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS rn FROM documents GROUP BY source, lang) x WHERE rn = 1")
+def _(t):
+    return main_of(t.documents, "source", "lang")
+
+
+def archetype(signal: dict[str, Column], archetypes: dict[str, dict[str, list[str]]], prior: Column | None = None) -> tuple[Column, Column]:
+    """(archetype, confidence): 2 if any ``required`` signal holds, 1 for each ``positive`` one, -2 for each ``negative`` one, 1 for the prior;
+    the first of the best, none without a score above 0; confidence is the score over 4, at most 1."""
+    on = lambda k: F.coalesce(signal[k], F.lit(False))
+    best, name = F.lit(0), F.lit("none")
+    for kind, rule in archetypes.items():
+        score = F.lit(0)
+        for k in rule.get("required", [])[:1]:
+            any_ = on(k)
+            for other in rule["required"][1:]:
+                any_ = any_ | on(other)
+            score = score + F.when(any_, 2).otherwise(0)
+        for k in rule.get("positive", []):
+            score = score + F.when(on(k), 1).otherwise(0)
+        for k in rule.get("negative", []):
+            score = score - F.when(on(k), 2).otherwise(0)
+        if prior is not None:
+            score = score + F.when(prior == kind, 1).otherwise(0)
+        name, best = F.when(score > best, kind).otherwise(name), F.greatest(score, best)
+    return name, F.least(F.lit(1.0), best / F.lit(4.0))
+
+
+@query("G18_archetype_score", "WITH s AS (SELECT user_id, bool_or(event_type = 'purchase') AS bought, bool_or(value > 90) AS rich, bool_or(event_type = 'error' AND value > 60) AS broken, bool_or(event_type = 'view') AS viewed, bool_or(event_type = 'click') AS clicked, bool_or(event_type = 'purchase' AND value > 95) AS spent FROM events GROUP BY 1), x AS (SELECT user_id, 2 * bought::INT + rich::INT - 2 * broken::INT AS a, 2 * viewed::INT + clicked::INT - 2 * spent::INT AS b FROM s) SELECT user_id, CASE WHEN greatest(a, b) <= 0 THEN 'none' WHEN a >= b THEN 'buyer' ELSE 'browser' END AS archetype, least(1.0::DOUBLE, greatest(a, b, 0) / 4.0::DOUBLE) AS confidence FROM x")
+def _(t):
+    e, v = F.col("event_type"), F.col("value")
+    held = {"bought": e == "purchase", "rich": v > 90, "broken": (e == "error") & (v > 60), "viewed": e == "view", "clicked": e == "click", "spent": (e == "purchase") & (v > 95)}
+    per = t.events.groupBy("user_id").agg(*[F.bool_or(c).alias(k) for k, c in held.items()])
+    kind, sure = archetype({k: F.col(k) for k in held}, {"buyer": {"required": ["bought"], "positive": ["rich"], "negative": ["broken"]}, "browser": {"required": ["viewed"], "positive": ["clicked"], "negative": ["spent"]}})
+    return per.select("user_id", kind.alias("archetype"), sure.alias("confidence"))
 
 
 @query("G19_concerns", "WITH x AS (SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['idiot', 'trash', 'worthless', 'stupid'])) AS n FROM documents) SELECT doc_id, CASE WHEN n >= 2 THEN 'strong' WHEN n = 1 THEN 'partial' ELSE 'none' END AS tier FROM x")
@@ -201,27 +494,261 @@ def _(t):
     return t.documents.select("doc_id", F.when(n >= 2, "strong").when(n == 1, "partial").otherwise("none").alias("tier"))
 
 
-plain("G20_transfer_candidates", "SELECT a.p_name AS wanted, b.p_name AS held, min(CASE WHEN b.p_type = 'PROMO' THEN 1 WHEN b.p_type = 'SMALL' THEN 2 ELSE 3 END) AS tier FROM (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS w FROM {part} WHERE p_size = 50) a JOIN {part} b ON split_part(b.p_name, ' ', 1) = a.w AND b.p_name <> a.p_name GROUP BY 1, 2")
-plain("G21_shared_signals", "SELECT p_name, count(DISTINCT p_brand) AS brands FROM {part} GROUP BY p_name HAVING count(DISTINCT p_brand) >= 2")
-plain("G22_component_kind", "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 'service' WHEN s_acctbal > 5000 THEN 'library' WHEN s_acctbal > 0 THEN 'tool' ELSE 'docs' END AS kind FROM {supplier}")
+def transfer_candidates(wanted: DataFrame, held: DataFrame, token: str, name: str, tier: str) -> DataFrame:
+    """(wanted, held, tier) of held skills that share a token with a wanted one of another name, at the best tier of each pair."""
+    a = wanted.select(F.col(name).alias("wanted"), F.col(token).alias("t_")).distinct()
+    b = held.select(F.col(name).alias("held"), F.col(token).alias("t_"), tier)
+    return a.join(b, "t_").where("wanted <> held").groupBy("wanted", "held").agg(F.min(tier).alias("tier"))
+
+
+@query("G20_transfer_candidates", "SELECT a.p_name AS wanted, b.p_name AS held, min(CASE WHEN b.p_type = 'PROMO' THEN 1 WHEN b.p_type = 'SMALL' THEN 2 ELSE 3 END) AS tier FROM (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS w FROM part WHERE p_size = 50) a JOIN part b ON split_part(b.p_name, ' ', 1) = a.w AND b.p_name <> a.p_name GROUP BY 1, 2")
+def _(t):
+    p = t.part.select("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w"), "p_size", F.when(F.col("p_type") == "PROMO", 1).when(F.col("p_type") == "SMALL", 2).otherwise(3).alias("tier"))
+    return transfer_candidates(p.where("p_size = 50"), p, "w", "p_name", "tier")
+
+
+def shared_by(rows: DataFrame, signal: str, holder: str, least: int = 2) -> DataFrame:
+    """Signals (topics, technologies, name prefixes) that ``least`` holders or more have."""
+    return rows.where(F.col(signal).isNotNull()).groupBy(signal).agg(F.countDistinct(holder).alias("brands")).where(F.col("brands") >= least)
+
+
+@query("G21_shared_signals", "SELECT p_name, count(DISTINCT p_brand) AS brands FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 2")
+def _(t):
+    return shared_by(t.part, "p_name", "p_brand")
+
+
+def first_kind(rules: list[tuple[str, Column]], rest: str) -> Column:
+    """The kind of the first rule that holds."""
+    kind = F.lit(rest)
+    for name, holds in reversed(rules):
+        kind = F.when(holds, name).otherwise(kind)
+    return kind
+
+
+@query("G22_component_kind", "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 'service' WHEN s_acctbal > 5000 THEN 'library' WHEN s_acctbal > 0 THEN 'tool' ELSE 'docs' END AS kind FROM supplier")
+def _(t):
+    c = F.col
+    return t.supplier.select("s_suppkey", first_kind([("service", c("s_nationkey") < 5), ("library", c("s_acctbal") > 5000), ("tool", c("s_acctbal") > 0)], "docs").alias("kind"))
+
 
 # -- provenance -----------------------------------------------------------------
 
-plain("D1_provenance", "SELECT e.event_id, CASE WHEN e.event_type = 'error' THEN 'demoted' WHEN o.o_orderstatus = 'F' THEN 'cited_verified' WHEN o.o_orderstatus IS NOT NULL THEN 'cited_partial' ELSE 'retrieved' END AS status, e.value >= 20 AS passed_floor FROM {events} e LEFT JOIN {orders} o ON e.event_id = o.o_orderkey AND o.o_orderkey % 2 = 0")
-plain("D2_evidence_quality", "SELECT l_suppkey, count(*) AS retrieved, count(*) FILTER (WHERE l_returnflag = 'A') AS cited, round(CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) / count(*), 3) AS rate FROM {lineitem} GROUP BY l_suppkey")
-plain("D3_skill_ledger", "SELECT p_name, status FROM (SELECT p_name, status, row_number() OVER (PARTITION BY p_name ORDER BY CASE status WHEN 'verified' THEN 0 WHEN 'gap' THEN 1 WHEN 'group' THEN 2 ELSE 3 END) AS rn FROM (SELECT DISTINCT p_name, CASE WHEN p_size > 47 THEN 'verified' WHEN p_size < 3 THEN 'gap' WHEN p_type = 'PROMO' THEN 'group' ELSE 'partial' END AS status FROM {part}) y) x WHERE rn = 1")
-plain("D4_gap_classes", "SELECT p_partkey, CASE WHEN d.l_partkey IS NOT NULL THEN 'direct_evidence' WHEN p_brand IN (SELECT p_brand FROM {part} WHERE p_size = 50) THEN 'transfer_convertible' ELSE 'honest_gap' END AS class FROM {part} LEFT JOIN (SELECT DISTINCT l_partkey FROM {lineitem} WHERE l_quantity >= 48) d ON p_partkey = d.l_partkey")
-plain("D5_concept_coverage", "SELECT v.c AS concept, CASE WHEN a.event_type IS NULL THEN 'unknown' WHEN b.event_type IS NULL THEN 'uncovered' ELSE 'covered' END AS state FROM (SELECT * FROM (VALUES ('click'), ('refund'), ('signup'), ('error')) AS x(c)) v LEFT JOIN (SELECT DISTINCT event_type FROM {events}) a ON v.c = a.event_type LEFT JOIN (SELECT DISTINCT event_type FROM {events} WHERE value > 50 AND event_type <> 'error') b ON v.c = b.event_type")
-plain("D6_contradictions", "SELECT a.l_suppkey, a.p_name FROM (SELECT DISTINCT l_suppkey, p_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity > 49) a WHERE EXISTS (SELECT 1 FROM {lineitem} s WHERE s.l_suppkey = a.l_suppkey AND s.l_returnflag = 'R' AND s.l_quantity < 2) AND NOT EXISTS (SELECT 1 FROM {lineitem} c WHERE c.l_suppkey = a.l_suppkey AND c.l_quantity = 49 AND c.l_linenumber = 7)")
-plain("D8_source_lanes", "SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 'repo' WHEN url LIKE '%/fr/%' THEN 'project' WHEN url LIKE '%?%' THEN 'career' ELSE 'none' END AS lane FROM {pages}")
-plain("D10_best_row", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_size NULLS LAST, p_partkey) AS rn FROM {part}) x WHERE rn = 1")
-plain("D11_token_budget", "SELECT conv_id, turn, used FROM (SELECT conv_id, turn, sum(CAST(ceil(length(text) / CAST(4 AS DOUBLE)) AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM {conversations}) x WHERE used <= 400")
-plain("D12_story_mining", "SELECT doc_id, 'incident' AS kind FROM {documents} WHERE text LIKE '%trash%' AND text LIKE '%idiot%' UNION ALL SELECT doc_id, 'optimization' FROM {documents} WHERE text LIKE '%token = %' AND text LIKE '%@%'")
-plain("D14_enrichment_cache", "SELECT d.doc_id, CASE WHEN c.doc_id IS NOT NULL THEN 'cache' WHEN d.lang = 'en' THEN 'rule' ELSE 'model' END AS tier FROM {documents} d LEFT JOIN (SELECT min(doc_id) AS doc_id, md5(text) AS h FROM {documents} GROUP BY 2 HAVING count(*) > 1) c ON md5(d.text) = c.h")
-plain("D15_eval_rows", "SELECT toxic, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS pass_rate FROM {labels} GROUP BY toxic")
-plain("D16_cost_by_agent", "SELECT event_type, round(sum(CAST(round(value * 100) AS BIGINT)) / CAST(100 AS DOUBLE), 6) AS usd FROM {events} WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY event_type")
+
+def provenance(retrieved: DataFrame, cited: DataFrame, key: str, demoted: Column, score: Column, floor: float) -> DataFrame:
+    """The status of each retrieved passage: demoted before cited (``cited`` has key and verified) before merely retrieved, and
+    whether it passed the floor."""
+    said = cited.groupBy(key).agg(F.bool_or("verified").alias("verified_"))
+    status = F.when(demoted, "demoted").when(F.col("verified_"), "cited_verified").when(F.col("verified_").isNotNull(), "cited_partial").otherwise("retrieved")
+    return retrieved.join(said, key, "left").select(key, status.alias("status"), (score >= floor).alias("passed_floor"))
+
+
+@query("D1_provenance", "SELECT e.event_id, CASE WHEN e.event_type = 'error' THEN 'demoted' WHEN o.o_orderstatus = 'F' THEN 'cited_verified' WHEN o.o_orderstatus IS NOT NULL THEN 'cited_partial' ELSE 'retrieved' END AS status, e.value >= 20 AS passed_floor FROM events e LEFT JOIN orders o ON e.event_id = o.o_orderkey AND o.o_orderkey % 2 = 0")
+def _(t):
+    cited = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("event_id"), (F.col("o_orderstatus") == "F").alias("verified"))
+    return provenance(t.events, cited, "event_id", F.col("event_type") == "error", F.col("value"), 20)
+
+
+def evidence_quality(rows: DataFrame, repo: str, cited: Column) -> DataFrame:
+    """Passages retrieved and cited of each repository, and the rate to three digits."""
+    return rows.groupBy(repo).agg(F.count("*").alias("retrieved"), F.count_if(cited).alias("cited"), F.round(F.count_if(cited) / F.count("*"), 3).alias("rate"))
+
+
+@query("D2_evidence_quality", "SELECT l_suppkey, count(*) AS retrieved, count(*) FILTER (WHERE l_returnflag = 'A') AS cited, round(CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) / count(*), 3) AS rate FROM lineitem GROUP BY l_suppkey")
+def _(t):
+    return evidence_quality(t.lineitem, "l_suppkey", F.col("l_returnflag") == "A")
+
+
+#: D3: what counts first where a skill has several verdicts.
+LEDGER = ("verified", "gap", "group", "partial")
+
+
+def skill_ledger(tools: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """D3: for each tool (position, tool) the verdict (tool, status, skill) of highest precedence; tools without one fall out, of tools that differ in case
+    the first counts, and of tools that came to the same assessed skill the first has the row."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in LEDGER]), F.col("status"))
+    first = tools.where("tool <> ''").groupBy(F.lower("tool").alias("key_")).agg(F.min_by(F.struct("position", "tool"), "position").alias("t_"))
+    said = verdicts.where(rank > 0).groupBy(F.lower("tool").alias("key_")).agg(F.min_by(F.struct("status", "skill"), F.struct(rank.alias("r"), F.col("skill"))).alias("v_"))
+    rows = first.join(said, "key_").select("t_.*", "v_.*")
+    return rows.groupBy(F.lower("skill").alias("skill_")).agg(F.min_by(F.struct("tool", "status", "skill"), "position").alias("r_")).select("r_.*")
+
+
+@query("D3_skill_ledger", "WITH v AS (SELECT p_name AS tool, CASE WHEN p_size > 47 THEN 'verified' WHEN p_size < 3 THEN 'gap' WHEN p_type = 'PROMO' THEN 'group' ELSE 'partial' END AS status, split_part(p_name, ' ', 1) AS skill, p_partkey FROM part), b AS (SELECT tool, skill, status, row_number() OVER (PARTITION BY tool ORDER BY CASE status WHEN 'verified' THEN 0 WHEN 'gap' THEN 1 WHEN 'group' THEN 2 ELSE 3 END, skill) AS rn, min(p_partkey) OVER (PARTITION BY tool) AS position FROM v) SELECT list_reduce(list_transform(string_split(tool, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || ' ' || b) AS tool, status, skill FROM (SELECT *, row_number() OVER (PARTITION BY skill ORDER BY position) AS k FROM b WHERE rn = 1) WHERE k = 1")
+def _(t):
+    status = F.when(F.col("p_size") > 47, "verified").when(F.col("p_size") < 3, "gap").when(F.col("p_type") == "PROMO", "group").otherwise("partial")
+    tools = t.part.groupBy(F.initcap("p_name").alias("tool")).agg(F.min("p_partkey").alias("position"))
+    return skill_ledger(tools, t.part.select(F.col("p_name").alias("tool"), status.alias("status"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("skill")))
+
+
+def gap_classes(skills: DataFrame, evidenced: DataFrame, groups: DataFrame) -> DataFrame:
+    """(skill, class) of skills (skill): direct_evidence if evidenced (skill), transfer_convertible if another member of one of its typed groups
+    (kind, skill; a null kind never converts) is, else honest_gap."""
+    there = evidenced.select("skill").distinct()
+    typed = groups.where("kind is not null").select("kind", "skill").distinct()
+    live = typed.join(there, "skill").groupBy("kind").agg(F.min("skill").alias("low"), F.max("skill").alias("high"))
+    near = typed.join(live, "kind").where("low <> skill or high <> skill").select("skill").distinct().withColumn("near_", F.lit(True))
+    kind = F.when(F.col("there_"), "direct_evidence").when(F.col("near_"), "transfer_convertible").otherwise("honest_gap")
+    return skills.join(there.withColumn("there_", F.lit(True)), "skill", "left").join(near, "skill", "left").select("skill", kind.alias("class"))
+
+
+@query("D4_gap_classes", "WITH e AS (SELECT DISTINCT l_partkey AS skill FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'), g AS (SELECT p_partkey AS skill, p_brand || '/' || p_size % 5 AS kind FROM part WHERE p_brand <> 'Brand#11') SELECT p_partkey AS skill, CASE WHEN p_partkey IN (SELECT skill FROM e) THEN 'direct_evidence' WHEN EXISTS (SELECT 1 FROM g a JOIN g b ON a.kind = b.kind AND a.skill <> b.skill WHERE a.skill = p_partkey AND b.skill IN (SELECT skill FROM e)) THEN 'transfer_convertible' ELSE 'honest_gap' END AS class FROM part")
+def _(t):
+    skills = t.part.select(F.col("p_partkey").alias("skill"), "p_brand", "p_size")
+    typed = skills.select(F.when(F.col("p_brand") != "Brand#11", F.concat("p_brand", F.lit("/"), F.col("p_size") % 5)).alias("kind"), "skill")
+    return gap_classes(skills.select("skill"), t.lineitem.where("l_quantity >= 49 and l_returnflag = 'R'").select(F.col("l_partkey").alias("skill")), typed)
+
+
+def concept_coverage(concepts: DataFrame, known: DataFrame, evidenced: DataFrame) -> DataFrame:
+    """(concept, state): unknown unless the ontology (concept) has it, then covered or uncovered by evidence (concept)."""
+    k, e = known.select("concept").distinct().withColumn("k_", F.lit(True)), evidenced.select("concept").distinct().withColumn("e_", F.lit(True))
+    state = F.when(F.col("k_").isNull(), "unknown").when(F.col("e_").isNull(), "uncovered").otherwise("covered")
+    return concepts.join(k, "concept", "left").join(e, "concept", "left").select("concept", state.alias("state"))
+
+
+@query("D5_concept_coverage", "SELECT v.c AS concept, CASE WHEN a.event_type IS NULL THEN 'unknown' WHEN b.event_type IS NULL THEN 'uncovered' ELSE 'covered' END AS state FROM (SELECT * FROM (VALUES ('click'), ('refund'), ('signup'), ('error')) AS x(c)) v LEFT JOIN (SELECT DISTINCT event_type FROM events) a ON v.c = a.event_type LEFT JOIN (SELECT DISTINCT event_type FROM events WHERE value > 50 AND event_type <> 'error') b ON v.c = b.event_type")
+def _(t):
+    concepts = t.spark.createDataFrame([("click",), ("refund",), ("signup",), ("error",)], "concept string")
+    e = t.events.select(F.col("event_type").alias("concept"), "value")
+    return concept_coverage(concepts, e, e.where("value > 50 and concept <> 'error'"))
+
+
+def code_contradictions(claims: DataFrame, code: DataFrame, edges: DataFrame) -> DataFrame:
+    """Claims (repo, tech) that the code (repo, tech) contradicts: it has a successor of the technology (edges: old, new) and not
+    itself, and no other predecessor of one of its successors is still in the code. A repository without code contradicts nothing."""
+    code = code.select("repo", "tech").distinct()
+    edges = edges.select("old", "new").distinct()
+    gone = claims.select("repo", "tech").distinct().join(code, ["repo", "tech"], "left_anti").withColumnRenamed("tech", "old")
+    moved = gone.join(edges, "old").join(code.withColumnRenamed("tech", "new"), ["repo", "new"]).select("repo", "old").distinct()
+    peers = edges.withColumnRenamed("old", "peer").join(edges, "new").where("peer <> old").select("old", "peer").distinct()
+    current = moved.join(peers, "old").join(code.withColumnRenamed("tech", "peer"), ["repo", "peer"]).select("repo", "old").distinct()
+    return moved.join(current, ["repo", "old"], "left_anti").withColumnRenamed("old", "tech")
+
+
+@query("D6_contradictions", "WITH p AS (SELECT l_suppkey AS repo, p_brand AS tech, l_quantity, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey), c AS (SELECT DISTINCT repo, tech FROM p WHERE l_quantity > 48), k AS (SELECT DISTINCT repo, tech FROM p WHERE l_quantity <= 3 AND l_returnflag = 'R'), b AS (SELECT DISTINCT p_brand AS x FROM part), e AS (SELECT a.x AS old, b.x AS new FROM b a, b WHERE a.x < b.x AND a.x[7] = b.x[7]) SELECT c.repo, c.tech FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.repo = c.repo AND k.tech = c.tech) AND EXISTS (SELECT 1 FROM e JOIN k ON k.tech = e.new WHERE e.old = c.tech AND k.repo = c.repo) AND NOT EXISTS (SELECT 1 FROM e JOIN e f ON e.new = f.new AND f.old <> e.old JOIN k ON k.tech = f.old WHERE e.old = c.tech AND k.repo = c.repo)")
+def _(t):
+    pairs = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("repo"), F.col("p_brand").alias("tech"), "l_quantity", "l_returnflag")
+    brands = t.part.select(F.col("p_brand").alias("old")).distinct()
+    edges = brands.join(brands.withColumnRenamed("old", "new"), F.substring("old", 7, 1) == F.substring("new", 7, 1)).where("old < new")
+    return code_contradictions(pairs.where("l_quantity > 48"), pairs.where("l_quantity <= 3 and l_returnflag = 'R'"), edges)
+
+
+def lane_needles(names: list[str]) -> list[str]:
+    """The names and their shorter forms: the clause before " with ", " — " or ": " if it has two words or more, and of "Name (ABBR)" either part, ABBR from four letters."""
+    out: dict[str, None] = {}
+    for name in filter(None, (n.strip() for n in names)):
+        out[name] = None
+        clause = re.split(r"\s+with\s+|\s+—\s+|:\s+", name)[0].strip()
+        if clause != name and len(clause.split()) >= 2:
+            out[clause] = None
+        held = re.fullmatch(r"(.+?)\s*\(([^)]+)\)", name)
+        for part in (held[1], held[2]) if held else ():
+            if part.strip() and (part is held[1] or len(part.strip()) >= 4):
+                out[part.strip()] = None
+    return list(out)
+
+
+def source_lanes(files: Column, prose: Column, projects: list[str], careers: list[str]) -> Column:
+    """The lanes of an entry in the order repo (a file under owner/repo/), project (prose names one), career (a career file, or prose names
+    a company or title); empty where nothing holds."""
+    names = lambda needles: F.exists(F.array(*[F.lit(n.lower()) for n in lane_needles(needles)] or [F.lit(None).cast("string")]), lambda n: F.contains(F.lower(prose), n))
+    repo = F.exists(files, lambda f: f.rlike("^[^/]+/[^/]+/"))
+    career = F.exists(files, lambda f: f.rlike(r"(?i)resume-data|resume_import|user_career|career[-_]history")) | names(careers)
+    return F.array_compact(F.array(F.when(repo, "repo"), F.when(names(projects), "project"), F.when(career, "career")))
+
+
+@query("D8_source_lanes", "SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(regexp_extract(url, 'https?://[^/]+/(.*)', 1), '^[^/]+/[^/]+/') THEN 'repo' END, CASE WHEN contains(lower(url), 'fr: page') THEN 'project' END, CASE WHEN page_id % 7 = 0 OR contains(lower(url), '/es/ with site') OR contains(lower(url), 'host (example)') OR contains(lower(url), 'host') OR contains(lower(url), 'example') THEN 'career' END) AS lanes FROM pages")
+def _(t):
+    files = F.array(F.regexp_extract("url", "https?://[^/]+/(.*)", 1), F.when(F.col("page_id") % 7 == 0, "resume-data.ts").otherwise("x"))
+    return t.pages.select("page_id", F.array_join(source_lanes(files, F.col("url"), ["fr: page"], ["/es/ with site", "Host (example)"]), ",").alias("lanes"))
+
+
+def best_row(rows: DataFrame, key: str, version: Column, line: str, *tie: str) -> DataFrame:
+    """Of each key the row that has a version, then the lowest line (null last), then the first by ``tie``."""
+    order = W.partitionBy(key).orderBy(F.when(version, 0).otherwise(1), F.col(line).asc_nulls_last(), *tie)
+    return rows.withColumn("rn_", F.row_number().over(order)).where("rn_ = 1").drop("rn_")
+
+
+@query("D10_best_row", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_size NULLS LAST, p_partkey) AS rn FROM part) x WHERE rn = 1")
+def _(t):
+    return best_row(t.part, "p_brand", F.col("p_size") > 25, "p_size", "p_partkey").select("p_brand", "p_partkey")
+
+
+def within_budget(rows: DataFrame, key: str, order: str, text: str, budget: int) -> DataFrame:
+    """The first rows of each key while their tokens (four characters each, rounded up) fit, with the tokens used so far."""
+    used = F.sum(F.ceil(F.length(text) / F.lit(4.0)).cast("long")).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("used", used).where(F.col("used") <= budget)
+
+
+@query("D11_token_budget", "SELECT conv_id, turn, used FROM (SELECT conv_id, turn, sum(CAST(ceil(length(text) / CAST(4 AS DOUBLE)) AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM conversations) x WHERE used <= 400")
+def _(t):
+    return within_budget(t.conversations, "conv_id", "turn", "text", 400).select("conv_id", "turn", "used")
+
+
+def stories(rows: DataFrame, kinds: dict[str, tuple[Column, Column, float]], key: str) -> DataFrame:
+    """(key, kind, confidence) for each kind both of whose signs a row has, such as a revert's subject and body, or a merge with a closed issue and a metric."""
+    found = F.array_compact(F.array(*[F.when(a & b, F.struct(F.lit(k).alias("kind"), F.lit(sure).alias("confidence"))) for k, (a, b, sure) in kinds.items()]))
+    return rows.select(key, F.inline(found))
+
+
+@query("D12_story_mining", "SELECT doc_id, 'incident' AS kind, 0.85::DOUBLE AS confidence FROM documents WHERE text LIKE '%trash%' AND text LIKE '%idiot%' UNION ALL SELECT doc_id, 'optimization', 0.7::DOUBLE FROM documents WHERE text LIKE '%token = %' AND text LIKE '%@%'")
+def _(t):
+    has = lambda x: F.contains("text", F.lit(x))
+    return stories(t.documents, {"incident": (has("trash"), has("idiot"), 0.85), "optimization": (has("token = "), has("@"), 0.7)}, "doc_id")
+
+
+def enrichment_tier(rows: DataFrame, cache: DataFrame, digest: str, rule: Column) -> DataFrame:
+    """What enriches each row: the cache (one column of digests), else the rule where it holds, else the model."""
+    held = cache.select(digest).distinct().withColumn("held_", F.lit(True))
+    return rows.join(held, digest, "left").withColumn("tier", F.when(F.col("held_"), "cache").when(rule, "rule").otherwise("model")).drop("held_")
+
+
+@query("D14_enrichment_cache", "SELECT d.doc_id, CASE WHEN c.doc_id IS NOT NULL THEN 'cache' WHEN d.lang = 'en' THEN 'rule' ELSE 'model' END AS tier FROM documents d LEFT JOIN (SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY 2 HAVING count(*) > 1) c ON md5(d.text) = c.h")
+def _(t):
+    d = t.documents.select("doc_id", "lang", F.md5("text").alias("h"))
+    return enrichment_tier(d, d.groupBy("h").count().where("count > 1"), "h", F.col("lang") == "en").select("doc_id", "tier")
+
+
+def pass_rates(rows: DataFrame, by: str, passed: str) -> DataFrame:
+    """Cases and the share that passed, by an expected flag."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(F.col(passed).cast("double")), 6).alias("pass_rate"))
+
+
+@query("D15_eval_rows", "SELECT toxic, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS pass_rate FROM labels GROUP BY toxic")
+def _(t):
+    return pass_rates(t.labels, "toxic", "quality")
+
+
+def cost_since(rows: DataFrame, agent: str, cents: Column, ts: str, since: Column) -> DataFrame:
+    """Dollars to six digits by agent, of rows since a time."""
+    return rows.where(F.col(ts) >= since).groupBy(agent).agg(F.round(F.sum(cents) / F.lit(100.0), 6).alias("usd"))
+
+
+@query("D16_cost_by_agent", "SELECT event_type, round(sum(CAST(round(value * 100) AS BIGINT)) / CAST(100 AS DOUBLE), 6) AS usd FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY event_type")
+def _(t):
+    return cost_since(t.events, "event_type", F.round(F.col("value") * 100).cast("long"), "ts", F.expr("timestamp_ntz'2024-01-10 00:00:00'"))
+
+
 plain("D17_cache_version", "SELECT concat(CAST(max(event_id) AS STRING), '-', CAST(count(*) AS STRING)) AS tag FROM {events}".replace("STRING", "VARCHAR(40)"))
 plain("D19_backfill", "SELECT doc_id, COALESCE(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'bad' END, lang) AS doc_type FROM {documents} LEFT JOIN {labels} USING (doc_id)")
-plain("D20_top_committer", "SELECT l_suppkey, l_linenumber FROM (SELECT l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_linenumber) AS rn FROM {lineitem} GROUP BY 1, 2) x WHERE rn = 1")
-plain("D21_rename", "SELECT CASE WHEN source = 'src1' THEN 'core/src1' ELSE source END AS source, count(*) AS n FROM {documents} GROUP BY 1")
+
+
+def top_committer(rows: DataFrame, repo: str, author: str) -> DataFrame:
+    """The author of most rows of each repository, the first by name among equals."""
+    return main_of(rows, repo, author)
+
+
+@query("D20_top_committer", "SELECT l_suppkey, l_linenumber FROM (SELECT l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_linenumber) AS rn FROM lineitem GROUP BY 1, 2) x WHERE rn = 1")
+def _(t):
+    return top_committer(t.lineitem, "l_suppkey", "l_linenumber")
+
+
+def renamed(rows: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """Rows under their key's new name."""
+    return rows.withColumn(key, F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(key)), F.col(key)))
+
+
+@query("D21_rename", "SELECT CASE WHEN source = 'src1' THEN 'core/src1' ELSE source END AS source, count(*) AS n FROM documents GROUP BY 1")
+def _(t):
+    return renamed(t.documents, "source", {"src1": "core/src1"}).groupBy("source").agg(F.count("*").alias("n"))
+
+
 plain("D22_set_backfill", "SELECT DISTINCT lang, source FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 0)")

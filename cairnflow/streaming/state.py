@@ -26,9 +26,38 @@ def _(t):
     return since(t.events.select("event_id", "user_id"), marks, "user_id", "event_id")
 
 
-plain("X2_file_changes", "SELECT COALESCE(a.p, b.p) AS p, CASE WHEN b.p IS NULL THEN 'removed' WHEN a.p IS NULL THEN 'added' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS status FROM (SELECT p_partkey AS p, p_size AS h FROM {part} WHERE p_partkey % 10 <> 0) a FULL OUTER JOIN (SELECT p_partkey AS p, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS h FROM {part} WHERE p_partkey % 13 <> 0) b ON a.p = b.p")
-plain("X3_scan_markers", "SELECT DISTINCT o.o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber >= 6)")
-plain("X4_delivery_dedup", "SELECT user_id, event_type, min(event_id) AS event_id FROM {events} GROUP BY user_id, event_type, CAST(floor(value) AS BIGINT)")
+def file_changes(before: DataFrame, now: DataFrame, path: str, digest: str) -> DataFrame:
+    """(path, status) of every path in either state: removed, added, changed or same, by digest."""
+    a, b = before.select(path, F.col(digest).alias("old_"), F.lit(True).alias("was_")), now.select(path, F.col(digest).alias("new_"), F.lit(True).alias("is_"))
+    status = F.when(F.col("is_").isNull(), "removed").when(F.col("was_").isNull(), "added").when(F.col("old_").eqNullSafe(F.col("new_")), "same").otherwise("changed")
+    return a.join(b, path, "full").select(path, status.alias("status"))
+
+
+@query("X2_file_changes", "SELECT COALESCE(a.p, b.p) AS p, CASE WHEN b.p IS NULL THEN 'removed' WHEN a.p IS NULL THEN 'added' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS status FROM (SELECT p_partkey AS p, p_size AS h FROM part WHERE p_partkey % 10 <> 0) a FULL OUTER JOIN (SELECT p_partkey AS p, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS h FROM part WHERE p_partkey % 13 <> 0) b ON a.p = b.p")
+def _(t):
+    p = t.part.select(F.col("p_partkey").alias("p"), F.col("p_size").alias("h"))
+    now = p.where("p % 13 <> 0").withColumn("h", F.when(F.col("p") % 7 == 0, F.col("h") + 1).otherwise(F.col("h")))
+    return file_changes(p.where("p % 10 <> 0"), now, "p", "h")
+
+
+def unmarked(rows: DataFrame, marks: DataFrame, *key: str) -> DataFrame:
+    """The keys that no mark has yet, each once."""
+    return rows.select(*key).distinct().join(marks.select(*key), list(key), "left_anti")
+
+
+@query("X3_scan_markers", "SELECT DISTINCT o.o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber >= 6)")
+def _(t):
+    return unmarked(t.orders, t.lineitem.where("l_linenumber >= 6").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+def first_deliveries(rows: DataFrame, keys: list, order: str) -> DataFrame:
+    """Of the rows of each key (names or columns), the first by ``order``."""
+    return rows.groupBy(*keys).agg(F.min(order).alias(order))
+
+
+@query("X4_delivery_dedup", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type, CAST(floor(value) AS BIGINT)")
+def _(t):
+    return first_deliveries(t.events, ["user_id", "event_type", F.floor("value").alias("delivery")], "event_id").drop("delivery")
 
 
 def first_of_bursts(rows: DataFrame, key: str, ts: str, tie: str, minutes: int) -> DataFrame:
@@ -42,7 +71,14 @@ def _(t):
     return first_of_bursts(t.events, "user_id", "ts", "event_id", 60).select("event_id")
 
 
-plain("X6_ttl_hits", "SELECT user_id, count(*) AS hits, max(ts) AS last_at FROM {events} WHERE ts > TIMESTAMP '2024-01-23 00:00:00' GROUP BY user_id")
+def live_hits(rows: DataFrame, key: str, ts: str, now, days: int) -> DataFrame:
+    """Hits and the last time of each key among the rows that have not expired at ``now``."""
+    return rows.where(F.col(ts) > now - F.expr(f"INTERVAL {days} DAYS")).groupBy(key).agg(F.count("*").alias("hits"), F.max(ts).alias("last_at"))
+
+
+@query("X6_ttl_hits", "SELECT user_id, count(*) AS hits, max(ts) AS last_at FROM events WHERE ts > TIMESTAMP '2024-01-23 00:00:00' GROUP BY user_id")
+def _(t):
+    return live_hits(t.events, "user_id", "ts", F.expr("timestamp_ntz'2024-01-30 00:00:00'"), 7)
 
 
 def progress(rows: DataFrame, key: str, order: list[str], kind: str, score: str) -> DataFrame:
@@ -57,10 +93,46 @@ def _(t):
     return progress(rows, "user_id", ["ts", "event_id"], "event_type", "good")
 
 
-plain("X8_stale_runs", "SELECT user_id FROM {events} GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' AND count(*) FILTER (WHERE event_type = 'purchase') > 0")
-plain("X9_history_replay", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) x WHERE rn <= 4")
-plain("X10_probe_history", "SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) - lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM {events} WHERE event_type = 'view'")
-plain("X11_monthly_quota", "SELECT user_id, event_type, date_trunc('month', ts) AS month, count(*) AS used FROM {events} GROUP BY 1, 2, 3")
+def stale_runs(rows: DataFrame, key: str, ts: str, before, unfinished) -> DataFrame:
+    """Keys whose last sign of life lies before a time and that have a row which says that they never finished."""
+    last = rows.groupBy(key).agg(F.max(ts).alias("last_"), F.coalesce(F.bool_or(unfinished), F.lit(False)).alias("open_"))
+    return last.where((F.col("last_") < before) & F.col("open_")).select(key)
+
+
+@query("X8_stale_runs", "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' AND count(*) FILTER (WHERE event_type = 'purchase') > 0")
+def _(t):
+    return stale_runs(t.events, "user_id", "ts", F.expr("timestamp_ntz'2024-01-30 12:00:00'"), F.col("event_type") == "purchase")
+
+
+def history(rows: DataFrame, key: str, turn: str, last: int) -> DataFrame:
+    """The last ``last`` turns of each conversation; Spark cuts to them before the shuffle."""
+    return rows.withColumn("rn_", F.row_number().over(W.partitionBy(key).orderBy(F.desc(turn)))).where(F.col("rn_") <= last).drop("rn_")
+
+
+@query("X9_history_replay", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x WHERE rn <= 4")
+def _(t):
+    return history(t.conversations.select("conv_id", "turn", "role"), "conv_id", "turn", 4)
+
+
+def with_delta(rows: DataFrame, key: str, order: list[str], value) -> DataFrame:
+    """Each measurement's difference from the key's measurement before it, null for the first."""
+    return rows.withColumn("delta", value - F.lag(value).over(W.partitionBy(key).orderBy(*order)))
+
+
+@query("X10_probe_history", "SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) - lag(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta FROM events WHERE event_type = 'view'")
+def _(t):
+    cents = F.round(F.col("value") * 100).cast("long")
+    return with_delta(t.events.where("event_type = 'view'"), "user_id", ["ts", "event_id"], cents).select("user_id", "event_id", "delta")
+
+
+def monthly_use(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """X11: uses of each key by month."""
+    return rows.groupBy(*keys, F.date_trunc("month", ts).cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("used"))
+
+
+@query("X11_monthly_quota", "SELECT user_id, event_type, date_trunc('month', ts) AS month, count(*) AS used FROM events GROUP BY 1, 2, 3")
+def _(t):
+    return monthly_use(t.events, ["user_id", "event_type"], "ts")
 
 
 @query("X12_tumbling_extension", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
