@@ -110,10 +110,43 @@ def pii_counts(text: Column) -> list[Column]:
     return [F.regexp_count(text, F.lit(rule)).cast("long").alias(f"n_{name.lower()}") for name, rule in PII]
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: H2: what a text must hold for a kind's pattern to be worth a scan.
+SCRUB_SIGNS = {"EMAIL": "@", "PHONE": "+"}
+
+
 def scrubbed(text: Column) -> Column:
-    """H2 by ordered replacement: an earlier kind hides its digits from later ones."""
+    """H2 by ordered replacement: an earlier kind hides its digits from later ones. A kind whose sign is missing is not searched."""
+    def step(rule: str, by: str, sign: str | None):
+        replaced = lambda x: F.regexp_replace(x, rule, by)
+        return (lambda x: F.when(F.contains(x, F.lit(sign)), replaced(x)).otherwise(x)) if sign else replaced
+
     for name, rule in PII:
-        text = F.regexp_replace(text, rule, f"[{name}]")
+        use = step(rule, f"[{name}]", SCRUB_SIGNS.get(name))
+        text = bound(text, use) if name in SCRUB_SIGNS else use(text)
+    return text
+
+
+def without_nul(text: Column) -> Column:
+    """The text without NUL characters."""
+    return F.regexp_replace(text, "\\x00", "")
+
+
+#: What prose is normalised by, in this order.
+PROSE = (
+    (r"≥\s*", "at least "), (r"≤\s*", "at most "), (r"\s*→\s*", " to "), (r"([0-9]+(?:\.[0-9]+)?)\+(?!\+)", "more than $1"), (r"\s*—\s*", ", "),
+    (r"\s+,", ","), (r",\s*,", ","), (r",\s*([.;:!?])", "$1"), (r"[ \t]{2,}", " "),
+)
+
+
+def normal_prose(text: Column) -> Column:
+    """Signs written out, dashes as commas, doubled commas and blanks made single; a number with one plus is "more than" it."""
+    for rule, by in PROSE:
+        text = F.regexp_replace(text, rule, by)
     return text
 
 
@@ -163,12 +196,15 @@ def html_text(html: Column) -> Column:
 
 
 def reading_ease(text: Column, least: int = 25) -> Column:
-    """Flesch reading ease with vowel groups as syllables; null under ``least`` words."""
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
-    n = F.size(w)
+    """Flesch reading ease with vowel groups as syllables, less one for a word's last e, one at least; null under ``least`` words.
+
+    Counted on the whole text: vowel groups, less words that end in e, and one each for words without a vowel group but that of a last e."""
+    low = F.lower(text)
+    count = lambda rule: F.regexp_count(low, F.lit(rule))
+    n = count("[a-z]+")
     sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
-    syllable = lambda x: F.greatest(F.lit(1), F.regexp_count(x, F.lit("[aeiouy]+")) - F.when(F.endswith(x, F.lit("e")), 1).otherwise(0))
-    total = F.aggregate(w, F.lit(0), lambda a, x: a + syllable(x))
+    other = "[b-df-hj-np-tv-xz]"
+    total = count("[aeiouy]+") - count("e(?![a-z])") + count(f"(?<![a-z]){other}++(?![a-z])") + count(f"(?<![a-z]){other}*+[aeiouy]*e(?![a-z])")
     return F.when(n >= least, F.round(F.lit(206.835) - F.lit(1.015) * (n / sentences) - F.lit(84.6) * (total / n), 4))
 
 

@@ -33,7 +33,18 @@ def _(t):
     return first_cover(n, m)
 
 
-plain("V13_prefilter", "SELECT DISTINCT b.p_name AS term FROM (SELECT DISTINCT p_brand FROM {part} WHERE p_size = 50) a JOIN {part} b ON a.p_brand = b.p_brand WHERE b.p_size > 40")
+def prefilter_terms(skills: DataFrame, aliases: DataFrame, groups: DataFrame) -> DataFrame:
+    """The terms to filter by: skills (term) under their canonical names (aliases: term, canonical) and the other members of their groups (kind, term)."""
+    named = skills.join(aliases, "term", "left").select(F.coalesce("canonical", "term").alias("term")).distinct()
+    kinds = named.join(groups, "term").select("kind").distinct()
+    return named.union(groups.join(kinds, "kind").select("term")).distinct()
+
+
+@query("V13_prefilter", "WITH a AS (SELECT DISTINCT p_name FROM part WHERE p_type = 'PROMO'), s AS (SELECT DISTINCT CASE WHEN p_name IN (SELECT p_name FROM a) THEN 'promoted' ELSE p_name END AS term FROM part WHERE p_size = 50), g AS (SELECT p_name AS term, p_brand AS kind FROM part WHERE p_size > 40) SELECT term FROM s UNION SELECT g.term FROM g WHERE g.kind IN (SELECT kind FROM g JOIN s USING (term))")
+def _(t):
+    p = t.part.select(F.col("p_name").alias("term"), F.col("p_brand").alias("kind"), "p_size", "p_type")
+    aliases = p.where("p_type = 'PROMO'").groupBy("term").agg(F.lit("promoted").alias("canonical"))
+    return prefilter_terms(p.where("p_size = 50").select("term"), aliases, p.where("p_size > 40").select("term", "kind"))
 
 
 def merged_pairs(pairs: DataFrame, curated: set[int], auto: float, floor: float) -> DataFrame:
@@ -171,12 +182,56 @@ def _(t):
     return P.per_text(t.documents, "doc_id", "text", "term string", lambda x: [(term,) for term in ("the and", "und der", "token") if P.near_phrase(term, x)])
 
 
-plain("M9_attainable_split", "SELECT p_brand, count(*) FILTER (WHERE p_size > 40) AS verified, count(*) FILTER (WHERE p_size <= 40 AND p_type = 'PROMO') AS transferable FROM {part} GROUP BY p_brand")
-plain("M12_years_union", "WITH s AS (SELECT o_custkey AS k, o_orderdate AS a, o_orderdate + INTERVAL 60 DAY AS b, o_orderkey AS i FROM {orders}), m AS (SELECT k, a, b, max(b) OVER (PARTITION BY k ORDER BY a, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s) SELECT k, count(CASE WHEN reach IS NULL OR a > reach THEN 1 END) AS islands FROM m GROUP BY k")
+def attainable_split(rows: DataFrame, by: str, verified: Column, transferable: Column) -> DataFrame:
+    """M9: verified requirements, and of the rest those that transfer, by group."""
+    return rows.groupBy(by).agg(F.count_if(verified).alias("verified"), F.count_if(~F.coalesce(verified, F.lit(False)) & transferable).alias("transferable"))
+
+
+@query("M9_attainable_split", "SELECT p_brand, count(*) FILTER (WHERE p_size > 40) AS verified, count(*) FILTER (WHERE p_size <= 40 AND p_type = 'PROMO') AS transferable FROM part GROUP BY p_brand")
+def _(t):
+    return attainable_split(t.part, "p_brand", F.col("p_size") > 40, F.col("p_type") == "PROMO")
+
+
+def covered_days(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Islands and days that the intervals of each key cover together; reversed intervals and open ends must be resolved before."""
+    before = F.max(end).over(W.partitionBy(key).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("reach_", before)
+    new = F.col("reach_").isNull() | (F.col(start) > F.col("reach_"))
+    from_ = F.when(new, F.col(start)).otherwise(F.col("reach_"))
+    return rows.groupBy(key).agg(F.count_if(new).alias("islands"), F.sum(F.greatest(F.datediff(end, from_), F.lit(0))).alias("days"))
+
+
+def years_gap(days: Column, wanted: Column) -> Column:
+    """Years that are missing to what is wanted, to one digit, never below 0."""
+    return F.greatest(F.round(wanted - days / F.lit(365.25), 1), F.lit(0.0))
+
+
+@query("M12_years_union", "WITH s AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 60 AS b FROM orders), d AS (SELECT DISTINCT k, unnest(generate_series(a, b - 1, INTERVAL 1 DAY)) AS day FROM s), m AS (SELECT k, a, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s), i AS (SELECT k, count(*) AS islands FROM m WHERE reach IS NULL OR a > reach GROUP BY k), n AS (SELECT k, count(*) AS days FROM d GROUP BY k) SELECT k, islands, days, greatest(round(5.0::DOUBLE - days / 365.25::DOUBLE, 1), 0.0::DOUBLE) AS gap FROM i JOIN n USING (k)")
+def _(t):
+    o = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("date").alias("a"), F.date_add(F.col("o_orderdate").cast("date"), 60).alias("b"))
+    return covered_days(o, "k", "a", "b").withColumn("gap", years_gap(F.col("days"), F.lit(5.0)))
+
 
 # -- ledgers and lint ----------------------------------------------------------
 
-plain("D7_misattribution", "SELECT DISTINCT p_name FROM {part} p WHERE p_type = 'PROMO' AND NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'A' AND l.l_quantity > 45)")
+
+#: Directories and file stems of documents that describe a vendor's product without using it.
+REFERENCE_DOCS = r"(?i)(?:^|/)(?:docs?|reference|vendor|research|comparisons?|notes)/|(?:^|/)(?:readme|overview|comparison|alternatives)\.[a-z]+$"
+
+
+def misattributed(claims: DataFrame, groups: DataFrame) -> DataFrame:
+    """Claims (skill, path) of skills that belong to a group (kind, skill) of two members or more and whose every file is a reference document."""
+    many = groups.distinct().groupBy("kind").agg(F.count("*").alias("n_")).where("n_ >= 2").select("kind")
+    named = groups.join(many, "kind", "left_semi").select("skill").distinct()
+    only = claims.groupBy("skill").agg(F.bool_and(F.coalesce(F.col("path").rlike(REFERENCE_DOCS), F.lit(False))).alias("only_")).where("only_").select("skill")
+    return only.join(named, "skill", "left_semi")
+
+
+@query("D7_misattribution", "WITH g AS (SELECT DISTINCT p_brand AS kind, p_name AS skill FROM part WHERE p_type = 'PROMO'), n AS (SELECT skill FROM g WHERE kind IN (SELECT kind FROM g GROUP BY kind HAVING count(*) >= 2)) SELECT p_name AS skill FROM part WHERE p_size > 35 AND p_name IN (SELECT skill FROM n) GROUP BY p_name HAVING bool_and(p_size % 3 <> 2)")
+def _(t):
+    path = F.when(F.col("p_size") % 3 == 0, "docs/x.md").when(F.col("p_size") % 3 == 1, "infra/README.md").otherwise("src/x.ts")
+    claims = t.part.where("p_size > 35").select(F.col("p_name").alias("skill"), path.alias("path"))
+    return misattributed(claims, t.part.where("p_type = 'PROMO'").select(F.col("p_brand").alias("kind"), F.col("p_name").alias("skill")))
 
 
 @query("D9_passage_provenance", "WITH x AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda p: length(p) > 200)) AS passage FROM documents) SELECT md5(passage) AS passage, min(doc_id) AS first_doc, count(*) AS n FROM x GROUP BY 1")
@@ -226,11 +281,75 @@ def _(t):
     return t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{14,}"), 0)).alias("w")).groupBy("w").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-plain("N13_repo_recall", "SELECT c_mktsegment, CASE WHEN count(*) FILTER (WHERE c_nationkey < 12) = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(count(*) FILTER (WHERE c_nationkey < 12 AND c_acctbal > 0) AS DOUBLE) / count(*) FILTER (WHERE c_nationkey < 12), 6) END AS recall FROM {customer} GROUP BY c_mktsegment")
-plain("N14_qa_cases", "SELECT event_type, round(avg(CASE WHEN (value < 30) = (event_id % 2 = 0) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy FROM {events} GROUP BY event_type")
-plain("N20_underrepresented", "SELECT DISTINCT source FROM {documents} WHERE source NOT IN (SELECT source FROM {documents} JOIN {labels} USING (doc_id) WHERE quality = 0 AND toxic = 1)")
-plain("N26_class_groups", "SELECT p_type, count(*) AS n, min(p_name) AS first_name FROM {part} WHERE p_type IN ('PROMO', 'SMALL', 'LARGE') GROUP BY p_type")
-plain("N30_repo_profile", "SELECT COALESCE(a.source, b.source) AS source, a.langs, b.bad FROM (SELECT source, count(DISTINCT lang) AS langs FROM {documents} GROUP BY source) a FULL OUTER JOIN (SELECT source, count(*) AS bad FROM {documents} JOIN {labels} USING (doc_id) WHERE quality = 0 GROUP BY source) b ON a.source = b.source")
+def repo_recall(wanted: DataFrame, found: DataFrame, case: str) -> DataFrame:
+    """For each case (case, wanted) the share of wanted repositories that occur in any found source (case, source), case-insensitively; 0 where
+    nothing is wanted (a null)."""
+    held = found.groupBy(case).agg(F.collect_set(F.lower("source")).alias("sources_"))
+    hit = F.exists(F.coalesce("sources_", F.array().cast("array<string>")), lambda s: F.contains(s, F.lower("wanted")))
+    rows = wanted.join(held, case, "left").withColumn("hit_", F.when(F.col("wanted").isNotNull(), hit))
+    return rows.groupBy(case).agg(F.round(F.coalesce(F.avg(F.col("hit_").cast("double")), F.lit(0.0)), 6).alias("recall"))
+
+
+def gate(recalls: DataFrame, kind: str, positive: float, negative: float) -> DataFrame:
+    """Whether the worst positive case reaches ``positive`` and the best negative one stays within ``negative``."""
+    low, high = F.min(F.when(F.col(kind) == "positive", F.col("recall"))), F.max(F.when(F.col(kind) == "negative", F.col("recall")))
+    return recalls.agg((F.coalesce(low, F.lit(1.0)) >= positive).alias("positives"), (F.coalesce(high, F.lit(0.0)) <= negative).alias("negatives"))
+
+
+@query("N13_repo_recall", "SELECT c_mktsegment, round(avg(CASE WHEN c_acctbal > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall FROM customer WHERE c_nationkey < 12 GROUP BY c_mktsegment UNION ALL SELECT 'NONE', 0.0::DOUBLE")
+def _(t):
+    c = F.col
+    wanted = t.customer.where("c_nationkey < 12").select("c_mktsegment", F.concat(F.lit("Repo/"), "c_custkey", F.lit("/")).alias("wanted"))
+    empty = t.spark.createDataFrame([("NONE", None)], "c_mktsegment string, wanted string")
+    found = t.customer.where("c_acctbal > 0").select("c_mktsegment", F.concat(F.lit("repo/"), "c_custkey", F.lit("/readme.md")).alias("source"))
+    return repo_recall(wanted.unionByName(empty), found, "c_mktsegment")
+
+
+def qa_accuracy(rows: DataFrame, dimension: str, score: Column, error: Column, expected: Column, least: int = 70) -> DataFrame:
+    """The share of cases by dimension in which a flag (a score below ``least`` or an issue that is an error) is what was expected."""
+    flagged = (score < least) | F.coalesce(error, F.lit(False))
+    return rows.groupBy(dimension).agg(F.round(F.avg((flagged == expected).cast("double")), 6).alias("accuracy"))
+
+
+@query("N14_qa_cases", "SELECT event_type, round(avg(CASE WHEN (value < 70 OR user_id % 9 = 0) = (event_id % 2 = 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM events GROUP BY event_type")
+def _(t):
+    return qa_accuracy(t.events, "event_type", F.col("value"), F.col("user_id") % 9 == 0, F.col("event_id") % 2 == 0)
+
+
+def underrepresented(all_: DataFrame, cited: DataFrame, repo: str) -> DataFrame:
+    """Repositories that no evidence cites."""
+    return all_.select(repo).distinct().join(cited.select(repo).distinct(), repo, "left_anti")
+
+
+@query("N20_underrepresented", "SELECT source FROM documents WHERE source IS NOT NULL EXCEPT SELECT source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND toxic = 1")
+def _(t):
+    return underrepresented(t.documents.where("source is not null"), t.documents.join(t.labels.where("quality = 0 and toxic = 1"), "doc_id", "left_semi"), "source")
+
+
+def class_groups(rows: DataFrame, kind: str, member: str, order: list[str]) -> DataFrame:
+    """Members regrouped by class, in a fixed order of classes; other classes fall out."""
+    place = F.array_position(F.array(*[F.lit(k) for k in order]), F.col(kind))
+    return rows.where(place > 0).groupBy(kind).agg(F.first(place).alias("place"), F.count("*").alias("n"), F.min(member).alias("first_name")).orderBy("place")
+
+
+@query("N26_class_groups", "SELECT p_type, CASE p_type WHEN 'SMALL' THEN 1 WHEN 'PROMO' THEN 2 ELSE 3 END::BIGINT AS place, count(*) AS n, min(p_name) AS first_name FROM part WHERE p_type IN ('PROMO', 'SMALL', 'LARGE') GROUP BY p_type")
+def _(t):
+    return class_groups(t.part, "p_type", "p_name", ["SMALL", "PROMO", "LARGE"])
+
+
+def repo_profiles(repo: str, *sides: DataFrame) -> DataFrame:
+    """One row for each repository that any side (one row a repository) knows, with the columns of all."""
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.join(side, repo, "full")
+    return out
+
+
+@query("N30_repo_profile", "SELECT a.source, a.langs, b.bad FROM (SELECT source, count(DISTINCT lang) AS langs FROM documents WHERE source IS NOT NULL GROUP BY source) a LEFT JOIN (SELECT source, count(*) AS bad FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY source) b ON a.source = b.source")
+def _(t):
+    langs = t.documents.where("source is not null").groupBy("source").agg(F.countDistinct("lang").alias("langs"))
+    bad = t.documents.join(t.labels.where("quality = 0"), "doc_id").where("source is not null").groupBy("source").agg(F.count("*").alias("bad"))
+    return repo_profiles("source", langs, bad)
 
 
 @query("N24_sbom_evidence", "SELECT p_partkey, 'pkg:npm/' || replace(p_name, ' ', '-') AS purl, regexp_extract('pkg:npm/' || replace(p_name, ' ', '-'), '^pkg:([a-z]+)/', 1) AS ecosystem FROM part WHERE p_size > 5")
