@@ -506,7 +506,7 @@ def distinctive(text: Column, least: int = 5) -> Column:
 def _(t):
     d = t.documents.select("doc_id", F.explode(distinctive(F.col("text"))).alias("w"))
     b = t.benchmark.select("item_id", F.explode(distinctive(F.col("text"))).alias("w"))
-    pairs = d.join(F.broadcast(b), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).where("n >= 2")
+    pairs = d.join(b, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).where("n >= 2")
     return pairs.groupBy("item_id").agg(F.count("*").alias("supported"))
 
 

@@ -86,7 +86,7 @@ def _(t):
     gaps = t.benchmark.select("item_id", F.array_distinct(F.slice(tokens(F.col("text")), 1, 2)).alias("w"), F.length("text").alias("severity")).orderBy(F.desc("severity"), "item_id").limit(5)
     each = gaps.select("item_id", F.size("w").alias("n"), F.explode("w").alias("term"))
     docs = t.documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    met = docs.join(F.broadcast(each), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n")
+    met = docs.join(each, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n")
     met = met.withColumn("rn", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id"))).where("rn <= 5")
     found = met.groupBy("item_id").agg(F.count("*").alias("c"))
     c = F.coalesce("c", F.lit(0))

@@ -98,10 +98,10 @@ def _(t):
 plain("P11_stale_rows", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus NOT IN ('F', 'O') AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00'")
 
 
-@query("P13_json_merge", "SELECT event_id, json_extract_string(json_merge_patch(props, '{\"src\":\"web\"}'), '$.src') AS src, CAST(json_extract(json_merge_patch(props, '{\"src\":\"web\"}'), '$.k') AS BIGINT) AS k FROM events WHERE event_id < 500")
+@query("P13_json_merge", "SELECT event_id, json_extract_string(json_merge_patch(props, '{\"src\":\"web\"}'), '$.src') AS src, CAST(json_extract(json_merge_patch(props, '{\"src\":\"web\"}'), '$.k') AS BIGINT) AS k FROM events")
 def _(t):
     merged = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("src"), F.lit("web")))
-    return t.events.where("event_id < 500").select("event_id", merged["src"].alias("src"), merged["k"].cast("long").alias("k"))
+    return t.events.select("event_id", merged["src"].alias("src"), merged["k"].cast("long").alias("k"))
 
 
 # -- joins ------------------------------------------------------------------
@@ -151,7 +151,7 @@ def _(t):
     inner = F.when(F.size(inner) > 2, F.slice(inner, F.lit(2), F.size(inner) - 2)).otherwise(inner)
     phrase = phrase.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
     words = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", "\\s+"))).alias("key"))
-    pairs = words.join(F.broadcast(phrase), "key").select("item_id", "doc_id", "phrase")
+    pairs = words.join(phrase, "key").select("item_id", "doc_id", "phrase")
     return pairs.join(t.documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "phrase")).select("item_id", "doc_id")
 
 

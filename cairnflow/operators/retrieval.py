@@ -15,10 +15,17 @@ from ..staging import staged
 
 RRF_K = 60
 FLOOR = 0.2
-#: Rows of a query table that are broadcast; more are split by the caller.
+#: Rows of a query table that are broadcast; with more an operator stops, and the caller splits them.
 MOST_QUERIES = 10_000
 
 
+def few(table: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """A table of queries or names for broadcast, after its rows were counted up to the bound."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to hold at once: split them and run one part after the other")
+    return F.broadcast(table)
+
+
 def top(scored: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank; Spark cuts to k before the shuffle (window group limit)."""
     w = W.partitionBy(*group).orderBy(*order) if group else W.orderBy(*order)
@@ -29,7 +36,7 @@ def top(scored: DataFrame, group: list[str], order: list[Column], k: int, rank:
 
 def vector_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """V2: qid, id, cosine, rank of the k nearest rows of ``corpus`` (id, embedding) for each of ``queries`` (qid, q_embedding)."""
-    scored = corpus.join(F.broadcast(queries.select("qid", "q_embedding")), F.size("embedding") == F.size("q_embedding"))
+    scored = corpus.join(few(queries.select("qid", "q_embedding")), F.size("embedding") == F.size("q_embedding"))
     scored = scored.select("qid", "id", cosine(F.col("embedding"), F.col("q_embedding")).alias("cosine"))
     return top(scored, ["qid"], [F.desc("cosine"), F.asc("id")], k)
 
@@ -37,12 +44,14 @@ def vector_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def lexical_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """V3: rows of ``corpus`` (id, text) with every term of the query, by sum of term counts over 1 + ln(1 + tokens).
 
-    Terms of all queries meet the corpus tokens in one broadcast equi-join; documents without any term fall out there."""
+    Terms of all queries, each once, meet the corpus tokens in one equi-join; documents without any term fall out there, tokens are counted
+    in their task, and queries come in only where counts are left."""
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("term"))
     wanted = terms.groupBy("qid").agg(F.count("*").alias("n_terms"))
     bag = corpus.select("id", tokens(F.col("text")).alias("ts")).select("id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
-    hits = bag.join(F.broadcast(terms), "term").groupBy("qid", "id").agg(F.count("*").alias("tf"), F.countDistinct("term").alias("met"), F.first("n").alias("n"))
-    full = hits.join(F.broadcast(wanted), "qid").where(F.col("met") == F.col("n_terms"))
+    met = bag.join(terms.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    hits = met.join(terms, "term").groupBy("qid", "id").agg(F.sum("tf").alias("tf"), F.count("*").alias("met"), F.first("n").alias("n"))
+    full = hits.join(wanted, "qid").where(F.col("met") == F.col("n_terms"))
     return top(full.select("qid", "id", F.round(F.col("tf") / (1 + F.log1p("n")), 6).alias("lexical")), ["qid"], [F.desc("lexical"), F.asc("id")], k)
 
 
@@ -91,10 +100,14 @@ def expanded(question: Column) -> Column:
     return F.array(question, bare, F.concat(bare, F.lit(" implementation details")))
 
 
-def probes(t, k: int = 3) -> DataFrame:
-    """Queries for the test tables: vectors 0 to k - 1 with the first words of the benchmark items of the same number."""
-    q = t.embeddings.where(F.col("vec_id") < k).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_embedding"))
-    b = t.benchmark.where(F.col("item_id") < k).select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.filter(tokens(F.col("text")), lambda w: F.length(w) <= 4), 1, 3), " ").alias("q_text"))
+#: The test tables' queries: every row whose id is divisible by this.
+EVERY = 50
+
+
+def probes(t) -> DataFrame:
+    """Queries for the test tables: vectors and documents of the same ids, each EVERY-th, with the first short words of the document."""
+    q = t.embeddings.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_embedding"))
+    b = t.documents.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"), F.array_join(F.slice(F.filter(tokens(F.col("text")), lambda w: F.length(w) <= 4), 1, 3), " ").alias("q_text"))
     return q.join(b, "qid")
 
 
@@ -105,8 +118,8 @@ def corpora(t) -> tuple[DataFrame, DataFrame]:
 _VECTOR = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
 _HYBRID = f"""
 WITH vec AS (SELECT qid, id, cosine, rank FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_VECTOR} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_VECTOR} DESC, e.vec_id) AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id < 3) WHERE rank <= 40),
-terms AS (SELECT DISTINCT item_id AS qid, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4), 1, 3)) AS term FROM benchmark WHERE item_id < 3),
+  FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0) WHERE rank <= 40),
+terms AS (SELECT DISTINCT doc_id AS qid, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4), 1, 3)) AS term FROM documents WHERE doc_id % {EVERY} = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
 wanted AS (SELECT qid, count(*) AS n_terms FROM terms GROUP BY qid),
 bag AS (SELECT doc_id AS id, len(ts) AS n, unnest(ts) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents)),
 hits AS (SELECT qid, id, count(*) AS tf, count(DISTINCT term) AS met, any_value(n) AS n FROM bag JOIN terms USING (term) GROUP BY qid, id),
@@ -166,10 +179,10 @@ def _(t):
     return neighbours(chunks.where("position % 3 = 1"), chunks)
 
 
-@query("V9_layer_merge", _HYBRID + "SELECT * FROM (SELECT 'chunk' AS layer, id, cosine AS score FROM vec WHERE qid = 0 UNION ALL SELECT 'profile', vec_id, round(label / 10.0::DOUBLE, 6) FROM embeddings WHERE vec_id BETWEEN 100 AND 110) ORDER BY score DESC, id LIMIT 20")
+@query("V9_layer_merge", _HYBRID + "SELECT * FROM (SELECT 'chunk' AS layer, id, cosine AS score FROM vec WHERE qid = 0 UNION ALL SELECT 'profile', vec_id, round(label / 10.0::DOUBLE, 6) FROM embeddings) ORDER BY score DESC, id LIMIT 20")
 def _(t):
     chunk = vector_rank(corpora(t)[0], probes(t), 40).where("qid = 0").select(F.lit("chunk").alias("layer"), "id", F.col("cosine").alias("score"))
-    profile = t.embeddings.where("vec_id between 100 and 110").select(F.lit("profile").alias("layer"), F.col("vec_id").alias("id"), F.round(F.col("label") / 10.0, 6).alias("score"))
+    profile = t.embeddings.select(F.lit("profile").alias("layer"), F.col("vec_id").alias("id"), F.round(F.col("label") / 10.0, 6).alias("score"))
     return chunk.unionByName(profile).orderBy(F.desc("score"), "id").limit(20)
 
 
@@ -212,31 +225,31 @@ def reranked(candidates: DataFrame, k: int, question: str = "q_text", text: str
 @query(
     "V15_rerank",
     _HYBRID
-    + """, q AS (SELECT item_id AS qid, list_distinct(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4), 1, 3)) AS w FROM benchmark),
+    + """, q AS (SELECT doc_id AS qid, list_distinct(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4), 1, 3)) AS w FROM documents WHERE doc_id % 50 = 0),
     s AS (SELECT b.qid, b.id, b.cosine, round(len(list_intersect(q.w, regexp_extract_all(lower(substr(d.text, 1, 4000)), '[a-z0-9]+'))) / greatest(len(q.w), 1), 6) AS rerank FROM best b JOIN q USING (qid) JOIN documents d ON d.doc_id = b.id)
     SELECT qid, id, rerank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, cosine DESC NULLS LAST, id) AS rn FROM s) WHERE rn <= 4""",
 )
 def _(t):
     p = probes(t)
-    best = hybrid(*corpora(t), p, 10).select("qid", "id", "cosine").join(F.broadcast(p.select("qid", "q_text")), "qid").join(corpora(t)[1], "id")
+    best = hybrid(*corpora(t), p, 10).select("qid", "id", "cosine").join(p.select("qid", "q_text"), "qid").join(corpora(t)[1], "id")
     return reranked(best, 4).select("qid", "id", "rerank")
 
 
 def cache_lookup(cache: DataFrame, asked: DataFrame, now: Column, least: float = 0.95, days: int = 7) -> DataFrame:
     """For each of ``asked`` (qid, scope, q_embedding) the most similar live entry of ``cache`` (id, scope, created, embedding), a hit at ``least``."""
     live = cache.where(F.col("created") > now - F.expr(f"INTERVAL {days} DAYS"))
-    scored = live.join(F.broadcast(asked), "scope").select("qid", "id", cosine(F.col("embedding"), F.col("q_embedding")).alias("similarity"))
+    scored = live.join(few(asked), "scope").select("qid", "id", cosine(F.col("embedding"), F.col("q_embedding")).alias("similarity"))
     return top(scored, ["qid"], [F.desc("similarity"), F.asc("id")], 1).select("qid", "id", "similarity", (F.col("similarity") >= least).alias("hit"))
 
 
 @query(
     "V16_semantic_cache",
-    f"WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_VECTOR} AS similarity FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id < 20 AND TIMESTAMP '2024-01-01 00:00:00' + (e.vec_id % 30) * INTERVAL 1 DAY > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY) SELECT qid, id, similarity, similarity >= 0.95 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rn FROM s) WHERE rn = 1",
+    f"WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_VECTOR} AS similarity FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 50 = 0 AND TIMESTAMP '2024-01-01 00:00:00' + (e.vec_id % 30) * INTERVAL 1 DAY > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY) SELECT qid, id, similarity, similarity >= 0.95 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rn FROM s) WHERE rn = 1",
 )
 def _(t):
     created = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(vec_id % 30 as int))")
     cache = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), created.alias("created"), "embedding")
-    asked = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("label").alias("scope"), F.col("embedding").alias("q_embedding"))
+    asked = t.embeddings.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("scope"), F.col("embedding").alias("q_embedding"))
     return cache_lookup(cache, asked, F.expr("timestamp_ntz'2024-01-30 00:00:00'"))
 
 
@@ -247,14 +260,14 @@ def _(t):
 
 def nearest(rows: DataFrame, canon: DataFrame, least: float) -> DataFrame:
     """For each row (id, embedding) the most similar of a small table (name, c_embedding), null below ``least``."""
-    scored = rows.join(F.broadcast(canon), F.size("embedding") == F.size("c_embedding")).select("id", "name", cosine(F.col("embedding"), F.col("c_embedding")).alias("similarity"))
+    scored = rows.join(few(canon), F.size("embedding") == F.size("c_embedding")).select("id", "name", cosine(F.col("embedding"), F.col("c_embedding")).alias("similarity"))
     best = scored.groupBy("id").agg(F.max_by(F.struct("similarity", "name"), F.struct(F.col("similarity"), -F.col("name"))).alias("b"))
     return best.select("id", F.when(F.col("b.similarity") >= least, F.col("b.name")).alias("name"), F.col("b.similarity").alias("similarity"))
 
 
-@query("V18_nearest_canonical", f"WITH s AS (SELECT e.vec_id AS id, q.vec_id AS name, {_VECTOR} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 12) SELECT id, CASE WHEN similarity >= 0.2 THEN name END AS name, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, name) AS rn FROM s) WHERE rn = 1")
+@query("V18_nearest_canonical", f"WITH s AS (SELECT e.vec_id AS id, q.vec_id AS name, {_VECTOR} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) SELECT id, CASE WHEN similarity >= 0.2 THEN name END AS name, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, name) AS rn FROM s) WHERE rn = 1")
 def _(t):
-    canon = t.embeddings.where("vec_id < 12").select(F.col("vec_id").alias("name"), F.col("embedding").alias("c_embedding"))
+    canon = t.embeddings.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("name"), F.col("embedding").alias("c_embedding"))
     return nearest(corpora(t)[0], canon, 0.2)
 
 
@@ -315,15 +328,13 @@ def pairs_at_least(rows: DataFrame, least: float) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, least: float, most: int) -> DataFrame:
-    """The ``most`` most similar pairs i < j at ``least`` of a small table (id, embedding), such as a user's repositories."""
-    a, b = rows.select(F.col("id").alias("i"), F.col("embedding").alias("x")), rows.select(F.col("id").alias("j"), F.col("embedding").alias("y"))
-    scored = a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", cosine(F.col("x"), F.col("y")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "i", "j").limit(most)
+    """The ``most`` most similar pairs i < j of (id, embedding) at ``least``."""
+    return pairs_at_least(rows, least).orderBy(F.desc("similarity"), "i", "j").limit(most)
 
 
-@query("J9_cosine_pairs", f"SELECT q.vec_id AS i, e.vec_id AS j, {_VECTOR} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < e.vec_id AND e.vec_id < 120 AND {_VECTOR} >= 0.2 ORDER BY similarity DESC, i, j LIMIT 32")
+@query("J9_cosine_pairs", f"SELECT q.vec_id AS i, e.vec_id AS j, {_VECTOR} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < e.vec_id AND {_VECTOR} >= 0.2 ORDER BY similarity DESC, i, j LIMIT 32")
 def _(t):
-    return similar_pairs(corpora(t)[0].where("id < 120"), 0.2, 32)
+    return similar_pairs(corpora(t)[0], 0.2, 32)
 
 
 @query(
@@ -334,7 +345,7 @@ def _(t):
     terms = t.benchmark.select("item_id", F.slice(tokens(F.col("text")), 1, 3).alias("ts"))
     each = terms.select("item_id", F.explode(F.array_distinct("ts")).alias("term"))
     docs = t.documents.where(F.coalesce("lang", F.lit("")) != "es").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    met = docs.join(F.broadcast(each), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    met = docs.join(each, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     best = met.groupBy("item_id").agg(F.max("n").alias("n"))
     present = F.coalesce("n", F.lit(0)) >= F.size(F.array_distinct("ts"))
     return terms.join(best, "item_id", "left").select("item_id", F.when(present, "kb_present_not_retrieved").otherwise("kb_no_evidence").alias("cause"))

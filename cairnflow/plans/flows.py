@@ -19,7 +19,7 @@ def retrieve(vectors: DataFrame, texts: DataFrame, questions: DataFrame, k: int
     found = hybrid(vectors, texts, variants.select("qid", "q_embedding", "q_text"), k)
     best = found.withColumn("qid", F.floor(F.col("qid") / 4)).groupBy("qid", "id").agg(F.max("rrf").alias("rrf"), F.max("cosine").alias("cosine"))
     held = best.where(F.col("cosine").isNull() | (F.col("cosine") >= FLOOR))
-    return reranked(held.join(F.broadcast(questions.select("qid", "q_text")), "qid").join(texts, "id"), k)
+    return reranked(held.join(questions.select("qid", "q_text"), "qid").join(texts, "id"), k)
 
 
 def ingest(files: DataFrame, store: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..registry import plain, query
 
@@ -100,6 +102,83 @@ def docx_text(docs: DataFrame) -> DataFrame:
     return docs.select("path", "content").mapInArrow(run, "path string, text string")
 
 
+_PDF_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+_PDF_SHOWN = re.compile(rb"(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<])*\])\s*(Tj|TJ|'|\")|\b(T\*|Td|TD|ET)\b", re.S)
+_PDF_STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(said: bytes) -> str:
+    if said[:1] == b"<":
+        digits = re.sub(rb"\s", b"", said[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
+    octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], b"" if m[1] == b"\n" else m[1])
+    return re.sub(rb"\\([0-7]{1,3}|.)", octal, said[1:-1], flags=re.S).decode("latin-1")
+
+
+def read_pdf(content: bytes) -> str | None:
+    """The text that a PDF's content streams show, a line for each text line; plain and deflated streams, simple fonts; null if the bytes are no PDF."""
+    if not content.startswith(b"%PDF-"):
+        return None
+    lines = [""]
+    for head, data in _PDF_STREAM.findall(content):
+        if b"/FlateDecode" in head:
+            try:
+                data = zlib.decompress(data)
+            except zlib.error:
+                continue
+        elif b"/Filter" in head:
+            continue
+        for shown, how, move in _PDF_SHOWN.findall(data):
+            if move:
+                lines += [""] * bool(lines[-1])
+                continue
+            lines += [""] * (how in (b"'", b'"') and bool(lines[-1]))
+            lines[-1] += "".join(_pdf_string(x) for x in _PDF_STRING.findall(shown))
+    return "\n".join(x.strip() for x in lines if x.strip())
+
+
+def pdf_text(docs: DataFrame) -> DataFrame:
+    """Path and text of PDF files (path, content); null text where a file is none."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([read_pdf(x.as_py()) for x in batch.column(1)], pa.string())], ["path", "text"])
+
+    return docs.select("path", "content").mapInArrow(run, "path string, text string")
+
+
+#: Bytes of a patch that are kept of a file, and of all files of a commit.
+FILE_PATCH, COMMIT_PATCH = 64 << 10, 512 << 10
+
+
+def commit_files(commits: DataFrame) -> DataFrame:
+    """One row per file of commits as a hosting service returns them (body: JSON): sha, author, at, path, status, additions, deletions, patch and whether
+    it is cut, at FILE_PATCH bytes of a file and COMMIT_PATCH bytes of a commit's files in their order."""
+    kind = "sha string, commit struct<author: struct<name: string, date: timestamp>>, files array<struct<filename: string, status: string, additions: long, deletions: long, patch: string>>"
+    each = commits.select(F.from_json("body", kind).alias("c")).where(F.col("c.sha").isNotNull())
+    each = each.select(F.col("c.sha").alias("sha"), F.col("c.commit.author.name").alias("author"), F.col("c.commit.author.date").alias("at"), F.posexplode("c.files").alias("n", "f"))
+    whole = F.coalesce(F.octet_length("f.patch"), F.lit(0))
+    before = F.coalesce(F.sum(F.least(whole, F.lit(FILE_PATCH))).over(W.partitionBy("sha").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    room = F.least(F.lit(FILE_PATCH), F.greatest(F.lit(COMMIT_PATCH) - before, F.lit(0))).cast("int")
+    cut = F.make_valid_utf8(F.substring(F.encode("f.patch", "UTF-8"), F.lit(1), room).cast("string"))
+    patch = F.when(whole <= room, F.col("f.patch")).otherwise(F.regexp_replace(cut, "\uFFFD+$", ""))
+    return each.select("sha", "author", "at", F.col("f.filename").alias("path"), "f.status", "f.additions", "f.deletions", patch.alias("patch"), (whole > room).alias("truncated"))
+
+
+def contributors(pages: DataFrame) -> DataFrame:
+    """Login and contributions of contributor pages (body: a JSON array), each login once with its sum."""
+    rows = pages.select(F.inline(F.from_json("body", "array<struct<login: string, contributions: long>>")))
+    return rows.where("login is not null").groupBy("login").agg(F.sum("contributions").alias("contributions"))
+
+
+def pull_requests(pages: DataFrame) -> DataFrame:
+    """Number, title, body, merged_at of pull request pages (body: a JSON array), each number once, the last by update."""
+    kind = "array<struct<number: long, title: string, body: string, merged_at: timestamp, updated_at: timestamp>>"
+    rows = pages.select(F.inline(F.from_json("body", kind))).where("number is not null")
+    return rows.groupBy("number").agg(F.max_by(F.struct("title", "body", "merged_at"), "updated_at").alias("p")).select("number", "p.*")
+
+
 def capped(content: Column, most: int) -> Column:
     """The first ``most`` bytes and whether there were more."""
     return F.struct(F.substring(content, 1, most).alias("body"), (F.octet_length(content) > most).alias("truncated"))

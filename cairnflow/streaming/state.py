@@ -177,7 +177,9 @@ def stream_windows(stream: DataFrame, ts: str, width: str, keys: list[str], late
 
 
 def stream_cooldown(stream: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """X5 on a stream: (key, ts) of rows more than ``minutes`` after the key's row before; state expires when the watermark has passed that time."""
+    """X5 on a stream: (key, ts) of rows more than ``minutes`` after the latest of the key's rows so far; state expires when the watermark has passed
+    that time. A row that comes late, behind a later one of an earlier trigger, neither fires nor moves the mark; rows in order (and all rows
+    of one trigger) give what ``first_of_bursts`` gives."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -189,7 +191,7 @@ def stream_cooldown(stream: DataFrame, key: str, ts: str, minutes: int) -> DataF
         for now in rows[ts]:
             if last is None or now > last + pd.Timedelta(minutes=minutes):
                 out.append(now)
-            last = now
+            last = now if last is None else max(last, now)
         state.update((last.to_pydatetime(),))
         state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
