@@ -8,6 +8,7 @@ from ..functions.text import stem, tokens
 from ..registry import plain, query
 from ..staging import staged
 from . import procedural as P
+from .documents import line_windows
 
 # -- joins and retrieval ----------------------------------------------------------
 
@@ -96,10 +97,39 @@ def _(t):
 # -- chunks and detectors ----------------------------------------------------------
 
 
-@query("C8_chunker_dispatch", "SELECT CASE WHEN url LIKE '%/en/%' THEN 'markdown' WHEN url LIKE '%/fr/%' THEN 'code' ELSE 'lines' END AS chunker, count(*) AS n FROM pages GROUP BY 1")
+#: Chunkers in the order in which they are asked, by path.
+CHUNKERS = (("markdown", r"(?i)\.mdx?$"), ("code", r"(?i)\.(?:ts|tsx|js|jsx|py|go|rs|java|kt|cs|c|cc|cpp|h|swift|scala|php)$"))
+
+
+def chunker(path: Column) -> Column:
+    """The first chunker that can handle a path; lines take the rest."""
+    kind = F.lit("lines")
+    for name, rule in reversed(CHUNKERS):
+        kind = F.when(path.rlike(rule), name).otherwise(kind)
+    return kind
+
+
+def dispatched(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
+    """(key, chunker, chunk) of files, each cut by its own chunker."""
+    files = files.withColumn("chunker", chunker(F.col(path)))
+    python = F.col(path).rlike(r"(?i)\.py$")
+    parts = [
+        P.per_text(files.where("chunker = 'markdown'"), key, text, "part int, heading string, chunk string", P.markdown_chunks).select(key, F.lit("markdown").alias("chunker"), "chunk"),
+        *(
+            P.per_text(files.where((F.col("chunker") == "code") & (python if py else ~python)), key, text, "n int, first int, last int, names array<string>", lambda x, py=py: [(i, a, b, names) for i, a, b, names, _ in P.code_chunks(x, py)]).select(key, F.lit("code").alias("chunker"), F.concat_ws("-", "first", "last").alias("chunk"))
+            for py in (False, True)
+        ),
+    ]
+    out = line_windows(files.where("chunker = 'lines'"), text).select(key, "chunker", "chunk")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+@query("C8_chunker_dispatch", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'markdown' WHEN doc_id % 5 < 3 THEN 'code' ELSE 'lines' END AS chunker FROM documents")
 def _(t):
-    route = F.when(F.col("url").like("%/en/%"), "markdown").when(F.col("url").like("%/fr/%"), "code").otherwise("lines")
-    return t.pages.groupBy(route.alias("chunker")).agg(F.count("*").alias("n"))
+    path = F.element_at(F.array(*[F.lit(x) for x in ("a/b.MD", "src/x.ts", "y.py", "data.csv", "LICENSE")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return t.documents.select("doc_id", chunker(path).alias("chunker"))
 
 
 def detected(files: DataFrame, key: str, text: str, detectors: list[tuple[str, str, float]]) -> DataFrame:
@@ -254,9 +284,35 @@ def _(t):
     return t.spark.createDataFrame([(k, *v) for k, v in DEPTHS.items()], "mode string, queries int, passages int, radius int")
 
 
-@query("E12_semantic_eval", "SELECT label, round(avg(CASE WHEN vec_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall FROM embeddings GROUP BY label")
+def semantic_eval(baseline: DataFrame, candidate: DataFrame, near: DataFrame, key: str, id_: str) -> DataFrame:
+    """By key the share of baseline items that a candidate of the key equals or is near to (near: i, j, either way), and of candidates likewise;
+    1 where a side is empty."""
+    both = near.select("i", "j").union(near.select("j", "i")).distinct()
+
+    def share(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        other = other.select(key, F.col(id_).alias("j"))
+        same = mine.select(key, F.col(id_).alias("i"), F.col(id_).alias("j"))
+        close = mine.select(key, F.col(id_).alias("i")).join(both, "i").select(key, "i", "j")
+        hit = same.union(close).join(other, [key, "j"], "left_semi").select(key, F.col("i").alias(id_)).distinct().withColumn("hit_", F.lit(1.0))
+        return mine.join(hit, [key, id_], "left").groupBy(key).agg(F.round(F.avg(F.coalesce("hit_", F.lit(0.0))), 6).alias(name))
+
+    rates = share(baseline, candidate, "recall").join(share(candidate, baseline, "precision"), key, "full")
+    return rates.select(key, *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("recall", "precision")])
+
+
+@query(
+    "E12_semantic_eval",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT * FROM e WHERE vec_id % 3 = 0), c AS (SELECT * FROM e WHERE vec_id % 3 = 1),
+    h AS (SELECT b.label, b.vec_id AS i, c.vec_id AS j FROM b JOIN c ON b.label = c.label WHERE round(list_inner_product(b.v, c.v) / (sqrt(list_inner_product(b.v, b.v)) * sqrt(list_inner_product(c.v, c.v))), 6) >= 0.2),
+    r AS (SELECT label, round(avg(CASE WHEN vec_id IN (SELECT i FROM h) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS recall FROM b GROUP BY label),
+    p AS (SELECT label, round(avg(CASE WHEN vec_id IN (SELECT j FROM h) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS precision FROM c GROUP BY label)
+    SELECT label, COALESCE(recall, 1) AS recall, COALESCE(precision, 1) AS precision FROM r FULL JOIN p USING (label)""",
+)
 def _(t):
-    return t.embeddings.groupBy("label").agg(F.round(F.avg(F.when(F.col("vec_id") % 3 == 0, 1.0).otherwise(0.0)), 6).alias("recall"))
+    from .retrieval import corpora, pairs_at_least
+
+    e = t.embeddings.select("label", "vec_id")
+    return semantic_eval(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 = 1"), pairs_at_least(corpora(t)[0], 0.2), "label", "vec_id")
 
 
 @query("N1_sections")

@@ -472,7 +472,8 @@ def _(t):
 
 @query("C22_comments")
 def _(t):
-    return per_text(t.pages, "page_id", "html", "first_line int, last_line int, prose string", comments)
+    code = "concat('const a = 1; // how ', p_name, ' came to be used here\\n/* first line of a note\\n * on ', p_brand, ' and its size */\\nlet s = ', p_size, ';') text"
+    return per_text(t.part.selectExpr("p_partkey", code), "p_partkey", "text", "first_line int, last_line int, prose string", comments)
 
 
 @query("C23_dependencies")

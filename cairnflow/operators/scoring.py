@@ -105,7 +105,55 @@ def _(t):
     return r.groupBy("source").agg(F.max(F.when(F.col("rn") == 1, F.col("lang"))).alias("main"), F.max(F.when(F.col("rn") == 1, F.col("share"))).alias("share"), F.count("*").alias("langs"))
 
 
-plain("E7_diagnostic", "SELECT user_id, least(20, count(*) / 5) + least(20, CAST(sum(value) / 100 AS BIGINT)) AS score_floor FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS value FROM {events}) x GROUP BY user_id HAVING count(*) % 5 = 0 AND CAST(sum(value) AS BIGINT) % 100 = 0")
+def points(*parts: tuple[Column, int]) -> Column:
+    """What the parts that hold are worth together, 0 to 100."""
+    total = F.lit(0)
+    for holds, worth in parts:
+        total = total + F.when(holds, worth).otherwise(0)
+    return F.least(F.lit(100), F.greatest(F.lit(0), total))
+
+
+def profile_depth(languages: Column, repos: Column, mirror: Column, reveals: Column) -> Column:
+    """Up to 60 for three languages, 20 for ten repositories, 10 each for a mirror and reveals."""
+    return F.least(F.lit(60), F.greatest(languages, F.lit(0)) * 20) + F.round(F.least(F.lit(10), F.greatest(repos, F.lit(0))) * 2).cast("int") + points((mirror, 10), (reveals, 10))
+
+
+def rag_depth(high: Column, repos: Column, retrieval: Column) -> Column:
+    """Up to 60 for the share of repositories of high quality, 40 for the retrieval score (null: none)."""
+    share = F.coalesce(F.try_divide(high, repos), F.lit(0.0))
+    return F.least(F.lit(60), F.round(share * 60)).cast("int") + F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(retrieval, F.lit(0.0)))) * 40).cast("int")
+
+
+def alignment(resume: Column, unsupported: Column) -> Column:
+    """0 without a resume, 50 before it was compared, else 10 less for each unsupported claim, 80 at most."""
+    return F.when(~F.coalesce(resume, F.lit(False)), 0).when(unsupported.isNull(), 50).otherwise(100 - F.least(F.lit(80), unsupported * 10)).cast("int")
+
+
+def diagnostic(*components: Column) -> Column:
+    """Five components of 0 to 100, each worth 20."""
+    total = components[0]
+    for c in components[1:]:
+        total = total + c
+    return F.round(total * 20 / F.lit(100.0)).cast("int")
+
+
+def blockers(*rules: tuple[Column, str], most: int = 2) -> Column:
+    """What holds a component back, the first ``most`` that apply."""
+    return F.slice(F.array_compact(F.array(*[F.when(holds, F.lit(said)) for holds, said in rules])), 1, most)
+
+
+@query("E7_diagnostic", "WITH x AS (SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS n, CAST(floor(avg(value)) AS INT) AS v, count(*) FILTER (WHERE value > 60) AS high FROM events GROUP BY 1), p AS (SELECT user_id, kinds, n, least(60, greatest(kinds - 3, 0) * 20) + least(10, n % 12) * 2 + CASE WHEN n % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN v > 50 THEN 10 ELSE 0 END AS a, least(60, round(high / n * 60)) + round(least(1.0::DOUBLE, v / 100.0::DOUBLE) * 40) AS b, CASE WHEN n > 60 THEN 60 ELSE 0 END + CASE WHEN v % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN kinds >= 3 THEN 20 ELSE 0 END AS c, CASE WHEN n % 5 = 0 THEN 0 WHEN n % 3 = 0 THEN 50 ELSE 100 - least(80, n % 12 * 10) END AS d, CASE WHEN n >= 50 THEN 25 ELSE 0 END + CASE WHEN n >= 70 THEN 25 ELSE 0 END + CASE WHEN kinds >= 1 THEN 25 ELSE 0 END + CASE WHEN v >= 45 THEN 25 ELSE 0 END AS e FROM x) SELECT user_id, CAST(round((a + b + c + d + e) * 20 / 100.0::DOUBLE) AS INT) AS overall, array_to_string(list_slice(list_filter([CASE WHEN kinds < 5 THEN 'languages' END, CASE WHEN n % 12 < 3 THEN 'repos' END, CASE WHEN n % 2 <> 0 THEN 'mirror' END], lambda s: s IS NOT NULL), 1, 2), ',') AS blockers FROM p")
+def _(t):
+    n, v = F.count("*"), F.floor(F.avg("value")).cast("int")
+    x = t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), n.alias("n"), v.alias("v"), F.count_if(F.col("value") > 60).alias("high"))
+    c = F.col
+    depth = profile_depth(c("kinds") - 3, c("n") % 12, c("n") % 2 == 0, c("v") > 50)
+    rag = rag_depth(c("high"), c("n"), c("v") / 100.0)
+    direction = points((c("n") > 60, 60), (c("v") % 2 == 0, 20), (c("kinds") >= 3, 20))
+    aligned = alignment(c("n") % 5 != 0, F.when(c("n") % 3 != 0, c("n") % 12))
+    resume = points((c("n") >= 50, 25), (c("n") >= 70, 25), (c("kinds") >= 1, 25), (c("v") >= 45, 25))
+    why = blockers((c("kinds") < 5, "languages"), (c("n") % 12 < 3, "repos"), (c("n") % 2 != 0, "mirror"))
+    return x.select("user_id", diagnostic(depth, rag, direction, aligned, resume).alias("overall"), F.array_join(why, ",").alias("blockers"))
 
 
 #: What completes a profile, and how much each part is worth.
@@ -360,7 +408,24 @@ def _(t):
     return successors(a.join(b, "old").where("r <> s").select("old", "new"), n)
 
 
-plain("G8_citations", "SELECT DISTINCT p_type, CASE WHEN p_name LIKE 'small%' THEN 'ts' WHEN p_name LIKE '%ring' THEN 'py' ELSE 'other' END AS language FROM {part} UNION SELECT p_brand, 'brand' FROM {part} WHERE p_size = 50")
+#: Languages by file extension.
+EXTENSIONS = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "sql": "sql", "tf": "terraform"}
+
+
+def language_of(path: Column) -> Column:
+    """The language of a path by its extension, null where it has none that is known."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
+
+
+def citations(files: DataFrame) -> DataFrame:
+    """(canonical, path) of files (canonical, path) that cite a technology, and of each file its language by extension."""
+    return files.select("canonical", "path").union(files.select(language_of(F.col("path")).alias("canonical"), "path").where("canonical is not null")).distinct()
+
+
+@query("G8_citations", "WITH f AS (SELECT p_brand AS canonical, p_name || ['.ts', '.PY', '.txt', ''][p_size % 4 + 1] AS path FROM part) SELECT canonical, path FROM f UNION SELECT CASE WHEN path LIKE '%.ts' THEN 'typescript' ELSE 'python' END, path FROM f WHERE path LIKE '%.ts' OR path LIKE '%.PY'")
+def _(t):
+    path = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (".ts", ".PY", ".txt", "")]), (F.col("p_size") % 4 + 1).cast("int")))
+    return citations(t.part.select(F.col("p_brand").alias("canonical"), path.alias("path")))
 
 
 def promoted(staged_values: DataFrame, value: str, user: str, quorum: int) -> DataFrame:
@@ -430,7 +495,15 @@ def _(t):
     return reconciled(t.lineitem.where("l_quantity > 48").select(F.col("l_partkey").alias("k")), t.part.where("p_size > 40").select(F.col("p_partkey").alias("k")), "k")
 
 
-plain("G15_evidence_stamp", "SELECT s_suppkey, s_acctbal < 0 AS is_fork, COALESCE(n, 0) > 550 AS authored FROM {supplier} LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM {lineitem} GROUP BY 1) x ON s_suppkey = l_suppkey")
+def evidence_stamp(repos: DataFrame, key: str, fork: Column, commits: DataFrame, least: int) -> DataFrame:
+    """Flags of each repository: whether it is a fork, and whether its owner wrote at least ``least`` commits (key, n); none is not."""
+    return repos.join(commits, key, "left").select(key, fork.alias("is_fork"), (F.coalesce("n", F.lit(0)) >= least).alias("authored"))
+
+
+@query("G15_evidence_stamp", "SELECT s_suppkey, s_acctbal < 0 AS is_fork, COALESCE(n, 0) > 550 AS authored FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) x ON s_suppkey = l_suppkey")
+def _(t):
+    n = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    return evidence_stamp(t.supplier, "s_suppkey", F.col("s_acctbal") < 0, n, 551)
 
 
 def signals(files: DataFrame, repo: str, text: str, patterns: dict[str, str]) -> DataFrame:
@@ -724,8 +797,25 @@ def _(t):
     return cost_since(t.events, "event_type", F.round(F.col("value") * 100).cast("long"), "ts", F.expr("timestamp_ntz'2024-01-10 00:00:00'"))
 
 
-plain("D17_cache_version", "SELECT concat(CAST(max(event_id) AS STRING), '-', CAST(count(*) AS STRING)) AS tag FROM {events}".replace("STRING", "VARCHAR(40)"))
-plain("D19_backfill", "SELECT doc_id, COALESCE(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'bad' END, lang) AS doc_type FROM {documents} LEFT JOIN {labels} USING (doc_id)")
+def cache_version(rows: DataFrame, last: str) -> DataFrame:
+    """One tag for the state of a table: its last mark and its number of rows."""
+    return rows.agg(F.concat_ws("-", F.coalesce(F.max(last).cast("string"), F.lit("none")), F.count("*").cast("string")).alias("tag"))
+
+
+@query("D17_cache_version", "SELECT max(event_id) || '-' || count(*) AS tag FROM events")
+def _(t):
+    return cache_version(t.events, "event_id")
+
+
+def backfilled(rows: DataFrame, derived: DataFrame, key: str, column: str, fallback: Column) -> DataFrame:
+    """A column set from a derived table (key, column), each key once; the fallback where that has none."""
+    return rows.join(derived.select(key, F.col(column).alias("new_")), key, "left").select(key, F.coalesce("new_", fallback).alias(column))
+
+
+@query("D19_backfill", "SELECT doc_id, COALESCE(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'bad' END, lang) AS doc_type FROM documents LEFT JOIN labels USING (doc_id)")
+def _(t):
+    kind = t.labels.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("doc_type"))
+    return backfilled(t.documents, kind, "doc_id", "doc_type", F.col("lang"))
 
 
 def top_committer(rows: DataFrame, repo: str, author: str) -> DataFrame:
@@ -748,4 +838,13 @@ def _(t):
     return renamed(t.documents, "source", {"src1": "core/src1"}).groupBy("source").agg(F.count("*").alias("n"))
 
 
-plain("D22_set_backfill", "SELECT DISTINCT lang, source FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 0)")
+def inserted_distinct(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values that a set-based insert adds."""
+    return rows.select(*columns).distinct()
+
+
+@query("D22_set_backfill", "SELECT DISTINCT lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def _(t):
+    return inserted_distinct(t.documents.join(t.labels.where("quality = 0"), "doc_id", "left_semi"), "lang", "source")
+
+
