@@ -1,16 +1,17 @@
 """License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Every line of a whole text that has a trigger word is a candidate notice; where a text has
-several, all of them together are one more candidate. A candidate's vector holds its tokens' counts times the inverse document
-frequency among the templates (a token that no template has weighs most), and its cosine with each template is a sparse product: tokens
+DataFrame functions only. A notice may stand anywhere in a text, wrapped over lines or within a long one: wherever a whole text has a
+template's anchor (its first word among ``ANCHORS``), the tokens around it that lie where the template's would are a candidate, as long as
+the template. A candidate's vector holds its tokens' counts times the inverse document frequency among the templates (a
+token that no template has weighs most), and its cosine with the template is a sparse product: tokens of the distinct candidates
 meet template weights in a join with the constant template table. The best template at ``LEAST`` or more is the file's own license.
 
 A file that has none inherits: files named like a licence file speak for their directory, and directories (not
 files) are joined with their ancestors, the deepest one that has a license wins.
 
-Defined results: null and empty texts have no candidate; ties go to the template first by name, the earlier line, and
-for a directory the better score, then the smaller path; equal rows give equal results; a file in no directory with a license
-has origin ``none``; a null path inherits nothing.
+Defined results: null and empty texts have no candidate; a candidate ends where its text does; ties go to the earlier place, then the
+template first by name, and for a directory to the better score, then the smaller path; equal rows give equal results; other columns pass
+unread unless they have a result's name; a file in no directory with a license has origin ``none``; a null path inherits nothing.
 """
 
 from __future__ import annotations
@@ -23,14 +24,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 #: Licence names and the wording of their usual notices.
 TEMPLATES = [
+    ("AGPL-3.0", "GNU Affero General Public License Version 3"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -40,29 +44,38 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("ISC", "Released under the ISC License"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Proprietary", "All rights reserved"),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
-#: A line without one of these words is no notice.
-TRIGGER = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|creative commons|spdx|permission is hereby|redistribution and use"
+#: A text without one of these has no notice.
+TRIGGER = r"(?i)licen[cs]e|rights reserved|public domain|unencumbered|spdx|permission is hereby|permission to use|redistribution and use"
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
+#: Words at which candidates are laid, in this order of preference; spelled as in TEMPLATES.
+ANCHORS = ("spdx", "licensed", "license", "redistribution", "permission", "rights", "unencumbered", "dedicated")
 LICENCE_FILE = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|copyright|notice)[^/]*$"
-LEAST = 0.55
+LEAST = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens_of(text: str) -> list[str]:
-    return re.findall(TOKEN, text.translate(str.maketrans(UPPER, LOWER)))
+    return re.findall(TOKEN, text.translate(str.maketrans(UPPER, LOWER)).replace("licence", "license"))
 
 
 def template_weights() -> tuple[list[tuple[int, str, str, float, float]], float]:
@@ -77,26 +90,45 @@ def template_weights() -> tuple[list[tuple[int, str, str, float, float]], float]
     return rows, math.log(1 + len(bags)) + 1
 
 
+def template_anchors() -> list[tuple[str, int, str, int, int]]:
+    """(anchor, template, license, tokens before it, tokens in all) of each template."""
+    out = []
+    for i, (name, text) in enumerate(TEMPLATES):
+        said = tokens_of(text)
+        word = next(w for w in ANCHORS if w in said)
+        out.append((word, i, name, said.index(word), len(said)))
+    return out
+
+
 def notices(files: DataFrame) -> DataFrame:
-    """file, own_license, own_score, own_line (first line is 0, -1: all candidates) for each file that has a license of its own.
+    """file, own_license, own_score, own_at (the first token of the notice, from 0) for each file that has a license of its own.
 
     ``files`` has (file, text), where equal values of file have equal texts.
     """
     spark = files.sparkSession
     rows, unknown = template_weights()
-    weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, token string, weight double, idf double"))
+    weights = F.broadcast(spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "template int, token string, weight double"))
     idf = F.broadcast(spark.createDataFrame(sorted({(r[2], r[4]) for r in rows}), "token string, idf double"))
-    lines = files.where(F.col("text").rlike(TRIGGER)).select("file", F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("said"))), lambda s: s["said"].rlike(TRIGGER)).alias("lines"))
-    together = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("line"), F.array_join(F.transform("lines", lambda s: s["said"]), " ").alias("said")))).otherwise(F.array().cast("array<struct<line:int,said:string>>"))
-    said = lines.select("file", F.inline(F.concat("lines", together)))
-    token = F.explode(F.regexp_extract_all(F.translate("said", UPPER, LOWER), F.lit(TOKEN), 0))
-    counted = said.select("file", "line", token.alias("token")).groupBy("file", "line", "token").agg(F.count(F.lit(1)).alias("tf"))
-    counted = counted.join(idf, "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf")
-    norm = counted.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counted.join(weights.drop("idf"), "token").groupBy("file", "line", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["file", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).where(F.col("score") >= LEAST)
-    best = F.max_by(F.struct("license", "score", "line"), F.struct(F.col("score"), -F.when(F.col("line") < 0, 2**30).otherwise(F.col("line")), -F.col("template")))
-    return scored.groupBy("file").agg(best.alias("b")).select("file", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"), F.col("b.line").alias("own_line"))
+    anchors = F.broadcast(spark.createDataFrame(template_anchors(), "anchor string, template int, license string, before int, length int"))
+    reach = max(len(tokens_of(text)) for _, text in TEMPLATES)
+
+    def spots(ts: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: F.get(ts, i).isin(*ANCHORS))
+        around = lambda i: F.slice(ts, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach)
+        return F.when(F.size(ts) > 0, F.transform(at, lambda i: F.struct(i.alias("at"), F.get(ts, i).alias("anchor"), F.least(i, F.lit(reach)).alias("place"), around(i).alias("around"))))
+
+    said = F.regexp_extract_all(F.replace(F.translate("text", UPPER, LOWER), F.lit("licence"), F.lit("license")), F.lit(TOKEN), 0)
+    found = files.where(F.col("text").rlike(TRIGGER)).select("file", F.inline(F.get(F.transform(F.array(said), spots), F.lit(0)))).join(anchors, "anchor")
+    missing = F.greatest(F.col("before") - F.col("place"), F.lit(0))
+    window = F.array_join(F.slice("around", F.greatest(F.col("place") - F.col("before"), F.lit(0)) + 1, F.col("length") - missing), " ")
+    found = found.select("file", (F.col("at") - F.col("before") + missing).alias("at"), "template", "license", window.alias("said"))
+    token = found.select("template", "said").distinct().select("template", "said", F.explode(F.split("said", " ")).alias("token"))
+    counted = token.groupBy("template", "said", "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    product = counted.join(weights, ["template", "token"], "left").groupBy("template", "said").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    scored = product.withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).where(F.col("score") >= LEAST).select("template", "said", "score")
+    best = F.max_by(F.struct("license", "score", "at"), F.struct(F.col("score"), -F.col("at"), -F.col("template")))
+    own = found.join(scored, ["template", "said"]).groupBy("file").agg(best.alias("b"))
+    return own.select("file", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"), F.col("b.at").alias("own_at"))
 
 
 def directory(path: Column) -> Column:
@@ -105,7 +137,7 @@ def directory(path: Column) -> Column:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """path, own_license, own_score, own_line, license, origin (own, inherited, none), license_dir for each row of (id, path, text)."""
+    """path, own_license, own_score, own_at, license, origin (own, inherited, none), license_dir for each row of (id, path, text)."""
     keyed = files.withColumn("file", F.md5(F.coalesce("text", F.lit("")))).withColumn("dir", directory(F.col("path")))
     own = notices(keyed.select("file", "text").where(F.col("text").rlike(TRIGGER)).dropDuplicates(["file"]))
     plain = keyed.drop("text").join(own, "file", "left").drop("file")
@@ -136,37 +168,37 @@ def document_files(docs: DataFrame) -> DataFrame:
 def scan_sql() -> str:
     """The query over documents as DuckDB SQL."""
     rows, unknown = template_weights()
-    values = ", ".join(f"({i}, '{name}', '{t}', {w!r}::DOUBLE, {d!r}::DOUBLE)" for i, name, t, w, d in rows)
+    values = ", ".join(f"({i}, '{t}', {w!r}::DOUBLE, {d!r}::DOUBLE)" for i, _, t, w, d in rows)
+    anchors = ", ".join(f"('{w}', {i}, '{name}', {before}, {n})" for w, i, name, before, n in template_anchors())
     trigger, licence = TRIGGER, LICENCE_FILE
     return f"""
-WITH weights(template, license, token, weight, idf) AS (VALUES {values}),
+WITH weights(template, token, weight, idf) AS (VALUES {values}),
 idfs AS (SELECT DISTINCT token, idf FROM weights),
+anchors(anchor, template, license, before, length) AS (VALUES {anchors}),
 files AS (
   SELECT doc_id, text, md5(COALESCE(text, '')) AS file,
     concat_ws('/', COALESCE(source, 'unknown'), 'shelf' || CAST(floor(doc_id / {SHELF}.0) AS BIGINT), 'box' || CAST(floor(doc_id / {BOX}.0) AS BIGINT),
       CASE WHEN doc_id % {NAMED} = 0 THEN 'LICENSE-' ELSE 'doc-' END || doc_id || '.txt') AS path
   FROM documents
-), lines AS (
-  SELECT file, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'line': i - 1, 'said': x}})) AS l
+), cut AS (
+  SELECT file, regexp_extract_all(replace(translate(text, '{UPPER}', '{LOWER}'), 'licence', 'license'), '{TOKEN}') AS ts
   FROM (SELECT DISTINCT file, text FROM files WHERE regexp_matches(text, '{trigger}'))
-), notice AS (
-  SELECT file, l.line AS line, l.said AS said FROM lines WHERE regexp_matches(l.said, '{trigger}')
-), said AS (
-  SELECT * FROM notice UNION ALL SELECT file, -1, string_agg(said, ' ' ORDER BY line) FROM notice GROUP BY file HAVING count(*) > 1
-), tokens AS (
-  SELECT file, line, unnest(regexp_extract_all(translate(said, '{UPPER}', '{LOWER}'), '{TOKEN}')) AS token FROM said
+), spots AS (
+  SELECT file, ts, unnest(list_filter(range(1, len(ts) + 1), lambda i: ts[i] IN {ANCHORS})) AS i FROM cut
+), found AS (
+  SELECT file, greatest(i - before, 1) - 1 AS spot, a.template, a.license, array_to_string(ts[greatest(i - before, 1) : i - before + length - 1], ' ') AS said FROM spots JOIN anchors a ON ts[i] = a.anchor
 ), counted AS (
-  SELECT file, line, t.token, count(*) * COALESCE(any_value(idf), {unknown!r}::DOUBLE) AS x FROM tokens t LEFT JOIN idfs USING (token) GROUP BY ALL
-), norms AS (
-  SELECT file, line, sqrt(sum(x * x)) AS norm FROM counted GROUP BY ALL
+  SELECT template, said, t.token, count(*) * COALESCE(any_value(idf), {unknown!r}::DOUBLE) AS x
+  FROM (SELECT template, said, unnest(string_split(said, ' ')) AS token FROM (SELECT DISTINCT template, said FROM found)) t LEFT JOIN idfs USING (token) GROUP BY ALL
+), scores AS (
+  SELECT template, said, round(sum(x * weight) / sqrt(sum(x * x)), 4) AS score FROM counted LEFT JOIN weights USING (template, token) GROUP BY template, said
 ), scored AS (
-  SELECT file, line, template, license, round(sum(x * weight) / any_value(norm), 4) AS score
-  FROM counted JOIN weights USING (token) JOIN norms USING (file, line) GROUP BY file, line, template, license
+  SELECT file, spot, template, license, score FROM found JOIN scores USING (template, said)
 ), own AS (
   SELECT * FROM scored WHERE score >= {LEAST}
-  QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, CASE WHEN line < 0 THEN 1073741824 ELSE line END, template) = 1
+  QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, spot, template) = 1
 ), plain AS (
-  SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license AS own_license, score AS own_score, CAST(line AS INTEGER) AS own_line FROM files LEFT JOIN own USING (file)
+  SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license AS own_license, score AS own_score, CAST(spot AS INTEGER) AS own_at FROM files LEFT JOIN own USING (file)
 ), by_dir AS (
   SELECT dir AS license_dir, own_license AS dir_license FROM plain WHERE own_license IS NOT NULL AND regexp_matches(path, '{licence}')
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1
@@ -176,11 +208,11 @@ files AS (
 ), nearest AS (
   SELECT dir, license_dir, dir_license FROM above JOIN by_dir ON up = license_dir QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC) = 1
 )
-SELECT p.doc_id, p.path, p.own_license, p.own_score, p.own_line, n.license_dir, COALESCE(p.own_license, n.dir_license) AS license,
+SELECT p.doc_id, p.path, p.own_license, p.own_score, p.own_at, n.license_dir, COALESCE(p.own_license, n.dir_license) AS license,
   CASE WHEN p.own_license IS NOT NULL THEN 'own' WHEN n.dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
 FROM plain p LEFT JOIN nearest n ON p.own_license IS NULL AND p.dir = n.dir
 """
 
 
 def scan_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return scan(document_files(docs)).select("doc_id", "path", "own_license", "own_score", "own_line", "license_dir", "license", "origin")
+    return scan(document_files(docs)).select("doc_id", "path", "own_license", "own_score", "own_at", "license_dir", "license", "origin")

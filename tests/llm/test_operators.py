@@ -460,6 +460,38 @@ def test_oracles(spark, data, name):
     assert sorted(str(tuple(r)) for r in frame.collect()) == sorted(str(tuple(r[i] for i in at)) for r in said.fetchall())
 
 
+def test_notices_anywhere_in_a_text(spark):
+    """Against a loop over every template and every place of its anchor."""
+    noise = "der Text mit of words about rivers and 42 things "
+    said = [
+        "All rights reserved.", "Copyright (c) 2021 Foo. All rights reserved.", noise * 300 + "Released under the MIT License. " + noise,
+        "# This program is free software: you can\n# redistribute it and/or modify it under the terms of\n# the GNU General Public License as published by the Free\n# Software Foundation, either version 3 of the License",
+        "This project is licensed under the MIT License - see the LICENSE.md file", noise + "Licensed under the Apache Licence, Version 2.0 " + noise * 20, "a license to fish", "license", "rights", "", None, "mit License", "license " * 400,
+        "Released under the MIT License.", "Released under the MIT License.",
+    ]
+    weights, unknown = licenses.template_weights()
+    w, idf = {(r[0], r[2]): r[3] for r in weights}, {r[2]: r[4] for r in weights}
+
+    def best(text):
+        ts, found = licenses.tokens_of(text or ""), []
+        if not text or not re.search(licenses.TRIGGER, text):
+            return None, None, None
+        for anchor, i, name, before, n in licenses.template_anchors():
+            for at in (k for k, x in enumerate(ts) if x == anchor):
+                bag = Counter(ts[max(0, at - before) : at - before + n])
+                x = {t: c * idf.get(t, unknown) for t, c in bag.items()}
+                score = round(sum(v * w.get((i, t), 0) for t, v in x.items()) / math.sqrt(sum(v * v for v in x.values())), 4)
+                if score >= licenses.LEAST:
+                    found.append((-score, max(0, at - before), i, name))
+        return (min(found)[3], -min(found)[0], min(found)[1]) if found else (None, None, None)
+
+    files = spark.createDataFrame([(i, f"d/{i}.txt", t, "x", "y") for i, t in enumerate(said)], "doc_id long, path string, text string, token string, template string")
+    got = {r.doc_id: (r.own_license, r.own_score, r.own_at) for r in licenses.scan(files).collect()}
+    assert len(got) == len(said) and got == {i: best(t) for i, t in enumerate(said)}
+    names = [got[i][0] for i in range(len(said))]
+    assert names[:6] == ["Proprietary", "Proprietary", "MIT", "GPL-3.0", "MIT", "Apache-2.0"] and names[6:11] == [None] * 5 and names[-1] == "MIT"
+
+
 def test_license_inheritance(spark):
     files = spark.createDataFrame(
         [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/COPYING", "x\nThis work is licensed under the GNU General Public License, version 3.\n"), (4, "a/b/y.py", None), (5, "z/w.py", ""), (6, None, "t"), (7, "a/q.py", "Licensed under CC BY-NC 4.0.")],
@@ -482,6 +514,42 @@ def test_pipeline_stages(spark, data, rows):
     assert last.count() == docs.count() and all(len(r.ids) == r.n_tokens for r in last.collect())
 
 
+OWN = ["quality_score_", "rank_", "row_", "copies_", "copy_", "component_id", "kept", "size", "taken", "unit", "score"]
+
+
+def test_pipeline_stages_keep_clashing_columns_and_empty_tables(spark, data, rows):
+    extra = spark.createDataFrame([(*r, *(f"{c}{i}" for c in OWN)) for i, r in enumerate(rows)], SCHEMA + "".join(f", {c} string" for c in OWN))
+    none = extra.where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, data).collect() == []
+        out = stage(spark, extra, data)
+        assert out.columns == extra.columns
+        for r in out.collect():
+            assert len({r[c][len(c) :] for c in OWN}) == 1 and r.size[4:].isdigit()
+    assert corpus_pipeline.STAGES[-1][1](spark, none, data).collect() == []
+
+
+def test_pipeline_says_which_rows_go(spark, data):
+    r = random.Random(21)
+    words = [f"word{i}" for i in range(400)]
+    base = [" ".join(r.choice(words) for _ in range(120)) for _ in range(12)]
+    near = [" ".join(w if j != 40 else "changed" for j, w in enumerate(b.split())) for b in base[:4]]
+    texts = base + near + [base[0]]
+    docs = spark.createDataFrame([(100 - i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    kept = {x.doc_id for x in corpus_pipeline.keep_one_of_each_group(spark, docs, data).collect()}
+    group = {100 - i: {0: 0, 1: 1, 2: 2, 3: 3}.get(i - 12 if 12 <= i < 16 else 0 if i == 16 else i, i) for i in range(len(texts))}
+    assert kept == {min(d for d in group if group[d] == g) for g in set(group.values())}
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    corpus = queries.load(spark, data, "documents")
+    good = {x.doc_id for x in corpus_pipeline.reject_by_quality(spark, corpus, data).collect()}
+    model = quality.fit(corpus, labels)
+    pairs = [(x.doc_id, x.text) for x in corpus.collect()]
+    want = {i for (i, _), s in zip(pairs, model.scores([t for _, t in pairs])) if s >= corpus_pipeline.REJECT_BELOW}
+    assert good == want
+    masked = {x.doc_id: x.text for x in corpus_pipeline.mask_personal_data(spark, corpus, data).collect()}
+    assert masked == {i: pii.mask(t) for i, t in pairs}
+
+
 def test_bpe_cuts_as_the_pattern():
     import regex
 
@@ -493,11 +561,12 @@ def test_bpe_cuts_as_the_pattern():
         assert bpe._cut(texts) == ([w for x in want for w in x], list(map(len, want)))
 
 
-@pytest.mark.parametrize("rows_in_unit", [7, bpe.UNIT_ROWS])
-def test_bpe_returns_ids_in_units_of_any_size(docs, rows, monkeypatch, rows_in_unit):
+@pytest.mark.parametrize("rows_in_unit, cut_chars", [(7, 1), (bpe.UNIT_ROWS, bpe.CUT_CHARS)])
+def test_bpe_returns_ids_in_units_of_any_size(docs, rows, monkeypatch, rows_in_unit, cut_chars):
     import tiktoken
 
     monkeypatch.setattr(bpe, "UNIT_ROWS", rows_in_unit)
+    monkeypatch.setattr(bpe, "CUT_CHARS", cut_chars)
     library = tiktoken.Encoding("own", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.read_ranks(bpe.default_path()), special_tokens={})
     found = bpe.encode(docs.withColumnRenamed("lang", "unit")).collect()
     want = Counter((i, tuple(library.encode_ordinary(t or ""))) for i, t, *_ in rows)
