@@ -5,9 +5,9 @@ one of 64 characters by its CRC-32. The block size is the smallest power of two
 chunks; a fingerprint is ``block:signature:signature at twice the block``. Two fingerprints are compared at the block
 sizes that they have in common by Levenshtein distance over the longer length; 0 where they have none.
 
-The next document (in the order of doc_id, then text; null ids last) comes without a global sort: ids are dealt into
-blocks of ``BLOCK`` values, a block's rows are sorted where they lie, and the first row of each block is also sent
-to the block before it.
+The next document (in the order of doc_id, then text; null ids last, by a hash of their text and the text) comes without a global sort:
+ids are dealt into blocks of ``BLOCK`` values, null ids into one block for each ``BLOCK`` of them, a block's rows are sorted where they lie, and the first
+row of each block is also sent to the block before it. Which block that is comes from windows over ``SPAN`` blocks each and one over their ends.
 
 Defined results: a null or empty text has the fingerprint ``4::`` and is like another empty text 1, like any other
 text 0; a table of one row is its own next document; equal texts have equal fingerprints; any length is read whole.
@@ -30,6 +30,10 @@ SIGNATURE = 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Ids that are sorted together, and rows compared together.
 BLOCK = 1024
+#: Blocks whose order one task finds.
+SPAN = 4096
+#: Where the blocks of null ids begin.
+NULLS = 2**62
 TOGETHER = 1024
 #: Bytes up to which the first rows of blocks (two numbers each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -147,11 +151,18 @@ def edited(text: str, following: str) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs``."""
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text", f"coalesce(floor(cast(doc_id as long) / {BLOCK}), 9223372036854775807) block")
-    firsts = rows.groupBy("block").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"))).alias("first"))
-    order = W.orderBy("block")
-    wrap = F.max("block").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    firsts = staged(firsts.select(F.col("block").alias("first_block"), F.col("first.i").alias("first_id"), F.coalesce(F.lag("block").over(order), wrap).alias("into")), "first-of-block")
+    bare = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
+    nulls = bare.where("doc_id is null").count()
+    of_null = F.lit(NULLS) + F.pmod(F.xxhash64("text"), F.lit(max(1, -(-nulls // BLOCK))))
+    rows = bare.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), of_null))
+    firsts = rows.groupBy("block").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first_id")).withColumn("span", F.floor(F.col("block") / SPAN))
+    firsts = staged(firsts, "blocks")
+    order = W.orderBy("span")
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    spans = firsts.groupBy("span").agg(F.max("block").alias("last"))
+    spans = spans.select(F.col("span").alias("e_span"), F.coalesce(F.lag("last").over(order), F.max("last").over(every)).alias("before"))
+    inside = firsts.withColumn("into", F.lag("block").over(W.partitionBy("span").orderBy("block"))).join(spans, F.col("span") == F.col("e_span"))
+    firsts = staged(inside.select(F.col("block").alias("first_block"), F.col("first_id"), F.coalesce("into", "before").alias("into")), "first-of-block")
     n = firsts.count()
     small = F.broadcast(firsts) if n * 32 <= BROADCAST_BYTES else firsts
     keyed = rows.join(small, F.col("block") == F.col("first_block"), "left")

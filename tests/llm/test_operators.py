@@ -117,33 +117,84 @@ def test_pii_is_linear_in_long_texts():
         pii.find(text)
 
 
-def test_fingerprints(docs, rows):
-    found = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
-    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is None, x[0], x[1]))
+def reference_fingerprint(data):
+    """By loops over bytes: a chunk ends where the hash of the last seven bytes is a multiple of the block size."""
+    m, low = 0x9E3779B1, (1 << 32) - 1
+    value = [(c * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % 2**64 >> 24 & low for c in range(256)]
+
+    def ends(i):
+        h = sum(value[c] * pow(m, k, 1 << 32) for k, c in enumerate(reversed(data[max(0, i - 6) : i + 1]))) & low
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & low
+        return h ^ h >> 13
+
+    hashes = [ends(i) for i in range(len(data))]
+
+    def signature(block):
+        cuts = [i + 1 for i, h in enumerate(hashes) if h % block == 0]
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)]) if a < b]
+        codes = [zlib.crc32(x) for x in parts]
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        return "".join(alphabet[(c ^ c >> 13 ^ c >> 23) & 63] for c in codes), len(cuts)
+
+    if not data:
+        return "4::"
+    block = 4
+    while signature(block)[1] >= 64:
+        block *= 2
+    return f"{block}:{signature(block)[0]}:{signature(2 * block)[0]}"
+
+
+def levenshtein(x, y):
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x, 1):
+        new = [i]
+        for j, q in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != q)))
+        row = new
+    return row[-1]
+
+
+def reference_likeness(a, b):
+    if a == b:
+        return 1.0
+    (ka, *sa), (kb, *sb) = a.split(":"), b.split(":")
+    held, other = {int(ka): sa[0], 2 * int(ka): sa[1]}, {int(kb): sb[0], 2 * int(kb): sb[1]}
+    return max([1 - levenshtein(held[k], other[k]) / max(len(held[k]), len(other[k])) for k in held if k in other and held[k] and other[k]], default=0.0)
+
+
+@pytest.mark.parametrize("block, span", [(fingerprints.BLOCK, fingerprints.SPAN), (4, 2)])
+def test_fingerprints(docs, rows, monkeypatch, block, span):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    monkeypatch.setattr(fingerprints, "SPAN", span)
+    more = [(5000, "far away " * 30, "en", "s", 0), (-7, "before all", "en", "s", 0)]
+    table = docs.unionByName(docs.sparkSession.createDataFrame(more, SCHEMA)).withColumnRenamed("lang", "block")
+    order = sorted(((i, t or "") for i, t, *_ in rows + more), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    want = Counter()
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
         n = len(t) // 2
-        if Counter(x[0] for x in order)[i] == 1:
-            assert found[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()
-        assert found[i].n_chars == len(t) and found[i].fingerprint == fingerprints.fingerprint(t.encode())
-        assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
+        new = (t[: len(t) - n] + nxt[:n]).encode()
+        f, e, g = (reference_fingerprint(x) for x in (t.encode(), new, nxt.encode()))
+        want[(i, len(t), hashlib.sha256(new).hexdigest(), f, e, round(reference_likeness(f, e), 9), round(reference_likeness(f, g), 9))] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.fingerprints(table).collect())
+    assert got == want
     assert fingerprints.likeness(["8:AB:C", "8:AB:C"], ["8:AB:C", "64:AB:C"]).tolist() == [1.0, 0.0]
 
 
+def test_fingerprints_of_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 4)
+    texts = [f"text {i} " * (i + 1) for i in range(20)] + [None] * 9
+    found = fingerprints.fingerprints(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    assert Counter(r.fingerprint for r in found) == Counter(reference_fingerprint((t or "").encode()) for t in texts)
+    assert all(r.doc_id is None for r in found)
+
+
 def test_edit_distance():
     r = random.Random(1)
     words = ["".join(r.choice("abc") for _ in range(r.randint(1, 64))) for _ in range(60)]
     (a, la), (b, lb) = fingerprints._codes(words[::2]), fingerprints._codes(words[1::2])
 
-    def distance(x, y):
-        row = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            new = [i]
-            for j, q in enumerate(y, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != q)))
-            row = new
-        return row[-1]
-
-    assert fingerprints._myers(a, la, b, lb).tolist() == [distance(x, y) for x, y in zip(words[::2], words[1::2])]
+    assert fingerprints._myers(a, la, b, lb).tolist() == [levenshtein(x, y) for x, y in zip(words[::2], words[1::2])]
 
 
 def reference_medium(payload, dictionary):
