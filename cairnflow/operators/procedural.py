@@ -34,7 +34,7 @@ def per_text(rows: DataFrame, key: str, text: str, schema: str, f: Callable[[str
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *[pa.array(c, kinds[n]) for c, n in zip(cols, names)]], [key, *names])
 
-    kinds = {n: {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[part.strip().split()[1]] for n, part in zip(names, schema.split(","))}
+    kinds = {n: {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}[part.strip().split()[1]] for n, part in zip(names, schema.split(","))}
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, text).mapInArrow(run, f"{key} {kind}, {schema}")
 
