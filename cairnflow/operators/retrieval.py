@@ -118,7 +118,7 @@ def corpora(t) -> tuple[DataFrame, DataFrame]:
 _VECTOR = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
 _HYBRID = f"""
 WITH vec AS (SELECT qid, id, cosine, rank FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_VECTOR} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_VECTOR} DESC, e.vec_id) AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0) WHERE rank <= 40),
+  FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND q.vec_id IN (SELECT doc_id FROM documents)) WHERE rank <= 40),
 terms AS (SELECT DISTINCT doc_id AS qid, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4), 1, 3)) AS term FROM documents WHERE doc_id % {EVERY} = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
 wanted AS (SELECT qid, count(*) AS n_terms FROM terms GROUP BY qid),
 bag AS (SELECT doc_id AS id, len(ts) AS n, unnest(ts) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents)),
