@@ -94,7 +94,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, all stages applied to the documents."""
     docs = load(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{i}")
+            made = staged(made, f"stage-{i}")
+            drop_staged(docs)  # a stage's table; documents stay
+        docs = made
     return docs
