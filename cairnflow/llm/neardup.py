@@ -40,7 +40,7 @@ LISTED = 12
 SHORT = 64
 #: Values shared by two sketches of a pair of similarity 0.8, less six standard deviations: 0.8 k - 6 sqrt(0.16 k).
 MOSTLY = 32
-TURNS = 3
+TURNS = 1
 #: Nodes, and shingles of their sets, in a block of strays; a block of nodes may have four times as many.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 16
 #: Bytes of node ids that are broadcast to pick texts for confirmation; beyond it the texts are joined by shuffle.
