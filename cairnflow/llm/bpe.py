@@ -35,11 +35,13 @@ from .common import staged
 #: Small maps that the rank map is split into.
 MAPS = 16384
 UNIT_ROWS = 8192
-UNIT_CHARS = 16_000_000
+UNIT_CHARS = 32_000_000
 #: Texts that are cut together: characters.
 CUT_CHARS = 1 << 20
 #: Documents to a bucket of words, and the least and most buckets; a bucket's words are in one task.
-BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 512, 8, 1 << 17
+BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 1024, 8, 1 << 17
+#: Units of full size in one part of the table of units.
+UNITS_A_PART = 16
 #: Documents in one batch of results.
 TOGETHER = 200
 DEFAULT_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -151,6 +153,8 @@ def _cut(texts: list[str]) -> tuple[list[str], list[int]]:
     A run of letters, digits or others is a match, with a blank just before it. A run of white space before another run leaves its last
     character out, which is a match of its own unless it is a blank. An apostrophe alone, with no blank before it, takes
     the letters of a contraction from the run behind it."""
+    if not texts:
+        return [], []
     joined = "\n".join([*texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     kind = _classes()[points]
@@ -209,10 +213,6 @@ class _Positions(dict):
         return n
 
 
-def _byte_chars(word: str) -> str:
-    return word.encode("utf-8", "surrogatepass").decode("latin-1")
-
-
 def _packed(x: np.ndarray) -> bytes:
     """32-bit values, byte plane by byte plane, compressed."""
     import zstandard
@@ -234,22 +234,26 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """Rows (unit, bucket -1, doc_ids, ends, found, place) of units, and (unit, bucket, words) of the words that each asks for.
+    """Rows (unit, bucket -1, doc_ids, known, ends, found, place) of units, and (unit, bucket, sizes, words) of the words that each asks for.
 
-    ``found`` has the number of each match's word by first appearance, ``place`` each word's place among the words in the order of buckets."""
-    names = ["unit", "bucket", "doc_ids", "known", "ends", "found", "place", "words"]
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.list_(pa.string())]
+    ``found`` has the number of each match's word, frequent words first, ``place`` each word's place among the words in the order of
+    buckets; ``words`` are the joined bytes of a bucket's words of ``sizes``."""
+    names = ["unit", "bucket", "doc_ids", "known", "ends", "found", "place", "sizes", "words"]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
     def run(batches):
+        import zstandard
         from pyspark import TaskContext
 
-        cut = cutter(pattern)
+        pack, cut = zstandard.ZstdCompressor(level=3), cutter(pattern)
         number = TaskContext.get().partitionId() << 32
         ids, counts, found, seen, chars = [], [], [], _Positions(), 0
         texts, held = [], 0
 
         def read():
             nonlocal texts, held
+            if not texts:
+                return
             words, many = cut(texts)
             found.append(np.fromiter(map(seen.__getitem__, words), "<u4", len(words)))
             counts.extend(many)
@@ -257,21 +261,23 @@ def units(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
 
         def rows():
             read()
+            each = np.concatenate(found).astype(np.int64)
+            by = np.argsort(-np.bincount(each, minlength=len(seen)), kind="stable")
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
             words = list(seen)
-            said = [w.encode("utf-8", "surrogatepass") for w in words]
+            said = [words[i].encode("utf-8", "surrogatepass") for i in by.tolist()]
             bucket = np.fromiter((zlib.crc32(w) for w in said), np.int64, len(said)) % buckets
-            order = np.argsort(bucket, kind="stable")
+            # words of a bucket in their order, in which they compress best
+            order = np.array(sorted(range(len(said)), key=said.__getitem__), np.int64)
+            order = order[np.argsort(bucket[order], kind="stable")]
             place = np.empty(len(order), "<u4")
             place[order] = np.arange(len(order))
-            unit = [number, -1, np.asarray([i or 0 for i in ids], "<i8").tobytes(), bytes(i is not None for i in ids), np.cumsum([0, *counts]).astype("<i8").tobytes(), _packed(np.concatenate(found)), _packed(place), None]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(unit, kinds)], names)
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for part in np.array_split(np.arange(len(cuts) + 1), max(1, len(order) // 65536)):
-                asked = [[said[i].decode("latin-1") for i in x.tolist()] for x in np.split(order, cuts)[part[0] : part[-1] + 1]] if len(part) and len(order) else []
-                if asked:
-                    at = bucket[order][np.r_[0, cuts]][part]
-                    none = pa.nulls(len(asked), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(asked), pa.int64()), pa.array(at, pa.int32()), *[none] * 5, pa.array(asked, kinds[-1])], names)
+            table = [[number, -1, np.asarray([i or 0 for i in ids], "<i8").tobytes(), bytes(i is not None for i in ids), np.cumsum([0, *counts]).astype("<i8").tobytes(), _packed(rank[each]), _packed(place), None, None]]
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                asked = [said[i] for i in part.tolist()]
+                table.append([number, int(bucket[part[0]]), *[None] * 5, _packed(np.fromiter(map(len, asked), np.int64, len(asked))), pack.compress(b"".join(asked))])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*table), kinds)], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -290,7 +296,7 @@ def units(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             yield from rows()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
-        run, "unit long, bucket int, doc_ids binary, known binary, ends binary, found binary, place binary, words array<string>"
+        run, "unit long, bucket int, doc_ids binary, known binary, ends binary, found binary, place binary, sizes binary, words binary"
     )
 
 
@@ -298,24 +304,29 @@ def _gathered(asked: DataFrame) -> DataFrame:
     """One row per bucket: its units, the place of each unit's words among the bucket's distinct words, and those."""
 
     def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         now, units_, places, seen = None, [], [], _Positions()
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([units_], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.array([list(seen)], pa.list_(pa.string()))], ["bucket", "units", "places", "words"])
+            words = [w.decode("latin-1") for w in seen]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([units_], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.string()))], ["bucket", "units", "places", "words"])
 
         for batch in batches:
-            for bucket, unit, words in zip(*(batch.column(i) for i in range(3))):
+            for bucket, unit, sizes, words in zip(*(batch.column(i) for i in range(4))):
                 if bucket.as_py() != now:
                     if units_:
                         yield row()
                     now, units_, places, seen = bucket.as_py(), [], [], _Positions()
                 units_.append(unit.as_py())
-                words = words.values.to_pylist()
+                joined, ends = unpack.decompress(words.as_py()), np.cumsum(_unpacked(sizes.as_py()).astype(np.int64)).tolist()
+                words = [joined[a:b] for a, b in zip([0, *ends], ends)]
                 places.append(_packed(np.fromiter(map(seen.__getitem__, words), "<u4", len(words))))
         if units_:
             yield row()
 
-    dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "unit").select("bucket", "unit", "words")
+    dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "unit").select("bucket", "unit", "sizes", "words")
     return dealt.mapInArrow(run, "bucket int, units array<long>, places array<binary>, words array<string>")
 
 
@@ -352,10 +363,11 @@ def _spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
 def _by_document(docs: DataFrame, path: str | None, pattern: str | None, result, schema: str) -> DataFrame:
     """``result`` of lists of (doc_id, ids as a numpy array, decoded bytes), of at most TOGETHER documents."""
     pattern, ranks = pattern or default_pattern(), read_ranks(path or default_path())
-    buckets = 1 << int(np.clip(docs.count() // BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS) - 1).bit_length()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = docs.count()
+    buckets = 1 << int(np.clip(many // BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS) - 1).bit_length()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // (UNITS_A_PART * UNIT_ROWS))
     table = staged_by(units(docs, pattern, buckets), "bpe-units", "unit", parts)
-    asked = table.where("bucket >= 0").select("bucket", "unit", "words")
+    asked = table.where("bucket >= 0").select("bucket", "unit", "sizes", "words")
     answers = staged(_answers(_folded(_gathered(asked), ranks)), "bpe-answers")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
