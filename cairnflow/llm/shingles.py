@@ -38,11 +38,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_lanes(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Both lanes of the words of all texts in order, A-Z as a-z, and the number of words of each text."""
+def word_lanes(texts: list[bytes], fold: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both lanes of the words of all texts in order, A-Z as a-z (unchanged without ``fold``), and the number of words of each text."""
     if not texts:
         return [np.zeros(0, _U)] * 2, np.zeros(0, np.int64)
-    joined = b"\n".join([*texts, b""]).translate(LOWER)
+    joined = b"\n".join([*texts, b""])
+    if fold:
+        joined = joined.translate(LOWER)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     space = SPACE[np.frombuffer(joined, np.uint8)]
     edges = np.flatnonzero(np.r_[True, space[:-1]] != space)

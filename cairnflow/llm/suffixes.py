@@ -240,15 +240,16 @@ def _grouped_rows(batches, key: int = 0):
         yield now, held
 
 
-def shared_anchors(table: DataFrame, buckets: int) -> DataFrame:
-    """(unit, bucket, said): a bit for each anchor that a unit has in a bucket, in order: whether several documents have it."""
+def shared_anchors(table: DataFrame, buckets: int, spread=_spread) -> DataFrame:
+    """(unit, bucket, said): a bit for each anchor that a unit has in a bucket, in order: whether several documents have it.
+    ``spread``: the anchors of a unit's texts and the text of each."""
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 unit, ids, known, lengths, texts = _row(batch, i)
                 ids, known = np.frombuffer(ids, "<i8"), np.frombuffer(known, np.uint8) == 1
-                anchors, _, several = _anchors(_spread(_texts(lengths, texts), ids, known), ids)
+                anchors, _, several = _anchors(spread(_texts(lengths, texts), ids, known), ids)
                 cuts = _cuts(anchors, buckets)
                 rows = [(k, unit, _five(anchors[a:b]), np.packbits(several[a:b]).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
                 yield _table(rows, ["bucket", "unit", "anchors", "several"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])

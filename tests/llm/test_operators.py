@@ -504,7 +504,8 @@ def test_mix_keeps_rows_without_ids(spark, data):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, data, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     said, frame = con.sql(queries.ORACLES[name]), queries.QUERIES[name](spark, data)
     assert sorted(said.columns) == sorted(frame.columns)
     at = [said.columns.index(c) for c in frame.columns]
