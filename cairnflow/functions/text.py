@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 TOKEN = "[a-z0-9]+"
@@ -136,18 +138,24 @@ def without_nul(text: Column) -> Column:
     return F.regexp_replace(text, "\\x00", "")
 
 
-#: What prose is normalised by, in this order.
-PROSE = (
-    (r"≥\s*", "at least "), (r"≤\s*", "at most "), (r"\s*→\s*", " to "), (r"([0-9]+(?:\.[0-9]+)?)\+(?!\+)", "more than $1"), (r"\s*—\s*", ", "),
-    (r"\s+,", ","), (r",\s*,", ","), (r",\s*([.;:!?])", "$1"), (r"[ \t]{2,}", " "),
-)
+#: Signs that are written out as words, unless a caller has others.
+SIGNS = {"≥": "at least", "≤": "at most", "→": "to"}
 
 
-def normal_prose(text: Column) -> Column:
-    """Signs written out, dashes as commas, doubled commas and blanks made single; a number with one plus is "more than" it."""
-    for rule, by in PROSE:
-        text = F.regexp_replace(text, rule, by)
-    return text
+def normal_prose(text: Column, signs: dict[str, str] | None = None, above: str = "more than") -> Column:
+    """Prose word by word: a sign stands for its words, a long dash for a comma, a number with one plus at its end is ``above`` it; a comma
+    joins the word before it, at most one and none before another stop. Words are parted by one blank; line ends stay."""
+    signs = SIGNS if signs is None else signs
+    apart = F.regexp_replace(F.replace(text, F.lit("—"), F.lit(",")), "([," + "".join(re.escape(s) for s in signs) + "])", " $1 ")
+    names = F.create_map(*[F.lit(x) for kv in signs.items() for x in kv]) if signs else F.lit(None).cast("map<string,string>")
+    number = r"^([^0-9+]*)([0-9][0-9.,]*)[+]([^0-9+]*)$"
+    said = F.transform(F.split(apart, "[ \t]+"), lambda w: F.coalesce(F.try_element_at(names, w), F.regexp_replace(w, number, f"$1{above} $2$3")))
+
+    def join(held: Column, w: Column) -> Column:
+        bare = F.rtrim(held, F.lit(","))
+        return F.when(w == "", held).when(w == ",", F.when(held == "", held).otherwise(F.concat(bare, w))).when(w.rlike("^[.;:!?]"), F.concat(bare, w)).when(held == "", w).otherwise(F.concat(held, F.lit(" "), w))
+
+    return F.aggregate(said, F.lit(""), join)
 
 
 #: H3: labels and patterns of injected instructions, the first that matches blocks.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
@@ -265,22 +267,43 @@ def _(t):
     return t.part.select("p_partkey", X.term(F.concat(F.lit("Advanced "), "p_name", F.lit(" "), "p_brand")).alias("term"))
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    """M3: at least two shared tokens, or 60 % of the first's."""
-    shared = F.size(F.array_intersect(a, b))
-    return (shared >= 2) | (shared / F.greatest(F.size(F.array_distinct(a)), F.lit(1)) >= 0.6)
-
-
-def overlapping(rows: DataFrame, key: str, bag: str) -> DataFrame:
-    """M3: pairs i < j of rows whose token bags overlap in the sense of ``token_overlap``; only pairs that share a token are made."""
-    each = rows.select(F.col(key).alias("i"), F.size(F.array_distinct(bag)).alias("n"), F.explode(F.array_distinct(bag)).alias("w"))
-    pairs = each.join(each.select(F.col("i").alias("j"), "w"), "w").where("i < j").groupBy("i", "j").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-    return pairs.where((F.col("m") >= 2) | (F.col("m") / F.greatest(F.col("n"), F.lit(1)) >= 0.6)).select("i", "j")
+def overlapping(rows: DataFrame, key: str, term: str, least: int = 3) -> DataFrame:
+    """M3: pairs i < j of rows whose terms overlap. In their normal form they share two tokens of ``least`` letters or more; or the smaller set (of equal ones
+    that of i) is one token that the other holds. If that token's term had more words, the other term must contain it as a whole instead.
+
+    Two sets that share two tokens share one that is not the most frequent of either, so pairs are made on the others only. A token that must occur as
+    part of a phrase begins or ends a word there."""
+    named = rows.select(F.col(key).alias("k"), X.term(F.col(term)).alias("phrase"))
+    named = named.withColumn("bag", F.array_distinct(F.filter(F.split("phrase", " "), lambda w: F.length(w) >= least))).withColumn("n", F.size("bag")).where("n > 0")
+    each = named.select("*", F.explode("bag").alias("w"))
+    place = F.row_number().over(W.partitionBy("k").orderBy(F.desc("often"), "w"))
+    rare = each.where("n > 1").join(each.groupBy("w").agg(F.count("*").alias("often")), "w").withColumn("place", place).where("place > 1")
+    rare = rare.select("w", F.col("k").alias("i"), "bag")
+    many = rare.join(rare.select("w", F.col("i").alias("j"), F.col("bag").alias("other")), "w").where("i < j").where(F.size(F.array_intersect("bag", "other")) > 1)
+    single = each.where("n = 1").select("w", F.col("k").alias("small"), F.when(F.contains("phrase", F.lit(" ")), F.col("phrase")).alias("needs"))
+    holds = each.select("w", F.col("k").alias("large"), "n")
+    ends = lambda w: F.flatten(F.transform(F.sequence(F.lit(least), F.length(w)), lambda m: F.array(F.left(w, m), F.right(w, m))))
+    within = named.select(F.col("k").alias("large"), "n", "phrase", F.explode(F.array_distinct(F.flatten(F.transform("bag", ends)))).alias("w"))
+    smaller = "small <> large and (n > 1 or small < large)"
+    one = single.where("needs is null").join(holds, "w").where(smaller)
+    part = single.where("needs is not null").join(within, "w").where(smaller).where(F.contains("phrase", F.col("needs")))
+    pair = lambda frame: frame.select(F.least("small", "large").alias("i"), F.greatest("small", "large").alias("j"))
+    return many.select("i", "j").unionByName(pair(one)).unionByName(pair(part)).distinct()
 
 
-@query("M3_token_overlap", "WITH x AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM benchmark) SELECT l.item_id AS i, r.item_id AS j FROM x l JOIN x r ON l.item_id < r.item_id WHERE len(list_intersect(l.a, r.a)) >= 2 OR len(list_intersect(l.a, r.a)) > 0 AND len(list_intersect(l.a, r.a)) / len(l.a) >= 0.6")
+@query(
+    "M3_token_overlap",
+    """WITH t AS (SELECT min(p_partkey) AS k, CASE min(p_partkey) % 4 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN 'x ' || split_part(p_name, ' ', 2) ELSE p_name END AS term FROM part GROUP BY p_name, p_brand),
+    x AS (SELECT k, term AS phrase, list_distinct(list_filter(string_split(term, ' '), lambda w: length(w) >= 3)) AS bag FROM t),
+    p AS (SELECT a.k AS i, b.k AS j, len(list_intersect(a.bag, b.bag)) AS shared, CASE WHEN len(a.bag) <= len(b.bag) THEN a.phrase ELSE b.phrase END AS small, CASE WHEN len(a.bag) <= len(b.bag) THEN b.phrase ELSE a.phrase END AS large,
+      least(len(a.bag), len(b.bag)) AS fewest FROM x a JOIN x b ON a.k < b.k WHERE len(a.bag) > 0 AND len(b.bag) > 0)
+    SELECT i, j FROM p WHERE CASE WHEN shared >= 2 THEN TRUE WHEN fewest = 1 AND contains(small, ' ') THEN contains(large, small) ELSE shared / fewest >= 0.6 END""",
+)
 def _(t):
-    return overlapping(t.benchmark.select("item_id", X.tokens(F.col("text")).alias("bag")), "item_id", "bag")
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2))
+    terms = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("k"))
+    terms = terms.withColumn("term", F.when(F.col("k") % 4 == 0, first).when(F.col("k") % 4 == 1, F.concat(F.lit("x "), second)).otherwise(F.col("p_name")))
+    return overlapping(terms, "k", "term")
 
 
 def match_tiers(wanted: DataFrame, held: DataFrame, aliases: DataFrame, transfers: DataFrame, similar: DataFrame, least: float) -> DataFrame:
@@ -364,21 +387,29 @@ def _(t):
 
 
 def selected_doc_types(text: Column, weights: Column, keywords: dict[str, list[str]], dimensions: dict[str, list[str]], least: int = 25) -> Column:
-    """Document types whose keywords occur in a text as whole words, or one of whose dimensions weighs ``least`` or more (weights: a map)."""
+    """Document types whose keywords (words or phrases, in any case) occur in a text between word boundaries, or one of whose dimensions weighs
+    ``least`` or more (weights: a map); in the order of ``keywords``."""
     found = []
-    for kind in keywords:
-        hit = F.lower(text).rlike(r"\\b(?:" + "|".join(keywords[kind]) + r")\\b")
+    for kind, words in keywords.items():
+        any_ = "|".join(re.escape(w.lower()) for w in words)
+        hit = F.lower(text).rlike(f"(?:^|[^a-z0-9_])(?:{any_})(?:$|[^a-z0-9_])") if words else F.lit(False)
         for d in dimensions.get(kind, []):
             hit = hit | (F.coalesce(F.try_element_at(weights, F.lit(d)), F.lit(0)) >= least)
         found.append(F.when(hit, kind))
     return F.array_compact(F.array(*found))
 
 
-@query("M11_doc_type_select", "SELECT item_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), '\\\\b(?:the|and)\\\\b') OR length(text) % 40 >= 25 THEN 'runbook' END, CASE WHEN regexp_matches(lower(text), '\\\\b(?:of)\\\\b') THEN 'decision' END) AS kinds FROM benchmark")
+@query(
+    "M11_doc_type_select",
+    """WITH k(kind, place, word) AS (VALUES ('runbook', 1, 'trash'), ('runbook', 1, 'was with'), ('decision', 2, 'idiot'), ('decision', 2, 'of the'), ('history', 3, 'from')),
+    w AS (SELECT doc_id, n_chars, ' ' || regexp_replace(lower(text), '[^a-z0-9_]', ' ', 'g') || ' ' AS padded, lower(text) AS low FROM documents),
+    h AS (SELECT doc_id, kind, place FROM w JOIN k ON contains(padded, ' ' || word || ' ') AND contains(low, word) UNION SELECT doc_id, 'runbook', 1 FROM w WHERE n_chars % 40 >= 25)
+    SELECT d.doc_id, COALESCE(string_agg(kind, ',' ORDER BY place), '') AS kinds FROM documents d LEFT JOIN (SELECT DISTINCT * FROM h) h ON d.doc_id = h.doc_id GROUP BY d.doc_id""",
+)
 def _(t):
-    weights = F.create_map(F.lit("operations"), F.length("text") % 40)
-    kinds = selected_doc_types(F.col("text"), weights, {"runbook": ["the", "and"], "decision": ["of"]}, {"runbook": ["operations"]})
-    return t.benchmark.select("item_id", F.array_join(kinds, ",").alias("kinds"))
+    weights = F.create_map(F.lit("operations"), F.col("n_chars") % 40)
+    keywords = {"runbook": ["trash", "was with"], "decision": ["idiot", "OF the"], "history": ["from"]}
+    return t.documents.select("doc_id", F.array_join(selected_doc_types(F.col("text"), weights, keywords, {"runbook": ["operations"]}), ",").alias("kinds"))
 
 
 # -- lint -----------------------------------------------------------------
@@ -464,17 +495,26 @@ def _(t):
 
 
 def spelling_hits(text: Column, variants: dict[str, str]) -> Column:
-    """Distinct ``found->canonical`` of spelling variants in a text, in order."""
-    hits = F.regexp_extract_all(F.lower(text), F.lit(r"\\b(?:" + "|".join(variants) + r")\\b"), 0)
-    names = F.create_map(*[F.lit(x) for kv in variants.items() for x in kv])
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda w: F.concat(w, F.lit("->"), F.element_at(names, w)))))
+    """Distinct ``found->canonical`` of spelling variants (a pattern of a whole word: its canonical form) among a text's words, in order; pass
+    ``prose_only`` of a text to leave code out."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0))
+
+    def hits(rule: str, name: str) -> Column:
+        return F.transform(F.filter(words, lambda w: w.rlike(f"^(?:{rule})$")), lambda w: F.concat(w, F.lit(f"->{name}")))
+
+    return F.array_sort(F.array_distinct(F.concat(*(hits(*v) for v in variants.items()))))
 
 
 #: Variants to look for and what they stand for.
-VARIANTS = {"colour": "color", "grey": "gray", "stupid": "unwise", "idiot": "fool", "trash": "rubbish", "worthless": "valueless"}
+VARIANTS = {"colou?red": "tinted", "stupid(?:ly)?": "unwise", "idiots?": "fool", "trash(?:ed)?": "rubbish", "worthless": "valueless"}
 
 
-@query("N10_spelling_variants", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '\\\\b(?:colour|grey|stupid|idiot|trash|worthless)\\\\b'), lambda w: w || '->' || CASE w WHEN 'colour' THEN 'color' WHEN 'grey' THEN 'gray' WHEN 'stupid' THEN 'unwise' WHEN 'idiot' THEN 'fool' WHEN 'trash' THEN 'rubbish' ELSE 'valueless' END))), ',') AS variants FROM documents")
+@query(
+    "N10_spelling_variants",
+    """WITH v(word, canon) AS (VALUES ('stupid', 'unwise'), ('stupidly', 'unwise'), ('idiot', 'fool'), ('idiots', 'fool'), ('trash', 'rubbish'), ('trashed', 'rubbish'), ('worthless', 'valueless'), ('colored', 'tinted'), ('coloured', 'tinted')),
+    w AS (SELECT doc_id, unnest(list_distinct(string_split(regexp_replace(lower(text), '[^a-z0-9_]', ' ', 'g'), ' '))) AS word FROM documents)
+    SELECT d.doc_id, COALESCE(string_agg(h.hit, ',' ORDER BY h.hit), '') AS variants FROM documents d LEFT JOIN (SELECT doc_id, word || '->' || canon AS hit FROM w JOIN v USING (word)) h ON d.doc_id = h.doc_id GROUP BY d.doc_id""",
+)
 def _(t):
     return t.documents.select("doc_id", F.array_join(spelling_hits(F.col("text"), VARIANTS), ",").alias("variants"))
 

@@ -299,43 +299,61 @@ def _nested(node) -> Iterator[tuple[str | None, object]]:
         yield from _nested(v)
 
 
-#: Kinds of manifests that count, those that grant access, and what prefixes of annotations name.
-KINDS = ("Deployment", "StatefulSet", "DaemonSet", "Job", "CronJob", "Service", "Ingress", "Pod", "NetworkPolicy", "Role", "RoleBinding", "ClusterRole", "ClusterRoleBinding")
-ACCESS_KINDS = ("Role", "RoleBinding", "ClusterRole", "ClusterRoleBinding")
-ANNOTATIONS = {"eks.amazonaws.com/": "aws_eks", "iam.amazonaws.com/": "aws_iam", "service.beta.kubernetes.io/aws-load-balancer-": "aws_load_balancer_controller"}
-
-
-def manifest_facts(text: str) -> list[tuple[str, str]]:
-    """(ecosystem, name) facts of Kubernetes manifests: the platform once, security and network kinds once, an image's bare name for each image,
-    what annotations name, and services of ARNs in any string; none where the text is no YAML."""
+def _kind_fact(kind: str) -> list[tuple[str, str]]:
+    """What a kind of manifest says by its name: roles and their bindings are access control, policies name themselves."""
+    if kind.removesuffix("Binding").endswith("Role"):
+        return [("iac", "k8s_rbac")]
+    return [("iac", f"k8s_{kind.lower()}")] if kind.endswith("Policy") else []
+
+
+def _annotation_fact(key: str, known: dict[str, str]) -> list[tuple[str, str]]:
+    """What an annotation names: a caller's name for its prefix, else a vendor's service by the host it begins with."""
+    named = [name for prefix, name in known.items() if key.startswith(prefix)]
+    host = key.partition("/")[0].split(".")
+    if not named and "/" in key and host[-2:] == ["amazonaws", "com"] and len(host) > 2:
+        named = [f"aws_{host[-3]}"]
+    return [("k8s-annotation", n) for n in named]
+
+
+def manifest_facts(text: str, annotations: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(ecosystem, name) facts of Kubernetes manifests, which are documents with an apiVersion and a kind: the platform once, access control and
+    policies once, an image's bare name for each image, what annotations name (``annotations``: names by prefix), and services of ARNs in any
+    string; none where the text is no YAML."""
     try:
-        documents = yaml_documents(text)
+        manifests = [d for d in yaml_documents(text) if isinstance(d, dict) and d.get("apiVersion") and isinstance(d.get("kind"), str)]
     except ValueError:
         return []
-    out: list[tuple[str, str]] = []
-    for d in documents:
-        if not isinstance(d, dict) or d.get("kind") not in KINDS:
-            continue
-        out.append(("iac", "kubernetes"))
-        out += [("iac", "k8s_networkpolicy")] * (d["kind"] == "NetworkPolicy") + [("iac", "k8s_rbac")] * (d["kind"] in ACCESS_KINDS)
-        out += [("docker", v.split("@")[0].split(":")[0].rsplit("/", 1)[-1]) for k, v in _nested(d) if k == "image" and isinstance(v, str)]
-    for d in documents:
-        meta = [m.get("annotations") for k, m in _nested(d) if k == "metadata" and isinstance(m, dict)]
-        out += [("k8s-annotation", name) for notes in meta if isinstance(notes, dict) for key in notes for prefix, name in ANNOTATIONS.items() if key.startswith(prefix)]
-        out += [("aws", service) for _, v in _nested(d) if isinstance(v, str) for service, _ in arns(v)]
-    images = [x for x in out if x[0] == "docker"]
-    return list(dict.fromkeys(x for x in out if x[0] != "docker")) + images
-
-
-#: Paths of pipeline files and those that only show examples; signs of a deployment in a step.
-WORKFLOW = re.compile(r"(?i)(?:^|/)\.github/workflows/[^/]+\.ya?ml$|(?:^|/)\.gitlab-ci\.yml$|(?:^|/)Jenkinsfile$")
-NO_WORKFLOW = re.compile(r"(?i)(?:^|/)(?:__tests__|fixtures)/|\.md$")
-DEPLOYS = re.compile(r"(?i)\b(?:deploy|ecr|helm\s+upgrade|kubectl\s+apply|argocd)\b")
-
-
-def workflow_concepts(path: str, text: str) -> list[tuple[str, str, float]]:
-    """(concept, detector, confidence), one row a detector: a pipeline that declares jobs or stages, and one that deploys in a step."""
-    if not WORKFLOW.search(path) or NO_WORKFLOW.search(path):
+    once: dict[tuple[str, str], None] = {}
+    images = []
+    for d in manifests:
+        once.update(dict.fromkeys([("iac", "kubernetes"), *_kind_fact(d["kind"])]))
+    for d in manifests:
+        for k, v in _nested(d):
+            if k == "metadata" and isinstance(v, dict) and isinstance(v.get("annotations"), dict):
+                once.update(dict.fromkeys(fact for key in v["annotations"] for fact in _annotation_fact(key, annotations or {})))
+            elif isinstance(v, str):
+                once.update(dict.fromkeys(("aws", service) for service, _ in arns(v)))
+                images += [("docker", v.partition("@")[0].rpartition("/")[2].partition(":")[0])] * (k == "image")
+    return [*once, *images]
+
+
+#: Words in a step of a pipeline that say that it deploys, unless a caller has others.
+DEPLOY_WORDS = frozenset(("deploy", "deployment", "rollout", "release", "upgrade", "apply"))
+
+
+def is_pipeline(path: str, samples: frozenset[str] = frozenset(("test", "tests", "fixtures", "examples", "samples"))) -> bool:
+    """Whether a path is that of a pipeline: YAML in a folder of workflows, or a hidden file named for its CI; not among samples."""
+    *folders, name = path.lower().split("/")
+    if samples & set(folders):
+        return False
+    stem, _, kind = name.rpartition(".")
+    return name == "jenkinsfile" or kind in ("yml", "yaml") and ("workflows" in folders or name[0] == "." and "ci" in re.split("[^a-z]+", stem))
+
+
+def workflow_concepts(path: str, text: str, words: frozenset[str] = DEPLOY_WORDS) -> list[tuple[str, str, float]]:
+    """(concept, detector, confidence), one row a detector: a pipeline that declares jobs or stages, and one that deploys in a step (a line of it
+    that is no comment holds one of ``words``)."""
+    if not is_pipeline(path):
         return []
     try:
         documents = yaml_documents(text)
@@ -343,9 +361,9 @@ def workflow_concepts(path: str, text: str) -> list[tuple[str, str, float]]:
         return []
     if len(documents) != 1 or not isinstance(documents[0], dict) or not {"jobs", "stages"} & set(documents[0]):
         return []
-    steps = [line.strip() for k, v in _nested(documents[0]) if k in ("run", "uses") and isinstance(v, str) for line in v.split("\n")]
-    deploys = any(DEPLOYS.search(s) for s in steps if s and not s.startswith("#"))
-    return [("ci/cd pipelines", "workflow-ci", 1.0)] + [("ci/cd pipelines", "workflow-deploy", 1.0)] * deploys
+    lines = (line.strip().lower() for k, v in _nested(documents[0]) if k in ("run", "uses") and isinstance(v, str) for line in v.split("\n"))
+    deploys = any(words & set(re.split("[^a-z]+", line)) for line in lines if not line.startswith("#"))
+    return [("continuous integration", "pipeline", 1.0)] + [("continuous delivery", "deployment", 1.0)] * deploys
 
 
 # -- manifests ------------------------------------------------------------------
@@ -484,7 +502,7 @@ def _(t):
 
 @query("C32_manifests")
 def _(t):
-    text = "concat('apiVersion: v1\nkind: ', CASE s_suppkey % 3 WHEN 0 THEN 'Role' WHEN 1 THEN 'Deployment' ELSE 'ConfigMap' END, '\nspec:\n  containers:\n    - name: a\n      image: hub/app', s_suppkey, ':1\n---\nkind: Service\n') text"
+    text = "concat('apiVersion: v1\nkind: ', CASE s_suppkey % 3 WHEN 0 THEN 'Role' WHEN 1 THEN 'Deployment' ELSE 'ConfigMap' END, '\nspec:\n  containers:\n    - name: a\n      image: hub/app', s_suppkey, ':1\n---\napiVersion: v1\nkind: Service\n') text"
     return per_text(t.supplier.selectExpr("s_suppkey", text), "s_suppkey", "text", "ecosystem string, name string", manifest_facts)
 
 

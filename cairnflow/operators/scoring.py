@@ -177,11 +177,11 @@ def _(t):
     return t.customer.select("c_custkey", completeness(readme=c("c_acctbal") > 0, manifest=c("c_mktsegment").isNotNull(), ci=c("c_nationkey") < 15, commits=c("c_name").like("%7")).alias("score"))
 
 
-def repo_class(fork: Column, commits: Column, name: Column, years_since_push: Column, readme: Column, manifests: Column) -> Column:
-    """The first rule that holds: fork, abandoned, tutorial, stale (no push counts as long ago), noise, else project."""
+def repo_class(fork: Column, commits: Column, name: Column, years_since_push: Column, readme: Column, manifests: Column, practice: str = "(?i)tutorial|exercise|course|example|test-") -> Column:
+    """The first rule that holds: fork, abandoned, tutorial (a name that ``practice`` matches), stale (no push counts as long ago), noise, else project."""
     years = F.coalesce(years_since_push, F.lit(float("inf")))
     empty = ~F.coalesce(readme, F.lit(False)) & (commits < 10) & (manifests == 0)
-    rules = F.when(fork & (commits < 5), "fork").when(commits < 3, "abandoned").when(name.rlike("(?i)tutorial|hello-world|learning|playground|test-"), "tutorial")
+    rules = F.when(fork & (commits < 5), "fork").when(commits < 3, "abandoned").when(name.rlike(practice), "tutorial")
     return rules.when(years > 5, "stale").when(empty, "noise").otherwise("project")
 
 
@@ -701,28 +701,32 @@ def _(t):
     return code_contradictions(pairs.where("l_quantity > 48"), pairs.where("l_quantity <= 3 and l_returnflag = 'R'"), edges)
 
 
-def lane_needles(names: list[str]) -> list[str]:
-    """The names and their shorter forms: the clause before " with ", " — " or ": " if it has two words or more, and of "Name (ABBR)" either part, ABBR from four letters."""
-    out: dict[str, None] = {}
-    for name in filter(None, (n.strip() for n in names)):
-        out[name] = None
-        clause = re.split(r"\s+with\s+|\s+—\s+|:\s+", name)[0].strip()
-        if clause != name and len(clause.split()) >= 2:
-            out[clause] = None
-        held = re.fullmatch(r"(.+?)\s*\(([^)]+)\)", name)
-        for part in (held[1], held[2]) if held else ():
-            if part.strip() and (part is held[1] or len(part.strip()) >= 4):
-                out[part.strip()] = None
-    return list(out)
-
-
-def source_lanes(files: Column, prose: Column, projects: list[str], careers: list[str]) -> Column:
-    """The lanes of an entry in the order repo (a file under owner/repo/), project (prose names one), career (a career file, or prose names
-    a company or title); empty where nothing holds."""
-    names = lambda needles: F.exists(F.array(*[F.lit(n.lower()) for n in lane_needles(needles)] or [F.lit(None).cast("string")]), lambda n: F.contains(F.lower(prose), n))
+#: What parts the head of a long name from the rest.
+NAME_BREAKS = (" with ", " — ", ": ")
+
+
+def spoken_names(name: str, breaks: tuple[str, ...] = NAME_BREAKS) -> set[str]:
+    """How prose may call something: by its name, by its head before a break (two words or more), without its bracketed part, or by that part
+    (four letters or more)."""
+    said = {name}
+    said |= {head for b in breaks if len((head := name.partition(b)[0]).split()) > 1}
+    before, bracket, inside = name.partition("(")
+    if bracket:
+        said |= {before, *(x for x in [inside.partition(")")[0]] if len(x) > 3)}
+    return {s.strip().lower() for s in said if s.strip()}
+
+
+def source_lanes(files: Column, prose: Column, projects: list[str], careers: list[str], career_files: str = "(?i)resume|career|curriculum") -> Column:
+    """The lanes of an entry in the order repo (a file under owner/repo/), project (prose names one), career (a file that ``career_files`` matches,
+    or prose names a company or title); empty where nothing holds."""
+
+    def named(names: list[str]) -> Column:
+        said = sorted(set().union(*map(spoken_names, names)))
+        return F.exists(F.array(*[F.lit(s) for s in said]), lambda s: F.contains(F.lower(prose), s)) if said else F.lit(False)
+
     repo = F.exists(files, lambda f: f.rlike("^[^/]+/[^/]+/"))
-    career = F.exists(files, lambda f: f.rlike(r"(?i)resume-data|resume_import|user_career|career[-_]history")) | names(careers)
-    return F.array_compact(F.array(F.when(repo, "repo"), F.when(names(projects), "project"), F.when(career, "career")))
+    career = F.exists(files, lambda f: f.rlike(career_files)) | named(careers)
+    return F.array_compact(F.array(F.when(repo, "repo"), F.when(named(projects), "project"), F.when(career, "career")))
 
 
 @query("D8_source_lanes", "SELECT page_id, concat_ws(',', CASE WHEN regexp_matches(regexp_extract(url, 'https?://[^/]+/(.*)', 1), '^[^/]+/[^/]+/') THEN 'repo' END, CASE WHEN contains(lower(url), 'fr: page') THEN 'project' END, CASE WHEN page_id % 7 = 0 OR contains(lower(url), '/es/ with site') OR contains(lower(url), 'host (example)') OR contains(lower(url), 'host') OR contains(lower(url), 'example') THEN 'career' END) AS lanes FROM pages")

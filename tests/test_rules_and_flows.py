@@ -64,8 +64,10 @@ spec:
         - name: b
           image: redis
 ---
+apiVersion: v1
 kind: RoleBinding
 ---
+apiVersion: v1
 kind: NetworkPolicy
 ---
 kind: ConfigMap
@@ -87,13 +89,13 @@ def test_yaml_documents():
 def test_workflow_concepts():
     ci = "on: push\njobs:\n  build:\n    steps:\n      - uses: actions/checkout@v4\n      - run: |\n          # kubectl apply\n          make\n"
     path = ".github/workflows/ci.yml"
-    assert [d for _, d, _ in P.workflow_concepts(path, ci)] == ["workflow-ci"]
-    assert [d for _, d, _ in P.workflow_concepts(path, ci + "          helm  upgrade x\n")] == ["workflow-ci", "workflow-deploy"]
+    assert [d for _, d, _ in P.workflow_concepts(path, ci)] == ["pipeline"]
+    assert [d for _, d, _ in P.workflow_concepts(path, ci + "          helm  upgrade x\n")] == ["pipeline", "deployment"]
     assert P.workflow_concepts("src/ci.yml", ci) == P.workflow_concepts("fixtures/" + path, ci) == P.workflow_concepts(path, "name: x\n") == P.workflow_concepts("Jenkinsfile", "pipeline { }") == []
 
 
 def test_normal_prose(spark):
-    said = {"≥42% → 0.5": "at least 42% to 0.5", "265+ users, C++ and 3++": "more than 265 users, C++ and 3++", "a — b—c ,, d , .": "a, b, c, d.", "x  \t y 2021–2024": "x y 2021–2024", "1+2+3": "more than 1more than 23"}
+    said = {"≥42% → 0.5": "at least 42% to 0.5", "265+ users, C++ and 3++": "more than 265 users, C++ and 3++", "a — b—c ,, d , .": "a, b, c, d.", "x  \t y 2021–2024": "x y 2021–2024", "1+2+3": "1+2+3", "over (3.5+), 9+.\nnext": "over (more than 3.5), more than 9.\nnext"}
     rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", X.normal_prose(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in rows} == said
 
