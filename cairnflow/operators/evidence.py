@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import stem, tokens
 from ..registry import plain, query
-from ..staging import staged
+from ..staging import drop_staged, staged
 from . import procedural as P
 from .documents import line_windows
 
@@ -48,33 +48,64 @@ def _(t):
     return prefilter_terms(p.where("p_size = 50").select("term"), aliases, p.where("p_size > 40").select("term", "kind"))
 
 
-def merged_pairs(pairs: DataFrame, curated: set[int], auto: float, floor: float) -> DataFrame:
-    """(i, j, kept, other, verdict) of similar pairs (i, j, similarity) in the order of i, j, as ``procedural.greedy_merge`` has them.
-
-    Pairs at ``auto`` pass through the driver one by one, which holds the merged ids alone; reviews are joined with them."""
-    spark = pairs.sparkSession
-    pairs = staged(pairs.where(F.col("similarity") >= floor).select("i", "j", (F.col("similarity") >= auto).alias("sure")), "similar-pairs")
-    gone: set[int] = set()
-    merges = []
-    for r in pairs.where("sure").select("i", "j").orderBy("i", "j").toLocalIterator():
-        if r.i not in gone and r.j not in gone:
-            keep, drop = (r.j, r.i) if r.j in curated and r.i not in curated else (r.i, r.j)
-            gone.add(drop)
-            merges.append((r.i, r.j, keep, drop))
-    merged = spark.createDataFrame(merges, "i long, j long, kept long, other long")
-    at = lambda k: merged.select(F.col("other").alias(k), F.struct("i", "j").alias(f"{k}_gone"))
-    left = pairs.where("not sure").select("i", "j").join(at("i"), "i", "left").join(at("j"), "j", "left")
-    here = F.struct("i", "j")
-    left = left.where((F.col("i_gone").isNull() | (here < F.col("i_gone"))) & (F.col("j_gone").isNull() | (here < F.col("j_gone"))))
-    return merged.withColumn("verdict", F.lit("merge")).unionByName(left.select("i", "j", F.col("i").alias("kept"), F.col("j").alias("other"), F.lit("review").alias("verdict")))
+def merged_pairs(pairs: DataFrame, curated: DataFrame, auto: float, floor: float) -> DataFrame:
+    """(i, j, kept, other, verdict) of similar pairs (i, j, similarity), i < j, as if they were taken in order of i, then j: a pair takes part if neither
+    was merged away before; at ``auto`` or more it merges, from ``floor`` on it is for review. Of a pair the curated one (``curated``: id) is kept,
+    else the first. A first one that is merged into a curated one goes on to its next pairs, as it has begun.
+
+    So only a j that is not kept is out of later pairs, and j falls to the first i that stands and is sure of it. Rounds decide all ids at once: one
+    without an undecided predecessor stands, and what it is sure of falls. A round is two joins on the pairs left; there are as many as the
+    longest chain of decisions that hang on each other, few where ids are in no order of likeness."""
+    sure = lambda frame: frame.where("sure and not (j_cur and not i_cur)")
+    mark = lambda k: curated.select(F.col(curated.columns[0]).alias(k), F.lit(True).alias(f"{k}_cur")).distinct()
+    pairs = pairs.where(F.col("similarity") >= floor).select("i", "j", (F.col("similarity") >= auto).alias("sure"))
+    pairs = pairs.join(mark("i"), "i", "left").join(mark("j"), "j", "left").na.fill(False, ["i_cur", "j_cur"])
+    pairs = staged(pairs, "similar-pairs")
+    kills = staged(sure(pairs).select("i", "j"), "sure-pairs")
+    left, fallen = kills, []
+    while left.limit(1).count():
+        stands = staged(left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti"), "standing")
+        falls = staged(left.join(stands, "i", "left_semi").select("j").distinct(), "falling")
+        fallen.append(falls)
+        new = staged(left.join(stands.union(falls), "i", "left_anti").join(falls, "j", "left_anti").select("i", "j"), "sure-pairs")
+        drop_staged(stands, *([left] if left is not kills else []))
+        left = new
+    by = kills
+    for falls in fallen:  # an id that never fell stands
+        by = by.join(falls.withColumnRenamed("j", "i"), "i", "left_anti")
+    felled = staged(by.groupBy("j").agg(F.min("i").alias("by")), "felled")
+    out = pairs.join(felled.select(F.col("j").alias("i"), F.lit(True).alias("i_fell")), "i", "left").where("i_fell is null").join(felled, "j", "left")
+    out = out.where("by is null or i < by or (i = by and sure)")
+    swap = F.col("j_cur") & ~F.col("i_cur")
+    return out.select("i", "j", F.when(swap, F.col("j")).otherwise(F.col("i")).alias("kept"), F.when(swap, F.col("i")).otherwise(F.col("j")).alias("other"), F.when(F.col("sure"), "merge").otherwise("review").alias("verdict"))
+
+
+def deduplicated_vectors(rows: DataFrame, curated: DataFrame, auto: float, floor: float) -> DataFrame:
+    """V19 over (id, embedding): (kept, other, verdict). Equal vectors are one entry, under a curated id of theirs or else the smallest; the others are
+    copies of it, which are not paired any further."""
+    from . import vector_index as VI
+
+    pairs, member = VI.similarity_join(rows, floor)
+    named = curated.select(F.col(curated.columns[0]).alias("id")).distinct().join(member, "id").groupBy("first").agg(F.min("id").alias("name"))
+    named = staged(member.select("first").distinct().join(named, "first", "left").select("first", F.coalesce("name", "first").alias("name")), "entry-names")
+    of = lambda k: named.select(F.col("first").alias(k), F.col("name").alias(f"{k}_name"))
+    renamed = pairs.join(of("i"), "i").join(of("j"), "j").select(F.least("i_name", "j_name").alias("i"), F.greatest("i_name", "j_name").alias("j"), "similarity")
+    copies = member.join(named, "first").where("id <> name").select(F.col("name").alias("kept"), F.col("id").alias("other"), F.lit("copy").alias("verdict"))
+    return merged_pairs(renamed, curated, auto, floor).select("kept", "other", "verdict").unionByName(copies)
+
+
+def families(t) -> DataFrame:
+    """Names of the test tables for V19: vectors in families of five whose members lie near the first one, some nearer than others, and each eleventh a
+    copy of its family's first."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    first = e.where("id % 5 = 0").select((F.col("id") / 5).cast("long").alias("family"), F.col("embedding").alias("first"))
+    near = F.zip_with("first", "embedding", lambda a, b: F.when((F.col("id") % 11 == 0) | (F.col("id") % 5 == 0), a).otherwise(a * (2 + F.col("id") % 3) + b).cast("double"))
+    return e.join(first, F.floor(F.col("id") / 5) == F.col("family")).select("id", near.alias("embedding"))
 
 
 @query("V19_greedy_merge")
 def _(t):
-    from .retrieval import corpora, pairs_at_least
-
-    name = lambda k: F.format_string("%04d", k)
-    return merged_pairs(pairs_at_least(corpora(t)[0], 0.2), {7}, 0.3, 0.2).select(name("kept").alias("kept"), name("other").alias("other"), "verdict")
+    return deduplicated_vectors(families(t), t.embeddings.where("vec_id % 7 = 0").select("vec_id"), 0.95, 0.88)
 
 
 @query(
@@ -309,10 +340,11 @@ def semantic_eval(baseline: DataFrame, candidate: DataFrame, near: DataFrame, ke
     SELECT label, COALESCE(recall, 1) AS recall, COALESCE(precision, 1) AS precision FROM r FULL JOIN p USING (label)""",
 )
 def _(t):
-    from .retrieval import corpora, pairs_at_least
+    from .retrieval import pairs_at_least
 
     e = t.embeddings.select("label", "vec_id")
-    return semantic_eval(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 = 1"), pairs_at_least(corpora(t)[0], 0.2), "label", "vec_id")
+    near = pairs_at_least(t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label"), 0.2, by="label")
+    return semantic_eval(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 = 1"), near, "label", "vec_id")
 
 
 @query("N1_sections")

@@ -456,22 +456,6 @@ def near_phrase(term: str, text: str, window: int = 12) -> bool:
     return False
 
 
-def greedy_merge(pairs: list[tuple[str, str, float]], curated: set[str], auto: float, floor: float) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """(merges as (kept, merged), reviews) of similar pairs in order; a merged name takes no further part, a curated one is kept."""
-    gone: set[str] = set()
-    merges, reviews = [], []
-    for a, b, s in sorted(pairs):
-        if a in gone or b in gone or s < floor:
-            continue
-        if s >= auto:
-            keep, drop = (b, a) if b in curated and a not in curated else (a, b)
-            gone.add(drop)
-            merges.append((keep, drop))
-        else:
-            reviews.append((a, b))
-    return merges, reviews
-
-
 @query("C2_markdown_chunks")
 def _(t):
     text = t.documents.selectExpr("doc_id", "concat('## ', source, '\\n', text, '\\n\\n### more\\n', substring(text, 1, 300)) text")

@@ -12,6 +12,7 @@ from ..functions.text import escaped, tokens
 from ..functions.vector import cosine
 from ..registry import plain, query
 from ..staging import staged
+from . import fulltext as T, vector_index as VI
 
 RRF_K = 60
 FLOOR = 0.2
@@ -41,18 +42,16 @@ def vector_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored, ["qid"], [F.desc("cosine"), F.asc("id")], k)
 
 
-def lexical_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """V3: rows of ``corpus`` (id, text) with every term of the query, by sum of term counts over 1 + ln(1 + tokens).
+def lexical_rank(corpus: DataFrame, queries: DataFrame, k: int, any_: bool = False) -> DataFrame:
+    """V3: rows of ``corpus`` (id, text) with all stems of the query (``any_``: one of them), by cover density.
 
-    Terms of all queries, each once, meet the corpus tokens in one equi-join; documents without any term fall out there, tokens are counted
-    in their task, and queries come in only where counts are left."""
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("term"))
-    wanted = terms.groupBy("qid").agg(F.count("*").alias("n_terms"))
-    bag = corpus.select("id", tokens(F.col("text")).alias("ts")).select("id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
-    met = bag.join(terms.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
-    hits = met.join(terms, "term").groupBy("qid", "id").agg(F.sum("tf").alias("tf"), F.count("*").alias("met"), F.first("n").alias("n"))
-    full = hits.join(wanted, "qid").where(F.col("met") == F.col("n_terms"))
-    return top(full.select("qid", "id", F.round(F.col("tf") / (1 + F.log1p("n")), 6).alias("lexical")), ["qid"], [F.desc("lexical"), F.asc("id")], k)
+    Words of the corpus are stemmed once each; only those whose stem is asked for are looked up in the texts, where they become postings. For many
+    rounds of queries over one corpus, ``fulltext.index`` keeps the postings."""
+    asked = queries.select(F.explode(tokens(F.col("q_text"))).alias("word"))
+    terms = staged(T.query_terms(queries, T.forms(asked)), "query-terms")
+    wanted = terms.select("stem").distinct()
+    words = staged(T.forms(T.vocabulary(corpus)).join(few(wanted), "stem", "left_semi"), "word-forms")
+    return top(T.ranked(T.postings(corpus, words), few(terms), any_), ["qid"], [F.desc("lexical"), F.asc("id")], k)
 
 
 def fused(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -105,10 +104,11 @@ EVERY = 50
 
 
 def probes(t) -> DataFrame:
-    """Queries for the test tables: vectors and documents of the same ids, each EVERY-th, with the first short words of the document."""
+    """Queries for the test tables: vectors and documents of the same ids, each EVERY-th, with the first short words of the document that are no stop
+    words. Written once, as the two sides of a hybrid search both read it."""
     q = t.embeddings.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_embedding"))
-    b = t.documents.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"), F.array_join(F.slice(F.filter(tokens(F.col("text")), lambda w: F.length(w) <= 4), 1, 3), " ").alias("q_text"))
-    return q.join(b, "qid")
+    b = t.documents.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("qid"), F.array_join(F.slice(F.filter(tokens(F.col("text")), lambda w: (F.length(w) <= 4) & ~w.isin(*T.STOP_WORDS)), 1, 3), " ").alias("q_text"))
+    return staged(q.join(b, "qid"), "probes")
 
 
 def corpora(t) -> tuple[DataFrame, DataFrame]:
@@ -119,11 +119,16 @@ _VECTOR = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]
 _HYBRID = f"""
 WITH vec AS (SELECT qid, id, cosine, rank FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_VECTOR} AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_VECTOR} DESC, e.vec_id) AS rank
   FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND q.vec_id IN (SELECT doc_id FROM documents)) WHERE rank <= 40),
-terms AS (SELECT DISTINCT doc_id AS qid, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4), 1, 3)) AS term FROM documents WHERE doc_id % {EVERY} = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents), forms AS MATERIALIZED ({T.stems_sql("words")}),
+terms AS (SELECT DISTINCT qid, stem FROM (SELECT doc_id AS qid, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4 AND w NOT IN {tuple(T.STOP_WORDS)}), 1, 3)) AS word FROM documents WHERE doc_id % {EVERY} = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) JOIN forms USING (word)),
 wanted AS (SELECT qid, count(*) AS n_terms FROM terms GROUP BY qid),
-bag AS (SELECT doc_id AS id, len(ts) AS n, unnest(ts) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents)),
-hits AS (SELECT qid, id, count(*) AS tf, count(DISTINCT term) AS met, any_value(n) AS n FROM bag JOIN terms USING (term) GROUP BY qid, id),
-lex AS (SELECT qid, id, lexical, rank FROM (SELECT qid, id, round(tf / (1 + ln(1 + n)), 6) AS lexical, row_number() OVER (PARTITION BY qid ORDER BY round(tf / (1 + ln(1 + n)), 6) DESC, id) AS rank FROM hits JOIN wanted USING (qid) WHERE met = n_terms) WHERE rank <= 40),
+placed AS (SELECT id, i AS pos, ts[i] AS word FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), unnest(range(1, len(ts) + 1)) AS r(i)),
+hits AS (SELECT qid, id, pos, stem, row_number() OVER (PARTITION BY qid, id ORDER BY pos) AS ord FROM placed JOIN forms USING (word) JOIN terms USING (stem) WHERE word NOT IN {tuple(T.STOP_WORDS)}),
+full_ AS (SELECT qid, id FROM hits GROUP BY qid, id HAVING count(DISTINCT stem) = (SELECT n_terms FROM wanted w WHERE w.qid = hits.qid)),
+lasts AS (SELECT h.qid, h.id, h.ord, h.pos, t.stem, max(CASE WHEN h.stem = t.stem THEN h.ord END) OVER (PARTITION BY h.qid, h.id, t.stem ORDER BY h.ord ROWS UNBOUNDED PRECEDING) AS last FROM hits h JOIN full_ f ON h.qid = f.qid AND h.id = f.id JOIN terms t ON t.qid = h.qid),
+starts AS (SELECT qid, id, ord, any_value(pos) AS pos, min(last) AS first FROM lasts GROUP BY qid, id, ord HAVING count(last) = count(*)),
+covers AS (SELECT s.*, h.pos AS first_pos FROM (SELECT *, lag(first) OVER (PARTITION BY qid, id ORDER BY ord) AS before FROM starts) s JOIN hits h ON h.qid = s.qid AND h.id = s.id AND h.ord = s.first WHERE before IS NULL OR first > before),
+lex AS (SELECT qid, id, lexical, rank FROM (SELECT qid, id, lexical, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, id) AS rank FROM (SELECT qid, id, round(sum({T.WEIGHT}::DOUBLE / (1 + (pos - first_pos) - (ord - first)) ORDER BY ord), 6) AS lexical FROM covers GROUP BY qid, id)) WHERE rank <= 40),
 fused AS (SELECT COALESCE(v.qid, l.qid) AS qid, COALESCE(v.id, l.id) AS id, v.cosine, l.lexical, v.rank AS rank_a, l.rank AS rank_b,
   round(COALESCE(1.0::DOUBLE / (60 + v.rank), 0) + COALESCE(1.0::DOUBLE / (60 + l.rank), 0), 9) AS rrf FROM vec v FULL JOIN lex l ON v.qid = l.qid AND v.id = l.id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM fused) WHERE rank <= 10)
@@ -141,11 +146,31 @@ def _(t):
     return vector_rank(corpora(t)[0], probes(t), 40)
 
 
+@query("T1_approximate_top_k")
+def _(t):
+    index = VI.build(corpora(t)[0])
+    return VI.search(index, probes(t), 10, VI.probes_for(index, 10, 0.95))
+
+
+@query("T1_every_list", _HYBRID + "SELECT qid, id, cosine, rank FROM vec WHERE rank <= 10")
+def _(t):
+    index = VI.build(corpora(t)[0])
+    return VI.search(index, probes(t), 10, len(index.centroids.value))
+
+
 @query("V3_lexical_rank", _HYBRID + "SELECT qid, id, lexical, rank FROM lex")
 def _(t):
     return lexical_rank(corpora(t)[1], probes(t), 40)
 
 
+@query(
+    "V3_lexical_any",
+    _HYBRID + ", some_ AS (SELECT qid, id, round(count(*) * 0.1::DOUBLE, 6) AS lexical FROM hits GROUP BY qid, id) SELECT qid, id, lexical, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, id) AS rank FROM some_) WHERE rank <= 40",
+)
+def _(t):
+    return lexical_rank(corpora(t)[1], probes(t), 40, any_=True)
+
+
 @query("V4_rrf_hybrid", _HYBRID + "SELECT qid, id, rrf, rank FROM best")
 def _(t):
     return hybrid(*corpora(t), probes(t), 10).select("qid", "id", "rrf", "rank")
@@ -225,7 +250,7 @@ def reranked(candidates: DataFrame, k: int, question: str = "q_text", text: str
 @query(
     "V15_rerank",
     _HYBRID
-    + """, q AS (SELECT doc_id AS qid, list_distinct(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4), 1, 3)) AS w FROM documents WHERE doc_id % 50 = 0),
+    + """, q AS (SELECT doc_id AS qid, list_distinct(list_slice(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) <= 4 AND w NOT IN """ + str(tuple(T.STOP_WORDS)) + """), 1, 3)) AS w FROM documents WHERE doc_id % 50 = 0),
     s AS (SELECT b.qid, b.id, b.cosine, round(len(list_intersect(q.w, regexp_extract_all(lower(substr(d.text, 1, 4000)), '[a-z0-9]+'))) / greatest(len(q.w), 1), 6) AS rerank FROM best b JOIN q USING (qid) JOIN documents d ON d.doc_id = b.id)
     SELECT qid, id, rerank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, cosine DESC NULLS LAST, id) AS rn FROM s) WHERE rn <= 4""",
 )
@@ -309,32 +334,28 @@ def _close_blocks(least: float):
     return run
 
 
-def pairs_at_least(rows: DataFrame, least: float) -> DataFrame:
-    """i < j, similarity of every pair of (id: long, embedding), ids being unique, whose cosine is at least ``least`` (above 0).
+def pairs_at_least(rows: DataFrame, least: float, by: str | None = None) -> DataFrame:
+    """i < j, similarity of every pair of (id: long, embedding), ids being unique, whose cosine is at least ``least`` (above 0); only rows of equal
+    ``by`` are compared where that is given. For low thresholds, at which most rows are near to many; ``vector_index.similarity_join`` prunes.
 
     Blocks of vectors are compared by matrix products; the cosine in its own order of sums decides on the pairs these propose."""
     if least <= MARGIN:
         raise ValueError("least must be above 0")
-    rows = rows.where("id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)").select(F.col("id").cast("long").alias("id"), "embedding")
+    rows = rows.where("id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)").select(F.col("id").cast("long").alias("id"), "embedding", (F.lit(0) if by is None else F.col(by)).alias("by"))
     number = max(1, -(-rows.count() // PAIR_BLOCK))
-    held = rows.groupBy(F.size("embedding").alias("size"), F.pmod(F.xxhash64("id"), F.lit(number)).alias("block")).agg(F.collect_list(F.struct("id", "embedding")).alias("r"))
-    held = staged(held.select("size", "block", F.transform("r", lambda v: v["id"]).alias("ids"), F.flatten(F.transform("r", lambda v: v["embedding"])).alias("vectors")), "pair-blocks")
-    named = lambda k: held.select("size", F.col("block").alias(k), F.col("ids").alias(f"{k}_ids"), F.col("vectors").alias(f"{k}_vectors"))
-    keys = held.select("size", F.col("block").alias("a")).join(held.select("size", F.col("block").alias("b")), "size").where("a <= b")
+    held = rows.groupBy("by", F.size("embedding").alias("size"), F.pmod(F.xxhash64("id"), F.lit(number)).alias("block")).agg(F.collect_list(F.struct("id", "embedding")).alias("r"))
+    held = staged(held.select("by", "size", "block", F.transform("r", lambda v: v["id"]).alias("ids"), F.flatten(F.transform("r", lambda v: v["embedding"])).alias("vectors")), "pair-blocks")
+    named = lambda k: held.select("by", "size", F.col("block").alias(k), F.col("ids").alias(f"{k}_ids"), F.col("vectors").alias(f"{k}_vectors"))
+    keys = held.select("by", "size", F.col("block").alias("a")).join(held.select("by", "size", F.col("block").alias("b")), ["by", "size"]).where("a <= b")
     tasks = max(1, number * (number + 1) // 2 // PAIRS_A_TASK)
-    both = keys.join(named("a"), ["size", "a"]).join(named("b"), ["size", "b"]).withColumn("same", F.col("a") == F.col("b")).repartition(tasks, "a", "b")
+    both = keys.join(named("a"), ["by", "size", "a"]).join(named("b"), ["by", "size", "b"]).withColumn("same", F.col("a") == F.col("b")).repartition(tasks, "a", "b")
     near = both.select("size", "same", "a_ids", "a_vectors", "b_ids", "b_vectors").mapInArrow(_close_blocks(least), "i long, j long, ratio double")
     return near.select("i", "j", F.round("ratio", 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def similar_pairs(rows: DataFrame, least: float, most: int) -> DataFrame:
-    """The ``most`` most similar pairs i < j of (id, embedding) at ``least``."""
-    return pairs_at_least(rows, least).orderBy(F.desc("similarity"), "i", "j").limit(most)
-
-
 @query("J9_cosine_pairs", f"SELECT q.vec_id AS i, e.vec_id AS j, {_VECTOR} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < e.vec_id AND {_VECTOR} >= 0.2 ORDER BY similarity DESC, i, j LIMIT 32")
 def _(t):
-    return similar_pairs(corpora(t)[0], 0.2, 32)
+    return VI.most_similar(corpora(t)[0], 0.2, 32)
 
 
 @query(

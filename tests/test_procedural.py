@@ -70,18 +70,3 @@ def test_packs_keep_order_and_budgets(sizes, items, chars):
 def test_numbers_phrases_and_merges():
     assert P.without_unknown_numbers("cut cost by 40% for 12 users", {"12"}) == "cut cost for 12 users"
     assert P.near_phrase("machine learning", "learning about a machine.") and not P.near_phrase("machine learning", "A machine. Learning.")
-    assert P.greedy_merge([("a", "b", 0.95), ("b", "c", 0.99), ("c", "d", 0.8)], {"b"}, 0.9, 0.7) == ([("b", "a"), ("b", "c")], [])
-
-
-def test_greedy_merge_takes_every_pair(spark, data):
-    from cairnflow.catalog import QUERIES
-
-    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect())
-    m = np.array([e for _, e in rows], dtype="float64")
-    m /= np.linalg.norm(m, axis=1)[:, None]
-    near = np.round(m @ m.T, 6)
-    pairs = [(f"{rows[i][0]:04d}", f"{rows[j][0]:04d}", near[i, j]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if near[i, j] >= 0.2]
-    merges, reviews = P.greedy_merge(pairs, {"0007"}, 0.3, 0.2)
-    found = sorted((r.kept, r.other, r.verdict) for r in QUERIES["V19_greedy_merge"](spark, data).collect())
-    assert found == sorted([(a, b, "merge") for a, b in merges] + [(a, b, "review") for a, b in reviews])
-    print("pairs", len(pairs), "merges", len(merges), "reviews", len(reviews))
