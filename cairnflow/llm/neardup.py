@@ -299,13 +299,15 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
         busy = staged(_only(nodes, "node", staged(lists.select("node").distinct(), "busy-ids")), "busy-nodes")
         every = staged(listed(busy, 0, SKETCH), "busy-lists")
         sizes = staged(every.groupBy("value").agg(F.count(F.lit(1)).alias("refs")).where("refs > 1"), "busy-sizes")
-        long = _few(staged(sizes.where(F.col("refs") > SHORT).select("value"), "busy-long"))
-        crowded = every.join(long, "value", "left_semi")
+        # every shared value with the length of its list, once for long and short ones; a value of very many nodes is a skewed key of this join
+        known = staged(every.join(sizes, "value"), "busy-shared")
+        drop_staged(every)
+        crowded = known.where(F.col("refs") > SHORT)
         mostly = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("crowd"), F.first("n").alias("m")).where(F.col("crowd") >= F.least(F.lit(MOSTLY), F.floor(F.col("m") / 2))).select("node")
         mostly = staged(mostly, "mostly-busy")
         # pairs among the mostly busy come from the blocks below
         few = mostly.select(F.col("node").alias("m_node"))
-        loose = every.join(long, "value", "left_anti").join(sizes.select("value"), "value", "left_semi")
+        loose = known.where(F.col("refs") <= SHORT).drop("refs")
         loose = with_comp(loose).join(few, F.col("node") == F.col("m_node"), "left").withColumn("c_busy", F.col("m_node").isNotNull())
         pairs = pairs.union(_across(loose, percent, apart=True))
         rest = staged(mixed(_only(lists.select("value", "node", "n", "comp"), "node", mostly)), "dense-rows")
