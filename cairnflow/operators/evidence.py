@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import stem, tokens
 from ..registry import plain, query
 from ..staging import drop_staged, staged
-from . import procedural as P
+from . import chains as C, procedural as P
 from .documents import line_windows
 
 # -- joins and retrieval ----------------------------------------------------------
@@ -184,9 +184,9 @@ def _(t):
     return detected(t.documents, "doc_id", "text", _DETECTORS)
 
 
-@query("C15_file_groups")
+@query("C15_file_groups", P.packs_sql("SELECT source AS g, doc_id AS o, COALESCE(n_chars, 0) + 4 AS size FROM documents", 20, 12_000) + " SELECT g AS source, o AS doc_id, size, pack FROM walk")
 def _(t):
-    return P.packed(t.documents.selectExpr("source", "doc_id", "n_chars size"), "source", "doc_id", "size", 20, 12_000)
+    return C.packed(t.documents.selectExpr("source", "doc_id", "coalesce(n_chars, 0) + 4 size"), "source", ["doc_id"], "size", 20, 12_000)
 
 
 @query("C24_imports")

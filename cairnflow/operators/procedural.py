@@ -1,7 +1,7 @@
 """Order-dependent text operators that built-in expressions do not hold: chunkers, packers, extractors, bounded edits.
 
 Each is a plain Python function over one text (or one group's rows in order) and an Arrow-batched operator around it, so a
-text never leaves its task; packing runs per group, which callers keep bounded (one file, one repository).
+text never leaves its task. Packing (C15, C16) is in ``chains``; ``packs`` is its rule over one list.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..registry import query
+from . import chains as C
 
 MOST_CHARS, LEAST_CHARS, OVERLAP_CHARS = 2000, 30, 200
 CODE_CHARS, CODE_TAIL, CODE_HARD = 2400, 80, 4
@@ -412,16 +412,6 @@ def packs(sizes: list[int], most_items: int, most_chars: int) -> list[int]:
     return out
 
 
-def packed(rows: DataFrame, group: str, order: str, size: str, most_items: int = 20, most_chars: int = 12_000, extra: int = 4) -> DataFrame:
-    """``rows`` with the pack of each within its group; an item counts its size and ``extra``."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        return part.assign(pack=packs((part[size] + extra).tolist(), most_items, most_chars))
-
-    return rows.groupBy(group).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", pack long")
-
-
 # -- bounded edits ------------------------------------------------------------------
 
 
@@ -467,9 +457,22 @@ def _(t):
     return per_text(t.pages, "page_id", "html", "chunk_index int, first_line int, last_line int, symbols array<string>, code string", code_chunks)
 
 
-@query("C16_packs")
+def packs_sql(rows: str, most_items: int, most_chars: int) -> str:
+    """DuckDB SQL of the packing rule, one row after the other, over (g, o, size): group, order and size."""
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o) AS pos FROM ({rows})),
+    walk AS (SELECT g, o, size, pos, 0::BIGINT AS pack, 1 AS items, size AS chars FROM r WHERE pos = 1
+      UNION ALL SELECT g, o, size, pos, CASE WHEN full_ THEN pack + 1 ELSE pack END, CASE WHEN full_ THEN 1 ELSE items + 1 END, CASE WHEN full_ THEN size ELSE chars + size END
+      FROM (SELECT r.*, w.pack, w.items, w.chars, w.items >= {most_items} OR w.chars + r.size > {most_chars} AS full_ FROM walk w JOIN r ON r.g IS NOT DISTINCT FROM w.g AND r.pos = w.pos + 1))"""
+
+
+@query("C16_packs", packs_sql("SELECT conv_id AS g, turn AS o, COALESCE(length(text), 0) + 4 AS size FROM conversations", 4, 1200) + " SELECT g AS conv_id, o AS turn, size, pack FROM walk")
+def _(t):
+    return C.packed(t.conversations.selectExpr("conv_id", "turn", "coalesce(length(text), 0) + 4 size"), "conv_id", ["turn"], "size", 4, 1200)
+
+
+@query("W8_char_budget", packs_sql("SELECT user_id AS g, event_id AS o, 1 + CAST(floor(value) AS BIGINT) AS size FROM events", C.BLOCK, 250) + " SELECT g AS user_id, o AS event_id, size, pack FROM walk")
 def _(t):
-    return packed(t.conversations.selectExpr("conv_id", "turn", "length(text) size"), "conv_id", "turn", "size", 4, 1200)
+    return C.packed(t.events.selectExpr("user_id", "event_id", "1 + cast(floor(value) as bigint) size"), "user_id", ["event_id"], "size", C.BLOCK, 250)
 
 
 @query("C22_comments")

@@ -1,9 +1,12 @@
 """Order-dependent text operators on hand-made texts."""
 
-import numpy as np
+import random
+
+import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from cairnflow.operators import procedural as P
+from cairnflow.operators import chains as C, procedural as P
 
 
 def test_markdown_sections_and_limits():
@@ -70,3 +73,24 @@ def test_packs_keep_order_and_budgets(sizes, items, chars):
 def test_numbers_phrases_and_merges():
     assert P.without_unknown_numbers("cut cost by 40% for 12 users", {"12"}) == "cut cost for 12 users"
     assert P.near_phrase("machine learning", "learning about a machine.") and not P.near_phrase("machine learning", "A machine. Learning.")
+
+
+@pytest.mark.parametrize("block,items,chars", [(8, 3, 40), (8, 8, 1000), (16, 5, 10), (1 << 16, 4, 60)])
+def test_packs_of_groups_of_any_size(spark, block, items, chars):
+    r = random.Random(block + items)
+    rows = [(g, i, r.choice([0, 1, 5, 9, 30, 100, None])) for g, n in (("a", 300), ("b", 1), ("c", 17), (None, 40), ("d", 16)) for i in range(n)]
+    frame = spark.createDataFrame(r.sample(rows, len(rows)), "g string, i int, size int").repartition(7)
+    found = {(x.g, x.i): x.pack for x in C.packed(frame, "g", ["i"], "size", items, chars, block=block).collect()}
+    want = {}
+    for g in ("a", "b", "c", None, "d"):
+        mine = [x for x in rows if x[0] == g]
+        want |= {(g, i): p for (_, i, _), p in zip(mine, P.packs([s or 0 for *_, s in mine], items, chars))}
+    assert found == want
+
+
+def test_packs_of_one_group_of_a_million_rows(spark):
+    rows = spark.range(1_000_000).selectExpr("'x' g", "id", "pmod(xxhash64(id), 900) size")
+    found = C.packed(rows, "g", ["id"], "size", 20, 6000).groupBy("pack").agg(F.min("id").alias("i")).orderBy("pack").toArrow()
+    packs = P.packs(rows.orderBy("id").select("size").toArrow().column(0).to_pylist(), 20, 6000)
+    starts = [i for i, p in enumerate(packs) if not i or packs[i - 1] != p]
+    assert found.column("i").to_pylist() == starts and found.column("pack").to_pylist() == list(range(len(starts)))
