@@ -96,7 +96,7 @@ def _dealt(rows: DataFrame, group: str, *more: str) -> DataFrame:
 def _inside(t: pa.Table, block: int) -> np.ndarray:
     """Row numbers that next-start pointers lead to within their runs; a row's own where the chain leaves or ends."""
     pos, nxt, here = _numbers(t, "pos"), _numbers(t, "nxt"), np.arange(t.num_rows)
-    stays = (nxt >= 0) & (nxt // block == pos // block)
+    stays = (nxt >= 0) & (nxt // block == pos // block) & (here + nxt - pos < _bounds(t)[1])
     return np.where(stays, here + nxt - pos, here)
 
 
@@ -160,19 +160,35 @@ def entered(rows: DataFrame, group: str, block: int) -> DataFrame:
     return new.where("pos > 0")
 
 
-def packed(rows: DataFrame, group: str, order: list[str], size: str, most_items: int, most_chars: int, block: int | None = None) -> DataFrame:
-    """``rows`` with ``pack``, the number of each row's pack within its group (null groups are one): packs are filled in order and end before an
-    item that would make them more than ``most_items`` or their sizes (0 or more; null counts as 0) more than ``most_chars``; a larger item is alone."""
-    block = BLOCK if block is None else block
-    if not 0 < most_items <= block:
-        raise ValueError(f"most_items must be from 1 to {block}")
-    slim = placed(rows.withColumn("size_", F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))), group, order)
-    slim = staged(slim, "positions")
-    chain = staged(pointers(slim, group, "size_", most_items, most_chars, block), "pointers")
+def gaps(rows: DataFrame, group: str, at: str, gap: int, block: int) -> DataFrame:
+    """(group, block, pos, nxt) of placed rows: the first row ``gap`` or more after each by the numbers in ``at``, by which they are ordered; where there is
+    none, it lies behind the group. Rows of a stretch of ``gap`` are looked at together with those of the next one."""
+    own = rows.select(group, F.floor(F.col(at) / gap).alias("stretch"), "pos", F.col(at).alias("at"), F.lit(True).alias("own"))
+    halo = own.withColumn("stretch", F.col("stretch") - 1).withColumn("own", F.lit(False))
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(batches):
+        for t in _runs(batches, block):
+            own = _numbers(t, "own").astype(bool)
+            begin, end = _bounds(t)
+            at, here = _numbers(t, "at"), np.arange(t.num_rows)
+            # times of a run lie within two stretches, so runs can be searched together
+            turn = np.searchsorted(np.unique(begin), begin) * (4 * gap) + (at - at[begin])
+            nxt = np.minimum(np.searchsorted(turn, turn + gap, "left"), end)
+            pos = _numbers(t, "pos")
+            found = (pos + nxt - here)[own]
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks().filter(pa.array(own)), pa.array(pos[own] // block), pa.array(pos[own]), pa.array(found)], [group, "block", "pos", "nxt"])
+
+    both = own.unionByName(halo).repartition(group, "stretch").sortWithinPartitions(group, "stretch", "pos").select(group, "stretch", "pos", "at", "own")
+    return both.mapInArrow(run, f"`{group}` {kind}, block long, pos long, nxt long")
+
+
+def _on_chain(chain: DataFrame, group: str, block: int) -> DataFrame:
+    """(group, block, pos, number, on) of pointers: whether the chain from the group's first row meets a row, and how many it met in the block so far."""
     into = entered(chain, group, block)
     marks = into.select("g_", F.col("pos").alias("p_"), F.lit(True).alias("entry_"))
     starts = chain.join(marks, F.col(group).eqNullSafe(F.col("g_")) & (F.col("pos") == F.col("p_")), "left").withColumn("entry", F.coalesce("entry_", F.col("pos") == 0))
-    kind = rows.schema[group].dataType.simpleString()
+    kind = chain.schema[group].dataType.simpleString()
 
     def run(batches):
         for t in _runs(batches, block):
@@ -187,9 +203,30 @@ def packed(rows: DataFrame, group: str, order: list[str], size: str, most_items:
             begin, _ = _bounds(t)
             number = np.cumsum(on)
             number = number - (number - on)[begin]  # starts in the run so far
-            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(1).combine_chunks(), t.column(2).combine_chunks(), pa.array(number)], [group, "block", "pos", "number"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in range(3)), pa.array(number), pa.array(on)], [group, "block", "pos", "number", "on"])
+
+    return _dealt(starts, group, "nxt", "entry").mapInArrow(run, f"`{group}` {kind}, block long, pos long, number long, on boolean")
+
 
-    numbered = staged(_dealt(starts, group, "nxt", "entry").mapInArrow(run, f"`{group}` {kind}, block long, pos long, number long"), "numbered")
+def spaced(rows: DataFrame, group: str, at: str, ties: list[str], gap: int, block: int | None = None) -> DataFrame:
+    """Of each group the first row by ``at`` (whole numbers; nulls fall out) and ``ties``, then always the first that comes ``gap`` or more after the row kept last."""
+    block = BLOCK if block is None else block
+    slim = staged(placed(rows.where(F.col(at).isNotNull()), group, [at, *ties]), "positions")
+    chain = staged(gaps(slim, group, at, gap, block), "pointers")
+    kept = _on_chain(chain, group, block).where("on").select(F.col(group).alias("g_"), F.col("pos").alias("p_"))
+    return slim.join(kept, F.col(group).eqNullSafe(F.col("g_")) & (F.col("pos") == F.col("p_")), "left_semi").select(*rows.columns)
+
+
+def packed(rows: DataFrame, group: str, order: list[str], size: str, most_items: int, most_chars: int, block: int | None = None) -> DataFrame:
+    """``rows`` with ``pack``, the number of each row's pack within its group (null groups are one): packs are filled in order and end before an
+    item that would make them more than ``most_items`` or their sizes (0 or more; null counts as 0) more than ``most_chars``; a larger item is alone."""
+    block = BLOCK if block is None else block
+    if not 0 < most_items <= block:
+        raise ValueError(f"most_items must be from 1 to {block}")
+    slim = placed(rows.withColumn("size_", F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))), group, order)
+    slim = staged(slim, "positions")
+    chain = staged(pointers(slim, group, "size_", most_items, most_chars, block), "pointers")
+    numbered = staged(_on_chain(chain, group, block), "numbered")
     many = numbered.groupBy(F.col(group).alias("g_"), F.col("block").alias("b_")).agg(F.max("number").alias("many")).withColumn("last_", F.max("b_").over(W.partitionBy("g_"))).where("last_ > 0")
     before = F.coalesce(F.sum("many").over(W.partitionBy("g_").orderBy("b_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = staged(many.select("g_", "b_", before.alias("before_")), "block-offsets")

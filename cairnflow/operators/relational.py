@@ -5,9 +5,13 @@ Statements that read the same in Spark SQL and in DuckDB are registered once for
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..registry import plain, query
+from ..sources.tables import KeyedTable, removed
+from ..staging import shared_dir
 
 
 # -- predicates -------------------------------------------------------------
@@ -315,6 +319,25 @@ def _(t):
     return upsert(store, rows, ["k"], "v", "at")
 
 
+@query(
+    "K1_table_upsert",
+    """WITH store AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1),
+    news AS (SELECT k, v FROM (SELECT o_custkey AS k, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') WHERE rn = 1)
+    SELECT COALESCE(n.k, s.k) AS k, COALESCE(n.v, s.v) AS v FROM store s FULL JOIN news n ON s.k = n.k WHERE COALESCE(n.k, s.k) NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
+)
+def _(t):
+    """Written: the store, an upsert, the same one again (which changes nothing), and a delete."""
+    table = KeyedTable(t.spark, f"{shared_dir(t.spark)}/table-{uuid.uuid4().hex}", "k long, v long", ["k"])
+    change = lambda old, rows: upsert(old, rows, ["k"], "v", "at").drop("status")
+    given = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderkey").alias("at"), "o_orderstatus")
+    table.apply(change, given.where("at % 3 <> 0").drop("o_orderstatus"), "orders", 0)
+    for batch in (1, 1):
+        table.apply(change, given.where("o_orderstatus <> 'P'").drop("o_orderstatus"), "orders", batch)
+    table.apply(removed(["k"]), t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("k")))
+    table.vacuum(1)
+    return table.frame()
+
+
 def insert_missing(store: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """K2: the store and the rows whose keys it lacks, each key once."""
     return store.unionByName(rows.dropDuplicates(keys).join(store, keys, "left_anti"))

@@ -6,13 +6,11 @@ same results over the same rows; event-time windows over ``events`` are extensio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import chains as C
 from ..registry import plain, query
+from .processors import Cooldown, processed
 
 
 def since(rows: DataFrame, marks: DataFrame, key: str, position: str) -> DataFrame:
@@ -61,14 +59,18 @@ def _(t):
 
 
 def first_of_bursts(rows: DataFrame, key: str, ts: str, tie: str, minutes: int) -> DataFrame:
-    """Rows that come more than ``minutes`` after the key's row before them; a burst raises one alarm."""
-    before = F.lag(ts).over(W.partitionBy(key).orderBy(ts, tie))
-    return rows.withColumn("before_", before).where(F.col("before_").isNull() | (F.col(ts) > F.col("before_") + F.expr(f"INTERVAL {minutes} MINUTES"))).drop("before_")
+    """A key's first row, and then each that comes ``minutes`` or more after the one that fired last; what comes between is a repetition."""
+    at = rows.withColumn("at_", F.unix_micros(F.col(ts).cast("timestamp")))
+    return C.spaced(at, key, "at_", [tie], minutes * 60_000_000).drop("at_")
 
 
-@query("X5_alarm_cooldown", "SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts > before + INTERVAL 60 MINUTE")
+@query(
+    "X5_alarm_cooldown",
+    """WITH RECURSIVE fired AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id UNION ALL SELECT f.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = f.user_id AND e.ts >= f.ts + INTERVAL 60 MINUTE) FROM fired f WHERE f.ts IS NOT NULL)
+    SELECT min(event_id) AS event_id FROM events e JOIN fired f ON e.user_id = f.user_id AND e.ts = f.ts GROUP BY e.user_id, e.ts""",
+)
 def _(t):
-    return first_of_bursts(t.events, "user_id", "ts", "event_id", 60).select("event_id")
+    return first_of_bursts(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 60).select("event_id")
 
 
 def live_hits(rows: DataFrame, key: str, ts: str, now, days: int) -> DataFrame:
@@ -176,25 +178,10 @@ def stream_windows(stream: DataFrame, ts: str, width: str, keys: list[str], late
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).count()
 
 
-def stream_cooldown(stream: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """X5 on a stream: (key, ts) of rows more than ``minutes`` after the latest of the key's rows so far; state expires when the watermark has passed
-    that time. A row that comes late, behind a later one of an earlier trigger, neither fires nor moves the mark; rows in order (and all rows
-    of one trigger) give what ``first_of_bursts`` gives."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(ts)
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        out = []
-        for now in rows[ts]:
-            if last is None or now > last + pd.Timedelta(minutes=minutes):
-                out.append(now)
-            last = now if last is None else max(last, now)
-        state.update((last.to_pydatetime(),))
-        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]] * len(out), ts: out})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.withWatermark(ts, f"{minutes} minutes").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+def stream_cooldown(stream: DataFrame, key: str, ts: str, minutes: int, tie: str | None = None, late: str | None = None) -> DataFrame:
+    """X5 on a stream: (key, ts, tie) of the rows that fire, as ``first_of_bursts`` has them for rows in order; a key's state goes when the watermark has passed
+    its cooldown. A row that comes late, before the one that fired last, does not fire."""
+    stream = stream if tie else stream.withColumn("tie_", F.lit(0))
+    tie = tie or "tie_"
+    columns = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in (key, ts, tie))
+    return processed(stream, Cooldown(key, ts, tie, minutes), columns, late or f"{minutes} minutes")
