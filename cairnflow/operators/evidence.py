@@ -170,18 +170,18 @@ def detected(files: DataFrame, key: str, text: str, detectors: list[tuple[str, s
     return lines.select(key, (F.col("line") + 1).alias("line"), F.inline(hits))
 
 
-_DETECTORS = [("secret", r"(?i)token\s*=\s*", 0.9), ("address", r"[a-z0-9.]+@[a-z0-9.]+", 0.8), ("table", r"\|.*\|", 0.6)]
+DETECTORS = [("secret", r"(?i)token\s*=\s*", 0.9), ("address", r"[a-z0-9.]+@[a-z0-9.]+", 0.8), ("table", r"\|.*\|", 0.6)]
 
 
 @query(
     "C34_line_detectors",
     "WITH l AS (SELECT doc_id, i AS line, string_split(text, chr(10))[i] AS said FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)), "
     + "d AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, CAST(line AS INTEGER) AS line, '{n}' AS topic, {c}::DOUBLE AS confidence FROM l WHERE regexp_matches(said, '{r}')" for n, r, c in _DETECTORS)
+    + " UNION ALL ".join(f"SELECT doc_id, CAST(line AS INTEGER) AS line, '{n}' AS topic, {c}::DOUBLE AS confidence FROM l WHERE regexp_matches(said, '{r}')" for n, r, c in DETECTORS)
     + ") SELECT * FROM d",
 )
 def _(t):
-    return detected(t.documents, "doc_id", "text", _DETECTORS)
+    return detected(t.documents, "doc_id", "text", DETECTORS)
 
 
 @query("C15_file_groups", P.packs_sql("SELECT source AS g, doc_id AS o, COALESCE(n_chars, 0) + 4 AS size FROM documents", 20, 12_000) + " SELECT g AS source, o AS doc_id, size, pack FROM walk")
