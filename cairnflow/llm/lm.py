@@ -10,8 +10,12 @@ and word pairs, sorted by hash, with their training counts; requests meet in buc
 bucket builds its trie from the counts of all units: contexts, monotone pointers to their successors, successors as one
 Elias-Fano sequence, 8-bit probabilities and back-off weights, in a file that is mapped into memory. It answers each
 unit's requests in their order by context-relative successor search, one byte each, and a unit scores its texts with
-the answers. The number of buckets follows the input, so a bucket stays small; words are
-64-bit hashes that mix their bytes (see ``shingles``).
+the answers. The number of buckets follows the input; words are 64-bit hashes that mix their bytes (see ``shingles``).
+
+A frequent context (by the counts of its word, at least ``HOT`` of all tokens or an eighth of a bucket's share) has more successors than a
+bucket should hold. It stands for ``SPLIT`` contexts, each with the successors of some bits of their hash, that lie in buckets of their own; a
+bucket's probabilities are relative to such a part, and the parts' totals (a bounded table) lead back to the whole. So no bucket gets more
+than a small share of the pairs.
 
 Defined results: a null or empty text is one end token; without training texts every score is 0 and base_score too; rows that
 repeat count and are scored each; a null doc_id has the crc32 of the empty text. Texts are whole; one longer than a unit is its own.
@@ -27,13 +31,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import split_batch, staged, utf8
 from .eliasfano import LEVELS, Trie
-from .shingles import grouped, mix, word_hashes
+from .shingles import LOWER, grouped, mix, word_hashes
 
 UNIT_BYTES = 4 << 20
 UNIT_DOCS = 4096
 FOLD, HELD = 5, 1
 DISCOUNT, WORD_DISCOUNT, MU = 0.75, 0.5, 0.2
 LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 17
+#: Share of the tokens from which a context is split, and into how many; at most SPLIT / HOT parts in all.
+HOT, SPLIT = 1 / 4096, 64
 _U = np.uint64
 END, START = mix(np.array([0xE0D], _U))[0], mix(np.array([0x57A], _U))[0]
 
@@ -80,10 +86,43 @@ def _texts(lengths: bytes, packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def parts_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The part of a split context that a successor lies in."""
+    with np.errstate(over="ignore"):
+        return mix(context + ((word >> _U(64 - (SPLIT.bit_length() - 1))) + _U(1)) * _U(0x9E3779B97F4A7C15))
+
+
+def frequent_contexts(table: DataFrame, buckets: int) -> np.ndarray:
+    """The sorted hashes of the contexts that are split: words (and the start) of at least HOT of all tokens or an eighth of a bucket's share. A unit tells the
+    counts of those that make half as much of it, so what it leaves out of a context that is split elsewhere does not matter for the split."""
+    share = max(HOT, 1 / (8 * buckets))
+
+    def run(batches):
+        from collections import Counter
+
+        for batch in batches:
+            for lengths, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bodies = _texts(lengths, texts)
+                seen: Counter[bytes] = Counter()
+                for body in bodies:
+                    seen.update(body.translate(LOWER).split())
+                n = seen.total() + len(bodies)
+                often = [(w, k) for w, k in seen.items() if k >= share * n / 2]
+                hashes, _ = word_hashes([b" ".join(w for w, _ in often)])
+                keys = np.r_[_U(0), START, hashes].view(np.int64)  # 0: all tokens
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([n, len(bodies), *(k for _, k in often)], pa.int64())], ["context", "n"])
+
+    found = table.select("lengths", "texts").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    total = found.where("context = 0").select("n").first()
+    hot = found.where("context <> 0").where(F.col("n") >= share * (total[0] if total else 0)).select("context").toArrow()  # 2 / share at most
+    return np.sort(np.array(hot.column(0).to_pylist(), np.int64).view(_U))
+
+
 class Tokens:
-    """The tokens of a unit's texts: word and context hashes in order, the text of each; and its distinct words and pairs in order."""
+    """The tokens of a unit's texts: word and context hashes in order, the text of each; and its distinct words and pairs in order. ``hot``: the
+    contexts that are split, sorted."""
 
-    def __init__(self, texts: list[bytes], held: bytes):
+    def __init__(self, texts: list[bytes], held: bytes, hot: np.ndarray = np.zeros(0, _U)):
         parts = [word_hashes(texts[a:b]) for a, b in grouped(texts)]
         counts = np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
         words = np.concatenate([h for h, _ in parts]) if parts else np.zeros(0, _U)
@@ -92,6 +131,9 @@ class Tokens:
         self.word = np.insert(words, np.cumsum(counts), END) if len(counts) else words
         self.context = np.r_[START, self.word[:-1]][: len(self.word)]
         self.context[np.r_[0, ends[:-1] + 1][: len(counts)]] = START
+        if len(hot) and len(self.context):
+            split = hot[np.minimum(np.searchsorted(hot, self.context), len(hot) - 1)] == self.context
+            self.context[split] = parts_of(self.context[split], self.word[split])
         self.text = np.repeat(np.arange(len(counts)), self.n)
         train = (np.frombuffer(held, np.uint8) == 0)[self.text]
         self.words, self.word_at = np.unique(self.word, return_inverse=True)
@@ -123,14 +165,14 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys >> _U(shift) if shift < 64 else np.zeros(len(keys), _U), np.arange(buckets + 1))
 
 
-def requests(table: DataFrame, buckets: int) -> DataFrame:
+def requests(table: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """(bucket, unit, words, word_train, contexts, runs, successors, pair_train) for each bucket that a unit asks."""
     names = ["bucket", "unit", "words", "word_train", "contexts", "runs", "successors", "pair_train"]
 
     def run(batches):
         for batch in batches:
             for unit, held, lengths, texts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                t = Tokens(_texts(lengths, texts), held)
+                t = Tokens(_texts(lengths, texts), held, hot)
                 by_word, by_pair = _cuts(t.words, buckets), _cuts(t.pair_context, buckets)
                 rows = []
                 for k in np.flatnonzero((np.diff(by_word) > 0) | (np.diff(by_pair) > 0)).tolist():
@@ -142,9 +184,11 @@ def requests(table: DataFrame, buckets: int) -> DataFrame:
     return table.select("unit", "held", "lengths", "texts").mapInArrow(run, "bucket int, unit long, words binary, word_train binary, contexts binary, runs binary, successors binary, pair_train binary")
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, parts: np.ndarray) -> DataFrame:
     """(unit, bucket, counts, codes, weights): counts of the words, codes of the pairs and weights of their contexts, in the
-    order of the request. Rows of unit -1 hold the bucket's training tokens and distinct training words as counts."""
+    order of the request. Rows of unit -1 hold the bucket's training tokens and distinct training words as counts, and as codes the place (among all
+    ``parts`` of split contexts, sorted), tokens and distinct successors of each part that it has."""
+    held_parts = asked.sparkSession.sparkContext.broadcast(parts)
     names = ["unit", "bucket", "counts", "codes", "weights"]
 
     def answer(bucket, held):
@@ -166,7 +210,13 @@ def answers(asked: DataFrame) -> DataFrame:
             codes, weights = trie.query(x, y)
             starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
             yield r[0], bucket, _packed(number), _packed(codes), _packed(weights[starts])
-        yield -1, bucket, np.asarray([total.sum(), np.count_nonzero(total)], "<i8").tobytes(), b"", b""
+        own, starts = np.unique(tc[first], return_index=True) if len(first) else (np.zeros(0, _U), first)
+        place = np.minimum(np.searchsorted(held_parts.value, own), max(0, len(held_parts.value) - 1))
+        mine = held_parts.value[place] == own if len(held_parts.value) else np.zeros(len(own), bool)
+        kinds = np.diff(np.r_[starts, len(first)])
+        tokens = np.add.reduceat(np.add.reduceat(tk, first), starts) if len(starts) else kinds
+        told = np.stack([place[mine], tokens[mine], kinds[mine]]).astype("<i8")
+        yield -1, bucket, np.asarray([total.sum(), np.count_nonzero(total)], "<i8").tobytes(), _packed(told), b""
 
     def run(batches):
         now, held = None, []
@@ -193,15 +243,29 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
     table = staged(units(docs), "lm-units")
     buckets = 1 << int(np.clip(table.select("unit").count(), LEAST_BUCKETS, MOST_BUCKETS) - 1).bit_length()
-    replies = staged(answers(requests(table, buckets)), "lm-answers")
-    totals = replies.where("unit = -1").select("counts").toArrow().column(0).to_pylist()  # one row a bucket
+    hot = frequent_contexts(table, buckets)
+    every = np.arange(SPLIT, dtype=_U) << _U(64 - (SPLIT.bit_length() - 1))
+    parts = parts_of(np.repeat(hot, SPLIT), np.tile(every, len(hot)))
+    by_hash = np.argsort(parts)
+    replies = staged(answers(requests(table, buckets, hot), parts[by_hash]), "lm-answers")
+    told = replies.where("unit = -1").select("counts", "codes").toArrow()  # one row a bucket
+    totals = told.column(0).to_pylist()
+    # tokens and distinct successors of each part, then of its context
+    sums = np.zeros((2, len(parts)), np.int64)
+    for x in told.column(1).to_pylist():
+        place, *of = _unpacked(x, "<i8").reshape(3, -1)
+        sums[:, by_hash[place]] += np.stack(of)
+    whole = sums.reshape(2, len(hot), SPLIT).sum(2).repeat(SPLIT, axis=1)
+    # what leads from a part's share to that of its context, and the context's back-off weight
+    scale = np.stack([sums[0] / np.maximum(whole[0], 1), np.where(whole[0] > 0, DISCOUNT * whole[1] / np.maximum(whole[0], 1), 0.0)])[:, by_hash]
+    lead = docs.sparkSession.sparkContext.broadcast((parts[by_hash], scale))
     n, v = (int(x) for x in np.sum([np.frombuffer(x, "<i8") for x in totals], axis=0)) if totals else (0, 0)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def score(row, replies):
         ids, held, known, lengths, texts = row
-        t = Tokens(_texts(lengths, texts), held)
+        t = Tokens(_texts(lengths, texts), held, hot)
         count = np.concatenate([_unpacked(r[0], "<i8") for r in replies])
         code, weight = (np.concatenate([_unpacked(r[j], np.uint8) for r in replies]) for j in (1, 2))
         starts = np.flatnonzero(np.r_[True, t.pair_context[1:] != t.pair_context[:-1]][: len(t.pair_context)])
@@ -210,7 +274,13 @@ def scored(docs: DataFrame) -> DataFrame:
         if n:
             base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[t.word_at]
             p1 = np.where(count > 0, (count - WORD_DISCOUNT) / n, WORD_DISCOUNT * v / n)[t.word_at]
-            pair, back = LEVELS[code][t.pair_at], LEVELS[weight][t.pair_at]
+            pair, back = LEVELS[code], LEVELS[weight]
+            known_parts, scale = lead.value
+            if len(known_parts) and len(t.pair_context):
+                place = np.minimum(np.searchsorted(known_parts, t.pair_context), len(known_parts) - 1)
+                split = known_parts[place] == t.pair_context
+                pair, back = np.where(split, pair * scale[0][place], pair), np.where(split, scale[1][place], back)
+            pair, back = pair[t.pair_at], back[t.pair_at]
             p = np.where(back > 0, (1 - MU) * p1 + MU * (pair + back * p1), p1)
             sums = [np.bincount(t.text, x, minlength=many) for x in (base, np.log10(p))]
         else:

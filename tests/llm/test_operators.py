@@ -349,7 +349,11 @@ def test_elias_fano_and_trie():
     assert (codes > 0).tolist() == [True, False, True, False, False] and (weights > 0).tolist() == [True, True, True, True, False]
 
 
-def test_language_model(docs, rows):
+@pytest.mark.parametrize("hot", [lm.HOT, 1.0, 0.01])
+def test_language_model(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "LEAST_BUCKETS", 64)
+    monkeypatch.setattr(lm, "UNIT_BYTES", 3000)
     tokens = [(i, [x.translate(LOWER) for x in WORD.findall(t or "")] + ["\n"]) for i, t, *_ in rows]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
     uni, pairs, after, kinds = Counter(), Counter(), Counter(), Counter()
