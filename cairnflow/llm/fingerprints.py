@@ -6,8 +6,9 @@ chunks; a fingerprint is ``block:signature:signature at twice the block``. Two f
 sizes that they have in common by Levenshtein distance over the longer length; 0 where they have none.
 
 The next document (in the order of doc_id, then text; null ids last, by a hash of their text and the text) comes without a global sort:
-ids are dealt into blocks of ``BLOCK`` values, null ids into one block for each ``BLOCK`` of them, a block's rows are sorted where they lie, and the first
-row of each block is also sent to the block before it. Which block that is comes from windows over ``SPAN`` blocks each and one over their ends.
+ids are dealt into blocks of about ``BLOCK`` rows at quantiles of the ids there are, however far apart they lie, null ids by their text into as many as they
+need; there are at most ``MOST_BLOCKS`` of either. A block's rows are sorted where they lie, and the first row of each block is also sent to
+the block before it.
 
 Defined results: a null or empty text has the fingerprint ``4::`` and is like another empty text 1, like any other
 text 0; a table of one row is its own next document; equal texts have equal fingerprints; any length is read whole.
@@ -19,6 +20,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -28,15 +30,12 @@ WINDOW = 7
 SMALLEST = 4
 SIGNATURE = 64
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-#: Ids that are sorted together, and rows compared together.
-BLOCK = 1024
-#: Blocks whose order one task finds.
-SPAN = 4096
+#: Rows in a block, of which there may be more where blocks would be more than MOST_BLOCKS.
+BLOCK, MOST_BLOCKS = 1024, 1 << 16
 #: Where the blocks of null ids begin.
 NULLS = 2**62
+#: Rows whose fingerprints are compared together.
 TOGETHER = 1024
-#: Bytes up to which the first rows of blocks (two numbers each) are broadcast; beyond it they are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 
 _MULTIPLIER = np.uint32(0x9E3779B1)
 _TABLE = (np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C15) >> np.uint64(24)).astype(np.uint32)
@@ -152,20 +151,26 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of ``docs``."""
     bare = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text")
-    nulls = bare.where("doc_id is null").count()
-    of_null = F.lit(NULLS) + F.pmod(F.xxhash64("text"), F.lit(max(1, -(-nulls // BLOCK))))
-    rows = bare.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("long"), of_null))
-    firsts = rows.groupBy("block").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first_id")).withColumn("span", F.floor(F.col("block") / SPAN))
-    firsts = staged(firsts, "blocks")
-    order = W.orderBy("span")
-    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    spans = firsts.groupBy("span").agg(F.max("block").alias("last"))
-    spans = spans.select(F.col("span").alias("e_span"), F.coalesce(F.lag("last").over(order), F.max("last").over(every)).alias("before"))
-    inside = firsts.withColumn("into", F.lag("block").over(W.partitionBy("span").orderBy("block"))).join(spans, F.col("span") == F.col("e_span"))
-    firsts = staged(inside.select(F.col("block").alias("first_block"), F.col("first_id"), F.coalesce("into", "before").alias("into")), "first-of-block")
-    n = firsts.count()
-    small = F.broadcast(firsts) if n * 32 <= BROADCAST_BYTES else firsts
-    keyed = rows.join(small, F.col("block") == F.col("first_block"), "left")
+    there, nulls = bare.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    many = lambda n: min(MOST_BLOCKS, max(1, -(-n // BLOCK)))
+    shares = [i / many(there) for i in range(1, many(there))]
+    bounds = bare.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", shares, 1 / (4 * many(there))) if shares else []
+    cuts = np.unique(np.array(bounds, np.int64))  # of equal ids all are in one block
+
+    @F.pandas_udf("long")
+    def block(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), np.int64)
+        out[known] = np.searchsorted(cuts, ids[known].to_numpy().astype(np.int64), "right")
+        return pd.Series(out)
+
+    of_null = F.lit(NULLS) + F.pmod(F.xxhash64("text"), F.lit(many(nulls)))
+    rows = bare.withColumn("block", F.when(F.col("doc_id").isNull(), of_null).otherwise(block(F.col("doc_id"))))
+    firsts = rows.groupBy("block").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first_id"))  # at most twice MOST_BLOCKS rows
+    order = W.orderBy("block")
+    last = F.max("block").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    firsts = staged(firsts.select(F.col("block").alias("first_block"), "first_id", F.coalesce(F.lag("block").over(order), last).alias("into")), "first-of-block")
+    keyed = rows.join(F.broadcast(firsts), F.col("block") == F.col("first_block"), "left")
     leads = F.col("first_id") == F.coalesce("doc_id", F.lit(2**63 - 1))
     sent = F.when(leads, F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("lead")), F.struct(F.col("into").alias("b"), F.lit(True).alias("lead")))).otherwise(
         F.array(F.struct(F.col("block").alias("b"), F.lit(False).alias("lead")))

@@ -163,11 +163,11 @@ def reference_likeness(a, b):
     return max([1 - levenshtein(held[k], other[k]) / max(len(held[k]), len(other[k])) for k in held if k in other and held[k] and other[k]], default=0.0)
 
 
-@pytest.mark.parametrize("block, span", [(fingerprints.BLOCK, fingerprints.SPAN), (4, 2)])
-def test_fingerprints(docs, rows, monkeypatch, block, span):
+@pytest.mark.parametrize("block, most, apart", [(fingerprints.BLOCK, fingerprints.MOST_BLOCKS, 1), (4, 5, 1), (4, 1000, 10_000_000)])
+def test_fingerprints(docs, rows, monkeypatch, block, most, apart):
     monkeypatch.setattr(fingerprints, "BLOCK", block)
-    monkeypatch.setattr(fingerprints, "SPAN", span)
-    more = [(5000, "far away " * 30, "en", "s", 0), (-7, "before all", "en", "s", 0)]
+    monkeypatch.setattr(fingerprints, "MOST_BLOCKS", most)
+    more = [(5000, "far away " * 30, "en", "s", 0), (-7, "before all", "en", "s", 0)] + [(10**15 + i * apart, f"sparse {i} " * i, "en", "s", 0) for i in range(30)]
     table = docs.unionByName(docs.sparkSession.createDataFrame(more, SCHEMA)).withColumnRenamed("lang", "block")
     order = sorted(((i, t or "") for i, t, *_ in rows + more), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     want = Counter()
@@ -185,6 +185,7 @@ def test_fingerprints_of_rows_without_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BLOCK", 4)
     texts = [f"text {i} " * (i + 1) for i in range(20)] + [None] * 9
     found = fingerprints.fingerprints(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).collect()
+    assert Counter(r.edited_sha256 for r in found if not r.n_chars) == {hashlib.sha256(b"").hexdigest(): 9}  # half of no code points is none
     assert Counter(r.fingerprint for r in found) == Counter(reference_fingerprint((t or "").encode()) for t in texts)
     assert all(r.doc_id is None for r in found)
 
