@@ -43,6 +43,8 @@ MOSTLY = 32
 TURNS = 1
 #: Nodes, and shingles of their sets, in a block of strays; a block of nodes may have four times as many.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 16
+#: Bytes of sets that a task keeps while it confirms pairs, besides the pair at hand.
+HELD_BYTES = 8 << 20
 #: Bytes of node ids that are broadcast to pick texts for confirmation; beyond it the texts are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -142,11 +144,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         tool = zstandard.ZstdDecompressor()
         held: dict[bytes, np.ndarray] = {}
 
+        size = 0
+
         def set_of(data: bytes) -> np.ndarray:
+            nonlocal size
             if data not in held:
-                if len(held) >= 64:
-                    held.pop(next(iter(held)))
-                held[data] = shingle_sets([tool.decompress(data)], width)[0]
+                found = shingle_sets([tool.decompress(data)], width)[0]
+                size += found.nbytes
+                while held and size > HELD_BYTES:
+                    size -= held.pop(next(iter(held))).nbytes
+                held[data] = found
             return held[data]
 
         for batch in batches:
