@@ -8,6 +8,9 @@ split by CRC-32 into an array of small maps, because Spark searches a map from i
 vocabulary keeps its own rank. Decoding looks each id up in a literal array of byte pieces and concatenates them. The units then
 put the ids and bytes of their words in the order of their matches.
 
+A fold's time is quadratic in the word's length. A word of more than ``LONG`` bytes (a run of letters that no language has) is merged by the
+same rule in a linked list with a heap instead, in the task that has its bucket; its time follows its length.
+
 Bytes are written as the characters U+0000 to U+00FF of a string (ISO 8859-1), which Spark's map keys and ``concat``
 take directly. Units are written once, in buckets by their number, and only the words and their ids travel after that.
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from functools import lru_cache
@@ -38,8 +42,10 @@ UNIT_ROWS = 8192
 UNIT_CHARS = 32_000_000
 #: Texts that are cut together: characters.
 CUT_CHARS = 1 << 20
-#: Documents to a bucket of words, and the least and most buckets; a bucket's words are in one task.
-BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 1024, 8, 1 << 17
+#: Documents or bytes of text to a bucket of words, and the least and most buckets; a bucket's words are in one task.
+BUCKET_DOCS, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1024, 4 << 20, 8, 1 << 17
+#: Bytes of a word from which it is merged in a linked list.
+LONG = 512
 #: Units of full size in one part of the table of units.
 UNITS_A_PART = 16
 #: Documents in one batch of results.
@@ -114,6 +120,35 @@ def encode_word(word: Column, table: Column) -> Column:
     return F.when(whole.isNotNull(), F.array(whole)).when(F.length(word) > 1, folded).otherwise(F.array().cast("array<int>"))
 
 
+def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word by the rule of ``encode_word``: always the adjacent pair of lowest rank, leftmost first; bytes without a rank are null there and -1
+    here. A heap holds the pairs there were, and those that a merge has changed are passed over."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    before, end = list(range(-1, n - 1)), list(range(1, n + 1))  # of the piece that begins at a place; pieces lie end to end
+    live = [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not live[i] or j >= n or end[j] != stop:
+            continue
+        live[j], end[i] = False, stop
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (k := before[i]) >= 0 and (r := ranks.get(word[k:stop])) is not None:
+            heapq.heappush(heap, (r, k, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks.get(word[i : end[i]], -1))
+        i = end[i]
+    return out
+
+
 def decode_ids(ids: Column, pieces: Column) -> Column:
     """The bytes of an array of ids."""
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
@@ -310,8 +345,12 @@ def _gathered(asked: DataFrame) -> DataFrame:
         now, units_, places, seen = None, [], [], _Positions()
 
         def row():
-            words = [w.decode("latin-1") for w in seen]
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([units_], pa.list_(pa.int64())), pa.array([places], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.string()))], ["bucket", "units", "places", "words"])
+            # a long word leaves an empty one in its place
+            words = [w.decode("latin-1") if len(w) <= LONG else "" for w in seen]
+            long = [w for w in seen if len(w) > LONG]
+            at = [i for i, w in enumerate(seen) if len(w) > LONG]
+            cols = [([now], pa.int32()), ([units_], pa.list_(pa.int64())), ([places], pa.list_(pa.binary())), ([words], pa.list_(pa.string())), ([at], pa.list_(pa.int64())), ([long], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], ["bucket", "units", "places", "words", "long_at", "long"])
 
         for batch in batches:
             for bucket, unit, sizes, words in zip(*(batch.column(i) for i in range(4))):
@@ -327,23 +366,31 @@ def _gathered(asked: DataFrame) -> DataFrame:
             yield row()
 
     dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "unit").select("bucket", "unit", "sizes", "words")
-    return dealt.mapInArrow(run, "bucket int, units array<long>, places array<binary>, words array<string>")
+    return dealt.mapInArrow(run, "bucket int, units array<long>, places array<binary>, words array<string>, long_at array<long>, long array<binary>")
 
 
-def _answers(folded: DataFrame) -> DataFrame:
+def _answers(folded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(unit, bucket, lengths, ids, sizes, bytes): numbers of ids and of bytes of the words a unit asked for, in its order, and those joined."""
+    held = folded.sparkSession.sparkContext.broadcast(ranks)
     names = ["unit", "bucket", "lengths", "ids", "sizes", "bytes"]
 
     def run(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
+        names_of = None
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket = batch.column("bucket")[i].as_py()
+                if names_of is None and len(batch.column("long_at")[i]):
+                    names_of = {v: k for k, v in held.value.items()}
                 lengths, flat = _flat(batch.column("word_ids")[i].values)
                 offsets = np.cumsum(lengths) - lengths
                 pieces = batch.column("word_bytes")[i].values.to_pylist()
+                for at, word in zip(batch.column("long_at")[i].as_py(), batch.column("long")[i].as_py()):
+                    merged = np.array(merged_long(word, held.value), np.int64).astype("<u4")
+                    lengths[at], offsets[at] = len(merged), len(flat)
+                    flat, pieces[at] = np.concatenate([flat, merged]), b"".join(names_of.get(x, b"") for x in merged.tolist())
                 for unit, place in zip(batch.column("units")[i].as_py(), batch.column("places")[i].as_py()):
                     at = _unpacked(place).astype(np.int64)
                     n = lengths[at]
@@ -363,12 +410,12 @@ def _spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
 def _by_document(docs: DataFrame, path: str | None, pattern: str | None, result, schema: str) -> DataFrame:
     """``result`` of lists of (doc_id, ids as a numpy array, decoded bytes), of at most TOGETHER documents."""
     pattern, ranks = pattern or default_pattern(), read_ranks(path or default_path())
-    many = docs.count()
-    buckets = 1 << int(np.clip(many // BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS) - 1).bit_length()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // (UNITS_A_PART * UNIT_ROWS))
+    many, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")), F.lit(0))).first()
+    buckets = 1 << int(np.clip(max(many // BUCKET_DOCS, size // BUCKET_BYTES), LEAST_BUCKETS, MOST_BUCKETS) - 1).bit_length()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // (UNITS_A_PART * UNIT_ROWS), size // (UNITS_A_PART * UNIT_CHARS))
     table = staged_by(units(docs, pattern, buckets), "bpe-units", "unit", parts)
     asked = table.where("bucket >= 0").select("bucket", "unit", "sizes", "words")
-    answers = staged(_answers(_folded(_gathered(asked), ranks)), "bpe-answers")
+    answers = staged(_answers(_folded(_gathered(asked), ranks), ranks), "bpe-answers")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard

@@ -607,6 +607,20 @@ def test_pipeline_says_which_rows_go(spark, data):
     assert masked == {i: pii.mask(t) for i, t in pairs}
 
 
+def test_long_words_merge_by_the_same_rule(spark, monkeypatch):
+    import tiktoken
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "ab" * 3000, "x" * 2000, "é" * 700, " " * 900 + "end", "".join(r.choice("eatinsorl") for _ in range(513)) + " short"]
+    library = tiktoken.Encoding("t", pat_str=bpe.default_pattern(), mergeable_ranks=bpe.read_ranks(bpe.default_path()), special_tokens={})
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in bpe.encode(frame).collect():
+        assert x.ids == library.encode_ordinary(texts[x.doc_id]) and x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest()
+    ranks = bpe.read_ranks(bpe.default_path())
+    words = ["".join(r.choice("abcnstéñ") for _ in range(r.randint(1, 40))).encode() for _ in range(200)]
+    assert [bpe.merged_long(w, ranks) for w in words] == [library._encode_single_piece(w) for w in words]
+
+
 def test_bpe_cuts_as_the_pattern():
     import regex
 
