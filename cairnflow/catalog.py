@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import documents, evidence, procedural, relational, retrieval, scoring  # noqa: F401  they register their queries
+from .operators import documents, evidence, grounding, procedural, relational, retrieval, scoring  # noqa: F401  they register their queries
 from .functions import tables  # noqa: F401
 from .plans import flows  # noqa: F401
 from .registry import ORACLES, QUERIES

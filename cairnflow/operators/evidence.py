@@ -204,35 +204,9 @@ def _(t):
     return P.per_text(t.supplier.selectExpr("s_suppkey", "concat('see arn:aws:s3:::bucket-', s_suppkey, ' and arn:aws:sqs:eu-west-1:', lpad(s_suppkey + 7, 12, '1'), ':queue') text"), "s_suppkey", "text", "service string, arn string", P.arns)
 
 
-@query(
-    "C29_path_grounding",
-    "WITH c AS (SELECT page_id, regexp_extract(url, '/([a-z]+/[0-9]+)', 1) AS cited FROM pages), k AS (SELECT DISTINCT regexp_extract(url, '/([a-z]+/[0-9]+)', 1) AS path FROM pages WHERE page_id % 2 = 0) SELECT page_id, cited IN (SELECT path FROM k) AS grounded FROM c WHERE cited <> ''",
-)
-def _(t):
-    cited = F.regexp_extract("url", "/([a-z]+/[0-9]+)", 1)
-    known = t.pages.where("page_id % 2 = 0").select(cited.alias("cited"), F.lit(True).alias("known")).distinct()
-    return t.pages.select("page_id", cited.alias("cited")).where("cited <> ''").join(known, "cited", "left").select("page_id", F.coalesce("known", F.lit(False)).alias("grounded"))
-
-
-@query(
-    "C33_alias_scan",
-    "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE NOT contains(text, '|')), a AS (SELECT DISTINCT lower(p_type) AS alias FROM part WHERE length(p_type) >= 4 UNION SELECT 'idiot' UNION SELECT 'trash' UNION SELECT 'with') SELECT doc_id, alias FROM w JOIN a ON w = alias",
-)
-def _(t):
-    alias = t.part.where("length(p_type) >= 4").select(F.lower("p_type").alias("alias")).distinct().union(t.spark.createDataFrame([("idiot",), ("trash",), ("with",)], "alias string"))
-    w = t.documents.where(~F.contains("text", F.lit("|"))).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("alias"))
-    return w.join(alias.distinct(), "alias").select("doc_id", "alias")
-
-
 # -- hygiene and matching ----------------------------------------------------------
 
 
-@query("H8_section_strip", "SELECT doc_id, md5(regexp_replace(regexp_replace('<![CDATA[' || text || ']]>', '<!\\[CDATA\\[', '', 'g'), '\\]\\]>', '', 'g')) AS bare FROM documents")
-def _(t):
-    said = F.concat(F.lit("<![CDATA["), "text", F.lit("]]>"))
-    return t.documents.select("doc_id", F.md5(F.regexp_replace(F.regexp_replace(said, r"<!\[CDATA\[", ""), r"\]\]>", "")).alias("bare"))
-
-
 @query("H9_number_provenance")
 def _(t):
     return P.per_text(t.documents, "doc_id", "text", "kept string", lambda x: [(P.without_unknown_numbers(x, {"100"}),)])
@@ -295,12 +269,6 @@ def _(t):
     return misattributed(claims, t.part.where("p_type = 'PROMO'").select(F.col("p_brand").alias("kind"), F.col("p_name").alias("skill")))
 
 
-@query("D9_passage_provenance", "WITH x AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda p: length(p) > 200)) AS passage FROM documents) SELECT md5(passage) AS passage, min(doc_id) AS first_doc, count(*) AS n FROM x GROUP BY 1")
-def _(t):
-    x = t.documents.select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda p: F.length(p) > 200)).alias("passage"))
-    return x.groupBy(F.md5("passage").alias("passage")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-
-
 @query("D13_experience_stems", "SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: regexp_replace(w, '^([a-z]{4,})(?:ly|ing)$', '\\1')))), ',') AS stems FROM benchmark")
 def _(t):
     return t.benchmark.select("item_id", F.array_join(F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), stem))), ",").alias("stems"))
@@ -364,11 +332,6 @@ def _(t):
     return t.benchmark.select("item_id", (F.size(echoed(bag(F.substring("text", 20, 60)), bag(F.col("text")), bag(F.substring("text", 1, 40)))) >= 2).alias("echo"))
 
 
-@query("N8_single_mentions", "SELECT w, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{14,}')) AS w FROM documents) GROUP BY w HAVING count(*) = 1")
-def _(t):
-    return t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{14,}"), 0)).alias("w")).groupBy("w").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-
-
 def repo_recall(wanted: DataFrame, found: DataFrame, case: str) -> DataFrame:
     """For each case (case, wanted) the share of wanted repositories that occur in any found source (case, source), case-insensitively; 0 where
     nothing is wanted (a null)."""

@@ -173,3 +173,28 @@ def test_flows(spark):
     assert {r.status for r in first.collect()} == {"missing"}
     store = first.select("chunk_key", F.when(F.col("path") == "README.md", "other").otherwise(F.col("digest")).alias("digest"))
     assert {(r.path, r.status, r.doc_type) for r in flows.ingest(files, store).collect()} == {("src/a.md", "unchanged", "general"), ("README.md", "stale", "readme")}
+
+
+def test_cited_paths_and_spans(spark):
+    from cairnflow.operators import grounding as G
+
+    said = "See infra/lib/a.ts, infra/**/*.ts; and queue.py. Not 1.5 or e.g. but (docs/x.md), docs/x.md: and Makefile"
+    row = spark.createDataFrame([(said,), (None,), ("",)], "t string").select(G.cited_paths(F.col("t")).alias("c")).collect()
+    assert row[0].c == ["infra/lib/a.ts", "infra/**/*.ts", "queue.py", "docs/x.md"] and row[1].c == row[2].c == []
+    text = "Name: Ada Lovelace, ada@x.org, 10.0.0.1 and 078-05-1120; name Max"
+    spans = G.pii_spans(text)
+    assert [(k, v) for _, _, k, v in spans] == [("NAME", "Ada Lovelace"), ("EMAIL", "ada@x.org"), ("IP", "10.0.0.1"), ("SSN", "078-05-1120")] and all(text[a:b] == v for a, b, _, v in spans)
+    assert G.scrubbed(text) == "Name: [NAME], [EMAIL], [IP] and [SSN]; name Max" and G.scrubbed("") == ""
+
+
+def test_alias_mentions_and_undeveloped_terms(spark):
+    from cairnflow.operators import grounding as G
+
+    files = spark.createDataFrame([("f", "Uses AWS Bedrock, redis. And redis/\nwe are not  using redis\naws_bedrock Redis grafana go\n"), ("g", None)], "k string, t string")
+    aliases = spark.createDataFrame([("redis",), ("aws_bedrock",), ("go",), ("grafana",)], "alias string")
+    mentions = lambda **more: [tuple(r) for r in G.alias_mentions(files, "k", "t", aliases, **more).orderBy("line", "alias").collect()]
+    assert mentions() == [("f", 1, "aws_bedrock"), ("f", 1, "redis"), ("f", 3, "aws_bedrock"), ("f", 3, "grafana"), ("f", 3, "redis")]
+    assert mentions(most=3) == [("f", 1, "aws_bedrock"), ("f", 1, "redis"), ("f", 3, "aws_bedrock")]
+    texts = ["`a.b=c1` once", "`a.b=c1` `a.b=c1`", "`a.b=c1`\n```\na.b=c1\n```", "```x\n```\n`a.b=c1`\n```y\n```", "`http://x.y` `no dots` `a.b`", "", None]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", G.undeveloped(F.col("t")).alias("u")).collect()
+    assert {r.i: r.u for r in found} == {0: ["a.b=c1"], 1: [], 2: [], 3: [], 4: [], 5: [], 6: None}
