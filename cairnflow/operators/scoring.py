@@ -291,6 +291,52 @@ def _(t):
     return m.select("l_orderkey", "files", "churn", "loc_delta", percent_change(f, F.col("files") - f + f).alias("change"))
 
 
+# Words and signs that decide between paths of a program.
+DECISIONS = ("if", "elif", "for", "while", "case", "catch", "when")
+DECISION_SIGNS = ("&&", "||")
+
+
+def complexity_delta(patch: Column) -> Column:
+    """Decision points on a patch's added lines less those on its removed ones; file headers, hunk marks and context do not count. 0 for a null patch."""
+    words = "(?<![A-Za-z0-9_])(?:" + "|".join(DECISIONS) + ")(?![A-Za-z0-9_])"
+    rule = F.lit("|".join([words, *map(re.escape, DECISION_SIGNS)]))
+
+    def of(line: Column) -> Column:
+        sign = F.when(F.startswith(line, F.lit("+")) & ~F.startswith(line, F.lit("+++")), 1).when(F.startswith(line, F.lit("-")) & ~F.startswith(line, F.lit("---")), -1).otherwise(0)
+        return F.when(sign != 0, sign * F.regexp_count(F.substr(line, F.lit(2)), rule)).otherwise(F.lit(0))
+
+    return F.coalesce(F.aggregate(F.split(patch, "\n"), F.lit(0), lambda n, line: n + of(line)), F.lit(0)).cast("long")
+
+
+def file_impact(changes: DataFrame, file: str, added: str, removed: str, patch: str, at: str) -> DataFrame:
+    """Changes, lines touched, net lines, complexity delta and last change of each file over its history; patches are counted where they lie."""
+    a, r = F.coalesce(F.col(added), F.lit(0)), F.coalesce(F.col(removed), F.lit(0))
+    each = changes.select(file, a.alias("a_"), r.alias("r_"), complexity_delta(F.col(patch)).alias("d_"), at)
+    return each.groupBy(file).agg(F.count("*").alias("changes"), F.sum(F.col("a_") + F.col("r_")).alias("churn"), F.sum(F.col("a_") - F.col("r_")).alias("net_loc"), F.sum("d_").alias("complexity"), F.max(at).alias("last_at"))
+
+
+#: A patch out of a text: its lines by turns added, removed, context and headers.
+_PATCH = "array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE (doc_id + i) % 5 WHEN 0 THEN '-' WHEN 1 THEN '+' WHEN 2 THEN '+' WHEN 3 THEN ' ' ELSE '+++ ' END || replace(replace(l, ' the ', ' if('), ' of ', ' || ')), chr(10))"
+
+
+@query(
+    "E16_file_impact",
+    f"""WITH p AS (SELECT source, doc_id, n_chars, {_PATCH} AS patch FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(patch, chr(10))) AS line FROM p),
+    d AS (SELECT doc_id, sum(CASE WHEN starts_with(line, '+++') OR starts_with(line, '---') THEN 0 WHEN starts_with(line, '+') THEN 1 WHEN starts_with(line, '-') THEN -1 ELSE 0 END * len(regexp_extract_all(substr(line, 2), '\\b(?:if|elif|for|while|case|catch|when)\\b|&&|[|][|]'))) AS delta FROM l GROUP BY doc_id)
+    SELECT source, count(*) AS changes, CAST(sum(n_chars + doc_id % 50) AS BIGINT) AS churn, CAST(sum(n_chars - doc_id % 50) AS BIGINT) AS net_loc, CAST(sum(COALESCE(delta, 0)) AS BIGINT) AS complexity, max(doc_id) AS last_at FROM p LEFT JOIN d USING (doc_id) GROUP BY source""",
+)
+def _(t):
+    def line(x: Column, i: Column) -> Column:
+        turn = (F.col("doc_id") + i + 1) % 5
+        mark = F.when(turn == 0, "-").when(turn.isin(1, 2), "+").when(turn == 3, " ").otherwise("+++ ")
+        return F.concat(mark, F.replace(F.replace(x, F.lit(" the "), F.lit(" if(")), F.lit(" of "), F.lit(" || ")))
+
+    patch = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    changes = t.documents.select("source", F.col("n_chars").alias("added"), (F.col("doc_id") % 50).alias("removed"), patch.alias("patch"), "doc_id")
+    return file_impact(changes, "source", "added", "removed", "patch", "doc_id")
+
+
 def depth_of(share: Column) -> Column:
     """How deep tests (or documents) go by their share."""
     return F.when(share >= 0.5, "deep").when(share >= 0.2, "some").otherwise("none")
