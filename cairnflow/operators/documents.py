@@ -424,6 +424,67 @@ def _(t):
 #: Words that make no phrase distinctive, and how many others an n-gram needs.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 DISTINCTIVE = 3
+#: Bytes of text whose words are hashed together.
+GRAM_BYTES = 1 << 20
+
+
+def _distinct_grams(n: int, least: int):
+    """Arrow batches (section, text in lower case) to (section, h, at): the hashes of each section's distinctive word n-grams, each with the word it first
+    begins with. Words of a batch are hashed at once, a byte at a time by powers of a base, and their hashes are mixed before they are joined."""
+    import numpy as np
+    import pyarrow as pa
+
+    base, step = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(29))
+
+    def hashed(data: bytes):
+        """The hashes of the words (runs of a to z) and where they begin."""
+        raw = np.frombuffer(data, np.uint8)
+        letter = (raw >= 97) & (raw <= 122)
+        edge = np.flatnonzero(np.diff(np.r_[False, letter, False]))
+        begin, end = edge[::2], edge[1::2]
+        if not len(begin):
+            return np.zeros(0, np.uint64), begin
+        size = end - begin
+        at = np.flatnonzero(letter)
+        inside = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        power = np.cumprod(np.r_[np.uint64(1), np.full(int(size.max()), np.uint64(base))])
+        return mixed(np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * power[inside], np.cumsum(size) - size)), begin
+
+    stop = np.sort(hashed(" ".join(STOP_WORDS).encode())[0])
+
+    def parts(batches):
+        """Keys and texts of about GRAM_BYTES bytes at a time."""
+        for batch in batches:
+            texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            turn = np.cumsum([len(t) for t in texts]) // GRAM_BYTES
+            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(turn)) + 1):
+                if len(rows):
+                    yield batch.column(0).slice(int(rows[0]), len(rows)), texts[rows[0] : rows[-1] + 1]
+
+    def run(batches):
+        for keys, texts in parts(batches):
+            words, begin = hashed(b"\n".join([*texts, b""]))
+            of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")
+            many = max(0, len(words) - n + 1)
+            h = np.zeros(many, np.uint64)
+            for i in range(n):
+                h = mixed(h * step + words[i : i + many])
+            told = np.r_[0, np.cumsum(~np.isin(words, stop))]
+            here = np.flatnonzero((of[:many] == of[n - 1 :]) & (told[n:] - told[:many] >= least)) if many else np.zeros(0, np.int64)
+            first = np.r_[0, np.flatnonzero(np.diff(of)) + 1] if len(of) else of
+            place = np.zeros(len(texts), np.int64)
+            place[of[first]] = first
+            # each hash once a section, where it first stands
+            order = here[np.lexsort((here, h[here], of[here]))]
+            new = np.r_[True, (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])][: len(order)]
+            order = order[new]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(of[order])), pa.array(h[order].view(np.int64)), pa.array((order - place[of[order]]).astype(np.int32))], ["section", "h", "at"])
+
+    return run
 
 
 def repeated_ngrams(sections: DataFrame, n: int = 6, key: str = "section", least: int = DISTINCTIVE) -> DataFrame:
@@ -431,23 +492,16 @@ def repeated_ngrams(sections: DataFrame, n: int = 6, key: str = "section", least
 
     Only hashes of grams are counted. Grams of hashes that two sections have are then written out and compared as text, so that
     two grams of one hash are told apart. ``key`` tells sections apart."""
-    words = sections.select(key, F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("ts"))
-
-    def cut(make) -> Column:
-        """``make(words, place)`` at each place (from 0) where a distinctive n-gram starts; words are extracted once for a section, and taken one by
-        one, as a slice would copy all of them each time."""
-        mark = lambda ts: F.transform(ts, lambda w: F.when(w.isin(*STOP_WORDS), 0).otherwise(1))
-        starts = lambda ts, marks: F.filter(F.sequence(F.lit(0), F.size(ts) - n), lambda i: sum((F.get(marks, i + k) for k in range(1, n)), F.get(marks, i)) >= least)
-        every = lambda ts: X.bound(mark(ts), lambda marks: F.transform(starts(ts, marks), lambda i: make(ts, i)))
-        return X.bound(F.col("ts"), lambda ts: F.when(F.size(ts) >= n, every(ts)))
-
-    hashed = lambda ts, i: F.xxhash64(*[F.get(ts, i + k) for k in range(n)])
-    held = words.select(key, F.explode(F.array_distinct(cut(hashed))).alias("h")).groupBy("h").agg(F.count("*").alias("held")).where("held > 1").select("h")
-    places = words.select(key, F.inline(cut(lambda ts, i: F.struct(hashed(ts, i).alias("h"), i.alias("at"))))).join(held, "h", "left_semi")
-    places = places.groupBy(key, "h").agg(F.min("at").alias("at"))
-    grams = places.join(words.select(key, "ts"), key).select(key, F.array_join(F.slice("ts", F.col("at") + 1, n), " ").alias("gram"))
-    first = grams.groupBy("gram").agg(F.min(key).alias("first_section"))
-    return grams.join(first, "gram").where(F.col(key) != F.col("first_section"))
+    kind = sections.schema[key].dataType.simpleString()
+    lower = sections.select(F.col(key).alias("section"), F.lower("text").alias("text"))
+    hashes = lower.mapInArrow(_distinct_grams(n, least), f"section {kind}, h long, at int")
+    held = hashes.groupBy("h").agg(F.count("*").alias("held")).where("held > 1").select("h")
+    places = hashes.join(held, "h", "left_semi")
+    words = sections.select(F.col(key).alias("section"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("ts"))
+    grams = places.groupBy("section").agg(F.collect_list("at").alias("ats")).join(words, "section")
+    grams = grams.select("section", F.explode(F.transform("ats", lambda at: F.array_join(F.slice("ts", at + 1, n), " "))).alias("gram"))
+    first = grams.groupBy("gram").agg(F.min("section").alias("first_section"))
+    return grams.join(first, "gram").where(F.col("section") != F.col("first_section")).select(F.col("section").alias(key), "gram", "first_section")
 
 
 @query(
