@@ -278,9 +278,19 @@ def _(t):
 DEPTHS = {"deep": (6, 12, 2), "standard": (4, 6, 1)}
 
 
-@query("D18_depth_presets", "SELECT * FROM (VALUES ('deep', 6, 12, 2), ('standard', 4, 6, 1)) AS v(mode, queries, passages, radius)")
+def with_depth(rows: DataFrame, mode: Column, depths: dict[str, tuple[int, int, int]] = DEPTHS, default: str = "standard") -> DataFrame:
+    """``rows`` with queries, passages and radius of their mode; an unknown one has those of the default."""
+    out = rows.withColumn("mode_", F.when(mode.isin(*depths), mode).otherwise(F.lit(default)))
+    for i, name in enumerate(("queries", "passages", "radius")):
+        names = F.create_map(*[F.lit(x) for k, v in depths.items() for x in (k, v[i])])
+        out = out.withColumn(name, F.element_at(names, F.col("mode_")))
+    return out.drop("mode_")
+
+
+@query("D18_depth_presets", "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN 6 ELSE 4 END AS queries, CASE WHEN length(text) > 200 THEN 12 ELSE 6 END AS passages, CASE WHEN length(text) > 200 THEN 2 ELSE 1 END AS radius FROM conversations WHERE role = 'user'")
 def _(t):
-    return t.spark.createDataFrame([(k, *v) for k, v in DEPTHS.items()], "mode string, queries int, passages int, radius int")
+    mode = F.when(F.length("text") > 200, "deep").when(F.col("turn") % 2 == 0, "standard").otherwise("other")
+    return with_depth(t.conversations.where("role = 'user'"), mode).select("conv_id", "turn", "queries", "passages", "radius")
 
 
 def semantic_eval(baseline: DataFrame, candidate: DataFrame, near: DataFrame, key: str, id_: str) -> DataFrame:

@@ -135,10 +135,10 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r
 """
 
 
-@query("V1_cosine", f"SELECT e.vec_id, {_VECTOR} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0")
+@query("V1_cosine", f"SELECT e.vec_id, {_VECTOR} AS cosine FROM embeddings e JOIN embeddings q ON q.vec_id = e.vec_id + 1")
 def _(t):
-    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return t.embeddings.join(F.broadcast(q), F.size("embedding") == F.size("q")).select("vec_id", cosine(F.col("embedding"), F.col("q")).alias("cosine"))
+    after = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("q"))
+    return t.embeddings.join(after, "vec_id").select("vec_id", cosine(F.col("embedding"), F.col("q")).alias("cosine"))
 
 
 @query("V2_vector_top_k", _HYBRID + "SELECT qid, id, cosine, rank FROM vec")
@@ -186,11 +186,26 @@ def _(t):
     return t.documents.select("doc_id", (F.col("n_chars") * role_weight(F.col("lang"))).alias("weighted"))
 
 
-@query("V7_profile_layer", f"SELECT e.vec_id, round({_VECTOR} * 1.5 * (1 + 0.1 * ((e.label % 2) + CASE WHEN e.vec_id % 3 = 0 THEN 1 ELSE 0 END)), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 AND e.label < 5")
+def profile_scores(profiles: DataFrame, queries: DataFrame, signals: Column, weight: float = 1.5, step: float = 0.1, k: int = 40) -> DataFrame:
+    """V7: (qid, id, score, rank) of the ``k`` best profiles (id, embedding, and what ``signals`` counts) for each query: the cosine times the layer's weight and 1 +
+    ``step`` for each signal."""
+    scored = profiles.withColumn("signals_", signals).join(few(queries.select("qid", "q_embedding")), F.size("embedding") == F.size("q_embedding"))
+    score = F.round(cosine(F.col("embedding"), F.col("q_embedding")) * weight * (1 + step * F.col("signals_")), 9)
+    return top(scored.select("qid", "id", score.alias("score")), ["qid"], [F.desc("score"), F.asc("id")], k)
+
+
+_PROFILE = f"""p AS (SELECT q.vec_id AS qid, e.vec_id AS id, round({_VECTOR} * 1.5 * (1 + 0.1 * ((e.label % 2) + CASE WHEN e.vec_id % 3 = 0 THEN 1 ELSE 0 END)), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % {EVERY} = 0 AND q.vec_id IN (SELECT doc_id FROM documents) AND e.label < 5),
+profile AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM p) WHERE rank <= 40)"""
+
+
+def profile_layer(t, asked: DataFrame) -> DataFrame:
+    rows = t.embeddings.where("label < 5").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return profile_scores(rows, asked, (F.col("label") % 2) + F.when(F.col("id") % 3 == 0, 1).otherwise(0))
+
+
+@query("V7_profile_layer", f"WITH {_PROFILE} SELECT qid, id, score, rank FROM profile")
 def _(t):
-    q = t.embeddings.where("vec_id = 1").select(F.col("embedding").alias("q"))
-    signals = (F.col("label") % 2) + F.when(F.col("vec_id") % 3 == 0, 1).otherwise(0)
-    return t.embeddings.where("label < 5").join(F.broadcast(q), F.size("embedding") == F.size("q")).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")) * 1.5 * (1 + 0.1 * signals), 9).alias("score"))
+    return profile_layer(t, probes(t))
 
 
 @query(
@@ -204,11 +219,20 @@ def _(t):
     return neighbours(chunks.where("position % 3 = 1"), chunks)
 
 
-@query("V9_layer_merge", _HYBRID + "SELECT * FROM (SELECT 'chunk' AS layer, id, cosine AS score FROM vec WHERE qid = 0 UNION ALL SELECT 'profile', vec_id, round(label / 10.0::DOUBLE, 6) FROM embeddings) ORDER BY score DESC, id LIMIT 20")
+def merged_layers(layers: dict[str, DataFrame], k: int) -> DataFrame:
+    """V9: (qid, layer, id, score, rank): the ``k`` best of all layers (qid, id, score) for each query; of equal scores the layer named first."""
+    parts = [f.select("qid", F.lit(name).alias("layer"), F.lit(i).alias("place_"), "id", "score") for i, (name, f) in enumerate(layers.items())]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return top(both, ["qid"], [F.desc("score"), F.asc("place_"), F.asc("id")], k).drop("place_")
+
+
+@query("V9_layer_merge", _HYBRID + f", {_PROFILE}, both_ AS (SELECT qid, 'chunk' AS layer, 0 AS place, id, cosine AS score FROM vec UNION ALL SELECT qid, 'profile', 1, id, score FROM profile) SELECT qid, layer, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place, id) AS rank FROM both_) WHERE rank <= 20")
 def _(t):
-    chunk = vector_rank(corpora(t)[0], probes(t), 40).where("qid = 0").select(F.lit("chunk").alias("layer"), "id", F.col("cosine").alias("score"))
-    profile = t.embeddings.select(F.lit("profile").alias("layer"), F.col("vec_id").alias("id"), F.round(F.col("label") / 10.0, 6).alias("score"))
-    return chunk.unionByName(profile).orderBy(F.desc("score"), "id").limit(20)
+    asked = probes(t)
+    chunk = vector_rank(corpora(t)[0], asked, 40).select("qid", "id", F.col("cosine").alias("score"))
+    return merged_layers({"chunk": chunk, "profile": profile_layer(t, asked)}, 20)
 
 
 @query("V10_multi_query", _HYBRID + "SELECT id, score FROM (SELECT id, max(rrf) AS score FROM best GROUP BY id) ORDER BY score DESC, id LIMIT 8")
@@ -398,8 +422,9 @@ def _(t):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", F.substring(F.sha2("text", 256), 1, 16).alias("prompt_hash"))
 
 
-@query("V25_experience_top_k", f"SELECT label, vec_id, rank FROM (SELECT e.label, e.vec_id, row_number() OVER (PARTITION BY e.label ORDER BY {_VECTOR} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id = 7) WHERE rank <= 2")
+@query("V25_experience_top_k", f"SELECT qid, id, rank FROM (SELECT q.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_VECTOR} DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id <> q.vec_id WHERE q.vec_id % {EVERY} = 0) WHERE rank <= 2")
 def _(t):
-    q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    scored = t.embeddings.join(F.broadcast(q), F.size("embedding") == F.size("q")).select("label", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("c"))
-    return top(scored, ["label"], [F.desc("c"), F.asc("vec_id")], 2).select("label", "vec_id", "rank")
+    """The entries of a user (a label) that are nearest to each of its queries."""
+    asked = few(t.embeddings.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("q")))
+    mine = t.embeddings.select(F.col("vec_id").alias("id"), "label", "embedding").join(asked, "label").where("id <> qid")
+    return top(mine.select("qid", "id", cosine(F.col("embedding"), F.col("q")).alias("c")), ["qid"], [F.desc("c"), F.asc("id")], 2).select("qid", "id", "rank")
