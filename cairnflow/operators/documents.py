@@ -334,11 +334,30 @@ def _(t):
     return match_tiers(p, p.where("p_size >= 49"), p.where("p_partkey % 10 = 0").select("term", "canonical"), p.where("p_partkey % 4 = 0").select("kind", "term"), p.select("term", "similarity"), 0.95)
 
 
-@query("M5_grounded_coverage", "WITH x AS (SELECT source, list_has_all(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'of']) AS covered FROM documents) SELECT source, round(COALESCE(avg(CASE WHEN covered THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 1), 6) AS rate FROM x GROUP BY source")
+def grounded_coverage(claims: DataFrame, held: DataFrame, by: str) -> DataFrame:
+    """M5: (by, rate): the share of a group's claimed terms (by, term; a null term claims nothing) that are covered, by the normal form's words all being in one of the
+    group's held rows (by, text); 1 for a group that claims nothing. A claim meets the held rows of its group by its longest word."""
+    words = F.split(X.term(F.col("term")), " ")
+    each = claims.where("term is not null").select(by, "term", words.alias("ws")).distinct()
+    key = each.withColumn("w", F.element_at(F.array_sort(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"])
+    bags = held.select(by, F.array_distinct(X.tokens(F.col("text"))).alias("bag"))
+    found = key.join(bags.select(by, "bag", F.explode("bag").alias("w")), [by, "w"]).where(F.size(F.array_except("ws", "bag")) == 0).select(by, "term").distinct().withColumn("hit_", F.lit(1.0))
+    rates = claims.select(by, "term").distinct().join(found, [by, "term"], "left")
+    return rates.groupBy(by).agg(F.round(F.coalesce(F.avg(F.when(F.col("term").isNotNull(), F.coalesce("hit_", F.lit(0.0)))), F.lit(1.0)), 6).alias("rate"))
+
+
+@query(
+    "M5_grounded_coverage",
+    """WITH w(term, words) AS (VALUES ('Idiot trash', ['idiot', 'trash']), ('the-OF', ['the', 'of']), ('stupid knowledge', ['stupid']), ('no such thing', ['no', 'such', 'thing'])),
+    d AS (SELECT lang, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bag FROM documents WHERE doc_id % 3 = 0),
+    c AS (SELECT DISTINCT lang, term, words FROM documents, w WHERE lang IS NOT NULL AND lang <> 'es')
+    SELECT lang, round(avg(CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.lang = c.lang AND list_has_all(d.bag, c.words)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate FROM c GROUP BY lang UNION ALL SELECT 'es', 1.0::DOUBLE""",
+)
 def _(t):
-    ts = X.tokens(F.col("text"))
-    covered = F.forall(F.array(F.lit("the"), F.lit("of")), lambda w: F.array_contains(ts, w))
-    return t.documents.groupBy("source").agg(F.round(F.coalesce(F.avg(F.when(covered, 1.0).otherwise(0.0)), F.lit(1.0)), 6).alias("rate"))
+    langs = t.documents.where("lang is not null").select("lang").distinct()
+    terms = F.explode(F.array(*[F.lit(x) for x in ("Idiot trash", "the-OF", "stupid knowledge", "no such thing")]))
+    claims = langs.where("lang <> 'es'").select("lang", terms.alias("term")).unionByName(langs.where("lang = 'es'").select("lang", F.lit(None).cast("string").alias("term")))
+    return grounded_coverage(claims, t.documents.where("doc_id % 3 = 0").select("lang", "text"), "lang")
 
 
 def weighted_fit(must: Column, may: Column, a: float = 0.7, b: float = 0.3) -> Column:

@@ -108,23 +108,6 @@ def _(t):
     return deduplicated_vectors(families(t), t.embeddings.where("vec_id % 7 = 0").select("vec_id"), 0.95, 0.88)
 
 
-@query(
-    "V21_corrective_retrieval",
-    """WITH g AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 2) AS w, length(text) AS severity FROM benchmark ORDER BY severity DESC, item_id LIMIT 5),
-    d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rn FROM g JOIN d ON list_has_all(d.w, g.w))
-    SELECT g.item_id, count(m.doc_id) AS passages, count(m.doc_id) >= 2 AS promoted FROM g LEFT JOIN m ON g.item_id = m.item_id AND rn <= 5 GROUP BY g.item_id""",
-)
-def _(t):
-    gaps = t.benchmark.select("item_id", F.array_distinct(F.slice(tokens(F.col("text")), 1, 2)).alias("w"), F.length("text").alias("severity")).orderBy(F.desc("severity"), "item_id").limit(5)
-    each = gaps.select("item_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    docs = t.documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    met = docs.join(each, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n")
-    met = met.withColumn("rn", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id"))).where("rn <= 5")
-    found = met.groupBy("item_id").agg(F.count("*").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    return gaps.join(found, "item_id", "left").select("item_id", c.alias("passages"), (c >= 2).alias("promoted"))
-
-
 # -- chunks and detectors ----------------------------------------------------------
 
 

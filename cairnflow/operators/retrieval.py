@@ -382,39 +382,93 @@ def _(t):
     return VI.most_similar(corpora(t)[0], 0.2, 32)
 
 
+def holding_all(wanted: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(key, id) of the documents (id, text) that hold all terms of a row (key, terms: distinct tokens). A row's terms are few and met in the task that reads the
+    text, each of them once."""
+    each = few(wanted.select("key", F.size("terms").alias("n"), F.explode("terms").alias("term")), 1_000_000)
+    words = corpus.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return words.join(each, "term").groupBy("key", "id").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n").select("key", "id")
+
+
+def gap_causes(gaps: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(key, cause) for each gap (key, terms): whether the corpus (id, text; without its noise) holds all its terms in one document, so that retrieval missed it."""
+    present = holding_all(gaps, corpus).select("key").distinct().withColumn("present_", F.lit(True))
+    return gaps.join(present, "key", "left").select("key", F.when(F.col("present_"), "kb_present_not_retrieved").otherwise("kb_no_evidence").alias("cause"))
+
+
+def corrected(gaps: DataFrame, corpus: DataFrame, most_gaps: int = 5, most_passages: int = 5, promotes: int = 2) -> DataFrame:
+    """(key, passages, promoted) of the ``most_gaps`` gravest gaps (key, terms, severity): each is asked again, at most ``most_passages`` passages by id count, and
+    ``promotes`` of them promote it."""
+    first = staged(gaps.orderBy(F.desc("severity"), "key").limit(most_gaps), "gravest-gaps")
+    found = top(holding_all(first, corpus), ["key"], [F.asc("id")], most_passages).groupBy("key").agg(F.count("*").alias("c"))
+    c = F.coalesce("c", F.lit(0))
+    return first.join(found, "key", "left").select("key", c.alias("passages"), (c >= promotes).alias("promoted"))
+
+
 @query(
     "V20_gap_cause",
     "WITH d AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE COALESCE(lang, '') <> 'es') SELECT item_id, CASE WHEN EXISTS (SELECT 1 FROM d WHERE list_has_all(d.w, list_slice(regexp_extract_all(lower(b.text), '[a-z0-9]+'), 1, 3))) THEN 'kb_present_not_retrieved' ELSE 'kb_no_evidence' END AS cause FROM benchmark b",
 )
 def _(t):
-    terms = t.benchmark.select("item_id", F.slice(tokens(F.col("text")), 1, 3).alias("ts"))
-    each = terms.select("item_id", F.explode(F.array_distinct("ts")).alias("term"))
-    docs = t.documents.where(F.coalesce("lang", F.lit("")) != "es").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    met = docs.join(each, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    best = met.groupBy("item_id").agg(F.max("n").alias("n"))
-    present = F.coalesce("n", F.lit(0)) >= F.size(F.array_distinct("ts"))
-    return terms.join(best, "item_id", "left").select("item_id", F.when(present, "kb_present_not_retrieved").otherwise("kb_no_evidence").alias("cause"))
+    gaps = t.benchmark.select(F.col("item_id").alias("key"), F.array_distinct(F.slice(tokens(F.col("text")), 1, 3)).alias("terms"))
+    corpus = t.documents.where(F.coalesce("lang", F.lit("")) != "es").select(F.col("doc_id").alias("id"), "text")
+    return gap_causes(gaps, corpus).withColumnRenamed("key", "item_id")
+
+
+@query(
+    "V21_corrective_retrieval",
+    """WITH g AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 2) AS w, length(text) AS severity FROM benchmark ORDER BY severity DESC, item_id LIMIT 5),
+    d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rn FROM g JOIN d ON list_has_all(d.w, g.w))
+    SELECT g.item_id, count(m.doc_id) AS passages, count(m.doc_id) >= 2 AS promoted FROM g LEFT JOIN m ON g.item_id = m.item_id AND rn <= 5 GROUP BY g.item_id""",
+)
+def _(t):
+    gaps = t.benchmark.select(F.col("item_id").alias("key"), F.array_distinct(F.slice(tokens(F.col("text")), 1, 2)).alias("terms"), F.length("text").alias("severity"))
+    return corrected(gaps, corpora(t)[1]).withColumnRenamed("key", "item_id")
+
+
+def assembled(passages: DataFrame, k: int = 3, budget: int = 6000, marker: str = " [truncated]") -> DataFrame:
+    """(qid, rank, id, score, passage): the ``k`` best passages (qid, id, score, text) of each query, as long as there is room for ``budget`` characters in all: one
+    that does not fit ends with a marker where the room ends, later ones fall out. Scores have two digits, texts are escaped for XML."""
+    best = top(passages, ["qid"], [F.desc("score"), F.asc("id")], k)
+    before = F.coalesce(F.sum(F.length("text")).over(W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = best.withColumn("room_", (F.lit(budget) - before).cast("int")).where("room_ > 0")
+    body = F.when(F.length("text") > F.col("room_"), F.concat(F.left("text", F.col("room_")), F.lit(marker))).otherwise(F.col("text"))
+    return cut.select("qid", "rank", "id", F.format_string("%.2f", F.col("score").cast("double")).alias("score"), escaped(body).alias("passage"))
 
 
 @query(
     "V22_context_assembly",
-    "WITH p AS (SELECT doc_id, substr(text, 1, 2500) || CASE WHEN length(text) > 2500 THEN ' [truncated]' ELSE '' END AS body, n_chars FROM documents WHERE source = 'src3' ORDER BY n_chars DESC, doc_id LIMIT 3) SELECT doc_id, replace(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS passage FROM p WHERE n_chars > 0",
+    """WITH p AS (SELECT source, doc_id, (doc_id % 89) / 4.0::DOUBLE AS score, text, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 89) DESC, doc_id) AS rank FROM documents WHERE source IS NOT NULL),
+    r AS (SELECT *, 6000 - COALESCE(sum(length(text)) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM p WHERE rank <= 3),
+    c AS (SELECT *, CASE WHEN length(text) > room THEN substr(text, 1, CAST(room AS BIGINT)) || ' [truncated]' ELSE text END AS body FROM r WHERE room > 0)
+    SELECT source AS qid, CAST(rank AS INTEGER) AS rank, doc_id AS id, printf('%.2f', score) AS score, replace(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'\'', '&apos;') AS passage FROM c""".replace("'\'\''", "chr(39)"),
 )
 def _(t):
-    best = t.documents.where("source = 'src3'").orderBy(F.desc("n_chars"), "doc_id").limit(3)
-    body = F.concat(F.substring("text", 1, 2500), F.when(F.length("text") > 2500, " [truncated]").otherwise(""))
-    return best.where("n_chars > 0").select("doc_id", escaped(body).alias("passage"))
+    return assembled(t.documents.where("source is not null").select(F.col("source").alias("qid"), F.col("doc_id").alias("id"), (F.col("doc_id") % 89 / F.lit(4.0)).alias("score"), "text"))
+
+
+def header_stats(passages: DataFrame, text: str, first: int = 5) -> DataFrame:
+    """For each repository that headers ``[Source: repo/path, Cosine: c, Rerank: r]`` in a column name: passages, the highest, lowest and median cosine, how many were
+    reranked, and its ``first`` best sources by cosine. Texts without a header fall out."""
+    header = r"\[Source: ([^/\],]+)/([^\],]+), Cosine: ([0-9.]+)(?:, Rerank: ([0-9.]+))?\]"
+    part = lambda i: F.regexp_extract(F.col(text), header, i)
+    rows = passages.where(F.col(text).rlike(header)).select(part(1).alias("repo"), part(2).alias("path"), part(3).cast("double").alias("cosine"), (part(4) != "").alias("reranked"))
+    stats = rows.groupBy("repo").agg(F.count("*").alias("n"), F.max("cosine").alias("most"), F.min("cosine").alias("least"), F.median("cosine").alias("mid"), F.count_if("reranked").alias("reranked"))
+    best = top(rows, ["repo"], [F.desc("cosine"), F.asc("path")], first).groupBy("repo").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]), ",").alias("best"))
+    return stats.join(best, "repo")
 
 
 @query(
     "V23_header_stats",
-    """WITH h AS (SELECT '[Source: ' || source || '/' || doc_id || ', Cosine: ' || (doc_id % 97) || '] ' AS head FROM documents), p AS (SELECT regexp_extract(head, 'Source: ([^/]+)/', 1) AS repo, CAST(regexp_extract(head, 'Cosine: ([0-9]+)', 1) AS BIGINT) AS cosine FROM h)
-    SELECT repo, count(*) AS n, max(cosine) AS most, min(cosine) AS least, median(cosine) AS mid FROM p GROUP BY repo""",
+    """WITH p AS (SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, (doc_id % 97) / 100.0::DOUBLE AS cosine, doc_id % 3 = 0 AS reranked FROM documents WHERE source IS NOT NULL AND doc_id % 5 <> 0),
+    b AS (SELECT repo, string_agg(path, ',' ORDER BY rank) AS best FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY cosine DESC, path) AS rank FROM p) WHERE rank <= 5 GROUP BY repo)
+    SELECT repo, count(*) AS n, max(cosine) AS most, min(cosine) AS least, median(cosine) AS mid, count(*) FILTER (WHERE reranked) AS reranked, any_value(best) AS best FROM p JOIN b USING (repo) GROUP BY repo""",
 )
 def _(t):
-    head = F.concat(F.lit("[Source: "), "source", F.lit("/"), "doc_id", F.lit(", Cosine: "), F.col("doc_id") % 97, F.lit("] "))
-    p = t.documents.select(F.regexp_extract(head, "Source: ([^/]+)/", 1).alias("repo"), F.regexp_extract(head, "Cosine: ([0-9]+)", 1).cast("long").alias("cosine"))
-    return p.groupBy("repo").agg(F.count("*").alias("n"), F.max("cosine").alias("most"), F.min("cosine").alias("least"), F.median("cosine").alias("mid"))
+    rerank = F.when(F.col("doc_id") % 3 == 0, ", Rerank: 0.5").otherwise("")
+    head = F.concat(F.lit("[Source: "), "source", F.lit("/"), "doc_id", F.lit(", Cosine: "), F.format_string("%.2f", F.col("doc_id") % 97 / F.lit(100.0)), rerank, F.lit("] "))
+    said = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.concat(head, F.substring("text", 1, 40)))
+    return header_stats(t.documents.select(said.alias("said")), "said")
 
 
 @query("V24_zero_result_event", "SELECT conv_id, turn, substr(sha256(text), 1, 16) AS prompt_hash FROM conversations WHERE role = 'user'")

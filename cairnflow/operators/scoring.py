@@ -88,9 +88,16 @@ def _(t):
     return kb_quality(f, "source")
 
 
+def suggestions(factors: DataFrame, key: str, rules: list[tuple[str, str, float]]) -> DataFrame:
+    """E5: (key, hints): what would help, in the order of ``rules`` (hint, factor, below which value it is due); an unknown factor calls for nothing."""
+    due = F.array_compact(F.array(*[F.when(F.col(factor) < least, hint) for hint, factor, least in rules]))
+    return factors.select(key, F.array_join(due, ",").alias("hints"))
+
+
 @query("E5_suggestions", "SELECT source, concat_ws(',', CASE WHEN count(*) < 51 THEN 'add_chunks' END, CASE WHEN avg(n_chars) > 2400 THEN 'shorten' END, CASE WHEN count(DISTINCT lang) < 4 THEN 'add_tags' END) AS hints FROM documents GROUP BY source")
 def _(t):
-    return t.documents.groupBy("source").agg(F.concat_ws(",", F.when(F.count("*") < 51, "add_chunks"), F.when(F.avg("n_chars") > 2400, "shorten"), F.when(F.countDistinct("lang") < 4, "add_tags")).alias("hints"))
+    factors = t.documents.groupBy("source").agg(F.count("*").alias("chunks"), (-F.avg("n_chars")).alias("brevity"), F.countDistinct("lang").alias("tags"))
+    return suggestions(factors, "source", [("add_chunks", "chunks", 51), ("shorten", "brevity", -2400), ("add_tags", "tags", 4)])
 
 
 @query(
@@ -484,10 +491,38 @@ def _(t):
     return promoted(t.lineitem, "l_partkey", "l_suppkey", 35)
 
 
-@query("G10_alias_variants", "SELECT n_nationkey, array_to_string(list_sort(list_distinct([lower(n_name), replace(lower(n_name), '_', ' '), replace(lower(n_name), '_', '-'), lower(n_name) || '.js'])), ',') AS variants FROM nation")
+def alias_variants(name: Column, script: bool = False) -> Column:
+    """How a name may be written, in lower case and order: with blanks, hyphens, underscores or nothing between its words; of a script package (``script``) with
+    and without its ending."""
+    low = F.lower(F.trim(name))
+    bare = F.regexp_replace(low, r"[.]js$", "") if script else low
+    joined = [F.regexp_replace(bare, r"[\s_-]+", by) for by in (" ", "-", "_", "")]
+    more = [F.concat(bare, F.lit(".js"))] if script else []
+    return F.array_sort(F.array_distinct(F.array(low, *joined, *more)))
+
+
+def partitioned_aliases(names: DataFrame, key: str, name: str, taken: DataFrame, script: bool = False) -> DataFrame:
+    """(key, alias, collides) of all variants of the names: whether an alias is taken (taken: alias) or is a variant of another key as well."""
+    each = names.select(key, F.explode(alias_variants(F.col(name), script)).alias("alias")).distinct()
+    many = each.groupBy("alias").agg(F.count("*").alias("n_"))
+    held = taken.select("alias").distinct().withColumn("held_", F.lit(True))
+    return each.join(many, "alias").join(held, "alias", "left").select(key, "alias", ((F.col("n_") > 1) | F.coalesce("held_", F.lit(False))).alias("collides"))
+
+
+@query(
+    "G10_alias_variants",
+    """WITH n AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN upper(replace(p_name, ' ', '-')) ELSE replace(p_name, ' ', '') || '.js' END || '-' || (p_partkey // 2) AS name FROM part WHERE p_partkey % 4 < 3 OR p_size > 0),
+    w AS (SELECT k, lower(name) AS low, string_split(regexp_replace(lower(name), '[ _-]+', ' ', 'g'), ' ') AS ws FROM n),
+    v AS (SELECT DISTINCT k, unnest([low, array_to_string(ws, ' '), array_to_string(ws, '-'), array_to_string(ws, '_'), array_to_string(ws, '')]) AS alias FROM w),
+    c AS (SELECT alias, count(*) AS n FROM v GROUP BY alias)
+    SELECT k, alias, n > 1 OR alias IN (SELECT p_name || ' ' || (p_partkey // 2) FROM part WHERE p_size > 45) AS collides FROM v JOIN c USING (alias)""",
+)
 def _(t):
-    n = F.lower("n_name")
-    return t.nation.select("n_nationkey", F.array_join(F.sort_array(F.array_distinct(F.array(n, F.replace(n, F.lit("_"), F.lit(" ")), F.replace(n, F.lit("_"), F.lit("-")), F.concat(n, F.lit(".js"))))), ",").alias("variants"))
+    key, half = F.col("p_partkey"), F.expr("p_partkey div 2").cast("string")
+    kind = key % 4
+    spelled = F.when(kind == 0, F.col("p_name")).when(kind == 1, F.replace("p_name", F.lit(" "), F.lit("_"))).when(kind == 2, F.upper(F.replace("p_name", F.lit(" "), F.lit("-")))).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit(".js")))
+    names = t.part.select(key.alias("k"), F.concat(spelled, F.lit("-"), half).alias("name"))
+    return partitioned_aliases(names, "k", "name", t.part.where("p_size > 45").select(F.concat("p_name", F.lit(" "), half).alias("alias")))
 
 
 def import_decisions(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -604,10 +639,27 @@ def _(t):
     return per.select("user_id", kind.alias("archetype"), sure.alias("confidence"))
 
 
-@query("G19_concerns", "WITH x AS (SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['idiot', 'trash', 'worthless', 'stupid'])) AS n FROM documents) SELECT doc_id, CASE WHEN n >= 2 THEN 'strong' WHEN n = 1 THEN 'partial' ELSE 'none' END AS tier FROM x")
+def concerns(evidence: DataFrame, key: str, text: str, signals: dict[str, list[str]], asked: list[str]) -> DataFrame:
+    """(key, concern, tier, relevant) of each concern (its signals: words): strong with two of them in the evidence, partial with one, else none; relevant where what
+    is asked for (words) shares one with it."""
+    words = F.array_distinct(tokens(F.col(text)))
+    known = [(name, F.array(*[F.lit(w) for w in ws]), bool(set(ws) & set(asked))) for name, ws in signals.items()]
+
+    def one(name: str, ws: Column, relevant: bool) -> Column:
+        n = F.size(F.array_intersect("words_", ws))
+        return F.struct(F.lit(name).alias("concern"), F.when(n >= 2, "strong").when(n == 1, "partial").otherwise("none").alias("tier"), F.lit(relevant).alias("relevant"))
+
+    return evidence.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("words_")).select(key, F.inline(F.array(*[one(*k) for k in known])))
+
+
+@query(
+    "G19_concerns",
+    """WITH s(concern, words, relevant) AS (VALUES ('tone', ['idiot', 'trash', 'worthless', 'stupid'], TRUE), ('secrets', ['token', 'secret', 'password'], FALSE)),
+    x AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), n AS (SELECT doc_id, concern, relevant, len(list_intersect(w, words)) AS n FROM x, s)
+    SELECT doc_id, concern, CASE WHEN n >= 2 THEN 'strong' WHEN n = 1 THEN 'partial' ELSE 'none' END AS tier, relevant FROM n""",
+)
 def _(t):
-    n = F.size(F.array_intersect(F.array_distinct(tokens(F.col("text"))), F.array(*[F.lit(w) for w in ("idiot", "trash", "worthless", "stupid")])))
-    return t.documents.select("doc_id", F.when(n >= 2, "strong").when(n == 1, "partial").otherwise("none").alias("tier"))
+    return concerns(t.documents, "doc_id", "text", {"tone": ["idiot", "trash", "worthless", "stupid"], "secrets": ["token", "secret", "password"]}, ["trash", "rust"])
 
 
 def transfer_candidates(wanted: DataFrame, held: DataFrame, token: str, name: str, tier: str) -> DataFrame:
