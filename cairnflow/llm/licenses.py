@@ -137,7 +137,13 @@ def directory(path: Column) -> Column:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """path, own_license, own_score, own_at, license, origin (own, inherited, none), license_dir for each row of (id, path, text)."""
+    """path, own_license, own_score, own_at, license, origin (own, inherited, none), license_dir for each row of (path, text), and its further columns, whatever
+    their names; one that is named as a result is left out."""
+    results = ("own_license", "own_score", "own_at", "license", "origin", "license_dir")
+    more = [c for c in files.columns if c.lower() not in ("path", "text", *results)]
+    named = {c: f"further_{i}_" for i, c in enumerate(more)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    files = files.select("path", "text", *[quoted(c).alias(n) for c, n in named.items()])
     keyed = files.withColumn("file", F.md5(F.coalesce("text", F.lit("")))).withColumn("dir", directory(F.col("path")))
     own = notices(keyed.select("file", "text").where(F.col("text").rlike(TRIGGER)).dropDuplicates(["file"]))
     plain = keyed.drop("text").join(own, "file", "left").drop("file")
@@ -151,7 +157,8 @@ def scan(files: DataFrame) -> DataFrame:
     nearest = nearest.select(F.col("dir").alias("n_dir"), F.col("n.license_dir").alias("license_dir"), F.col("n.dir_license").alias("dir_license"))
     out = plain.join(nearest, F.col("own_license").isNull() & (F.col("dir") == F.col("n_dir")), "left")
     origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
-    return out.withColumn("license", F.coalesce("own_license", "dir_license")).withColumn("origin", origin).drop("n_dir", "dir_license", "dir")
+    out = out.withColumn("license", F.coalesce("own_license", "dir_license")).withColumn("origin", origin)
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()], "path", *results)
 
 
 #: The layout that the query gives the documents: source / shelf of 16384 ids / box of 1024 ids / file; every eighth file is named as a licence file.

@@ -136,11 +136,12 @@ def find(text: str | None) -> list[Span]:
 
 
 def mask(text: str | None, least: float = 0.5) -> str | None:
-    """The text with each span of at least this score replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    """The text with each confirmed span replaced by its kind in brackets: base spans always, whatever stands before them, added ones of at least this score;
+    overlapping spans become one, named by the first."""
     if not text:
         return text
     out, at = [], 0
-    held = sorted((s for s in find(text) if s.score >= least), key=lambda s: (s.start, -s.end))
+    held = sorted((s for s in find(text) if s.kind in BASE_KINDS or s.score >= least), key=lambda s: (s.start, -s.end))
     i = 0
     while i < len(held):
         kind, start, end = held[i].kind, held[i].start, held[i].end

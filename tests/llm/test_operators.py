@@ -549,6 +549,18 @@ def test_notices_anywhere_in_a_text(spark):
     assert names[:6] == ["Proprietary", "Proprietary", "MIT", "GPL-3.0", "MIT", "Apache-2.0"] and names[6:11] == [None] * 5 and names[-1] == "MIT"
 
 
+def test_license_scan_keeps_clashing_columns(spark):
+    rows = [("a/LICENSE", licenses.TEMPLATES[0][1], "f", "d", 1, "mine"), ("a/b.txt", "no notice", "g", "e", 2, "mine")]
+    found = licenses.scan(spark.createDataFrame(rows, "path string, text string, file string, dir string, `n dir` int, license_dir string")).orderBy("path").collect()
+    assert [(r.path, r.file, r.dir, r["n dir"]) for r in found] == [("a/LICENSE", "f", "d", 1), ("a/b.txt", "g", "e", 2)]
+    assert [(r.origin, r.license_dir) for r in found] == [("own", None), ("inherited", "a")] and len(found[0]) == 10
+
+
+def test_masking_hides_base_spans_in_any_context():
+    assert pii.mask("for example 192.168.1.7 or order +49 30 901820 99") == "for example [IP] or order [PHONE]"
+    assert pii.mask("version 1.2 of order 12") == "version 1.2 of order 12"
+
+
 def test_license_inheritance(spark):
     files = spark.createDataFrame(
         [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/COPYING", "x\nThis work is licensed under the GNU General Public License, version 3.\n"), (4, "a/b/y.py", None), (5, "z/w.py", ""), (6, None, "t"), (7, "a/q.py", "Licensed under CC BY-NC 4.0.")],
