@@ -100,16 +100,61 @@ def _(t):
     return suggestions(factors, "source", [("add_chunks", "chunks", 51), ("shorten", "brevity", -2400), ("add_tags", "tags", 4)])
 
 
+def shares(rows: DataFrame, by: str, kind: str, weight: Column) -> DataFrame:
+    """(by, kind, repos, weight, share): rows and weight of each kind (a missing one is unknown) of a group, and its share of the group's weight in percent, 0 where there
+    is none."""
+    named = F.when(F.length(kind) > 0, F.col(kind)).otherwise("unknown")
+    each = rows.groupBy(by, named.alias(kind)).agg(F.count("*").alias("repos"), F.sum(F.coalesce(weight, F.lit(0))).alias("weight"))
+    total = F.sum("weight").over(W.partitionBy(by))
+    return each.withColumn("share", F.when(total > 0, F.round(F.lit(100.0) * F.col("weight") / total, 2)).otherwise(F.lit(0.0)))
+
+
+def counted(rows: DataFrame, by: str, kind: str, name: str) -> DataFrame:
+    """(by, name): ``kind:n`` of the kinds that a group's rows have, most rows first, then by name."""
+    n = rows.where(F.length(kind) > 0).groupBy(by, F.col(kind).alias("kind_")).agg(F.count("*").alias("n_"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("n_")).alias("n"), F.col("kind_").alias("k"))))
+    return n.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["k"], -x["n"])), ",").alias(name))
+
+
+def profile_rollup(repos: DataFrame, user: str = "user") -> DataFrame:
+    """A row for each user of (user, repo, language, commits, domain, complexity, role, techs, active, class, hidden, completed): over its finished, visible projects the languages by
+    commits with their shares, domains and the dominant one, complexities, roles, technologies, first and last activity and the years (of 365.25 days) between them; over all rows the
+    classes and how many are hidden. Each part is one aggregation, so a user's repositories are never in one list."""
+    mine = repos.where("class = 'project' and not coalesce(hidden, false) and coalesce(completed, false)")
+    langs = shares(mine, user, "language", F.col("commits"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("language").alias("k"), "share")))
+    langs = langs.groupBy(user).agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["k"], F.format_string("%.2f", x["share"]))), ",").alias("languages"))
+    totals = mine.groupBy(user).agg(F.count("*").alias("projects"), F.sum(F.coalesce("commits", F.lit(0))).alias("commits"), F.min("active").alias("first_at"), F.max("active").alias("last_at"), F.count("active").alias("dated_"))
+    years = F.when(F.col("dated_") > 1, F.round(F.datediff("last_at", "first_at") / F.lit(365.25), 1)).otherwise(F.lit(0.0))
+    techs = mine.select(user, F.explode(F.array_distinct("techs")).alias("tech"))
+    parts = [langs, *(counted(mine, user, c, n) for c, n in (("domain", "domains"), ("complexity", "complexities"), ("role", "roles"))), counted(techs, user, "tech", "technologies"), counted(repos, user, "class", "classes"), totals.withColumn("years", years).drop("dated_")]
+    out = repos.groupBy(user).agg(F.count_if("hidden").alias("hidden"))
+    for part in parts:
+        out = out.join(part, user, "left")
+    return out.withColumn("dominant", F.split_part("domains", F.lit(":"), F.lit(1))).na.fill(0, ["projects", "commits"])
+
+
+_REPOS = """SELECT c_nationkey AS "user", c_custkey AS repo, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS language, n AS commits, CASE c_custkey % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'data' WHEN 2 THEN 'infra' WHEN 3 THEN '' END AS domain,
+    CASE WHEN n > 12 THEN 'complex' WHEN n > 8 THEN 'moderate' ELSE 'simple' END AS complexity, CASE WHEN c_acctbal > 3000 THEN 'creator' ELSE 'contributor' END AS role, last AS active,
+    CASE WHEN c_custkey % 6 = 0 THEN 'fork' ELSE 'project' END AS class, c_custkey % 7 = 0 AS hidden, c_custkey % 10 <> 3 AS completed FROM customer JOIN (SELECT o_custkey, count(*) AS n, CAST(max(o_orderdate) AS DATE) AS last FROM orders GROUP BY 1) o ON o_custkey = c_custkey"""
+
+
+def _counted_sql(rows: str, kind: str) -> str:
+    return f"""(SELECT "user", string_agg(k || ':' || n, ',' ORDER BY n DESC, k) AS said FROM (SELECT "user", {kind} AS k, count(*) AS n FROM {rows} WHERE length({kind}) > 0 GROUP BY 1, 2) GROUP BY 1)"""
+
+
 @query(
     "E6_profile_rollup",
-    """WITH l AS (SELECT source, lang, sum(n_chars) AS c FROM documents GROUP BY 1, 2), r AS (SELECT *, round(100.0::DOUBLE * c / sum(c) OVER (PARTITION BY source), 1) AS share, row_number() OVER (PARTITION BY source ORDER BY c DESC, lang) AS rn FROM l)
-    SELECT source, max(CASE WHEN rn = 1 THEN lang END) AS main, max(CASE WHEN rn = 1 THEN share END) AS share, count(*) AS langs FROM r GROUP BY source""",
+    f"""WITH r AS ({_REPOS}), m AS (SELECT * FROM r WHERE class = 'project' AND NOT hidden AND completed), t AS (SELECT DISTINCT "user", repo, unnest([complexity, role, 'sql']) AS tech FROM m),
+    l AS (SELECT "user", COALESCE(language, 'unknown') AS k, sum(commits) AS w FROM m GROUP BY 1, 2), s AS (SELECT *, round(100.0::DOUBLE * w / sum(w) OVER (PARTITION BY "user"), 2) AS share FROM l),
+    a AS (SELECT "user", count(*) AS projects, CAST(sum(commits) AS BIGINT) AS commits, min(active) AS first_at, max(active) AS last_at, CASE WHEN count(*) > 1 THEN round(date_diff('day', min(active), max(active)) / 365.25::DOUBLE, 1) ELSE 0.0 END AS years FROM m GROUP BY 1)
+    SELECT u."user", u.hidden, g.said AS languages, d.said AS domains, x.said AS complexities, o.said AS roles, e.said AS technologies, c.said AS classes, a.projects, a.commits, a.first_at, a.last_at, a.years, split_part(d.said, ':', 1) AS dominant
+    FROM (SELECT "user", count(*) FILTER (WHERE hidden) AS hidden FROM r GROUP BY 1) u LEFT JOIN a USING ("user") LEFT JOIN (SELECT "user", string_agg(k || ':' || printf('%.2f', share), ',' ORDER BY w DESC, k) AS said FROM s GROUP BY 1) g USING ("user")
+    LEFT JOIN {_counted_sql("m", "domain")} d USING ("user") LEFT JOIN {_counted_sql("m", "complexity")} x USING ("user") LEFT JOIN {_counted_sql("m", "role")} o USING ("user") LEFT JOIN {_counted_sql("t", "tech")} e USING ("user") LEFT JOIN {_counted_sql("r", "class")} c USING ("user")""",
 )
 def _(t):
-    l = t.documents.groupBy("source", "lang").agg(F.sum("n_chars").alias("c"))
-    total = F.sum("c").over(W.partitionBy("source"))
-    r = l.withColumn("share", F.round(F.lit(100.0) * F.col("c") / total, 1)).withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy(F.desc("c"), "lang")))
-    return r.groupBy("source").agg(F.max(F.when(F.col("rn") == 1, F.col("lang"))).alias("main"), F.max(F.when(F.col("rn") == 1, F.col("share"))).alias("share"), F.count("*").alias("langs"))
+    repos = t.spark.sql(_REPOS.replace('"', "`").replace("FROM customer", "FROM {customer}").replace("FROM orders", "FROM {orders}"), customer=t.customer, orders=t.orders)
+    return profile_rollup(repos.withColumn("techs", F.array("complexity", "role", F.lit("sql"))))
 
 
 def points(*parts: tuple[Column, int]) -> Column:
