@@ -249,3 +249,34 @@ _ARTICLE = """COALESCE(text, '') || chr(10) || 'set `max.rate=' || doc_id || '`
 )
 def _(t):
     return t.documents.select("doc_id", F.explode(undeveloped(F.expr(_ARTICLE.replace("chr(10)", "char(10)")))).alias("term"))
+
+
+# -- C31: cloud resources and registries ----------------------------------------------
+
+# Accounts that stand for any in examples.
+PLACEHOLDER_ACCOUNTS = ("000000000000", "123456789012")
+
+
+def cloud_names(files: DataFrame, key: str, text: str, slugs: DataFrame, registry: str = "aws_ecr") -> DataFrame:
+    """(key, ecosystem, name) of what a file names: the canonical name (slugs: slug, canonical; a small table) of each resource name's service, once, and the image
+    registry if it holds the address of one. Resource names and addresses of placeholder accounts do not count, nor do services that are not known."""
+    rule = F.lit("arn:aws:([a-z0-9-]+):([a-z0-9-]*):([0-9]{0,12}):")
+    found = F.arrays_zip(F.regexp_extract_all(F.col(text), rule, 1).alias("slug"), F.regexp_extract_all(F.col(text), rule, 3).alias("account"))
+    real = F.array_distinct(F.transform(F.filter(found, lambda x: ~x["account"].isin(*PLACEHOLDER_ACCOUNTS)), lambda x: x["slug"]))
+    arns = files.select(key, F.explode(real).alias("slug")).join(F.broadcast(slugs), "slug").select(key, F.lit("aws-arn").alias("ecosystem"), F.col("canonical").alias("name")).distinct()
+    hosts = F.regexp_extract_all(F.col(text), F.lit(r"(?:^|[^A-Za-z0-9_])([0-9]{12})[.]dkr[.]ecr[.][a-z0-9-]+[.]amazonaws[.]com/[a-zA-Z0-9_./-]"), 1)
+    images = files.where(F.exists(hosts, lambda a: ~a.isin(*PLACEHOLDER_ACCOUNTS))).select(key, F.lit("image-uri").alias("ecosystem"), F.lit(registry).alias("name"))
+    return arns.unionByName(images)
+
+
+@query(
+    "C31_cloud_names",
+    """SELECT DISTINCT s_suppkey, 'aws-arn' AS ecosystem, CASE s_suppkey % 3 WHEN 0 THEN 'aws_s3' ELSE 'aws_sqs' END AS name FROM supplier WHERE s_suppkey % 3 < 2 AND (s_suppkey % 3 = 0 OR s_suppkey % 4 <> 0)
+    UNION ALL SELECT s_suppkey, 'image-uri', 'aws_ecr' FROM supplier WHERE s_suppkey % 5 IN (1, 2)""",
+)
+def _(t):
+    service = F.when(F.col("s_suppkey") % 3 == 0, "s3:::bucket").when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("sqs:eu-west-1:"), F.when(F.col("s_suppkey") % 4 == 0, "123456789012").otherwise("998877665544"), F.lit(":q"))).otherwise("nosuch:::x")
+    account = F.when(F.col("s_suppkey") % 5 == 1, "998877665544").when(F.col("s_suppkey") % 5 == 2, "111122223333").otherwise("000000000000")
+    text = F.concat(F.lit("uses arn:aws:"), service, F.lit(" and arn:aws:"), service, F.lit("\nimage: "), account, F.lit(".dkr.ecr.eu-west-1.amazonaws.com/app:1"))
+    slugs = t.spark.createDataFrame([("s3", "aws_s3"), ("sqs", "aws_sqs")], "slug string, canonical string")
+    return cloud_names(t.supplier.select("s_suppkey", text.alias("text")), "s_suppkey", "text", slugs)

@@ -1,4 +1,4 @@
-"""Keyed tables on any file system that Spark writes to: upserts, deletes and replacements that readers see whole or not at all.
+"""Keyed tables on a file system whose renames are atomic (HDFS, shared disks): upserts, deletes and replacements that readers see whole or not at all.
 
 Rows lie in ``buckets`` by a hash of their key. A change reads and writes only the buckets its rows fall in, into a new folder; then a manifest (where each
 bucket's files lie, and the last batch of each stream) is renamed into place. A write that dies before leaves the old table, and a batch
