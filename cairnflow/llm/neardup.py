@@ -256,6 +256,8 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches by row, nodes by set, components by node)."""
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"the lists and blocks are sized for similarities from {PERCENT} to 100 percent")
     wide = staged(sketched(docs, width), "sketches")
     sets = wide.where("doc_id is not null and set_key is not null")
     nodes = staged(sets.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")

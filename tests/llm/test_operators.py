@@ -292,6 +292,12 @@ def thue_morse(n):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
+def test_near_duplicates_refuse_similarities_they_are_not_sized_for(docs):
+    for percent in (30, 79, 101):
+        with pytest.raises(ValueError):
+            neardup.near_duplicates(docs, percent=percent)
+
+
 def test_structured_words_do_not_meet(spark):
     rows = [(2 * k + j, w, "en", "s", 0) for k, n in enumerate((512, 1024, 2048, 4096)) for j, w in enumerate(thue_morse(n))]
     found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
