@@ -198,9 +198,10 @@ def _(t):
 # -- hygiene -----------------------------------------------------------------
 
 
-@query("H1_pii_counts", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{r}')) AS n_{n.lower()}" for n, r in X.PII) + " FROM documents")
+@query("H1_pii_counts", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{r}')) AS n_{n.lower()}" for n, r in X.PII) + " FROM (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN ' 078-05-' || (1000 + doc_id % 9000) ELSE '' END AS text FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", *X.pii_counts(F.col("text")))
+    number = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" 078-05-"), (1000 + F.col("doc_id") % 9000).cast("string"))).otherwise("")
+    return t.documents.select("doc_id", F.concat("text", number).alias("text")).select("doc_id", *X.pii_counts(F.col("text")))
 
 
 def _nested(column: str, rules, mark: str = "[{}]") -> str:
@@ -254,9 +255,9 @@ def rubric(scores: DataFrame, key: str, dimension: str, points: Column, each: in
     return by.groupBy(key).agg(F.least(F.lit(most), F.sum("points")).alias("total")).withColumn("pass", F.col("total") >= least)
 
 
-@query("H11_rubric", "SELECT user_id, least(50, sum(points)) AS total, least(50, sum(points)) >= 35 AS pass FROM (SELECT user_id, event_type, least(10, count(*)) AS points FROM events GROUP BY 1, 2) x GROUP BY user_id")
+@query("H11_rubric", "SELECT user_id, least(50, sum(points)) AS total, least(50, sum(points)) >= 35 AS pass FROM (SELECT user_id, event_type, least(10, count(*)) AS points FROM events WHERE value < 25 GROUP BY 1, 2) x GROUP BY user_id")
 def _(t):
-    return rubric(t.events, "user_id", "event_type", F.count("*"))
+    return rubric(t.events.where("value < 25"), "user_id", "event_type", F.count("*"))
 
 
 # -- matching -----------------------------------------------------------------
@@ -605,9 +606,9 @@ def _(t):
     return x.withColumn("pass", F.col("coverage") >= 0.8)
 
 
-@query("N12_reading_time", "WITH x AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w, 1 + n_chars // 1500 AS stated FROM documents) SELECT doc_id, w / 200.0::DOUBLE AS minutes, abs(w / 200.0 - stated) <= 0.6 * (w / 200.0) + 1 AS plausible FROM x")
+@query("N12_reading_time", "WITH x AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w, 1 + n_chars // 1500 + CASE WHEN doc_id % 6 = 0 THEN 9 ELSE 0 END AS stated FROM documents) SELECT doc_id, w / 200.0::DOUBLE AS minutes, abs(w / 200.0 - stated) <= 0.6 * (w / 200.0) + 1 AS plausible FROM x")
 def _(t):
-    x = t.documents.select("doc_id", (F.regexp_count("text", F.lit("[^ \\t\\n\\r]+")) / F.lit(200.0)).alias("minutes"), (1 + F.floor(F.col("n_chars") / 1500)).alias("stated"))
+    x = t.documents.select("doc_id", (F.regexp_count("text", F.lit("[^ \\t\\n\\r]+")) / F.lit(200.0)).alias("minutes"), (1 + F.floor(F.col("n_chars") / 1500) + F.when(F.col("doc_id") % 6 == 0, 9).otherwise(0)).alias("stated"))
     return x.select("doc_id", "minutes", (F.abs(F.col("minutes") - F.col("stated")) <= 0.6 * F.col("minutes") + 1).alias("plausible"))
 
 
@@ -623,10 +624,10 @@ def _(t):
     return pairs.groupBy("item_id").agg(F.count("*").alias("supported"))
 
 
-@query("N16_pitch_alignment", "WITH x AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(lower(substr(text, 1, 220)), '[a-z]+'), lambda w: regexp_replace(w, '^([a-z]{4,})(?:ly|ing)$', '\\1'))) AS a, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: regexp_replace(w, '^([a-z]{4,})(?:ly|ing)$', '\\1'))) AS b FROM benchmark) SELECT item_id, len(list_intersect(a, b)) / greatest(len(b), 1) >= 0.3 AS aligned, len(a) AS n FROM x")
+@query("N16_pitch_alignment", "WITH x AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(lower(substr(text, 1, CAST(5 + item_id * 13 % 200 AS INT))), '[a-z]+'), lambda w: regexp_replace(w, '^([a-z]{4,})(?:ly|ing)$', '\\1'))) AS a, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: regexp_replace(w, '^([a-z]{4,})(?:ly|ing)$', '\\1'))) AS b FROM benchmark) SELECT item_id, len(list_intersect(a, b)) / greatest(len(b), 1) >= 0.3 AS aligned, len(a) AS n FROM x")
 def _(t):
     stems = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0), X.stem))
-    x = t.benchmark.select("item_id", stems(F.substring("text", 1, 220)).alias("a"), stems(F.col("text")).alias("b"))
+    x = t.benchmark.select("item_id", stems(F.left("text", 5 + F.col("item_id") * 13 % 200)).alias("a"), stems(F.col("text")).alias("b"))
     return x.select("item_id", (F.size(F.array_intersect("a", "b")) / F.greatest(F.size("b"), F.lit(1)) >= 0.3).alias("aligned"), F.size("a").cast("long").alias("n"))
 
 

@@ -319,10 +319,10 @@ def echoed(question: Column, answer: Column, facts: Column) -> Column:
     return F.array_except(F.array_intersect(question, answer), facts)
 
 
-@query("N17_query_echo", "WITH x AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 20, 60)), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(substr(text, 1, 40)), '[a-z0-9]+')) AS f FROM benchmark) SELECT item_id, len(list_filter(list_intersect(q, a), lambda w: NOT list_contains(f, w))) >= 2 AS echo FROM x")
+@query("N17_query_echo", "WITH x AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 20, 60)), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(substr(text, 1, CAST(10 + item_id * 7 % 90 AS INT))), '[a-z0-9]+')) AS f FROM benchmark) SELECT item_id, len(list_filter(list_intersect(q, a), lambda w: NOT list_contains(f, w))) >= 2 AS echo FROM x")
 def _(t):
     bag = lambda c: F.array_distinct(tokens(c))
-    return t.benchmark.select("item_id", (F.size(echoed(bag(F.substring("text", 20, 60)), bag(F.col("text")), bag(F.substring("text", 1, 40)))) >= 2).alias("echo"))
+    return t.benchmark.select("item_id", (F.size(echoed(bag(F.substring("text", 20, 60)), bag(F.col("text")), bag(F.left("text", 10 + F.col("item_id") * 7 % 90)))) >= 2).alias("echo"))
 
 
 def repo_recall(wanted: DataFrame, found: DataFrame, case: str) -> DataFrame:

@@ -57,12 +57,9 @@ def _(t):
     return t.documents.select("doc_id", w.alias("w")).select("doc_id", F.array_contains("w", "the").alias("has_the"), F.arrays_overlap("w", F.array(F.lit("that"), F.lit("und"))).alias("overlaps"), (F.size(F.array_except(both, "w")) == 0).alias("contains_all"))
 
 
-@query(
-    "P4_for_all_signals",
-    "SELECT page_id, contains(html, '<nav') AND contains(html, '<p') AND contains(html, 'charset') AS all_signals FROM pages",
-)
+@query("P4_for_all_signals", """SELECT page_id, contains(html, '<nav') AND contains(html, 'charset') AND contains(html, 'lang="fr"') AS all_signals FROM pages""")
 def _(t):
-    keys = F.array(*[F.lit(x) for x in ("<nav", "<p", "charset")])
+    keys = F.array(*[F.lit(x) for x in ("<nav", "charset", 'lang="fr"')])
     return t.pages.select("page_id", F.forall(keys, lambda k: F.contains("html", k)).alias("all_signals"))
 
 
@@ -203,7 +200,7 @@ def _(t):
     return t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
-plain("A12_month_to_date", "SELECT user_id, spent, CASE WHEN spent >= 60000 THEN 'exceeded' WHEN spent >= 48000 THEN 'approaching' ELSE 'ok' END AS status FROM (SELECT user_id, sum(CAST(round(value * 100) AS BIGINT)) AS spent FROM {events} WHERE ts >= date_trunc('month', TIMESTAMP '2024-01-30 12:00:00') GROUP BY user_id) m")
+plain("A12_month_to_date", "SELECT user_id, spent, CASE WHEN spent >= 250000 THEN 'exceeded' WHEN spent >= 200000 THEN 'approaching' ELSE 'ok' END AS status FROM (SELECT user_id, sum(CAST(round(value * 100) AS BIGINT)) AS spent FROM {events} WHERE ts >= date_trunc('month', TIMESTAMP '2024-01-30 12:00:00') GROUP BY user_id) m")
 
 
 @query("A13_rate_limit", "SELECT user_id, count(*) AS n, count(*) >= 2 AS limited FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY user_id")
@@ -220,7 +217,7 @@ def _(t):
 
 
 plain("A15_median", "SELECT event_type, round(median(value), 6) AS mid FROM {events} GROUP BY event_type")
-plain("A16_or_fold", "SELECT user_id, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'error') AS failed, bool_and(value >= 0) AS all_positive FROM {events} GROUP BY user_id")
+plain("A16_or_fold", "SELECT user_id, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'error') AS failed, bool_and(value >= 0) AS all_positive FROM {events} WHERE value > 95 GROUP BY user_id")
 
 
 @query("A17_merge_lanes", "SELECT user_id, event_type, count(*) AS n, arg_min(CAST(json_extract(props, '$.k') AS BIGINT), event_id) FILTER (WHERE json_extract(props, '$.k') IS NOT NULL) AS first_k FROM events GROUP BY 1, 2")

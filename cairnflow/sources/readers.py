@@ -218,9 +218,9 @@ def _(t):
     return registry_rows(t.nation.select(F.col("n_name").alias("name")), "1$")
 
 
-@query("S7_capped_body", "SELECT page_id, length(substr(url, 1, 32)) AS n, length(url) > 32 AS truncated FROM pages")
+@query("S7_capped_body", "SELECT page_id, least(octet_length(encode(html)), 2000)::BIGINT AS n, octet_length(encode(html)) > 2000 AS truncated FROM pages")
 def _(t):
-    c = capped(F.col("url").cast("binary"), 32)
+    c = capped(F.col("html").cast("binary"), 2000)
     return t.pages.select("page_id", F.octet_length(c["body"]).cast("long").alias("n"), c["truncated"].alias("truncated"))
 
 
