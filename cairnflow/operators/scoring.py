@@ -396,9 +396,21 @@ def _(t):
     return file_impact(changes, "source", "added", "removed", "patch", "doc_id")
 
 
-def depth_of(share: Column) -> Column:
-    """How deep tests (or documents) go by their share."""
-    return F.when(share >= 0.5, "deep").when(share >= 0.2, "some").otherwise("none")
+def test_signal(source: Column, test: Column) -> Column:
+    """How far tests go by test files for each source file: none, light, moderate from 0.2, strong from 0.5."""
+    ratio = test / F.greatest(source, F.lit(1))
+    return F.when(test == 0, "none").when(ratio >= 0.5, "strong").when(ratio >= 0.2, "moderate").otherwise("light")
+
+
+def ci_maturity(ci: Column, argocd: Column, manifests: Column, deploys: Column, image: Column) -> Column:
+    """None without CI; multi_env with a delivery controller, or manifests and a deployment workflow; deploys_to_prod with a workflow or an image; else basic."""
+    ci, argocd, manifests, deploys, image = (F.coalesce(c, F.lit(False)) for c in (ci, argocd, manifests, deploys, image))
+    return F.when(~ci, "none").when(argocd | manifests & deploys, "multi_env").when(deploys | image, "deploys_to_prod").otherwise("basic")
+
+
+def doc_density(docs: Column, site: Column) -> Column:
+    """Comprehensive with a documentation site, docs_dir from ten documents, readme_only from one, else none."""
+    return F.when(F.coalesce(site, F.lit(False)), "comprehensive").when(docs >= 10, "docs_dir").when(docs > 0, "readme_only").otherwise("none")
 
 
 def to_step(share: Column, step: int = 5) -> Column:
@@ -406,10 +418,32 @@ def to_step(share: Column, step: int = 5) -> Column:
     return (F.round(share * 100 / step) * step).cast("long")
 
 
-@query("E17_depth_markers", "SELECT l_suppkey, CASE WHEN r >= 0.5 THEN 'deep' WHEN r >= 0.2 THEN 'some' ELSE 'none' END AS tests, CAST(round(r * 20) * 5 AS BIGINT) AS mix FROM (SELECT l_suppkey, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS DOUBLE) / count(*) AS r FROM lineitem GROUP BY l_suppkey) x")
+def evidence_mix(app: Column, infra: Column) -> Column:
+    """The share of application files among those of application and infrastructure in percent, to steps of five; null unless there are both."""
+    return F.when((app > 0) & (infra > 0), to_step(app / (app + infra)))
+
+
+@query(
+    "E17_depth_markers",
+    """WITH x AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'N') AS source, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber < 1 + l_suppkey % 4) AS test, count(*) FILTER (WHERE l_returnflag = 'A' AND l_linenumber = 7 AND l_suppkey % 2 = 0) AS docs,
+      count(*) FILTER (WHERE l_returnflag = 'A' AND l_suppkey % 3 > 0) AS infra FROM lineitem GROUP BY 1)
+    SELECT l_suppkey, CASE WHEN test = 0 THEN 'none' WHEN test::DOUBLE / greatest(source, 1) >= 0.5 THEN 'strong' WHEN test::DOUBLE / greatest(source, 1) >= 0.2 THEN 'moderate' ELSE 'light' END AS tests,
+      CASE WHEN l_suppkey % 5 = 0 THEN 'none' WHEN l_suppkey % 7 = 0 OR l_suppkey % 2 = 0 AND l_suppkey % 3 = 0 THEN 'multi_env' WHEN l_suppkey % 3 = 0 OR l_suppkey % 11 = 0 THEN 'deploys_to_prod' ELSE 'basic' END AS ci,
+      CASE WHEN l_suppkey % 13 = 0 THEN 'comprehensive' WHEN docs >= 10 THEN 'docs_dir' WHEN docs > 0 THEN 'readme_only' ELSE 'none' END AS docs,
+      CASE WHEN source + test > 0 AND infra > 0 THEN CAST(round((source + test)::DOUBLE / (source + test + infra) * 20) * 5 AS BIGINT) END AS mix FROM x""",
+)
 def _(t):
-    x = t.lineitem.groupBy("l_suppkey").agg((F.count_if(F.col("l_linestatus") == "O") / F.count("*")).alias("r"))
-    return x.select("l_suppkey", depth_of(F.col("r")).alias("tests"), to_step(F.col("r")).alias("mix"))
+    flag, line, k = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_suppkey")
+    lanes = {"source": flag == "N", "test": (flag == "R") & (line < 1 + k % 4), "docs": (flag == "A") & (line == 7) & (k % 2 == 0), "infra": (flag == "A") & (k % 3 > 0)}
+    x = t.lineitem.groupBy("l_suppkey").agg(*[F.count_if(c).alias(n) for n, c in lanes.items()])
+    app = F.col("source") + F.col("test")
+    return x.select(
+        "l_suppkey",
+        test_signal(F.col("source"), F.col("test")).alias("tests"),
+        ci_maturity(k % 5 != 0, k % 7 == 0, k % 2 == 0, k % 3 == 0, k % 11 == 0).alias("ci"),
+        doc_density(F.col("docs"), k % 13 == 0).alias("docs"),
+        evidence_mix(app, F.col("infra")).alias("mix"),
+    )
 
 
 def top_areas(rows: DataFrame, repo: str, area: str, per_repo: int, most: int) -> DataFrame:
