@@ -164,6 +164,76 @@ def _(t):
     return attached_passages(ledger, passages)
 
 
+# -- D13: experience coverage ----------------------------------------------------------
+
+# Words of a requirement that only stress it.
+EMPHASIS = frozenset("mission critical rapid rapidly complex deep extensive engineering analysis management".split())
+
+
+def light_stem(word: str) -> str:
+    """A word in lower case without a last -ly or -ing, where four letters stay."""
+    low = word.lower()
+    for end in ("ly", "ing"):
+        if low.endswith(end) and len(low) - len(end) >= 4:
+            return low[: -len(end)]
+    return low
+
+
+def shows_skill(skill: str, text: str, emphasis: frozenset[str] = EMPHASIS) -> bool:
+    """Whether a text shows a required skill: its words but those of emphasis stand together there (M2), as they are or stemmed; or, of "base (one, two, ...)", the base
+    does or one of the members is named."""
+
+    def core(what: str) -> bool:
+        words = re.findall("[a-z0-9]+", what.lower())
+        words = [w for w in words if w not in emphasis] or words
+        stemmed = re.sub("[A-Za-z]+", lambda m: light_stem(m[0]), text)
+        return P.near_phrase(" ".join(words), text) or P.near_phrase(" ".join(map(light_stem, words)), stemmed)
+
+    if core(skill):
+        return True
+    base, opened, rest = skill.strip().partition("(")
+    if not opened or not rest.endswith(")"):
+        return False
+    padded = f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
+    members = (" ".join(re.findall("[a-z0-9]+", m.lower())) for m in rest[:-1].split(","))
+    return bool(base.strip()) and core(base) or any(len(m) >= 3 and f" {m} " in padded for m in members)
+
+
+def experience_coverage(bullets: DataFrame, targets: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """(key, skill, covered): for each group of bullets (key, text, sources) whether one of them covers each target (skill, anchors): a bullet with a source among the
+    anchors does, or one whose text shows the skill. At most ``most`` targets, which go to every task."""
+    import pyarrow as pa
+
+    wanted = [(r.skill, frozenset(r.anchors or ())) for r in targets.select("skill", "anchors").distinct().limit(most + 1).collect()]
+    if len(wanted) > most:
+        raise ValueError(f"more than {most} targets: split them and run one part after the other")
+
+    def run(batches):
+        for batch in batches:
+            keys, hits, skills = batch.column(0), [], []
+            for i, (text, sources) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for skill, anchors in wanted:
+                    if anchors & set(sources or ()) or text and shows_skill(skill, text):
+                        hits.append(i)
+                        skills.append(skill)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(hits, pa.int64())), pa.array(skills, pa.string())], [key, "skill"])
+
+    kind = bullets.schema[key].dataType.simpleString()
+    covered = bullets.select(key, "text", "sources").mapInArrow(run, f"`{key}` {kind}, skill string").distinct().withColumn("hit_", F.lit(True))
+    every = bullets.select(key).distinct().join(F.broadcast(targets.select("skill").distinct()))
+    return every.join(covered, [key, "skill"], "left").select(key, "skill", F.coalesce("hit_", F.lit(False)).alias("covered"))
+
+
+_TARGETS = [("idiot trash", None), ("deeply idiotic (stupid, worthless things, etc.)", None), ("mission critical", ["3"]), ("rapid trashing", None), ("no such skill", None)]
+
+
+@query("D13_experience_coverage")
+def _(t):
+    lines = t.documents.select("source", F.array(F.pmod("doc_id", F.lit(50)).cast("string")).alias("sources"), F.explode(F.split("text", "\n")).alias("text"))
+    targets = t.spark.createDataFrame(_TARGETS, "skill string, anchors array<string>")
+    return experience_coverage(lines.where("source is not null and length(text) > 0"), targets, "source")
+
+
 # -- H1, H2: spans on the original text ----------------------------------------------
 
 #: Words after which two capitalised words are a person's name.

@@ -198,3 +198,15 @@ def test_alias_mentions_and_undeveloped_terms(spark):
     texts = ["`a.b=c1` once", "`a.b=c1` `a.b=c1`", "`a.b=c1`\n```\na.b=c1\n```", "```x\n```\n`a.b=c1`\n```y\n```", "`http://x.y` `no dots` `a.b`", "", None]
     found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", G.undeveloped(F.col("t")).alias("u")).collect()
     assert {r.i: r.u for r in found} == {0: ["a.b=c1"], 1: [], 2: [], 3: [], 4: [], 5: [], 6: None}
+
+
+def test_experience_coverage(spark):
+    from cairnflow.operators import grounding as G
+
+    assert [G.light_stem(w) for w in ("Rapidly", "fly", "learning", "ring", "coding")] == ["rapid", "fly", "learn", "ring", "coding"]
+    said = [("kafka streaming", "Built a stream on Kafka"), ("rapid incident response", "responding to an incident"), ("mission critical", "mission critical work"), ("scripting (Python, Go, etc.)", "wrote python tools"), ("scripting (Python)", "scripts daily"), ("scripting (R)", "r tools"), ("graph (", "graph theory")]
+    assert [G.shows_skill(a, b) for a, b in said] == [True, False, True, True, False, False, True]
+    bullets = spark.createDataFrame([("u", "Kafka stream jobs", ["repo/a"]), ("u", None, None), ("v", "nothing", ["repo/b"])], "k string, text string, sources array<string>")
+    targets = spark.createDataFrame([("kafka streaming", None), ("held elsewhere", ["repo/b"]), ("absent", [])], "skill string, anchors array<string>")
+    found = {(r.k, r.skill): r.covered for r in G.experience_coverage(bullets, targets, "k").collect()}
+    assert found == {("u", "kafka streaming"): True, ("u", "held elsewhere"): False, ("u", "absent"): False, ("v", "kafka streaming"): False, ("v", "held elsewhere"): True, ("v", "absent"): False}
