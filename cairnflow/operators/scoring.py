@@ -414,8 +414,8 @@ def doc_density(docs: Column, site: Column) -> Column:
 
 
 def to_step(share: Column, step: int = 5) -> Column:
-    """A share in percent, rounded to a step."""
-    return (F.round(share * 100 / step) * step).cast("long")
+    """A share in percent, rounded to a step: the nearest whole number of steps, counted in one product as in its SQL (0.575 is 11.5 steps of 5)."""
+    return (F.round(share * (100 / step)) * step).cast("long")
 
 
 def evidence_mix(app: Column, infra: Column) -> Column:
