@@ -181,6 +181,14 @@ def alignment(resume: Column, unsupported: Column) -> Column:
     return F.when(~F.coalesce(resume, F.lit(False)), 0).when(unsupported.isNull(), 50).otherwise(100 - F.least(F.lit(80), unsupported * 10)).cast("int")
 
 
+def whole_mean(value: Column) -> Column:
+    """The mean of doubles, rounded down. Their decimal forms are added exactly, so the order of rows cannot push a mean that is a whole number below it; values that
+    have none (infinite, not a number, over 10^28) are averaged as doubles."""
+    exact = value.try_cast("decimal(38, 10)")
+    mean = F.when(F.count(exact) == F.count(value), F.try_sum(exact)).otherwise(None) / F.count(value)
+    return F.coalesce(F.floor(mean).cast("int"), F.floor(F.avg(value)).cast("int"))
+
+
 def diagnostic(*components: Column) -> Column:
     """Five components of 0 to 100, each worth 20."""
     total = components[0]
@@ -196,7 +204,7 @@ def blockers(*rules: tuple[Column, str], most: int = 2) -> Column:
 
 @query("E7_diagnostic", "WITH x AS (SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS n, CAST(floor(avg(value)) AS INT) AS v, count(*) FILTER (WHERE value > 60) AS high FROM events GROUP BY 1), p AS (SELECT user_id, kinds, n, least(60, greatest(kinds - 3, 0) * 20) + least(10, n % 12) * 2 + CASE WHEN n % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN v > 50 THEN 10 ELSE 0 END AS a, least(60, round(high / n * 60)) + round(least(1.0::DOUBLE, v / 100.0::DOUBLE) * 40) AS b, CASE WHEN n > 60 THEN 60 ELSE 0 END + CASE WHEN v % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN kinds >= 3 THEN 20 ELSE 0 END AS c, CASE WHEN n % 5 = 0 THEN 0 WHEN n % 3 = 0 THEN 50 ELSE 100 - least(80, n % 12 * 10) END AS d, CASE WHEN n >= 50 THEN 25 ELSE 0 END + CASE WHEN n >= 70 THEN 25 ELSE 0 END + CASE WHEN kinds >= 1 THEN 25 ELSE 0 END + CASE WHEN v >= 45 THEN 25 ELSE 0 END AS e FROM x) SELECT user_id, CAST(round((a + b + c + d + e) * 20 / 100.0::DOUBLE) AS INT) AS overall, array_to_string(list_slice(list_filter([CASE WHEN kinds < 5 THEN 'languages' END, CASE WHEN n % 12 < 3 THEN 'repos' END, CASE WHEN n % 2 <> 0 THEN 'mirror' END], lambda s: s IS NOT NULL), 1, 2), ',') AS blockers FROM p")
 def _(t):
-    n, v = F.count("*"), F.floor(F.avg("value")).cast("int")
+    n, v = F.count("*"), whole_mean(F.col("value"))
     x = t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), n.alias("n"), v.alias("v"), F.count_if(F.col("value") > 60).alias("high"))
     c = F.col
     depth = profile_depth(c("kinds") - 3, c("n") % 12, c("n") % 2 == 0, c("v") > 50)
