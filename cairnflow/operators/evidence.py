@@ -16,12 +16,20 @@ from .documents import line_windows
 def first_cover(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """For each ``wanted`` (w, w_tokens) the first of ``held`` (h, h_tokens) whose tokens contain its tokens or lie within them.
 
-    Candidates share a token; the pairs that share none are never made."""
-    a = wanted.select("w", "w_tokens", F.explode("w_tokens").alias("t"))
-    b = held.select("h", "h_tokens", F.explode("h_tokens").alias("t"))
-    near = a.join(b, "t").dropDuplicates(["w", "h"])
-    inside = (F.size(F.array_except("w_tokens", "h_tokens")) == 0) | (F.size(F.array_except("h_tokens", "w_tokens")) == 0)
-    return near.where(inside).groupBy("w").agg(F.min("h").alias("h"))
+    Rows of equal tokens are one set, a held one under its first row. Of two sets one of which lies within the other, the larger holds the rarest token of the smaller, so
+    sets meet by that one token; sets without tokens cover nothing."""
+    key = lambda c: F.array_sort(F.array_distinct(c)).alias("ts")
+    a = staged(wanted.select("w", key("w_tokens")), "wanted-tokens")
+    sets = staged(a.select("ts").distinct(), "wanted-sets")
+    held_sets = staged(held.select("h", key("h_tokens")).groupBy("ts").agg(F.min("h").alias("h")), "held-sets")
+    each, held_each = sets.select("ts", F.explode("ts").alias("t")), held_sets.select("ts", "h", F.explode("ts").alias("t"))
+    often = staged(each.select("t").unionAll(held_each.select("t")).groupBy("t").agg(F.count("*").alias("n")), "token-counts")
+    rarest = lambda rows: rows.join(often, "t").groupBy("ts").agg(F.min_by("t", F.struct("n", "t")).alias("t"))
+    within = lambda x, y: F.size(F.array_except(x, y)) == 0
+    up = rarest(each).withColumnRenamed("ts", "w_ts").join(held_each, "t").where(within("w_ts", "ts")).select(F.col("w_ts").alias("ts"), "h")
+    down = rarest(held_each).withColumnRenamed("ts", "h_ts").join(each, "t").where(within("h_ts", "ts")).join(held_sets.withColumnRenamed("ts", "h_ts"), "h_ts").select("ts", "h")
+    best = up.unionAll(down).groupBy("ts").agg(F.min("h").alias("h"))
+    return a.join(best, "ts").groupBy("w").agg(F.min("h").alias("h"))
 
 
 @query(
@@ -327,11 +335,17 @@ def _(t):
 
 def repo_recall(wanted: DataFrame, found: DataFrame, case: str) -> DataFrame:
     """For each case (case, wanted) the share of wanted repositories that occur in any found source (case, source), case-insensitively; 0 where
-    nothing is wanted (a null)."""
-    held = found.groupBy(case).agg(F.collect_set(F.lower("source")).alias("sources_"))
-    hit = F.exists(F.coalesce("sources_", F.array().cast("array<string>")), lambda s: F.contains(s, F.lower("wanted")))
-    rows = wanted.join(held, case, "left").withColumn("hit_", F.when(F.col("wanted").isNotNull(), hit))
-    return rows.groupBy(case).agg(F.round(F.coalesce(F.avg(F.col("hit_").cast("double")), F.lit(0.0)), 6).alias("recall"))
+    nothing is wanted (a null). A source is cut into its pieces of the lengths that are wanted, which meet the wanted ones of their case as equal strings, so no source
+    is compared with all that is wanted."""
+    rows = wanted.withColumn("w_", F.lower("wanted"))
+    names = rows.where("w_ is not null").select(case, "w_").distinct()
+    lengths = names.groupBy(F.length("w_").alias("l")).agg(F.count("*").alias("n"))  # as many rows as there are lengths
+    sources = found.where("source is not null").select(case, F.lower("source").alias("s")).distinct().join(F.broadcast(lengths.select("l")), F.length("s") >= F.col("l"))
+    starts = F.sequence(F.lit(1), F.when(F.col("l") > 0, F.length("s") - F.col("l") + 1).otherwise(1))
+    pieces = sources.select(case, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("s"), i, F.col("l"))))).alias("w_"))
+    hits = names.join(pieces, [case, "w_"], "left_semi").withColumn("hit_", F.lit(1.0))
+    rows = rows.join(hits, [case, "w_"], "left").withColumn("hit_", F.when(F.col("wanted").isNotNull(), F.coalesce("hit_", F.lit(0.0))))
+    return rows.groupBy(case).agg(F.round(F.coalesce(F.avg("hit_"), F.lit(0.0)), 6).alias("recall"))
 
 
 def gate(recalls: DataFrame, kind: str, positive: float, negative: float) -> DataFrame:
