@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -170,6 +171,7 @@ def _(t):
 EMPHASIS = frozenset("mission critical rapid rapidly complex deep extensive engineering analysis management".split())
 
 
+@lru_cache(1 << 16)
 def light_stem(word: str) -> str:
     """A word in lower case without a last -ly or -ing, where four letters stay."""
     low = word.lower()
@@ -179,6 +181,12 @@ def light_stem(word: str) -> str:
     return low
 
 
+@lru_cache(4)
+def stemmed_text(text: str) -> str:
+    """A text with its words stemmed, once for all skills that are looked for in it."""
+    return re.sub("[A-Za-z]+", lambda m: light_stem(m[0]), text)
+
+
 def shows_skill(skill: str, text: str, emphasis: frozenset[str] = EMPHASIS) -> bool:
     """Whether a text shows a required skill: its words but those of emphasis stand together there (M2), as they are or stemmed; or, of "base (one, two, ...)", the base
     does or one of the members is named."""
@@ -186,8 +194,12 @@ def shows_skill(skill: str, text: str, emphasis: frozenset[str] = EMPHASIS) -> b
     def core(what: str) -> bool:
         words = re.findall("[a-z0-9]+", what.lower())
         words = [w for w in words if w not in emphasis] or words
-        stemmed = re.sub("[A-Za-z]+", lambda m: light_stem(m[0]), text)
-        return P.near_phrase(" ".join(words), text) or P.near_phrase(" ".join(map(light_stem, words)), stemmed)
+        if P.near_phrase(" ".join(words), text):
+            return True
+        stems = [light_stem(w) for w in words]
+        if text.isascii() and any(w.isalpha() and w not in text.lower() for w in stems):
+            return False  # a word's stem is how it begins, so one that is nowhere in the text is no stem of its words
+        return P.near_phrase(" ".join(stems), stemmed_text(text))
 
     if core(skill):
         return True
@@ -209,14 +221,19 @@ def experience_coverage(bullets: DataFrame, targets: DataFrame, key: str, most:
         raise ValueError(f"more than {most} targets: split them and run one part after the other")
 
     def run(batches):
+        seen: set = set()  # what this task has found for a group: its later bullets need not show it again
         for batch in batches:
             keys, hits, skills = batch.column(0), [], []
-            for i, (text, sources) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            for i, (k, text, sources) in enumerate(zip(keys.to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                held = set(sources or ())
                 for skill, anchors in wanted:
-                    if anchors & set(sources or ()) or text and shows_skill(skill, text):
+                    if (k, skill) not in seen and (anchors & held or text and shows_skill(skill, text)):
                         hits.append(i)
                         skills.append(skill)
+                        seen.add((k, skill))
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(hits, pa.int64())), pa.array(skills, pa.string())], [key, "skill"])
+            if len(seen) > 1_000_000:
+                seen.clear()
 
     kind = bullets.schema[key].dataType.simpleString()
     covered = bullets.select(key, "text", "sources").mapInArrow(run, f"`{key}` {kind}, skill string").distinct().withColumn("hit_", F.lit(True))
