@@ -9,8 +9,10 @@ components. In lists of over ``SHORT`` nodes that several components share, the
 linked to a random node of it, another in each list, up to ``TURNS`` times. After that only pairs across components are proposed:
 directly in lists of at most ``SHORT`` nodes; nodes in longer lists are listed again under all values of their sketch, and short lists
 among those propose the rest. Nodes most of whose sketch lies in long lists (``MOSTLY`` values or more) are compared by their whole sets
-inside their long lists: blocks of the strays that are left meet blocks of all nodes, both of bounded size, and only links
-that join components (fewer than the rows) leave a pair of blocks.
+inside their long lists, but for those that hold too many shingles alone to be similar to any other (``_linkable``); lists around one component
+are one where that makes fewer pairs, as their nodes are mostly the same (``_merged``). Blocks of the strays that are left meet blocks of all nodes, both
+of bounded size, and only links that join components (fewer than the rows) leave a pair of blocks. What is compared there still grows with strays
+times nodes of a list: of nodes that are neither similar nor told apart by shingles of their own, each pair has to be looked at.
 
 Two sets of similarity 0.8 or more share none of the listed values with a chance of at most 0.2 ** 12 = 4e-9, and fail the
 estimate (six standard deviations) with a chance of the order of 1e-8; sets of at most ``SKETCH`` shingles are compared exactly throughout.
@@ -182,6 +184,35 @@ def _whole(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return _only(texts, "node", ids).mapInArrow(run, "node long, whole binary")
 
 
+def _linkable(whole: DataFrame, percent: int) -> DataFrame:
+    """The nodes of ``whole`` (node, whole) that may be similar to another one: shingles that a node alone holds are in no intersection, so the others must
+    make ``percent`` of its set."""
+
+    def run(batches):
+        for batch in batches:
+            data = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in batch.column(1)]
+            wide = np.zeros((sum(map(len, data)), 8), np.uint8)
+            wide[:, 2:] = np.concatenate([np.zeros((0, 6), np.uint8), *data])
+            yield pa.RecordBatch.from_arrays([pa.array(wide.view("<i8").ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in data]))], ["shingle", "node"])
+
+    held = whole.mapInArrow(run, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("node"))
+    alone = held.where("many = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    size = F.octet_length("whole") / 6
+    return whole.select("node", size.alias("n")).join(alone, "node", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).select("node")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Rows (value, main, node, n, comp, stray) of long lists as (value, node, n, comp, stray): lists of one main component are one list, each node once, where
+    that makes no more pairs of a stray and a node than the lists on their own. Nodes that share a list share one still."""
+    counts = [F.count(F.when(F.col("stray"), 1)).alias("strays"), F.count(F.lit(1)).alias("nodes")]
+    apart = rows.groupBy("main", "value").agg(*counts).groupBy("main").agg(F.sum(F.col("strays") * F.col("nodes")).alias("apart"))
+    once = rows.select(F.col("main").alias("value"), "node", "n", "comp", "stray").distinct()
+    together = once.groupBy(F.col("value").alias("main")).agg(*counts).select("main", (F.col("strays") * F.col("nodes")).alias("together"))
+    fewer = _few(staged(apart.join(together, "main").where("together <= apart").select("main"), "merged-lists"))
+    whole = once.join(fewer, F.col("value") == F.col("main"), "left_semi")
+    return whole.unionByName(rows.join(fewer, "main", "left_anti").drop("main"))
+
+
 def _blocked(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across components within long lists: of rows (value, node, n, comp, stray, whole), each block of a list's strays
     meets each block of its nodes, and gives a spanning forest of their links. ``whole`` is added to both by the join after the dealing."""
@@ -283,10 +314,10 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
         return frame.join(comps, F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("c_node")
 
     def mixed(lists: DataFrame) -> DataFrame:
-        """The rows (value, node, n, comp) of lists that several components share, and whether they lie outside the largest."""
+        """The rows (value, node, n, comp) of lists that several components share, the largest of these (main), and whether they lie outside it (stray)."""
         sizes = lists.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("many"))
         main = staged(sizes.groupBy("value").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "main-components")
-        return lists.join(_few(main, 24), "value").withColumn("stray", F.col("comp") != F.col("main")).drop("main")
+        return lists.join(_few(main, 24), "value").withColumn("stray", F.col("comp") != F.col("main"))
 
     for turn in range(TURNS):
         lists = staged(mixed(with_comp(hot.select("value", "node", "n"))), "mixed-long")
@@ -319,8 +350,10 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
         loose = known.where(F.col("refs") <= SHORT).drop("refs")
         loose = with_comp(loose).join(few, F.col("node") == F.col("m_node"), "left").withColumn("c_busy", F.col("m_node").isNotNull())
         pairs = pairs.union(_across(loose, percent, apart=True))
-        rest = staged(mixed(_only(lists.select("value", "node", "n", "comp"), "node", mostly)), "dense-rows")
-        dense = staged(_blocked(_dealt(rest).join(_whole(docs, mostly, width), "node"), percent).distinct(), "dense-links")
+        whole = staged(_whole(docs, mostly, width), "dense-sets")
+        near = staged(_linkable(whole, percent), "dense-nodes")
+        rest = staged(_merged(staged(mixed(_only(lists.select("value", "node", "n", "comp"), "node", near)), "dense-lists")), "dense-rows")
+        dense = staged(_blocked(_dealt(rest).join(_only(whole, "node", near), "node"), percent).distinct(), "dense-links")
     pairs = staged(pairs.distinct(), "cross-pairs")
     pairs = staged(estimated(pairs, nodes, percent), "cross-estimates")
     if dense is not None:

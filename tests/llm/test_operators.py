@@ -285,6 +285,26 @@ def test_near_duplicates(docs, rows, monkeypatch, short, turns):
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id is None or r.doc_id == r.component_id)
 
 
+def test_a_group_of_near_copies_is_dealt_to_few_blocks(spark, monkeypatch):
+    """Copies that differ by more than the limit share lists but no links: those with many shingles of their own are in no block, and lists of the same copies are one."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for at in r.sample(range(200), (1, 6, 20)[i % 3]):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text), "en", "s", 0))
+    for name, size in (("SHORT", 4), ("BLOCK", 8), ("TURNS", 0)):
+        monkeypatch.setattr(neardup, name, size)
+    dealt = []
+    monkeypatch.setattr(neardup, "_blocked", lambda rows, percent, was=neardup._blocked: dealt.append(rows.count()) or was(rows, percent))
+    want = near_brute(rows, 4)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: want[i] for i in range(90)}
+    assert dealt and dealt[0] < 10 * len(rows)
+
+
 def thue_morse(n):
     word = "a"
     while len(word) < n:
