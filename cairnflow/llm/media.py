@@ -229,9 +229,11 @@ def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame, bytes]:
     dictionary = trained(docs)
     lists = staged(chunked(docs, None).select("key", "seq", "chunk", "n").dropDuplicates(["key", "seq"]), "chunk-lists")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (lists.agg(F.sum("n")).first()[0] or 0) >> 28)
-    frames = chunked(docs, dictionary).select("chunk", "frame").repartition(parts, "chunk").groupBy("chunk").agg(F.first("frame").alias("frame"))
     own = docs.sparkSession.createDataFrame([(digest(dictionary), dictionary)], "chunk binary, frame binary")
-    return lists, staged_by(frames.unionByName(own), "chunk-store", "chunk", parts), digest(dictionary)
+    frames = chunked(docs, dictionary).select("chunk", "frame").unionByName(own)
+    # frames are dealt once, to the buckets that they are written in
+    store = staged_by(frames, "chunk-store", "chunk", parts, lambda dealt: dealt.groupBy("chunk").agg(F.first("frame").alias("frame")))
+    return lists, store, digest(dictionary)
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
