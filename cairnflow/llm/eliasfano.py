@@ -20,6 +20,10 @@ def quantised(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(code, 1, 255), 0).astype(np.uint8)
 
 
+#: The place of the nth one (from 0) in each byte; ones in all, or the highest bits, of eight bytes.
+_NTH = np.array([[([p for p in range(8) if b >> p & 1] + [8] * 8)[n] for n in range(8)] for b in range(256)], np.uint8).ravel()
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+
 LEVELS = np.r_[0.0, 10.0 ** ((np.arange(1, 256) - 255) / STEPS)]
 
 
@@ -54,16 +58,25 @@ class EliasFano:
             return np.zeros(len(i), _U)
         bit = i.astype(np.int64) * self.low_bits
         byte = bit >> 3
-        word = np.zeros(len(i), _U)
-        for k in range(8):
-            word |= self.low[byte + k].astype(_U) << _U(8 * k)
+        # eight bytes from each byte on
+        word = np.ndarray((len(self.low) - 7,), "<u8", self.low, 0, (1,))[byte]
         return (word >> (bit & 7).astype(_U)) & _U((1 << self.low_bits) - 1)
 
     def _in_word(self, word: np.ndarray, nth: np.ndarray, bit: int) -> np.ndarray:
         """The position of the nth (from 0) bit of this value in each 64-bit word of the unary part."""
-        unpacked = np.unpackbits(self.high.reshape(-1, 8)[word], axis=1, bitorder="little")
-        hits = np.cumsum(unpacked == bit, axis=1, dtype=np.int16)
-        return (hits <= nth[:, None]).sum(1)
+        bits = self.high.view("<u8")[word]
+        if not bit:
+            bits = ~bits
+        nth = np.minimum(nth, 64).astype(_U)
+        # ones of each byte, then of it and those before, as eight bytes
+        upto = bits - ((bits >> _U(1)) & _U(0x5555555555555555))
+        upto = (upto & _U(0x3333333333333333)) + ((upto >> _U(2)) & _U(0x3333333333333333))
+        upto = ((upto + (upto >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+        full = ((((nth * _ONES) | _TOPS) - upto & _TOPS) >> _U(7)) * _ONES >> _U(56)  # bytes whose ones all come before
+        shift = np.minimum(full, _U(7)) << _U(3)
+        before = (upto << _U(8)) >> shift & _U(0xFF)
+        found = _NTH[((bits >> shift & _U(0xFF)) << _U(3) | np.minimum(nth - before, _U(7))).astype(np.int64)]
+        return np.where(full < 8, shift.astype(np.int64) + found, 64)
 
     def select1(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, "right") - 1
@@ -79,16 +92,22 @@ class EliasFano:
         return ((self.select1(i) - i).astype(_U) << _U(self.low_bits)) | self._low(i)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
-        """The position of the first value that is at least x, n if none: the run of equal high parts, then its low parts."""
+        """The position of the first value that is at least x, n if none."""
+        return self.sought(x)[0]
+
+    def sought(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The position of the first value that is at least x, n if none, and whether it is x: the run of equal high parts, then its low parts."""
         x = np.asarray(x, _U)
         h = (x >> _U(self.low_bits)).astype(np.int64)
         lo = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) - (h - 1), 0)
         hi = self.select0(h) - h
-        want = x & _U((1 << self.low_bits) - 1)
+        want, run = x & _U((1 << self.low_bits) - 1), hi
         while True:
             open_ = lo < hi
             if not open_.any():
-                return lo
+                same = lo < run
+                same[same] = self._low(lo[same]) == want[same]
+                return lo, same
             mid = (lo + hi) >> 1
             less = np.zeros(len(x), bool)
             less[open_] = self._low(mid[open_]) < want[open_]
@@ -141,7 +160,7 @@ class Trie:
     @classmethod
     def open(cls, path: str) -> Trie:
         """The trie of a file, mapped into memory."""
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         n = int.from_bytes(raw[:8].tobytes(), "little")
         said = json.loads(raw[8 : 8 + n].tobytes())
         base = 8 + n + -(8 + n) % 8
@@ -182,9 +201,7 @@ class Trie:
             first, where = np.unique(at[part], return_inverse=True)
             end = self.pointers.access(first + 1).astype(np.int64)[where]
             key = at[part].astype(_U) * _U(len(words)) + w[part].astype(_U)
-            found = self.successors.successor(key)
-            inside = found < end
-            hit = part[inside]
-            same = self.successors.access(found[inside]) == key[inside]
-            codes[hit[same]] = self.arrays["codes"][found[inside][same]]
+            found, same = self.successors.sought(key)
+            same &= found < end
+            codes[part[same]] = self.arrays["codes"][found[same]]
         return codes, weights

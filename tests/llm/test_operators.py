@@ -376,6 +376,16 @@ def test_elias_fano_and_trie():
     assert (codes > 0).tolist() == [True, False, True, False, False] and (weights > 0).tolist() == [True, True, True, True, False]
 
 
+def test_elias_fano_tells_whether_a_value_is_there():
+    """The search itself says so, without reading the value it found; runs of equal high parts, full and empty words included."""
+    r = np.random.default_rng(9)
+    for n, u in ((1, 1), (1, 10**6), (300, 40), (3000, 10**4), (500, 10**15)):
+        v = np.sort(r.integers(0, u, n).astype(np.uint64))
+        e, q = EliasFano.of(v, u), np.r_[r.integers(0, u, 400).astype(np.uint64), v[:200]]
+        at, there = e.sought(q)
+        assert (at == np.searchsorted(v, q)).all() and (there == np.isin(q, v)).all() and (e.access(np.arange(n)) == v).all()
+
+
 @pytest.mark.parametrize("hot", [lm.HOT, 1.0, 0.01])
 def test_language_model(docs, rows, monkeypatch, hot):
     monkeypatch.setattr(lm, "HOT", hot)
