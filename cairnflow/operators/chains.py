@@ -213,7 +213,7 @@ def spaced(rows: DataFrame, group: str, at: str, ties: list[str], gap: int, bloc
     block = BLOCK if block is None else block
     slim = staged(placed(rows.where(F.col(at).isNotNull()), group, [at, *ties]), "positions")
     chain = staged(gaps(slim, group, at, gap, block), "pointers")
-    kept = _on_chain(chain, group, block).where("on").select(F.col(group).alias("g_"), F.col("pos").alias("p_"))
+    kept = _on_chain(chain, group, block).where("on").select(F.col(group).alias("g_"), F.col("pos").alias("p_")).hint("merge")
     return slim.join(kept, F.col(group).eqNullSafe(F.col("g_")) & (F.col("pos") == F.col("p_")), "left_semi").select(*rows.columns)
 
 
@@ -232,4 +232,5 @@ def packed(rows: DataFrame, group: str, order: list[str], size: str, most_items:
     offsets = staged(many.select("g_", "b_", before.alias("before_")), "block-offsets")
     out = numbered.join(offsets, F.col(group).eqNullSafe(F.col("g_")) & (F.col("block") == F.col("b_")), "left")
     out = out.select(F.col(group).alias("g_"), F.col("pos").alias("p_"), (F.col("number") + F.coalesce("before_", F.lit(0)) - 1).alias("pack"))
-    return slim.join(out, F.col(group).eqNullSafe(F.col("g_")) & (F.col("pos") == F.col("p_"))).select(*rows.columns, "pack")
+    # both have a row for each row of the table; their files are small for what they hold, so neither is to be broadcast for its size on disk
+    return slim.join(out.hint("merge"), F.col(group).eqNullSafe(F.col("g_")) & (F.col("pos") == F.col("p_"))).select(*rows.columns, "pack")
