@@ -5,7 +5,7 @@ are one node, named by its smallest doc_id. Inverted lists of the ``LISTED`` sma
 them, and exact Jaccard similarity over both lanes of the whole sets confirms them. Links become components.
 
 Pairs are never all emitted. First every list links its nodes to its smallest node (a star); what is confirmed joins
-components. In lists of over ``SHORT`` nodes that several components share, the nodes outside the largest of them (strays) are then
+components, of which the turns need only a near picture (``graphs.nearby``). In lists of over ``SHORT`` nodes that several components share, the nodes outside the largest of them (strays) are then
 linked to a random node of it, another in each list, up to ``TURNS`` times. After that only pairs across components are proposed:
 directly in lists of at most ``SHORT`` nodes; nodes in longer lists are listed again under all values of their sketch, and short lists
 among those propose the rest. Nodes most of whose sketch lies in long lists (``MOSTLY`` values or more) are compared by their whole sets
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.graphs import connected_components
+from ..operators.graphs import extended, nearby
 from .common import drop_staged, split_batch, staged, utf8
 from .shingles import shared, shingle_sets
 
@@ -47,8 +47,10 @@ TURNS = 1
 BLOCK, BLOCK_SHINGLES = 128, 1 << 16
 #: Bytes of sets that a task keeps while it confirms pairs, besides the pair at hand.
 HELD_BYTES = 8 << 20
-#: Bytes of node ids that are broadcast to pick texts for confirmation; beyond it the texts are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of node ids that are broadcast to pick texts for confirmation, of sketches and of texts that are broadcast to pairs; beyond it they are joined by shuffle.
+BROADCAST_BYTES, BROADCAST_SKETCHES, BROADCAST_TEXTS = 32 << 20, 16 << 20, 16 << 20
+#: Pairs that a task confirms where their texts are broadcast.
+CONFIRMED = 512
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -107,7 +109,9 @@ def _only(frame: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 
 def _ids(pairs: DataFrame, name: str) -> DataFrame:
-    return staged(pairs.select(F.col("a").alias(name)).union(pairs.select("b")).distinct(), "pair-ids")
+    """The nodes of the pairs (a, b) of a staged table, repeated where they are few enough to be broadcast so."""
+    both = pairs.select(F.col("a").alias(name)).union(pairs.select("b"))
+    return both if pairs.count() * 32 <= BROADCAST_BYTES else staged(both.distinct(), "pair-ids")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -122,6 +126,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     nodes = _only(nodes, "node", _ids(pairs, "node"))
+    if nodes.count() * (8 * SKETCH + 48) <= BROADCAST_SKETCHES:
+        nodes = F.broadcast(nodes)
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     return pairs.join(a, "a").join(b, "b").where(_similar_sizes(percent)).select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
@@ -166,6 +172,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 keep.append(n > 0 and 100 * n >= percent * (len(x[0]) + len(y[0]) - n))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    if (texts.agg(F.sum(F.octet_length("text") + 48)).first()[0] or 0) <= BROADCAST_TEXTS:
+        texts, pairs = F.broadcast(texts), pairs.repartition(pairs.count() // CONFIRMED + 1)
     a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
 
@@ -268,12 +276,12 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _across(lists: DataFrame, percent: int, apart: bool = False) -> DataFrame:
-    """Pairs (a, b) across components in short lists (value, node, n, comp); ``apart``: not both of them c_busy."""
+    """Pairs (a, b), which may repeat, across components in short lists (value, node, n, comp); ``apart``: not both of them c_busy."""
     more = ["c_busy"] if apart else []
     x = lists.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("c_a"), *[F.col(c).alias("x_busy") for c in more])
     y = lists.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("c_b"), *[F.col(c).alias("y_busy") for c in more])
     fit = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _similar_sizes(percent)
-    return x.join(y, "value").where(fit & ~(F.col("x_busy") & F.col("y_busy")) if apart else fit).select("a", "b").distinct()
+    return x.join(y, "value").where(fit & ~(F.col("x_busy") & F.col("y_busy")) if apart else fit).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -295,23 +303,22 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     rows = staged(wide.drop("sketch"), "set-keys")
     drop_staged(wide)
     index = staged(listed(nodes, 0, LISTED), "lists")
-    counted = index.groupBy("value").agg(F.count(F.lit(1)).alias("refs"), F.min(F.struct("node", "n")).alias("hub")).where("refs > 1")
-    counted = staged(counted.select("value", "refs", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "list-sizes")
+    counted = index.groupBy("value").agg(F.count(F.lit(1)).alias("refs"), F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n")).where("refs > 1")
+    counted = staged(counted, "list-sizes")
     # long lists are few and meet their sizes by broadcast, so that no task gets all rows of one
     long = _few(staged(counted.where(F.col("refs") > SHORT), "long-lists"), 32)
     hot = staged(index.join(long, "value"), "long-rows")
-    cold = staged(index.join(long.select("value"), "value", "left_anti").join(counted, "value"), "short-rows")
+    cold = staged(index.join(long.select("value"), "value", "left_anti").join(_few(counted, 40), "value"), "short-rows")
     drop_staged(index, counted)
     stars = hot.unionByName(cold).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
     found = _confirmed(stars.where(_similar_sizes(percent)).select("a", "b").distinct(), nodes, docs, width, percent, "star")
 
-    def joined(found):
-        return staged(connected_components(found), "star-components").select(F.col("node").alias("c_node"), F.col("component").alias("comp"))
-
-    comps = joined(found)
+    # before the turns nodes that are near each other by stars count as one component; some that are connected may count as several
+    comps = nearby(found)
 
     def with_comp(frame: DataFrame) -> DataFrame:
-        return frame.join(comps, F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("c_node")
+        known = _few(comps).select(F.col("node").alias("c_node"), F.col("component").alias("comp"))
+        return frame.join(known, F.col("node") == F.col("c_node"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("c_node")
 
     def mixed(lists: DataFrame) -> DataFrame:
         """The rows (value, node, n, comp) of lists that several components share, the largest of these (main), and whether they lie outside it (stray)."""
@@ -326,21 +333,23 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
         turned = F.xxhash64("value", "node", F.lit(turn))
         hubs = lists.where("not stray").groupBy("value").agg(F.min_by(F.struct("node", "n"), turned).alias("h")).select("value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
         pairs = lists.where("stray").join(_few(staged(hubs, "hubs"), 24), "value").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b"))
-        more = _confirmed(pairs.where(_similar_sizes(percent)).select("a", "b").distinct(), nodes, docs, width, percent, "turn")
+        more = _confirmed(pairs.where(_similar_sizes(percent)).select("a", "b"), nodes, docs, width, percent, "turn")
         drop_staged(lists)
         if not more.limit(1).count():
             break
         found = found.unionByName(more)
-        comps = joined(found)
-    pairs = _across(mixed(with_comp(cold.select("value", "node", "n"))), percent)
+        if turn + 1 < TURNS:
+            comps = nearby(found)
+    comps = staged(extended(comps, found), "star-components")
+    pairs = _across(with_comp(cold.select("value", "node", "n")), percent)
     lists = staged(mixed(with_comp(hot.select("value", "node", "n"))), "mixed-long")
     dense = None
     if lists.limit(1).count():
-        busy = staged(_only(nodes, "node", staged(lists.select("node").distinct(), "busy-ids")), "busy-nodes")
+        busy = staged(_only(nodes, "node", lists.select("node")), "busy-nodes")
         every = staged(listed(busy, 0, SKETCH), "busy-lists")
         sizes = staged(every.groupBy("value").agg(F.count(F.lit(1)).alias("refs")).where("refs > 1"), "busy-sizes")
-        # every shared value with the length of its list, once for long and short ones; a value of very many nodes is a skewed key of this join
-        known = staged(every.join(sizes, "value"), "busy-shared")
+        # every shared value with the length of its list, once for long and short ones; beyond what is broadcast a value of very many nodes is a skewed key of this join
+        known = staged(every.join(_few(sizes), "value"), "busy-shared")
         drop_staged(every)
         crowded = known.where(F.col("refs") > SHORT)
         mostly = crowded.groupBy("node").agg(F.count(F.lit(1)).alias("crowd"), F.first("n").alias("m")).where(F.col("crowd") >= F.least(F.lit(MOSTLY), F.floor(F.col("m") / 2))).select("node")
@@ -357,9 +366,9 @@ def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[
     pairs = staged(pairs.distinct(), "cross-pairs")
     pairs = staged(estimated(pairs, nodes, percent), "cross-estimates")
     if dense is not None:
-        pairs = staged(pairs.union(dense).distinct(), "cross-links")
-    more = confirmed(pairs, docs, width, percent)
-    return rows, nodes, staged(connected_components(found.union(more)), "components")
+        pairs = pairs.union(dense)
+    more = staged(confirmed(pairs, docs, width, percent), "cross-links")
+    return rows, nodes, staged(extended(comps, more), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
