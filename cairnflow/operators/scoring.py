@@ -597,10 +597,13 @@ def alias_variants(name: Column, script: bool = False) -> Column:
 
 def partitioned_aliases(names: DataFrame, key: str, name: str, taken: DataFrame, script: bool = False) -> DataFrame:
     """(key, alias, collides) of all variants of the names: whether an alias is taken (taken: alias) or is a variant of another key as well."""
-    each = names.select(key, F.explode(alias_variants(F.col(name), script)).alias("alias")).distinct()
-    many = each.groupBy("alias").agg(F.count("*").alias("n_"))
-    held = taken.select("alias").distinct().withColumn("held_", F.lit(True))
-    return each.join(many, "alias").join(held, "alias", "left").select(key, "alias", ((F.col("n_") > 1) | F.coalesce("held_", F.lit(False))).alias("collides"))
+    each = names.select(key, F.explode(alias_variants(F.col(name), script)).alias("alias")).where("alias is not null")
+    # one row an alias says whether it collides, and only those that do are joined; a null key is a key of its own
+    marks = each.select("alias", F.col(key).alias("key_"), F.col(key).isNull().alias("none_"), F.lit(False).alias("held_"))
+    held = taken.select("alias").select("alias", F.lit(None).cast(each.schema[key].dataType).alias("key_"), F.lit(False).alias("none_"), F.lit(True).alias("held_"))
+    many = ~F.min("key_").eqNullSafe(F.max("key_")) | (F.bool_or("none_") & F.min("key_").isNotNull())
+    clash = marks.union(held).groupBy("alias").agg((many | F.bool_or("held_")).alias("collides")).where("collides")
+    return each.distinct().join(clash, "alias", "left").select(key, "alias", F.coalesce("collides", F.lit(False)).alias("collides"))
 
 
 @query(
