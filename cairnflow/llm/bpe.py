@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import staged_by
-from .common import staged
+from .common import short_plans, staged
 
 #: Small maps that the rank map is split into.
 MAPS = 16384
@@ -415,7 +415,8 @@ def _by_document(docs: DataFrame, path: str | None, pattern: str | None, result,
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), many // (UNITS_A_PART * UNIT_ROWS), size // (UNITS_A_PART * UNIT_CHARS))
     table = staged_by(units(docs, pattern, buckets), "bpe-units", "unit", parts)
     asked = table.where("bucket >= 0").select("bucket", "unit", "sizes", "words")
-    answers = staged(_answers(_folded(_gathered(asked), ranks), ranks), "bpe-answers")
+    with short_plans(docs.sparkSession):
+        answers = staged(_answers(_folded(_gathered(asked), ranks), ranks), "bpe-answers")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard

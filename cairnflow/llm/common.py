@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..staging import drop_staged, shared_dir, staged  # noqa: F401
@@ -26,6 +28,23 @@ def settle(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault(name, value)
 
 
+@contextmanager
+def short_plans(spark: SparkSession):
+    """Meanwhile the texts of plans name no columns. The driver makes and keeps a plan's text at its start and after each of its exchanges; with a literal of
+    megabytes these are most of what the driver's heap gets."""
+    held = {name: spark.conf.get(name, None) for name in ("spark.sql.debug.maxToStringFields", "spark.sql.maxPlanStringLength")}
+    for name, most in zip(held, ("0", str(1 << 16))):
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the folder, in a settled session."""
     settle(spark)
